@@ -67,19 +67,6 @@ def area_line(b, m, t0, t1, s0, h) -> Column:
         (g(b + m * t1 - s0) - g(b + m * t0 - s0)) / m)
 
 
-def _pieces(points: Column, height, primitive, s0: Column, h: Column) -> Column:
-    """Integral of clamp(height - s0, 0, h) over sorted breakpoints."""
-    def piece(p, q):
-        return let((p + q) / 2, lambda mid: let(height(mid) - s0, lambda v: F.when(
-            q <= p, 0.0).when(v.isNull() | (v <= 0), 0.0).when(v >= h, h * (q - p)).otherwise(
-            primitive(q) - primitive(p) - s0 * (q - p))))
-
-    n = F.size(points)
-    return let(points, lambda x: F.aggregate(
-        F.zip_with(F.slice(x, 1, n - 1), F.slice(x, 2, n - 1), piece),
-        F.lit(0.0), lambda acc, v: acc + v))
-
-
 def quadratic_roots(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     """Real roots of a t^2 + b t + c (NULL where there is none), stably computed."""
     disc = b * b - 4 * a * c
@@ -91,14 +78,27 @@ def quadratic_roots(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
 
 
 def area_quadratic(c, b, a, t0, t1, s0, h) -> Column:
-    """Area below c + b t + a t^2 inside [t0, t1] x [s0, s0 + h]."""
+    """Area below c + b t + a t^2 inside [t0, t1] x [s0, s0 + h].
+
+    The part above a level y lies between or outside the two roots of f = y; the
+    clipped area is the difference of those parts at y = s0 and y = s0 + h.
+    """
     c, b, a, t0, t1, s0, h = map(lit, (c, b, a, t0, t1, s0, h))
-    cuts = [r for y in (s0, s0 + h) for r in quadratic_roots(a, b, c - y)]
-    inside = [clamp(F.coalesce(r, t0), t0, t1) for r in cuts]
-    points = F.array_sort(F.array(t0, *inside, t1))
-    return F.when(t1 <= t0, 0.0).otherwise(_pieces(
-        points, lambda t: c + b * t + a * t * t,
-        lambda t: c * t + b * t * t / 2 + a * t * t * t / 3, s0, h))
+
+    def above(y):
+        def prim(t):
+            return t * ((c - y) + t * (b / 2 + t * a / 3))
+
+        def between(r):
+            inner = prim(clamp(F.greatest(r[0], r[1]), t0, t1)) - prim(clamp(F.least(r[0], r[1]), t0, t1))
+            return F.when(a > 0, prim(t1) - prim(t0) - inner).otherwise(inner)
+
+        none = F.when(a > 0, prim(t1) - prim(t0)).otherwise(0.0)
+        return F.when(b * b - 4 * a * (c - y) <= 0, none).otherwise(
+            let(F.array(*quadratic_roots(a, b, c - y)), between))
+
+    return (F.when(t1 <= t0, 0.0).when(F.abs(a) < 1e-9, area_line(c, b, t0, t1, s0, h))
+            .otherwise(above(s0) - above(s0 + h)))
 
 
 def arc_height(tc, sc, r, side, t) -> Column:
@@ -109,21 +109,21 @@ def arc_height(tc, sc, r, side, t) -> Column:
 def area_arc(tc, sc, r, side, t0, t1, s0, h) -> Column:
     """Area below a semicircle inside a rectangle (zero beyond its ends)."""
     tc, sc, r, side, t0, t1, s0, h = map(lit, (tc, sc, r, side, t0, t1, s0, h))
-    lo, hi = clamp(tc - r, t0, t1), clamp(tc + r, t0, t1)
-
-    def reach(y):
-        gap = r * r - (y - sc) * (y - sc)
-        return F.sqrt(F.greatest(gap, F.lit(0.0)))
 
-    cuts = [clamp(tc + g * reach(y), lo, hi) for y in (s0, s0 + h) for g in (-1, 1)]
+    def above(y, ends):
+        def prim(t):
+            return let(clamp((t - tc) / r, -1, 1), lambda z: (sc - y) * t
+                       + side * r * r / 2 * (z * F.sqrt(1 - z * z) + F.asin(z)))
 
-    def primitive(t):
-        z = clamp((t - tc) / r, -1, 1)
-        return sc * t + side * r * r / 2 * (z * F.sqrt(1 - z * z) + F.asin(z))
+        lo, hi = ends[0], ends[1]
+        whole = prim(hi) - prim(lo)
+        inner = let(F.sqrt(F.greatest(r * r - (y - sc) * (y - sc), F.lit(0.0))), lambda k: prim(
+            clamp(tc + k, lo, hi)) - prim(clamp(tc - k, lo, hi)))
+        return (F.when(side > 0, F.when(y <= sc, whole).otherwise(inner))
+                .otherwise(F.when(y >= sc, 0.0).otherwise(whole - inner)))
 
-    return F.when(hi <= lo, 0.0).otherwise(_pieces(
-        F.array_sort(F.array(lo, *cuts, hi)),
-        lambda t: arc_height(tc, sc, r, side, t), primitive, s0, h))
+    ends = F.array(clamp(tc - r, t0, t1), clamp(tc + r, t0, t1))
+    return let(ends, lambda e: F.when(e[1] <= e[0], 0.0).otherwise(above(s0, e) - above(s0 + h, e)))
 
 
 def arc_width(tc, r, t0, t1) -> Column:
@@ -225,15 +225,17 @@ def area_below(family: str, p: Column, t0, t1, s0, h) -> Column:
     if family == "wedge":
         return area_wedge(p[0], p[1], p[2], p[3], t0, t1, s0, h)
     if family == "curve_poly":
+        p = F.array(*p) if isinstance(p, (list, tuple)) else p
         return area_curve_poly(p, lit(t0), lit(t1), lit(s0), lit(h))
     raise ValueError(f"no area for family {family!r}")
 
 
-def rectangle_integral(family: str, m: Column, x0, x1, y0, y1, degree: int = 2) -> Column:
+def rectangle_integral(family: str, m, x0, x1, y0, y1, degree: int = 2) -> Column:
     """Integral of a model over [x0, x1] x [y0, y1].
 
     x and y are measured along i and j from the centre of the model's cell; `m`
-    is a struct with axis, params, value_up and value_down.
+    is a struct column (or a dict of columns) with axis, params, value_up and
+    value_down.
     """
     x0, x1, y0, y1 = map(lit, (x0, x1, y0, y1))
     p = m["params"]
@@ -247,8 +249,8 @@ def rectangle_integral(family: str, m: Column, x0, x1, y0, y1, degree: int = 2)
     s0 = F.when(first, y0).otherwise(x0) + 0.5
     h = F.when(first, y1 - y0).otherwise(x1 - x0)
     whole = (arc_width(p[0], p[2], t0, t1) if family == "arc" else (t1 - t0)) * h
-    return let(area_below(family, p, t0, t1, s0, h),
-               lambda a: m["value_down"] * a + m["value_up"] * (whole - a))
+    below = area_below(family, p, t0, t1, s0, h)
+    return m["value_up"] * whole + (m["value_down"] - m["value_up"]) * below
 
 
 def poly_area_any(p: Column, x0, x1, y0, y1, degree: int) -> Column:
@@ -259,7 +261,7 @@ def poly_area_any(p: Column, x0, x1, y0, y1, degree: int) -> Column:
     return out
 
 
-def model_integral(families, m: Column, x0, x1, y0, y1) -> Column:
+def model_integral(families, m, x0, x1, y0, y1) -> Column:
     """rectangle_integral for a column that mixes several families."""
     out = None
     for f in families:

@@ -11,12 +11,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.functions.index import fdiv, images, map_index, offsets
+from cellweave.functions.index import fdiv, images, let, map_index, offsets
 from cellweave.schema import GridShape, require, with_shape
 
 TILE = 32
 
 
+def tile_key(shape: GridShape | DataFrame, tile: int = TILE) -> list[str]:
+    """Columns that the tile shuffle partitions by."""
+    if not isinstance(shape, GridShape):
+        return ["grid_id", "bi", "bj"]
+    return ["grid_id"] + ["bi"] * (shape.ni > tile) + ["bj"] * (shape.nj > tile)
+
+
 def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
           values: list[str], tile: int = TILE) -> DataFrame:
     """Pack cells into tiles: one row per tile with padded row-major arrays.
@@ -50,46 +57,55 @@ def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
             F.greatest(F.lit(0), fdiv(F.col(e) - r, tile)),
             F.least(last, fdiv(F.col(e) + r, tile)))).otherwise(F.array(F.lit(0)))))
 
-    key = F.struct(F.col("ei"), F.col("ej"), *[F.col(v) for v in values])
-    t = c.groupBy("grid_id", "bi", "bj").agg(
-        F.array_sort(F.collect_list(key)).alias("_m"),
-        *[F.first(x).alias(x) for x in ("ni", "nj", "mode_i", "mode_j")])
-
-    rows = F.least(F.lit(tile), F.col("ni") - F.col("bi") * tile)
-    cols = F.least(F.lit(tile), F.col("nj") - F.col("bj") * tile)
-    t = t.withColumns({"rows": rows, "cols": cols})
-    real_rows = F.when(spill_i, F.col("rows") + 2 * r).otherwise(F.col("rows"))
-    real_cols = F.when(spill_j, F.col("cols") + 2 * r).otherwise(F.col("cols"))
-    t = t.withColumns({"_h": real_rows, "_w": real_cols})
-    whole = F.size("_m") == F.col("_h") * F.col("_w")
-    t = t.withColumn("_m", F.when(whole, F.col("_m")).otherwise(F.raise_error(
-        F.concat(F.lit("grid is not dense, densify it first: "), F.col("grid_id")))))
-
-    if r == 0:
-        padded = {v: F.col("_m")[v] for v in values}
-    else:
-        # source row / column of every padded row / column, computed once per tile
-        ri = F.transform(F.sequence(F.lit(0), F.col("rows") + (2 * r - 1)), lambda a: F.when(
-            spill_i, a).otherwise(map_index(a - r, F.col("ni"), F.col("mode_i"))))
-        rj = F.transform(F.sequence(F.lit(0), F.col("cols") + (2 * r - 1)), lambda b: F.when(
-            spill_j, b).otherwise(map_index(b - r, F.col("nj"), F.col("mode_j"))))
-        t = t.withColumns({"_ri": ri, "_rj": rj})
-        def pad(v):
-            return F.flatten(F.transform("_ri", lambda a: F.transform(
-                "_rj", lambda b: F.get(F.col("_m"), a * F.col("_w") + b)[v])))
-
-        padded = {v: pad(v) for v in values}
-    return t.select("grid_id", "bi", "bj", "ni", "nj", "rows", "cols",
-                    *[x.alias(v) for v, x in padded.items()])
+    # sort key first: positions inside the tile; (row, column) order after sort_array
+    packed = F.struct(F.col("ei"), F.col("ej"), *[F.col(v) for v in values])
+    same = isinstance(shape, GridShape)
+    names = ("ni", "nj", "mode_i", "mode_j")
+    # a tile coordinate that cannot vary is no grouping key, so that later groupings
+    # by (grid_id[, bi, bj], ...) are already satisfied by this shuffle
+    t = c.groupBy(*tile_key(shape, tile)).agg(
+        F.collect_list(packed).alias("_m"),
+        *([] if same else [F.first(x).alias(x) for x in names]))
+    if same:
+        t = with_shape(t, shape).withColumns({
+            b: F.lit(0) for b, m in zip(("bi", "bj"), many) if not m})
+
+    ni, nj = F.col("ni"), F.col("nj")
+    rows = F.least(F.lit(tile), ni - F.col("bi") * tile)
+    cols = F.least(F.lit(tile), nj - F.col("bj") * tile)
+    have_w = F.when(spill_j, cols + 2 * r).otherwise(cols)
+    have = F.when(spill_i, rows + 2 * r).otherwise(rows) * have_w
+    checked = F.when(F.size("_m") == have, F.sort_array("_m")).otherwise(F.raise_error(
+        F.concat(F.lit("grid is not dense, densify it first: "), F.col("grid_id"))))
+
+    def pads(m):
+        if r == 0:
+            return F.struct(*[m[v].alias(v) for v in values])
+        # source row / column of every padded row / column, bound once per tile
+        ri = F.transform(F.sequence(F.lit(0), rows + (2 * r - 1)), lambda a: F.when(
+            spill_i, a).otherwise(map_index(a - r, ni, F.col("mode_i"))) * have_w)
+        rj = F.transform(F.sequence(F.lit(0), cols + (2 * r - 1)), lambda b: F.when(
+            spill_j, b).otherwise(map_index(b - r, nj, F.col("mode_j"))))
+
+        def pad(x):
+            return let(rj, lambda js: F.flatten(F.transform(ri, lambda a: F.transform(
+                js, lambda b: F.get(x, a + b)))))
+
+        return F.struct(*[let(m[v], pad).alias(v) for v in values])
+
+    t = t.withColumn("_t", let(checked, pads))
+    return t.select("grid_id", "bi", "bj", "ni", "nj", rows.alias("rows"), cols.alias("cols"),
+                    *[F.col("_t")[v].alias(v) for v in values])
 
 
 def with_windows(cells: DataFrame, shape: GridShape | DataFrame, ki: int, kj: int,
                  values: list[str] | None = None, where: Column | None = None,
-                 tile: int = TILE) -> DataFrame:
+                 tile: int = TILE, keep_tile: bool = False) -> DataFrame:
     """Every cell with its ki x kj neighbourhood as arrays `w_<value>` (row-major).
 
     `where` is a condition on the value columns; cells that fail it are dropped
-    before their windows are built (they still serve as neighbours).
+    before their windows are built (they still serve as neighbours).  With
+    `keep_tile` the tile coordinates bi, bj stay in the result.
     """
     values = values or ["u"]
     oi, oj = offsets(ki), offsets(kj)
@@ -106,7 +122,7 @@ def with_windows(cells: DataFrame, shape: GridShape | DataFrame, ki: int, kj: in
         return F.concat(*parts) if len(parts) > 1 else parts[0]
 
     out = t.select(
-        "grid_id", (F.col("bi") * tile + F.col("_a")).cast("int").alias("i"),
+        *(["bi", "bj"] if keep_tile else []), "grid_id", (F.col("bi") * tile + F.col("_a")).cast("int").alias("i"),
         (F.col("bj") * tile + F.col("_b")).cast("int").alias("j"), "ni", "nj",
         *[F.get(F.col(v), at).alias(v) for v in values],
         *[window(v).alias(f"w_{v}") for v in values])
