@@ -31,7 +31,7 @@ class Preset:
     angle: float = 45.0
     gradient: str = "sobel"
     axis: int | None = None
-    levels: Callable = field(default=C.levels_window)
+    levels: Callable = field(default=C.levels_sided)
     p: float = 2.0
     center_weight: float = 0.0
     eps: float = 0.0
@@ -43,7 +43,7 @@ class Preset:
 
     @property
     def window(self) -> int:
-        reach = [2 if self.levels is C.levels_window else 1]
+        reach = [2 if self.levels in (C.levels_window, C.levels_sided) else 1]
         reach += [max(m.kt // 2, m.ks // 2) for m in self.models]
         return 2 * max(reach) + 1
 
