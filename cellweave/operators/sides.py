@@ -20,18 +20,18 @@ BLOCK = 4096
 
 
 def column_runs(cells: DataFrame, shape: GridShape | DataFrame, axis: int, accept: Column,
-                block: int = BLOCK) -> DataFrame:
+                block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
     """For every cell the last accepted cell at or before it and the first at or after it.
 
     Columns run along the dependent axis.  Adds prev and next, struct(pos, u), or
-    NULL.  On cyclic grids the search continues around the edge.  A column is
+    NULL; `carry` names further position columns to put into the struct.  On cyclic grids the search continues around the edge.  A column is
     scanned in blocks: windows within blocks, then one small window over block
     summaries, so no task has to sort a whole long column.
     """
     col, pos = ("i", "j") if axis == 0 else ("j", "i")
     n, mode = ("nj", "mode_j") if axis == 0 else ("ni", "mode_i")
     c = with_shape(cells, shape).withColumn("_k", F.floor(F.col(pos) / block).cast("int"))
-    hit = F.when(accept, F.struct(F.col(pos).alias("pos"), F.col("u").alias("u")))
+    hit = F.when(accept, F.struct(F.col(pos).alias("pos"), F.col("u").alias("u"), *carry))
     c = c.withColumn("_hit", hit)
     inner = Window.partitionBy("grid_id", col, "_k").orderBy(pos)
     c = c.withColumns({
@@ -48,7 +48,8 @@ def column_runs(cells: DataFrame, shape: GridShape | DataFrame, axis: int, accep
     c = c.join(sums, ["grid_id", col, "_k"])
 
     def around(s, shift):
-        return F.when(F.col(mode) == CYCLIC, F.struct((s["pos"] + shift).alias("pos"), s["u"].alias("u")))
+        return F.when(F.col(mode) == CYCLIC, F.struct(
+            (s["pos"] + shift).alias("pos"), s["u"].alias("u"), *[(s[x] + shift).alias(x) for x in carry]))
 
     return c.withColumns({
         "prev": F.coalesce("_p", "_before", F.when(F.col("_last").isNotNull(), around(F.col("_last"), -F.col(n)))),
