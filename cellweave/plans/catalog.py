@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.plans import queries_data, queries_fit, queries_grid  # noqa: F401
+from cellweave.plans import queries_data, queries_fit, queries_grid, queries_search  # noqa: F401
 from cellweave.plans.fixtures import PATCH, labelled_patch
 from cellweave.plans.reconstruct import PRESETS, fit_cells
 from cellweave.plans.registry import QUERIES, SQL
