@@ -63,7 +63,11 @@ def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
     names = ("ni", "nj", "mode_i", "mode_j")
     # a tile coordinate that cannot vary is no grouping key, so that later groupings
     # by (grid_id[, bi, bj], ...) are already satisfied by this shuffle
-    t = c.groupBy(*tile_key(shape, tile)).agg(
+    # The stages after this shuffle are heavy per byte, so their number of tasks is set
+    # here and not by the small size of the shuffled data.
+    width = int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = c.select("grid_id", "bi", "bj", "ei", "ej", *values, *([] if same else names))
+    t = c.repartition(width, *tile_key(shape, tile)).groupBy(*tile_key(shape, tile)).agg(
         F.collect_list(packed).alias("_m"),
         *([] if same else [F.first(x).alias(x) for x in names]))
     if same:
@@ -93,7 +97,8 @@ def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
 
         return F.struct(*[let(m[v], pad).alias(v) for v in values])
 
-    t = t.withColumn("_t", let(checked, pads))
+    # a generator, so that later filters cannot copy this expression below themselves
+    t = t.withColumn("_t", F.explode(F.transform(F.array(checked), pads)))
     return t.select("grid_id", "bi", "bj", "ni", "nj", rows.alias("rows"), cols.alias("cols"),
                     *[F.col("_t")[v].alias(v) for v in values])
 
