@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from cellweave.schema import KEY
 from cellweave.sources.binning import coarsen
@@ -65,12 +65,50 @@ def convergence_rate(results: DataFrame, min_n: float = 0, error: str = "error_l
     return r.groupBy(*by).agg(F.regr_slope(y, x).alias("rate"), F.regr_intercept(y, x).alias("origin"))
 
 
+BUCKETS = 1 << 20
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact, linearly interpolated quantiles per group: by, prob, quantile.
+
+    The built-in exact percentile keeps all distinct values of a group in one task.
+    Here equal-width buckets are counted first (partial sums), the few buckets that
+    hold the wanted ranks are found in a window of at most BUCKETS rows, and only
+    their values are sorted.
+    """
+    d = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    stats = d.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    span = F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo"))
+    bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / span * BUCKETS), F.lit(BUCKETS - 1))
+    placed = d.join(stats, by).select(*by, "_v", bucket.alias("_b"))
+    line = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(line), F.lit(0)))
+
+    at = (F.col("_n") - 1) * F.col("prob")
+    ranks = stats.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
+    ranks = ranks.select(*by, "prob", at.alias("_h"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("_r"))
+    wanted = ranks.join(counts, by).filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")))
+    spots = wanted.select(*by, "_b", "_before").distinct()
+    inner = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = placed.join(spots, [*by, "_b"]).groupBy(*by, "_b", "_before", "_v").agg(F.count(F.lit(1)).alias("_k"))
+    values = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_k").over(inner), F.lit(0)))
+    hit = wanted.select(*by, "_b", "prob", "_h", "_r").join(values.drop("_before"), [*by, "_b"]).filter(
+        (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_k")))
+    low, high = F.min("_v"), F.max("_v")
+    part = F.first("_h") - F.floor(F.first("_h"))
+    return hit.groupBy(*by, "prob").agg((low + (high - low) * part).alias("quantile"))
+
+
 def duration_stats(results: DataFrame, seconds: str = "seconds", by=("model",)) -> DataFrame:
     """Mean, population standard deviation and 5 / 50 / 95 % quantiles, skipping NaN."""
+    by = list(by)
     s = F.when(~F.isnan(F.col(seconds).cast("double")), F.col(seconds).cast("double"))
-    return results.groupBy(*by).agg(
-        F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"), F.percentile(s, F.lit(0.05)).alias("q05"),
-        F.percentile(s, F.lit(0.5)).alias("q50"), F.percentile(s, F.lit(0.95)).alias("q95"))
+    moments = results.groupBy(*by).agg(F.avg(s).alias("mean"), F.stddev_pop(s).alias("std"))
+    names = {0.05: "q05", 0.5: "q50", 0.95: "q95"}
+    q = exact_quantiles(results, by, seconds, list(names)).groupBy(*by).agg(*[
+        F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(n) for p, n in names.items()])
+    return moments.join(q, by, "left")
 
 
 def per_step_cost(results: DataFrame, steps: int, seconds: str = "seconds", by=("model",)) -> DataFrame:

@@ -39,9 +39,15 @@ def normalize_grid(cells: DataFrame, value: str = "u") -> DataFrame:
 
 
 def spine(grids: DataFrame) -> DataFrame:
-    """All (i, j) of every grid of a grids table; extra columns are kept."""
+    """All (i, j) of every grid of a grids table; extra columns are kept.
+
+    The rows of a grid are spread over tasks before they are filled with columns,
+    so one huge grid is not made by one task.
+    """
     require(grids, "grid_id", "ni", "nj")
-    return (grids.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+    width = int(grids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = grids.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ni") - 1)))
+    return (rows.repartition(width, "grid_id", "i")
             .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nj") - 1))))
 
 
