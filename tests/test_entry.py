@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -40,6 +41,6 @@ def test_against_sql(spark, name):
 
 
 def rows_sorted(df, cols):
-    out = [tuple(None if v is None or v != v else v if isinstance(v, str) else float(v) for v in r)
+    out = [tuple(None if pd.isna(v) else v if isinstance(v, str) else float(v) for v in r)
            for r in df[cols].astype(object).itertuples(index=False)]
     return sorted(out, key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
