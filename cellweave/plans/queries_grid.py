@@ -11,11 +11,12 @@ from cellweave.operators import labels as L
 from cellweave.operators import neighbours as N
 from cellweave.operators import sides as S
 from cellweave.operators.curves import levels_01, levels_minmax
+from cellweave.operators.surfaces import surface_fits
 from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import (ACTIVITY_SQL, PATCH, PATCH_SQL, PRICE, PRICE_SQL, activity,
                                       activity_sparse, kernel_sum_sql, labelled_patch, patch, price, raw_patch,
                                       table, window_sql)
-from cellweave.plans.registry import query, rounded
+from cellweave.plans.registry import SQL, query, rounded
 from cellweave.schema import KEY
 from cellweave.sources import binning as B
 from cellweave.sources import shapes as SH
@@ -235,10 +236,19 @@ def kept_stencil_cells(spark, d):
         "w_u", F.lit(0.0), lambda a, x: a + x).alias("s")))
 
 
-@query("smooth_shifted_stencil")
+@query("smooth_shifted_stencil", f"""WITH {PATCH_SQL}, {window_sql(5, 'lab', False)},
+g AS (SELECT grid_id, i, j, any_value(own) AS u, {kernel_sum_sql(L.OPTIM5)} AS gx, {kernel_sum_sql(L.OPTIM5, True)} AS gy FROM win GROUP BY 1, 2, 3),
+s AS MATERIALIZED (SELECT grid_id, i, j, u, sqrt(gx * gx + gy * gy) AS si FROM g),
+o AS (SELECT a.d - 1 AS di, b.d - 1 AS dj FROM range(3) a(d), range(3) b(d)),
+n AS MATERIALIZED (SELECT a.grid_id, a.i, a.j, di, dj, a.si, b.si AS nsi, b.u AS nu FROM s a, o JOIN s b
+  ON b.grid_id = a.grid_id AND b.i = (a.i + di + 8) % 8 AND b.j = (a.j + dj + 8) % 8),
+c AS (SELECT *, row_number() OVER (PARTITION BY grid_id, i, j ORDER BY 0.5 * sqrt(di*di + dj*dj) / sqrt(2) + nsi / si, di*di + dj*dj, di, dj) AS rn FROM n),
+top AS (SELECT grid_id, i, j, max(nu) AS top FROM n GROUP BY 1, 2, 3)
+SELECT c.grid_id, c.i, c.j, CAST(di AS INTEGER) AS di, CAST(dj AS INTEGER) AS dj, {r6('t.top', 'top')}
+FROM c JOIN top t ON t.grid_id = c.grid_id AND t.i = (c.i + di + 8) % 8 AND t.j = (c.j + dj + 8) % 8 WHERE rn = 1""")
 def smooth_shifted_stencil(spark, d):
     c = L.gradient_magnitude(patch(spark, d), PATCH)
-    return N.smooth_shifted_stencil(c, PATCH, 3).select(*KEY, "di", "dj", F.array_max("w_u").alias("top"))
+    return rounded(N.smooth_shifted_stencil(c, PATCH, 3).select(*KEY, "di", "dj", F.array_max("w_u").alias("top")))
 
 
 @query("same_region_stencil")
@@ -386,7 +396,20 @@ def nearest_interface(spark, d):
     return S.nearest_interface(labelled_patch(spark, d), PATCH, 0)
 
 
-@query("opposite_by_gradient")
+@query("opposite_by_gradient", f"""WITH {PATCH_SQL}, {window_sql(3)},
+g AS (SELECT grid_id, i, j, {kernel_sum_sql(L.SCHARR)} AS gx, {kernel_sum_sql(L.SCHARR, True)} AS gy FROM win GROUP BY 1, 2, 3),
+v AS (SELECT *, CASE WHEN gx <> 0 AND gy <> 0 THEN sqrt(gx * gx + gy * gy) ELSE 1 END AS l FROM g),
+p AS (SELECT grid_id, i, j, s.s AS side, k.k, CAST(floor(i + 0.5 + k.k * s.s * (gx / l)) AS INTEGER) AS pi_,
+    CAST(floor(j + 0.5 + k.k * s.s * (gy / l)) AS INTEGER) AS pj FROM v, (VALUES (-1), (1)) s(s), range(2, 8) k(k)),
+h AS (SELECT p.*, t.u, row_number() OVER (PARTITION BY p.grid_id, p.i, p.j, side ORDER BY k) AS rn FROM p JOIN lab t ON t.grid_id = p.grid_id
+  AND t.i = ((pi_ % 8) + 8) % 8 AND t.j = ((pj % 8) + 8) % 8 WHERE t.kind = 0 AND (pi_ <> p.i OR pj <> p.j)),
+f AS (SELECT * FROM h WHERE rn = 1)
+SELECT a.grid_id, a.i, a.j,
+  CASE WHEN a.pj <= b.pj THEN a.pi_ ELSE b.pi_ END AS down_i, CASE WHEN a.pj <= b.pj THEN a.pj ELSE b.pj END AS down_j,
+  round(CASE WHEN a.pj <= b.pj THEN a.u ELSE b.u END, 6) + 0.0 AS down_u,
+  CASE WHEN a.pj <= b.pj THEN b.pi_ ELSE a.pi_ END AS up_i, CASE WHEN a.pj <= b.pj THEN b.pj ELSE a.pj END AS up_j,
+  round(CASE WHEN a.pj <= b.pj THEN b.u ELSE a.u END, 6) + 0.0 AS up_u
+FROM f a JOIN f b USING (grid_id, i, j) WHERE a.side = -1 AND b.side = 1""")
 def opposite_by_gradient(spark, d):
     return rounded(S.opposite_by_gradient(labelled_patch(spark, d), PATCH, 0))
 
@@ -410,10 +433,22 @@ def side_values_01(spark, d):
     return labelled_patch(spark, d).filter("kind = 1").select(*KEY, lv["down"].alias("value_down"), lv["up"].alias("value_up"))
 
 
+# planes: the average over a cell is the value at its centre
+OPPOSITE_SQL = SQL["opposite_by_window"].split("SELECT a.grid_id, a.i, a.j, CASE")[0]
+SIDE_SQL = OPPOSITE_SQL + """, opp AS (SELECT a.grid_id, a.i, a.j,
+  CASE WHEN b.dj < a.dj THEN b.di ELSE a.di END AS ddi, CASE WHEN b.dj < a.dj THEN b.dj ELSE a.dj END AS ddj,
+  CASE WHEN b.dj < a.dj THEN a.di ELSE b.di END AS udi, CASE WHEN b.dj < a.dj THEN a.dj ELSE b.dj END AS udj
+  FROM lo a JOIN hi b USING (grid_id, i, j) WHERE a.rn = 1 AND b.rn = 1),
+{plane_windows}, plane AS MATERIALIZED (SELECT grid_id, i, j, avg(u) AS c0, sum(u * di) / 6 AS cx, sum(u * dj) / 6 AS cy FROM pw GROUP BY 1, 2, 3)
+SELECT o.grid_id, o.i, o.j, round(d.c0 - {here} * (d.cx * ddi + d.cy * ddj), 6) + 0.0 AS value_down,
+  round(e.c0 - {here} * (e.cx * udi + e.cy * udj), 6) + 0.0 AS value_up FROM opp o
+JOIN plane d ON d.grid_id = o.grid_id AND d.i = (o.i + ddi + 8) % 8 AND d.j = (o.j + ddj + 8) % 8
+JOIN plane e ON e.grid_id = o.grid_id AND e.i = (o.i + udi + 8) % 8 AND e.j = (o.j + udj + 8) % 8"""
+
+
 for how in ("eval_here", "avg_here", "eval_there", "avg_there"):
-    @query(f"side_values_{how}")
+    @query(f"side_values_{how}", SIDE_SQL.format(plane_windows=window_sql(3, "lab", False, "pw"), here=int(how.endswith("_here"))))
     def sides(spark, d, how=how):
-        from cellweave.operators.surfaces import surface_fits
         c = labelled_patch(spark, d)
         fits = surface_fits(c, PATCH, "poly", 3, degree=1)
         return rounded(S.side_values(S.opposite_by_window(c, PATCH, 0), fits, PATCH, how))
