@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cellweave.llm.common import table
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.mixing import mix
+from cellweave.llm.near_dedup import near_dedup
 from cellweave.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +43,8 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM n WINDOW g AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
