@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cellweave.llm.common import table
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.mixing import mix
 from cellweave.llm.near_dedup import near_dedup
+from cellweave.llm.packing import pack
 from cellweave.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +50,8 @@ FROM n WINDOW g AS (PARTITION BY text_sha256)
 @query
 def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
