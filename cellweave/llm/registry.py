@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cellweave.llm.brown import brown_scores
 from cellweave.llm.common import table
 from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.mixing import mix
@@ -61,3 +62,8 @@ def op1_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_scores(table(spark, sf_dir, "documents"))
