@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cellweave.llm.brown import brown_scores
 from cellweave.llm.common import table
@@ -13,6 +14,7 @@ from cellweave.llm.exact_dedup import exact_dedup
 from cellweave.llm.mixing import mix
 from cellweave.llm.near_dedup import near_dedup
 from cellweave.llm.packing import pack
+from cellweave.llm.postings import nearest_neighbours
 from cellweave.llm.sharding import shard_documents
 from cellweave.llm.toxicity import toxicity
 
@@ -67,3 +69,8 @@ def op8_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
