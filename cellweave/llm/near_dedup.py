@@ -11,8 +11,10 @@ registers, and two sets agree in a register with a probability near their Jaccar
 3. Every bucket member is paired with the bucket's smallest id only, so that a bucket of n gives n - 1 pairs.
 4. Pairs are filtered by the joint likelihood of both sketches: those whose likelihood at the threshold is e^-18
    of the largest are far below it.  The others are verified on their full sets.
-5. Links found so far are joined to components.  In buckets that still hold several components, all pairs across
-   components are filtered and verified too, so that no link of a bucket is missed.
+5. Links found so far are joined to components.  Documents of buckets that still hold several components are then
+   compared across components, in a way that loses no link and yet does not emit a bucket's pairs: two sets of
+   similarity t share one of the rarest (1 - t) of their shingles, under any fixed order of shingles, so documents
+   meet on those alone.  The order takes the shingles that are common among a sample of these documents last.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ LATEST = 20.0
 THRESHOLD = 0.75
 #: Log likelihood, against its maximum, below which a similarity of THRESHOLD is ruled out.
 RULED_OUT = -18.0
+#: Sample from which the order of shingles is taken, in documents, and how many common shingles it keeps; both only
+#: bear on speed, since any order finds all links.
+ORDER_DOCS, ORDER_SHINGLES = 10_000, 200_000
 
 
 def registers(sets: list[np.ndarray], m: int = M) -> np.ndarray:
@@ -99,6 +104,20 @@ def _set_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 ["doc_id", "shingles"])
 
 
+def _rarest_batches(batches: Iterator[pa.RecordBatch], length: int, common: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The shingles of each set that a set of similarity THRESHOLD must share one of."""
+    memo = WordHashes()
+    for batch in batches:
+        out = []
+        for text in batch.column(1).to_pylist():
+            s = shingle_set(word_hashes(text, memo), length).view(np.int64)
+            at = np.minimum(np.searchsorted(common, s), max(len(common) - 1, 0))
+            count = np.where(common[at] == s, counts[at], 0) if len(common) else np.zeros(len(s), np.int64)
+            needed = -(-75 * len(s) // 100)
+            out.append(s[np.lexsort((s, count))[:len(s) - needed + 1]] if len(s) else s)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "rarest"])
+
+
 def log_likelihood(similarity: np.ndarray, more: np.ndarray, less: np.ndarray, equal: np.ndarray, share: np.ndarray) -> np.ndarray:
     """Of a Jaccard similarity, given how many registers of the first set are larger, smaller and equal.
 
@@ -182,11 +201,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = (members.join(labels, "doc_id", "left")
                 .select("key", "leader", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    mixed = cut(labelled.join(mixed.select("key"), "key").join(sizes, "doc_id"), "mixed")
-    one = mixed.select("key", "leader", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    two = mixed.select("key", F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    across = one.join(two, (one["key"] == two["key"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                      & (F.col("a") != F.col("leader")) & _alike(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+    open_ = cut(labelled.join(mixed.select("key"), "key").select("doc_id", "component").distinct().join(sizes, "doc_id"), "open")
+    share = min(1.0, ORDER_DOCS / max(1, open_.count()))
+    drawn = open_.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("doc_id")
+    seen = (texts.join(drawn, "doc_id", "left_semi").mapInArrow(partial(_set_batches, length=length), "doc_id long, shingles array<long>")
+            .select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().filter("count > 1")
+            .orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas().sort_values("shingle"))
+    rarest = partial(_rarest_batches, length=length, common=seen["shingle"].to_numpy(np.int64), counts=seen["count"].to_numpy(np.int64))
+    tokens = (texts.join(open_.select("doc_id"), "doc_id", "left_semi").mapInArrow(rarest, "doc_id long, rarest array<long>")
+              .join(open_, "doc_id").select("doc_id", "component", "n", F.explode("rarest").alias("token")))
+    one = tokens.select("token", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
+    two = tokens.select(F.col("token").alias("same"), F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
+    across = one.join(two, (F.col("token") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+                      & _alike(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
     more = _verified(across, sketches.dropDuplicates(["doc_id"]), texts, length)
     stars = grouped.filter("id > component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionByName(more))
