@@ -11,10 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,35 +43,57 @@ class Encoder:
     Byte-level BPE never merges across its pre-tokenizer's pieces, so a text's ids are those of its pieces in a row.
     """
 
-    def __init__(self, tokenizer_json: str, bound: int = 400_000):
+    def __init__(self, tokenizer_json: str, bound: int = 800_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.known: dict[str, bytes] = {}
         self.bound = bound
         self.foreign, self.pieces = re.compile(FOREIGN), re.compile(PIECES)
+        # fixed rule of byte-level BPE: printable bytes stand for themselves, the others for the signs from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - plain))}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    @staticmethod
+    def of_process(tokenizer_json: str) -> Encoder:
+        """The encoder that this Python worker keeps from task to task."""
+        kept = sys.modules.setdefault("_llm_encoders", types.ModuleType("_llm_encoders"))
+        name = f"e{zlib.crc32(tokenizer_json.encode())}_{len(tokenizer_json)}"
+        if not hasattr(kept, name):
+            setattr(kept, name, Encoder(tokenizer_json))
+        return getattr(kept, name)
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if self.foreign.search(text) or any(s in text for s in self.special):
-                yield self._encode([text])[0]
-                continue
-            words = self.pieces.findall(text)
-            new = [w for w in set(words) if w not in self.known]
-            if new:
-                if len(self.known) > self.bound:
-                    self.known.clear()
-                    new = list(set(words))
-                self.known.update(zip(new, self._encode(new)))
-            yield b"".join(map(self.known.__getitem__, words))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_word(self, word: str) -> bytes:
+        """A single piece straight through the BPE model, in the alphabet that byte-level tokenizers give to bytes."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        return not self.foreign.search(text) and not any(s in text for s in self.special)
+
+    def __call__(self, texts: list[str], block: int = 2_000_000) -> Iterator[bytes]:
+        start = 0
+        while start < len(texts):
+            end, held = start, 0
+            while end < len(texts) and (held < block or end == start):
+                held += len(texts[end])
+                end += 1
+            words = [self.pieces.findall(t) if self._plain(t) else None for t in texts[start:end]]
+            if len(self.known) > self.bound:
+                self.known.clear()
+            new = list(set(chain.from_iterable(w for w in words if w)).difference(self.known))
+            self.known.update(zip(new, map(self._encode_word, new)))
+            get = self.known.__getitem__
+            for text, own in zip(texts[start:end], words):
+                yield self._encode([text])[0] if own is None else b"".join(map(get, own))
+            start = end
 
 
 def _piece_batches(batches: Iterator[pa.RecordBatch], tokenizer_json: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    encode, end = Encoder(tokenizer_json), np.array([end_id], "<u4").tobytes()
+    encode, end = Encoder.of_process(tokenizer_json), np.array([end_id], "<u4").tobytes()
     for batch in batches:
         ids = batch.column(1).to_pylist()
         out: list[list] = [[], [], [], [], [], []]
