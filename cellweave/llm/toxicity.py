@@ -30,7 +30,7 @@ DISCOUNT = 2.5
 SHARED_DISCOUNT = 0.75
 STRETCHES = (1, 8)
 #: Bounds of the labelled sample that the classifier is fitted on, by class; chosen by a hash of the id.
-SAMPLE = {0: 20_000, 1: 10_000}
+SAMPLE = {0: 8_000, 1: 4_000}
 LETTERS = r"[^\W\d_]+"
 
 
