@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellweave.llm.brown import brown_scores
 from cellweave.llm.common import table
 from cellweave.llm.exact_dedup import exact_dedup
+from cellweave.llm.html_text import extract_text
 from cellweave.llm.mixing import mix
 from cellweave.llm.near_dedup import near_dedup
 from cellweave.llm.packing import pack
@@ -74,3 +75,8 @@ def op5_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
