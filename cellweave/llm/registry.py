@@ -15,6 +15,7 @@ from cellweave.llm.html_text import extract_text
 from cellweave.llm.mixing import mix
 from cellweave.llm.near_dedup import near_dedup
 from cellweave.llm.packing import pack
+from cellweave.llm.pii import personal_data
 from cellweave.llm.postings import nearest_neighbours
 from cellweave.llm.sharding import shard_documents
 from cellweave.llm.toxicity import toxicity
@@ -80,3 +81,8 @@ def op7_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_template_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
