@@ -45,12 +45,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row") == F.col("first.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs (all columns) that stay."""
-    kept = exact_dedup(docs, **options).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest")).distinct()
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    marked = docs.withColumn("_own", F.unhex(F.sha2(F.encode(normalised(text_col), "UTF-8"), 256)))
-    found = marked.join(kept, marked[id_col].eqNullSafe(kept["_id"]) & (marked["_own"] == kept["_digest"]), "left_semi")
-    one = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy("_own"))
-    return found.withColumn("_nth", one).filter("_nth = 1").select(*docs.columns)
+    kept = exact_dedup(docs, id_col, text_col, **options).filter("kept").select(
+        F.col("doc_id").alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    own = F.unhex(F.sha2(F.encode(normalised(text_col), "UTF-8"), 256))
+    marked = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("own_id"), own.alias("own"))
+    found = marked.join(kept, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("digest")), "left_semi")
+    one = F.row_number().over(Window.partitionBy("own_id", "own").orderBy("own"))
+    return found.withColumn("nth", one).filter("nth = 1").select("doc.*")

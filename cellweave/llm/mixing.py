@@ -104,18 +104,21 @@ def min_cost_flow(capacity: dict[tuple, float], quotas: dict[str | None, float],
         met[end] += amount
 
 
-def select_documents(sized: DataFrame, wanted: DataFrame, passes: int, rows_per_bucket: int = 50_000) -> DataFrame:
-    """Adds `extra` (0 or 1) to sized(row, pattern, size, draw): documents of one more round, near wanted(pattern, words).
+def select_documents(sized: DataFrame, wanted: DataFrame, passes: tuple[int, ...], repeats: int,
+                     rows_per_bucket: int = 50_000) -> DataFrame:
+    """Adds `extra` to sized(row, pattern, size, draw): further uses that come near wanted(pattern, words, rounds).
 
     Documents stand in the order of their seeded draw.  Those are chosen whose sizes add up to at most the wanted
-    words; further passes do the same with what is left and still fits; last comes the document, if any, that
-    brings the sum nearest.  Sums run over ranges of draws, and over documents only in the range where a limit falls.
+    words; each further pass, numbered by the extra uses its documents already have, does the same with what is left
+    and still fits; last comes the use, if any, that brings the sum nearest.  None exceeds `repeats` uses.  Sums run
+    over ranges of draws, and over documents only in the range where a limit falls.
     """
     bits = max(0, (max(1, sized.count() // rows_per_bucket) - 1).bit_length())
     state = sized.withColumn("bucket", F.shiftrightunsigned(F.col("draw"), 63 - bits)).withColumn("extra", F.lit(0))
     left = wanted
-    for _ in range(passes):
-        free = state.join(left, "pattern").filter("extra = 0 AND size > 0 AND size <= words")
+    for level in passes:
+        fits = (F.col("extra") == level) & (F.col("rounds") + F.col("extra") < repeats) & (F.col("size") > 0) & (F.col("size") <= F.col("words"))
+        free = state.join(left, "pattern").filter(fits)
         sums = free.groupBy("pattern", "bucket").agg(F.sum("size").alias("mass"), F.max("words").alias("words"))
         upto = F.sum("mass").over(Window.partitionBy("pattern").orderBy("bucket"))
         edge = (sums.withColumn("before", upto - F.col("mass"))
@@ -124,27 +127,27 @@ def select_documents(sized: DataFrame, wanted: DataFrame, passes: int, rows_per_
         last = (free.join(edge, "pattern").filter("bucket = edge")
                 .withColumn("upto", F.col("before") + F.sum("size").over(rows)).filter("upto <= words")
                 .groupBy("pattern").agg(F.max(F.struct("draw", "row")).alias("last")))
-        limits = left.join(edge, "pattern", "left").join(last, "pattern", "left").select("pattern", "words", "edge", "last")
-        fits = (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("words"))
+        limits = left.join(edge, "pattern", "left").join(last, "pattern", "left").select("pattern", "words", "rounds", "edge", "last")
         inside = F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | (
             (F.col("bucket") == F.col("edge")) & (F.struct("draw", "row") <= F.col("last")))
         state = _choose(state, limits, fits & inside)
         got = state.groupBy("pattern").agg(F.sum(F.col("size") * F.col("extra")).alias("got"))
-        left = cut(wanted.join(got, "pattern").select("pattern", (F.col("words") - F.col("got")).alias("words")), "left")
-    nearest = (state.join(left, "pattern").filter("extra = 0 AND size > 0 AND size < 2 * words").groupBy("pattern")
-               .agg(F.min(F.struct(F.abs(F.col("size") - F.col("words")).alias("gap"), "draw", "row")).alias("best")))
+        left = cut(wanted.join(got, "pattern").select("pattern", (F.col("words") - F.col("got")).alias("words"), "rounds"), "left")
+    gap = F.abs(F.col("size") - F.col("words"))
+    nearest = (state.join(left, "pattern").filter(F.col("rounds") + F.col("extra") < repeats).filter("size > 0 AND size < 2 * words")
+               .groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "extra", "draw", "row")).alias("best")))
     best = nearest.select("pattern", F.col("best.row").alias("best_row"))
     return _choose(state, best, F.col("row") == F.col("best_row")).drop("bucket")
 
 
 def _choose(state: DataFrame, limits: DataFrame, chosen: Column) -> DataFrame:
-    extra = F.when(F.coalesce(chosen, F.lit(False)), F.lit(1)).otherwise(F.col("extra"))
+    extra = F.col("extra") + F.when(F.coalesce(chosen, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     return cut(state.join(limits, "pattern", "left").withColumn("extra", extra).select(*state.columns), "choice")
 
 
 def mix(docs: DataFrame, members: Column | None = None, weights: dict[str | None, float] | None = None,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: int = 3, seed: int = 1,
-        passes: int = 4) -> DataFrame:
+        passes: tuple[int, ...] = (0, 0, 0, 1, 1)) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken, uses.
 
     `members` is an array of the sources a document belongs to (default: its one source; null is a source too).
@@ -170,7 +173,7 @@ def mix(docs: DataFrame, members: Column | None = None, weights: dict[str | None
         order = sorted(sizes, key=lambda s: (s is None, s or ""))
         weights = {s: float(i % 3 + 1) for i, s in enumerate(order)}
     share = {s: sum(patterns[p] / len(own) for p, own in owners.items() if s in own) for s in sizes}
-    if len(owners) == len(sizes):  # no overlap: whole numbers stay whole
+    if all(len(own) == 1 for own in owners.values()):  # no overlap: whole numbers stay whole
         share = dict(sizes)
     goal = targets(share, weights, repeats)
     flow = min_cost_flow({owners[p]: float(n) for p, n in patterns.items()}, goal, repeats)
@@ -181,21 +184,19 @@ def mix(docs: DataFrame, members: Column | None = None, weights: dict[str | None
         plan.append((p, rounds, rest, sum(sizes[s] for s in own), float(sum(goal[s] for s in own))))
     spark = docs.sparkSession
     plan = spark.createDataFrame(plan, "pattern string, rounds int, words double, source_size long, target double")
-    chosen = select_documents(rows.select("row", "pattern", "size", "draw"), plan.select("pattern", "words"), passes)
+    chosen = select_documents(rows.select("row", "pattern", "size", "draw"), plan.select("pattern", "words", "rounds"), passes, repeats)
     uses = chosen.select("row", "extra").join(rows.select("row", "doc_id", "source", "pattern", "size"), "row").join(plan, "pattern")
     uses = uses.withColumn("uses", F.when(F.col("size") > 0, F.col("rounds") + F.col("extra")).otherwise(0))
     return uses.select("doc_id", "source", "size", "source_size", "target",
                        (F.col("size") * F.col("uses")).cast("long").alias("taken"), F.col("uses").cast("int").alias("uses"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of the mix: all columns of docs, each row as often as the mix uses it."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    used = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "uses")
-    nth = F.row_number().over(Window.partitionBy("_id", "_size").orderBy(F.desc("uses")))
-    used = used.withColumn("_nth", nth).filter("uses > 0")
-    own = docs.withColumn("_own_size", word_count(text_col))
-    own = own.withColumn("_own_nth", F.row_number().over(Window.partitionBy(id_col, "_own_size").orderBy(F.lit(0))))
-    found = own.join(used, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_size") == F.col("_size"))
-                     & (F.col("_own_nth") == F.col("_nth")))
-    return found.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("uses")))).select(*docs.columns)
+    used = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("id"), "size", "uses")
+    nth = F.row_number().over(Window.partitionBy("id", "size").orderBy(F.desc("uses")))
+    used = used.withColumn("nth", nth).filter("uses > 0")
+    own = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("own_id"), word_count(text_col).alias("own_size"))
+    own = own.withColumn("own_nth", F.row_number().over(Window.partitionBy("own_id", "own_size").orderBy(F.lit(0))))
+    found = own.join(used, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_size") == F.col("size")) & (F.col("own_nth") == F.col("nth")))
+    return found.select("doc", F.explode(F.sequence(F.lit(1), F.col("uses")))).select("doc.*")

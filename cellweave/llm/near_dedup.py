@@ -226,10 +226,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
-def keep_representatives(docs: DataFrame, **options) -> DataFrame:
+def keep_representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs (all columns) that stay: one document of each group, one row of each document."""
-    id_col = options.get("id_col", "doc_id")
-    kept = near_dedup(docs, **options).filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    found = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy(id_col).orderBy(F.lit(0)))
-    return found.withColumn("_nth", nth).filter(F.col(id_col).isNull() | (F.col("_nth") == 1)).select(*docs.columns)
+    kept = near_dedup(docs, id_col, **options).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    named = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("own_id"))
+    found = named.join(kept, F.col("own_id").eqNullSafe(F.col("id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("own_id").orderBy(F.lit(0)))
+    return found.withColumn("nth", nth).filter("own_id IS NULL OR nth = 1").select("doc.*")

@@ -168,8 +168,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs (all columns) that are not predicted toxic; ids that are null are kept."""
-    id_col = options.get("id_col", "doc_id")
-    bad = toxicity(docs, labels, **options).filter("predicted = 1").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("_id"), "left_anti")
+    bad = toxicity(docs, labels, id_col=id_col, **options).filter("predicted = 1").select(F.col("doc_id").alias("id")).distinct()
+    named = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("own_id"))
+    return named.join(bad, F.col("own_id") == F.col("id"), "left_anti").select("doc.*")
