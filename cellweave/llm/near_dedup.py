@@ -14,7 +14,7 @@ registers, and two sets agree in a register with a probability near their Jaccar
 5. Links found so far are joined to components.  Documents of buckets that still hold several components are then
    compared across components, in a way that loses no link and yet does not emit a bucket's pairs: two sets of
    similarity t share one of the rarest (1 - t) of their shingles, under any fixed order of shingles, so documents
-   meet on those alone.  The order takes the shingles that are common among a sample of these documents last.
+   meet on those alone, and only if the shingles behind their first common one suffice.  The order takes the shingles that are common among a sample of these documents last.
 """
 
 from __future__ import annotations
@@ -209,11 +209,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             .orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas().sort_values("shingle"))
     rarest = partial(_rarest_batches, length=length, common=seen["shingle"].to_numpy(np.int64), counts=seen["count"].to_numpy(np.int64))
     tokens = (texts.join(open_.select("doc_id"), "doc_id", "left_semi").mapInArrow(rarest, "doc_id long, rarest array<long>")
-              .join(open_, "doc_id").select("doc_id", "component", "n", F.explode("rarest").alias("token")))
-    one = tokens.select("token", F.col("doc_id").alias("a"), F.col("component").alias("c_a"), F.col("n").alias("n_a"))
-    two = tokens.select(F.col("token").alias("same"), F.col("doc_id").alias("b"), F.col("component").alias("c_b"), F.col("n").alias("n_b"))
-    across = one.join(two, (F.col("token") == F.col("same")) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
-                      & _alike(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
+              .join(open_, "doc_id").select("doc_id", "component", "n", F.posexplode("rarest").alias("place", "token")))
+    one = tokens.select("token", *[F.col(c).alias(f"{c}_a") for c in ("doc_id", "component", "n", "place")])
+    two = tokens.select(F.col("token").alias("same"), *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "component", "n", "place")])
+    # what lies behind the first common shingle bounds the intersection, which must reach 75/175 of both sizes together
+    bound = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) * 175 >= (F.col("n_a") + F.col("n_b")) * 75
+    across = (one.join(two, (F.col("token") == F.col("same")) & (F.col("doc_id_a") < F.col("doc_id_b"))
+                       & (F.col("component_a") != F.col("component_b")) & _alike(F.col("n_a"), F.col("n_b")) & bound)
+              .select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct())
     more = _verified(across, sketches.dropDuplicates(["doc_id"]), texts, length)
     stars = grouped.filter("id > component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionByName(more))
