@@ -113,6 +113,35 @@ def _feature_batches(batches: Iterator[pa.RecordBatch], gains: np.ndarray) -> It
                                          [*batch.schema.names[1:], "features"])
 
 
+class Classifier:
+    """Gains of words and the curve over features; without a curve, one score for all texts."""
+
+    def __init__(self, gains: np.ndarray | None, curve: np.ndarray | None, share: float):
+        self.gains, self.curve, self.share = gains, curve, share
+
+    def scores(self, texts: list[str | None], letters: re.Pattern, memo: _Buckets) -> np.ndarray:
+        if self.curve is None:
+            return np.full(len(texts), self.share)
+        x = np.array([_features(self.gains[_words(t, letters, memo)]) for t in texts]).reshape(len(texts), len(self.curve) - 1)
+        return 1.0 / (1.0 + np.exp(-np.clip(x @ self.curve[:-1] + self.curve[-1], -700, 700)))
+
+
+def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iterator[pa.RecordBatch]:
+    """Replaces the last column, the text, by its score."""
+    letters, memo = re.compile(LETTERS), _Buckets()
+    for batch in batches:
+        scores = model.scores(batch.columns[-1].to_pylist(), letters, memo)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
+
+
+def _kept_batches(batches: Iterator[pa.RecordBatch], model: Classifier, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column, the text, scores below the threshold, without that column."""
+    letters, memo = re.compile(LETTERS), _Buckets()
+    for batch in batches:
+        keep = pa.array(model.scores(batch.columns[-1].to_pylist(), letters, memo) < threshold, pa.bool_())
+        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Newton steps on standardised columns; returns weights for raw columns and the constant last."""
     mean, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
@@ -128,48 +157,51 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
     return np.append(raw, w[-1] - raw @ mean)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, id_col: str = "doc_id",
-             text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (score >= threshold).
+def fit_classifier(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+    """Learns labels(doc_id, toxic) of docs only from rows whose crc32 of the id as text modulo 4 is not 2.
 
-    labels(doc_id, toxic) are learned only from rows whose crc32 of the id as text modulo 4 is not 2: remainders 0
-    and 1 train the models, 3 fits the curve, at most about SAMPLE rows of each class.  Texts come from training_docs
-    (default: docs).  Null and empty texts have neutral features; labels that are null or neither 0 nor 1, and ids
-    that are null, teach nothing.  Without labels of both classes every score is the toxic share of those there are.
+    Remainders 0 and 1 train the models, 3 fits the curve, at most about SAMPLE rows of each class, which is the bound
+    of what is broadcast.  Labels that are null or neither 0 nor 1 teach nothing.
     """
-    fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
-    source = training_docs if training_docs is not None else docs
     known = (labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
              .withColumn("fold", F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))).filter("fold <> 2"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    if len(sizes) < 2:
+        return Classifier(None, None, share)
     keep = F.lit(False)
     for k, bound in SAMPLE.items():
-        share = min(1.0, bound / max(1, sizes.get(k, 0)))
-        keep = keep | ((F.col("toxic") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000))
-    chosen = known.filter(keep).withColumnRenamed("doc_id", "_id")
-    taught = source.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).cast("string").alias("text")).join(
-        chosen, F.col("_own") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"), "fold")
-    taught = cut(taught, "taught")
-    facts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), (fold == 2).alias("held_out"))
-    curve = None
-    if len(sizes) == 2:
-        pairs = taught.filter("fold < 2").select("text", "toxic").mapInArrow(_pair_batches, "before long, word long, toxic int")
-        shape = partial(_feature_batches, gains=fit_models(pairs))
-        fitted = (taught.filter("fold = 3").select("text", "toxic").mapInArrow(shape, "toxic int, features array<double>").toPandas())
-        if fitted.toxic.nunique() == 2:
-            curve = fit_logistic(np.array(fitted.features.tolist()), fitted.toxic.to_numpy(float))
-    if curve is None:
-        share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        scored = facts.select("doc_id", "held_out", F.lit(float(share)).alias("score"))
-    else:
-        seen = facts.mapInArrow(shape, "doc_id long, held_out boolean, features array<double>")
-        total = sum((F.col("features")[i] * F.lit(float(w)) for i, w in enumerate(curve[:-1])), F.lit(float(curve[-1])))
-        scored = seen.select("doc_id", "held_out", (F.lit(1.0) / (F.lit(1.0) + F.exp(-total))).alias("score"))
+        part = min(1.0, bound / max(1, sizes.get(k, 0)))
+        keep = keep | ((F.col("toxic") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < part * 1_000_000))
+    chosen = F.broadcast(known.filter(keep).withColumnRenamed("doc_id", "_id"))
+    taught = cut(docs.select(F.col(id_col).cast("long").alias("_own"), F.col(text_col).cast("string").alias("text")).join(
+        chosen, F.col("_own") == F.col("_id")).select("text", F.col("toxic").cast("int").alias("toxic"), "fold"), "taught")
+    gains = fit_models(taught.filter("fold < 2").select("text", "toxic").mapInArrow(_pair_batches, "before long, word long, toxic int"))
+    fitted = (taught.filter("fold = 3").select("text", "toxic")
+              .mapInArrow(partial(_feature_batches, gains=gains), "toxic int, features array<double>").toPandas())
+    if fitted.toxic.nunique() < 2:
+        return Classifier(None, None, share)
+    return Classifier(gains, fit_logistic(np.array(fitted.features.tolist()), fitted.toxic.to_numpy(float)), share)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None, id_col: str = "doc_id",
+             text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (score >= threshold).
+
+    The classifier is fitted on training_docs (default: docs).  Null and empty texts have neutral features; null ids
+    are scored and not held out.  Without labels of both classes every score is the toxic share of those there are.
+    Repeated rows are scored each; an empty table gives an empty result.
+    """
+    model = fit_classifier(docs if training_docs is None else training_docs, labels, id_col, text_col)
+    fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
+    facts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == 2, F.lit(False)).alias("held_out"),
+                        F.col(text_col).cast("string").alias("text"))
+    scored = facts.mapInArrow(partial(_score_batches, model=model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs (all columns) that are not predicted toxic; ids that are null are kept."""
-    bad = toxicity(docs, labels, id_col=id_col, **options).filter("predicted = 1").select(F.col("doc_id").alias("id")).distinct()
-    named = docs.select(F.struct("*").alias("doc"), F.col(id_col).cast("long").alias("own_id"))
-    return named.join(bad, F.col("own_id") == F.col("id"), "left_anti").select("doc.*")
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs (all columns) that are not predicted toxic; nothing is shuffled for it."""
+    model = fit_classifier(docs, labels, id_col, text_col)
+    beside = docs.select("*", F.col(text_col).cast("string").alias("__scored_text"))
+    return beside.mapInArrow(partial(_kept_batches, model=model, threshold=threshold), docs.schema)
