@@ -230,7 +230,7 @@ def area_below(family: str, p: Column, t0, t1, s0, h) -> Column:
     raise ValueError(f"no area for family {family!r}")
 
 
-def rectangle_integral(family: str, m, x0, x1, y0, y1, degree: int = 2) -> Column:
+def rectangle_integral(family: str, m, x0, x1, y0, y1) -> Column:
     """Integral of a model over [x0, x1] x [y0, y1].
 
     x and y are measured along i and j from the centre of the model's cell; `m`
@@ -243,7 +243,7 @@ def rectangle_integral(family: str, m, x0, x1, y0, y1, degree: int = 2) -> Colum
         return p[0] * (x1 - x0) * (y1 - y0)
     if family == "poly":
         return F.when(F.size(p) == 1, p[0] * (x1 - x0) * (y1 - y0)).otherwise(
-            poly_area_any(p, x0, x1, y0, y1, degree))
+            poly_area_any(p, x0, x1, y0, y1))
     first = m["axis"] == 0
     t0, t1 = F.when(first, x0).otherwise(y0), F.when(first, x1).otherwise(y1)
     s0 = F.when(first, y0).otherwise(x0) + 0.5
@@ -253,21 +253,41 @@ def rectangle_integral(family: str, m, x0, x1, y0, y1, degree: int = 2) -> Colum
     return m["value_up"] * whole + (m["value_down"] - m["value_up"]) * below
 
 
-def poly_area_any(p: Column, x0, x1, y0, y1, degree: int) -> Column:
-    """Tensor polynomial integral with the order read off the array's length."""
-    out = F.lit(None).cast("double")
-    for n in range(degree + 1, 1, -1):
+def poly_area_any(p: Column, x0, x1, y0, y1) -> Column:
+    """Tensor polynomial integral with the order read off the array's length; any order.
+
+    Up to degree 2 the terms are written out; above, they are summed over the array.
+    """
+    x0, x1, y0, y1 = map(lit, (x0, x1, y0, y1))
+
+    def term(k, n):
+        a, b = F.floor(k / n) + 1, k % n + 1
+        return F.get(p, k) * (F.pow(x1, a) - F.pow(x0, a)) / a * (F.pow(y1, b) - F.pow(y0, b)) / b
+
+    out = _sum_over(p, term)
+    for n in (3, 2):
         out = F.when(F.size(p) == n * n, poly2d_area(p, n, x0, x1, y0, y1)).otherwise(out)
     return out
 
 
+def _sum_over(p: Column, term) -> Column:
+    """Sum of term(k, order) over the coefficients of a tensor polynomial."""
+    n = F.round(F.sqrt(F.size(p))).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), F.size(p) - 1), F.lit(0.0), lambda acc, k: acc + term(k, n))
+
+
+def _no_model(family: Column) -> Column:
+    """NULL where there is no family; an error where it is none of those listed."""
+    return F.when(family.isNotNull(), F.raise_error(F.concat(F.lit("family not listed: "), family)).cast("double"))
+
+
 def model_integral(families, m, x0, x1, y0, y1) -> Column:
-    """rectangle_integral for a column that mixes several families."""
+    """rectangle_integral for a column that mixes several families; one that is not listed is an error."""
     out = None
     for f in families:
         e = rectangle_integral(f, m, x0, x1, y0, y1)
         out = F.when(m["family"] == f, e) if out is None else out.when(m["family"] == f, e)
-    return out
+    return out.otherwise(_no_model(m["family"]))
 
 
 def curve_height(family: str, p: Column, t: Column) -> Column:
@@ -319,14 +339,15 @@ def model_eval(families, m: Column, x: Column, y: Column) -> Column:
         else:
             e = curve_eval(f, m, t, s)
         out = F.when(m["family"] == f, e) if out is None else out.when(m["family"] == f, e)
-    return out
+    return out.otherwise(_no_model(m["family"]))
 
 
-def poly_eval_any(p: Column, x: Column, y: Column, degree: int = 2) -> Column:
-    out = p[0]
-    for n in range(2, degree + 2):
+def poly_eval_any(p: Column, x: Column, y: Column) -> Column:
+    """Value of a tensor polynomial of any order, read off the array's length."""
+    out = _sum_over(p, lambda k, n: F.get(p, k) * F.pow(x, F.floor(k / n)) * F.pow(y, k % n))
+    for n in (3, 2):
         out = F.when(F.size(p) == n * n, poly2d_eval(p, n, x, y)).otherwise(out)
-    return out
+    return F.when(F.size(p) == 1, p[0]).otherwise(out)
 
 
 # ---------------------------------------------------------------- curve algebra

@@ -71,7 +71,7 @@ def _follow(ends: DataFrame, look: DataFrame, shape, radius: int, max_rounds: in
         hops = hops.withColumn("to", to.cast(spot)).filter(~F.array_contains("seen", F.col("to")))
         nxt = _hop(hops, F.col("to.di"), F.col("to.dj")).join(look, ["grid_id", "ti", "tj"])
         # one row per newly reached cell; what was reached by this round is seen in the next
-        reach = nxt.groupBy(*KEY, "b", "to").agg(F.min("r").alias("r"), *[F.first(c).alias(c) for c in (
+        reach = nxt.groupBy(*KEY, "b", "to").agg(F.min("r").alias("r"), *[F.min(c).alias(c) for c in (
             "ni", "nj", "mode_i", "mode_j", "m", "seen")])
         st = reach.select(*KEY, "ni", "nj", "mode_i", "mode_j", "b", F.col("to").alias("at"), "m", "r",
                           F.concat("seen", F.array("to")).alias("seen"))

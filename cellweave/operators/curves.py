@@ -222,12 +222,10 @@ def circle_taylor(ks: int = 5, ccew: float = 0.0, natural: bool = True) -> Curve
         c, b, a = apply_matrix(m, s, -(ks // 2))
 
         def arc(p):
+            # the centre of curvature lies on the normal, 1 + b^2 over 2a above the curve
             c, b, a = p[0], p[1], p[2]
-            r = F.abs(F.pow(1 + b * b, 1.5) / (2 * a))
-            dx = r / F.sqrt(1 + b * b)
-            dy = F.sqrt(F.greatest(r * r - dx * dx, F.lit(0.0)))
-            bend = F.signum(a)
-            return F.when(F.abs(a) > 1e-9, F.array(-F.signum(b) * bend * dy, c + bend * dx, r, -bend))
+            above = (1 + b * b) / (2 * a)
+            return F.when(F.abs(a) > 1e-9, F.array(-b * above, c + above, F.abs(above) * F.sqrt(1 + b * b), -F.signum(a)))
 
         coefs = F.array(c, b, a)
         if natural:

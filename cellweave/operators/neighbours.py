@@ -120,8 +120,10 @@ def same_region_stencil(cells: DataFrame, shape: GridShape | DataFrame, m: int =
     c = with_shape(cells.select(*KEY, "u", label), shape)
     start = c if origins is None else c.join(origins.select(*KEY), KEY, "left_semi")
     me = F.struct("i", "j", "u")
+    zero = F.lit(0)
+    front = F.struct("i", "j", "u", zero.alias("a"), zero.alias("b"))  # a, b: steps from the origin, not wrapped
     state = start.select(*KEY, "ni", "nj", "mode_i", "mode_j", F.col(label).alias("_l"),
-                         F.array(me).alias("members"), F.array(me).alias("_front"))
+                         F.array(me).alias("members"), F.array(front).alias("_front"))
     finished = None
     while True:
         done = (F.size("members") >= m) | (F.size("_front") == 0)
@@ -134,14 +136,22 @@ def same_region_stencil(cells: DataFrame, shape: GridShape | DataFrame, m: int =
         ti = map_index(F.col("_f.i") + F.col("_o.di"), F.col("ni"), F.col("mode_i"))
         tj = map_index(F.col("_f.j") + F.col("_o.dj"), F.col("nj"), F.col("mode_j"))
         hops = hops.withColumns({"ti": ti, "tj": tj})
+        a, b = F.col("_f.a") + F.col("_o.di"), F.col("_f.b") + F.col("_o.dj")
         found = gather(hops, cells, ["u", label]).filter(F.col(f"t_{label}") == F.col("_l")).select(
-            *KEY, F.struct((F.pow(F.col("ti") - F.col("i"), 2) + F.pow(F.col("tj") - F.col("j"), 2)).alias("d"),
-                           F.col("ti").alias("i"), F.col("tj").alias("j"), F.col("t_u").alias("u")).alias("n"))
+            *KEY, F.struct((F.pow(a, 2) + F.pow(b, 2)).alias("d"), F.col("ti").alias("i"), F.col("tj").alias("j"),
+                           F.col("t_u").alias("u"), a.alias("a"), b.alias("b")).alias("n"))
         new = found.groupBy(*KEY).agg(F.sort_array(F.collect_set("n")).alias("_new"))
         grown = open_.drop("_front").join(new, KEY, "left")
-        fresh = F.filter(F.transform(F.coalesce("_new", F.array().cast(
-            "array<struct<d:double,i:int,j:int,u:double>>")), lambda n: F.struct(n["i"], n["j"], n["u"])),
-            lambda n: ~F.exists("members", lambda x: (x["i"] == n["i"]) & (x["j"] == n["j"])))
-        grown = grown.withColumn("_front", fresh).withColumn(
-            "members", F.slice(F.concat("members", "_front"), 1, m)).drop("_new")
+        sorted_ = F.coalesce("_new", F.array().cast("array<struct<d:double,i:int,j:int,u:double,a:int,b:int>>"))
+
+        def first_time(n, place):
+            """Neither a member nor reached nearer in this round, which happens across the edges of small grids."""
+            def same(x):
+                return (x["i"] == n["i"]) & (x["j"] == n["j"])
+            return ~F.exists("members", same) & ~F.exists(F.slice("_sorted", F.lit(1), place), same)
+
+        fresh = F.transform(F.filter("_sorted", first_time), lambda n: F.struct(n["i"], n["j"], n["u"], n["a"], n["b"]))
+        plain = F.transform("_front", lambda n: F.struct(n["i"], n["j"], n["u"]))
+        grown = grown.withColumn("_sorted", sorted_).withColumn("_front", fresh).withColumn(
+            "members", F.slice(F.concat("members", plain), 1, m)).drop("_new", "_sorted")
         state = cut_lineage(grown)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.functions.area import arc_width, area_below
 from cellweave.functions.index import let
-from cellweave.schema import CUT, KEY
+from cellweave.schema import KEY
 
+#: Most parameters of a family with a fixed number of them; polynomials carry their whole array.
 N_PARAMS = 5
 FIELDS = ("model_idx", "axis_rank", "cand", "axis", "family", "params", "value_up", "value_down")
 
@@ -44,7 +45,9 @@ def score_rows(rows: DataFrame, key: list[str], families, size: tuple[int, int],
     at = (di + size[0] // 2) * size[1] + dj + size[1] // 2
     scalars = ["model_idx", "axis_rank", "cand", "axis", "family", "value_up", "value_down"]
     along_i = F.col("axis") == 0
-    c = c.select(*key, *scalars, *(["params"] if wide else []), *params,
+    carried = ["params"] if wide else ["_n", *[f"p{n}" for n in range(N_PARAMS)]]
+    c = c.withColumn("_n", F.size("params"))
+    c = c.select(*key, *scalars, *(["params"] if wide else ["_n", *params]),
                  F.when(along_i, di).otherwise(dj).cast("double").alias("_t"),
                  F.when(along_i, dj).otherwise(di).cast("double").alias("_s"), F.get("w_u", at).alias("_u"),
                  *([F.get("w_kind", at).alias("_k")] if cut_only else []))
@@ -62,10 +65,10 @@ def score_rows(rows: DataFrame, key: list[str], families, size: tuple[int, int],
     if cut_only:
         e = F.when(F.col("_k") != 0, e).otherwise(0.0)
     e = F.when(F.col("family") == "constant", float("inf")).otherwise(e)
-    # parameters follow from the key; as scalars they keep the aggregate hash-based
-    group = key + scalars + [f"p{n}" for n in range(N_PARAMS)]
-    out = c.withColumn("_e", e).groupBy(*group).agg(F.sum("_e").alias("loss"))
-    packed = F.filter(F.array(*[f"p{n}" for n in range(N_PARAMS)]), lambda v: v.isNotNull())
+    # parameters follow from the key
+    out = c.withColumn("_e", e).groupBy(*key, *scalars, *carried).agg(F.sum("_e").alias("loss"))
+    packed = F.col("params") if wide else F.when(F.col("_n") >= 0, F.slice(
+        F.array(*[f"p{n}" for n in range(N_PARAMS)]), F.lit(1), F.greatest("_n", F.lit(0))))
     return out.select(*key, *scalars, packed.alias("params"), "loss")
 
 
@@ -104,7 +107,3 @@ def select_best(scored: DataFrame, eps: float = 0.0, key: list[str] | None = Non
 def winner_counts(fits: DataFrame, by=("family", "axis", "kind")) -> DataFrame:
     """How many cells each family (and axis, kind) won."""
     return fits.groupBy(*by).agg(F.count(F.lit(1)).cast("int").alias("n"))
-
-
-def cut_share(fits: DataFrame) -> DataFrame:
-    return fits.groupBy("grid_id").agg(F.avg((F.col("kind") == CUT).cast("double")).alias("share"))

@@ -147,7 +147,8 @@ def opposite_by_relative(cells: DataFrame, shape: GridShape, axis: int, threshol
 
     ok = (F.col("t_kind") == REGULAR) & (F.col("t_si") <= threshold * F.col("_si"))
     n = shape.nj if axis == 0 else shape.ni
-    return _sides_to_columns(walk(origins, cells, n, 2, target, ok, ["u", "kind", "si"]))
+    found = _sides_to_columns(walk(origins, cells, n, 2, target, ok, ["u", "kind", "si"]))
+    return origins.select(*KEY).join(found, KEY, "left")  # a cell without a hit keeps its row
 
 
 def opposite_by_gradient(cells: DataFrame, shape: GridShape, axis: int, stencil_radius: int = 0,

@@ -10,6 +10,8 @@ from cellweave.operators.grid_ops import clamp
 from cellweave.operators.resample import MODEL
 from cellweave.schema import KEY, GridShape, with_shape
 
+PARTS = "array<struct<di:int,dj:int,x0:double,x1:double,y0:double,y1:double>>"
+
 
 def transfer_parts(vi: Column, vj: Column) -> Column:
     """array<struct(di, dj, x0, x1, y0, y1)>: which part of a unit cell moves where.
@@ -32,7 +34,7 @@ def transfer_parts(vi: Column, vj: Column) -> Column:
         return F.struct((si if mi else F.lit(0)).alias("di"), (sj if mj else F.lit(0)).alias("dj"),
                         x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
 
-    none = F.array().cast("array<struct<di:int,dj:int,x0:double,x1:double,y0:double,y1:double>>")
+    none = F.array().cast(PARTS)
     return (F.when((vi == 0) & (vj == 0), none)
             .when(vj == 0, F.array(part(True, False)))
             .when(vi == 0, F.array(part(False, True)))
@@ -59,6 +61,8 @@ def transfer_once(fits: DataFrame, shape: GridShape | DataFrame, velocity: tuple
     none = F.struct(F.lit(0).alias("di"), F.lit(0).alias("dj"),
                     *[F.lit(0.0).alias(x) for x in ("x0", "x1", "y0", "y1")])
     parts = F.concat(F.array(none), transfer_parts(F.col("vi"), F.col("vj")))
+    slow = (F.abs("vi") <= 1) & (F.abs("vj") <= 1)
+    parts = F.when(slow, parts).otherwise(F.raise_error(F.lit("velocities are at most one cell")).cast(PARTS))
     f = f.select(*KEY, "ni", "nj", "mode_i", "mode_j", "u", *MODEL, F.inline(parts))
     x0, x1, y0, y1 = (F.col(n) - 0.5 for n in ("x0", "x1", "y0", "y1"))
     stay = (F.col("di") == 0) & (F.col("dj") == 0)
@@ -88,6 +92,8 @@ def upwind_once(cells: DataFrame, shape: GridShape | DataFrame, velocity: tuple[
     if vi != 0 and vj != 0:
         raise ValueError("only one velocity component may be non-zero")
     v = abs(vi + vj)
+    if v > 1:
+        raise ValueError("velocities are at most one cell")
     di, dj = (vi > 0) - (vi < 0), (vj > 0) - (vj < 0)
     c = with_shape(cells.select(*KEY, "u"), shape)
     parts = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(1.0 - v).alias("q")),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.functions.index import fdiv, images, let, map_index, offsets
-from cellweave.schema import GridShape, require, with_shape
+from cellweave.schema import CYCLIC, GridShape, require, with_shape
 
 TILE = 32
 
@@ -149,6 +149,9 @@ def convolve_scatter(cells: DataFrame, shape: GridShape | DataFrame,
     rows = F.array(*[F.struct(F.lit(p - k // 2).alias("di"), F.lit(q - k // 2).alias("dj"),
                               *[F.lit(x).alias(f"k_{n}") for n, x in zip(names, xs)])
                      for p, q, *xs in steps])
+    cyclic = (F.col("mode_i") == CYCLIC) & (F.col("mode_j") == CYCLIC)
+    rows = F.when(cyclic, rows).otherwise(F.raise_error(F.lit("scattering needs cyclic edges")).cast(
+        "array<struct<" + ",".join(["di:int", "dj:int", *[f"k_{n}:double" for n in names]]) + ">>"))
     c = with_shape(cells, shape).withColumn("_s", F.explode(rows))
     return (c.select("grid_id", F.pmod(F.col("i") - F.col("_s.di"), F.col("ni")).cast("int").alias("i"),
                      F.pmod(F.col("j") - F.col("_s.dj"), F.col("nj")).cast("int").alias("j"),

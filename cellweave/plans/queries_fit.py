@@ -23,17 +23,17 @@ from cellweave.schema import CUT, KEY
 # ---------------------------------------------------------------- areas on coefficients from the embeddings
 
 def coefficients(spark, d):
-    """vec_id, k and five coefficients in [-1, 1] from consecutive vector entries."""
-    e = table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "v"))
-    return e.groupBy("vec_id", F.floor(F.col("p") / 5).cast("int").alias("k")).agg(
-        *[F.max(F.when(F.col("p") % 5 == n, 4 * F.col("v").cast("double"))).alias(f"c{n}") for n in range(5)]
-    ).filter("k < 12")
+    """vec_id, k and five coefficients in [-1, 1] from the vector's entries, five at a time; the last five overlap."""
+    e = table(spark, d, "embeddings")
+    n = F.size("embedding")
+    first = F.least(F.col("k") * 5, n - 5)
+    groups = e.select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.floor((n + 4) / 5).cast("int") - 1)).alias("k"))
+    return groups.select("vec_id", "k", *[(4 * F.get("embedding", first + i).cast("double")).alias(f"c{i}") for i in range(5)])
 
 
 COEF_SQL = """coef AS MATERIALIZED (SELECT vec_id, k, """ + ", ".join(
-    f"max(CASE WHEN p % 5 = {n} THEN 4 * CAST(v AS DOUBLE) END) AS c{n}" for n in range(5)) + """
-FROM (SELECT vec_id, v, p - 1 AS p, CAST((p - 1) // 5 AS INTEGER) AS k FROM (
-  SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings)) WHERE k < 12 GROUP BY 1, 2)"""
+    f"4 * CAST(embedding[least(k * 5, len(embedding) - 5) + {n + 1}] AS DOUBLE) AS c{n}" for n in range(5)) + """
+FROM (SELECT vec_id, embedding, CAST(unnest(range((len(embedding) + 4) // 5)) AS INTEGER) AS k FROM embeddings))"""
 
 
 def coef_query(name, columns, sql):
@@ -92,15 +92,24 @@ coef_query("shift_curve", lambda: [A.shift_curve(F.array(c(0), c(1), c(2)), 2, .
 coef_query("curve_slope", lambda: [A.curve_slope([c(0), c(1), c(2), c(3)], 3, F.lit(.3)).alias("slope")],
            r6("c1 + 2 * c2 * .3 + 3 * c3 * .09", "slope"))
 
-@query("circle_from_points", f"""WITH {COEF_SQL}, q AS (SELECT *, c2 - 2 * c1 + c0 AS d FROM coef),
-p AS (SELECT *, (c1*c1 - c0*c0 - 1) / 2 AS e1, (c2*c2 - c1*c1 + 1) / 2 AS e2 FROM q WHERE abs(d) > 0.05),
-o AS (SELECT *, (e1 * (c2 - c1) - e2 * (c1 - c0)) / d AS x, (e2 - e1) / d AS y FROM p)
-SELECT vec_id, k, round(x, 4) + 0.0 AS xc, round(y, 4) + 0.0 AS yc,
-  round(sqrt((x + 1) * (x + 1) + (y - c0) * (y - c0)), 4) + 0.0 AS r, CAST(CASE WHEN d > 0 THEN -1 ELSE 1 END AS DOUBLE) AS side FROM o""")
+# circles through nearly collinear points have radii whose digits differ between engines, so all rows are compared by
+# the curvature and by the heights at the given points
+CURVATURE = "2 * d / sqrt((1 + pow(c1 - c0, 2)) * (1 + pow(c2 - c1, 2)) * (4 + pow(c2 - c0, 2)))"
+
+
+@query("circle_from_points", f"""WITH {COEF_SQL}, q AS (SELECT *, c2 - 2 * c1 + c0 AS d FROM coef)
+SELECT vec_id, k, round(CASE WHEN abs(d) > 1e-9 THEN {CURVATURE} ELSE 0 END, 6) + 0.0 AS curvature,
+  CASE WHEN abs(d) > 1e-9 THEN round(c1, 4) + 0.0 END AS middle FROM q""")
 def circle_from_points(spark, d):
     p = A.circle_from_points((-1, 0, 1), (c(0), c(1), c(2)))
-    x = coefficients(spark, d).filter(F.abs(c(2) - 2 * c(1) + c(0)) > 0.05)
-    return rounded(x.select("vec_id", "k", *[p[n].alias(a) for n, a in enumerate(("xc", "yc", "r", "side"))]), 4)
+    x = coefficients(spark, d).withColumn("p", p)
+    p = F.col("p")
+    # height over t = 0 on the side where the middle point lies; far centres cancel, so the root is taken of a product
+    off = p[0] * p[0] / (p[2] + F.sqrt(F.greatest(p[2] * p[2] - p[0] * p[0], F.lit(0.0))))
+    upper, lower = p[1] + p[2] - off, p[1] - p[2] + off
+    middle = F.when(F.abs(upper - c(1)) <= F.abs(lower - c(1)), upper).otherwise(lower)
+    return x.select("vec_id", "k", (F.round(F.coalesce(-p[3] / p[2], F.lit(0.0)), 6) + 0.0).alias("curvature"),
+                    (F.round(middle, 4) + 0.0).alias("middle"))
 
 
 for fam, cols in {"curve_poly": lambda: F.array(*[c(n) for n in range(5)]),

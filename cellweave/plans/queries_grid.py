@@ -68,7 +68,12 @@ def notched_discs(spark, d):
     n = (F.lit(20) + F.col("s_suppkey") % 21).cast("int")
     g = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("grid_id"),
                                            n.alias("ni"), n.alias("nj"))
-    return SH.rasterize_predicate(g, SH.notched_disc)
+    # a disc of a third of the grid, with a slot of a third of its radius that is cut from above the centre
+    n, radius = F.col("ni"), F.col("ni") / 3.0
+    centre, width = F.floor(n / 2), radius / 3
+    long, half = F.floor(2 * width), F.floor(width / 2)
+    rows, columns = (centre - long + width, centre + long + width), (centre - half, centre + half)
+    return SH.rasterize_predicate(g, SH.disc_without_rectangle(centre, radius, rows, columns))
 
 
 for kind, expr in {
@@ -367,8 +372,8 @@ def opposite_by_threshold(spark, d):
 
 @query("opposite_by_relative", f"""WITH {PATCH_SQL}, v AS (SELECT *, abs(u - 0.5) AS si FROM lab),
 tri AS MATERIALIZED (SELECT grid_id, i + 8 * s.s AS p, j, u, kind, si FROM v, (VALUES (-1), (0), (1)) s(s)),
-hit AS (SELECT a.grid_id, a.i, a.j, b.p, b.u FROM v a JOIN tri b ON a.grid_id = b.grid_id AND a.j = b.j
-        AND abs(b.p - a.i) BETWEEN 2 AND 7 WHERE a.kind = 1 AND b.kind = 0 AND b.si <= 4 * a.si)
+hit AS (SELECT a.grid_id, a.i, a.j, b.p, b.u FROM v a LEFT JOIN tri b ON a.grid_id = b.grid_id AND a.j = b.j
+        AND abs(b.p - a.i) BETWEEN 2 AND 7 AND b.kind = 0 AND b.si <= 4 * a.si WHERE a.kind = 1)
 SELECT grid_id, i, j, CAST(max(p) FILTER (p < i) AS INTEGER) AS down_i, round(arg_max(u, p) FILTER (p < i), 6) + 0.0 AS down_u,
   CAST(min(p) FILTER (p > i) AS INTEGER) AS up_i, round(arg_min(u, p) FILTER (p > i), 6) + 0.0 AS up_u FROM hit GROUP BY 1, 2, 3""")
 def opposite_by_relative(spark, d):

@@ -56,8 +56,17 @@ def grids_of(cells: DataFrame, shape: GridShape) -> DataFrame:
     return with_shape(cells.select("grid_id").distinct(), shape)
 
 
-def densify(cells: DataFrame, grids: DataFrame, fill: float = 0.0) -> DataFrame:
-    """Add the missing cells of every grid with a fill value."""
+def densify(cells: DataFrame, grids: DataFrame, fill: float = 0.0, outside: str = "raise") -> DataFrame:
+    """Add the missing cells of every grid with a fill value.
+
+    Cells of no listed grid, or beyond its size, raise an error, unless outside="drop" asks to leave them out.
+    """
+    if outside == "raise":
+        known = grids.select("grid_id", F.col("ni").alias("_ni"), F.col("nj").alias("_nj"))
+        inside = (F.col("i") >= 0) & (F.col("i") < F.col("_ni")) & (F.col("j") >= 0) & (F.col("j") < F.col("_nj"))
+        error = F.raise_error(F.concat(F.lit("cell outside its grid: "), F.col("grid_id").cast("string"))).cast("double")
+        cells = cells.join(known, "grid_id", "left").select(
+            "grid_id", F.when(F.coalesce(inside, F.lit(False)), F.col("i")).otherwise(error).cast("int").alias("i"), "j", "u")
     full = spine(grids.select("grid_id", "ni", "nj")).select("grid_id", "i", "j")
     return (full.join(cells.select("grid_id", "i", "j", "u"), ["grid_id", "i", "j"], "left")
             .withColumn("u", F.coalesce("u", F.lit(float(fill)))))

@@ -65,16 +65,17 @@ def rasterize_predicate(grids: DataFrame, predicate) -> DataFrame:
     return c.select("grid_id", "i", "j", inside.cast("double").alias("u"))
 
 
-def notched_disc(i: Column, j: Column, ni: Column, nj: Column) -> Column:
-    """Disc of radius n/3 around the centre pixel without a rectangular slot."""
-    radius = ni / F.lit(3.0)
-    width = radius / 3
-    centre = F.floor(ni / 2)
-    half, tall = F.floor(width / 2), F.floor(width * 4 / 2)
-    disc = (i - centre) * (i - centre) + (j - centre) * (j - centre) <= radius * radius
-    slot = ((j > centre - half) & (j < centre + half)
-            & (i > centre - (tall - width)) & (i < centre + (tall + width)))
-    return disc & ~slot
+def disc_without_rectangle(centre: Column, radius: Column, rows: tuple[Column, Column], columns: tuple[Column, Column]):
+    """Predicate for rasterize_predicate: a disc around (centre, centre) without the rectangle rows x columns.
+
+    All four bounds of the rectangle are exclusive.
+    """
+    def inside(i: Column, j: Column, ni: Column, nj: Column) -> Column:
+        from_centre = F.pow(i - centre, 2) + F.pow(j - centre, 2)
+        removed = (i > rows[0]) & (i < rows[1]) & (j > columns[0]) & (j < columns[1])
+        return (from_centre <= F.pow(radius, 2)) & ~removed
+
+    return inside
 
 
 def add_texture(pixels: DataFrame, ni: int, nj: int, kind: str = "trigonometric",

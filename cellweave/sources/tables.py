@@ -12,11 +12,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_table(df: DataFrame, path: str, key: str | None = "grid_id", buckets: int = 64,
-                fmt: str = "parquet", overwrite: bool = False) -> None:
+                fmt: str = "parquet", overwrite: bool = False, salts: int = 4) -> None:
     """Write a table, split into directories by a hash bucket of its key.
 
     A table that is already complete (its success marker exists) is kept unless
-    overwrite is set.  Within a bucket rows stay where they are: no shuffle.
+    overwrite is set.  One shuffle brings a bucket's rows together, spread over `salts` files.
     """
     if exists(df.sparkSession, path) and not overwrite:
         return
@@ -25,7 +25,8 @@ def write_table(df: DataFrame, path: str, key: str | None = "grid_id", buckets:
     elif key is None:
         df.write.mode("overwrite").format(fmt).save(path)
     else:
-        (df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        salt = F.pmod(F.xxhash64(*[F.col(c) for c, t in df.dtypes if "map" not in t]), F.lit(salts))
+        (df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).repartition("bucket", salt)
          .write.mode("overwrite").partitionBy("bucket").format(fmt).save(path))
 
 

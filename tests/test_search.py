@@ -207,3 +207,11 @@ def test_corner_from_neighbours(spark):
     assert at in best and best[at].loss < 1e-6 < lines[at]
     wider = K.branch_ends(fits, shape, 2, 4)
     assert all(max(abs(r.n1.di), abs(r.n1.dj)) > 2 and max(abs(r.n2.di), abs(r.n2.dj)) > 2 for r in wider.collect())
+
+
+def test_region_stencil_is_the_same_across_the_seam(spark):
+    n, rows = 8, [("g", i, j, 0.0, 0) for i in range(8) for j in range(8)]
+    cells = spark.createDataFrame(rows, "grid_id string, i int, j int, u double, kind int")
+    got = {(r.i, r.j): [((x.i - r.i) % n, (x.j - r.j) % n) for x in r.members]
+           for r in N.same_region_stencil(cells, GridShape(n, n), 5).collect()}
+    assert set(got[0, 0]) == {(0, 0), (0, 1), (1, 0), (0, n - 1), (n - 1, 0)} == set(got[4, 4])
