@@ -116,3 +116,17 @@ def test_curve_algebra(spark):
     assert sum(v * 1.5 ** k for k, v in enumerate(r.sh)) == pytest.approx(10 + 1 + 2 + 3)
     assert r.sl == pytest.approx(14) and r.none is None
     assert r.cap == pytest.approx([1, 0, 1, 1]) and r.cup == pytest.approx([0, 0, 1, -1])
+
+
+def test_polynomials_of_high_order(spark):
+    """A cubic in both directions, and families that are not listed."""
+    p = [float(k % 5 - 2) for k in range(16)]
+    row = spark.range(1).select(
+        A.poly_eval_any(F.array(*map(F.lit, p)), F.lit(.5), F.lit(-.3)).alias("v"),
+        A.poly_area_any(F.array(*map(F.lit, p)), -.5, .5, 0., .4).alias("a")).first()
+    assert row.v == pytest.approx(sum(p[a * 4 + b] * .5 ** a * (-.3) ** b for a in range(4) for b in range(4)))
+    assert row.a == pytest.approx(sum(p[a * 4 + b] * (.5 ** (a + 1) - (-.5) ** (a + 1)) / (a + 1) * .4 ** (b + 1) / (b + 1)
+                                      for a in range(4) for b in range(4)))
+    m = {"axis": F.lit(0), "family": F.lit("arc"), "params": F.array(F.lit(1.0)), "value_up": F.lit(0.0), "value_down": F.lit(1.0)}
+    with pytest.raises(Exception, match="family not listed"):
+        spark.range(1).select(A.model_integral(("constant",), m, 0., 1., 0., 1.)).collect()
