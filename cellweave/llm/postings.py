@@ -3,7 +3,8 @@
 Centroids come from a bounded sample that is halved again and again by two-means cuts at the median, so that lists are
 balanced.  A neighbour graph over the centroids, held in memory by every task, finds a vector's closest centroids.
 A vector is filed under all centroids that are nearly as close as its closest one, so that vectors near a boundary
-are in every list they border on.  A query reads the lists whose centroid is within a ratio of its closest one.
+are in every list they border on.  A query reads all lists whose centroid is within a ratio of its closest one; the ratio
+is found at run time, from the lists that hold the true neighbours of a sample of the queries.
 Lists are cut into shards of bounded size by a hash of the vector, and a list's queries visit each of its shards.
 Distances are exact, in double precision, on the original vectors.
 """
@@ -27,8 +28,8 @@ SAMPLE = 40_000
 LIST_SIZE, SHARD_SIZE = 200, 2_000
 #: Lists that file a vector, and how much farther than the closest its centroid may be.
 COPIES, FILE_RATIO = 4, 1.15
-#: Lists that a query reads, and how much farther than the closest their centroids may be.
-PROBES, READ_RATIO = 48, 1.6
+#: Queries that the reading ratio is found on, at most about, and the share of their true neighbours that it has to reach.
+TRIALS, RECALL = 256, 0.95
 #: Neighbours of a centroid in the graph, and candidates that a search keeps.
 DEGREE, BEAM = 16, 64
 
@@ -124,6 +125,61 @@ def _list_batches(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, list
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(near[row, place].astype(np.int32))], ["vec_id", "list"])
 
 
+def _apart(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances to all centroids, and how much of them may be rounding, for each vector."""
+    norms = (centroids * centroids).sum(axis=1)
+    return squared(vectors, centroids), 1e-12 * ((vectors * vectors).sum(axis=1) + norms.max())
+
+
+def _read_batches(batches: Iterator[pa.RecordBatch], centroids: np.ndarray, sizes: np.ndarray, ratio: float, least: int) -> Iterator[pa.RecordBatch]:
+    """(vec_id, list) for all lists within the ratio of the closest one, and further ones until `least` filed vectors are read."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            distance, slack = _apart(_matrix(part.column(1)), centroids)
+            order = np.argsort(distance, axis=1, kind="stable")
+            distance, held = np.take_along_axis(distance, order, axis=1), sizes[order]
+            near = distance <= (ratio * ratio * distance[:, 0] + slack)[:, None]
+            row, place = np.nonzero((near | (np.cumsum(held, axis=1) - held < least)) & (held > 0))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(order[row, place].astype(np.int32))], ["vec_id", "list"])
+
+
+def _true_batches(batches: Iterator[pd.DataFrame], trials: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The k rows of a partition that are closest to each trial query, by comparing all of them."""
+    best = None
+    for batch in batches:
+        for start in range(0, len(batch), SHARD_SIZE):
+            found = _closest(trials, batch.iloc[start:start + SHARD_SIZE], k)
+            best = found if best is None else pd.concat([best, found])
+            best = best.sort_values(["query_id", "score", "vec_id"]).groupby("query_id").head(k)
+    if best is not None:
+        yield best
+
+
+def reading_ratio(vectors: DataFrame, asked: DataFrame, filed: DataFrame, centroids: np.ndarray, k: int) -> float:
+    """How much farther than the closest a list's centroid may be, so that a sample of queries reaches RECALL of its true neighbours."""
+    share = min(1.0, TRIALS / max(1, asked.count()))
+    drawn = F.pmod(F.xxhash64("vec_id", F.lit("trial")), F.lit(1_000_000)) < F.lit(share * 1_000_000)
+    trials = asked.filter(drawn).orderBy("vec_id").select("vec_id", "vector").toPandas()
+    if not len(trials):
+        trials = asked.limit(TRIALS).select("vec_id", "vector").toPandas()
+    if not len(trials):
+        return 1.0
+    near = vectors.select("vec_id", "vector").mapInPandas(partial(_true_batches, trials=trials, k=k), "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    true = near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "vec_id")
+    places = true.join(filed, "vec_id").toPandas()
+    if not len(places):
+        return 1.0
+    distance, slack = _apart(np.stack(trials.vector.to_numpy()).astype(np.float64), centroids)
+    of = pd.Index(trials.vec_id).get_indexer(places.query_id)
+    over = np.maximum(distance[of, places["list"].to_numpy()] - slack[of], 0.0)
+    closest = distance[of].min(axis=1)
+    places["need"] = np.where(over <= closest, 1.0, np.sqrt(over / np.maximum(closest, np.finfo(float).tiny)))
+    need = np.sort(places.groupby(["query_id", "vec_id"]).need.min().to_numpy())
+    return float(need[max(0, int(np.ceil(RECALL * len(need))) - 1)]) * (1 + 1e-9)
+
+
 def _closest(queries: pd.DataFrame, members: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k members of a shard that are closest to each query; ties go to the smaller id."""
     out = []
@@ -179,8 +235,12 @@ def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, id_col: st
 
     filed = vectors.mapInArrow(partial(_list_batches, centroids=centroids, lists=COPIES, ratio=FILE_RATIO), "vec_id long, list int")
     asked = vectors.filter(queries)
-    read = asked.mapInArrow(partial(_list_batches, centroids=centroids, lists=PROBES, ratio=READ_RATIO), "vec_id long, list int")
     filed = cut(filed, "filed")
+    sizes = np.zeros(len(centroids), np.int64)
+    for row in filed.groupBy("list").count().collect():
+        sizes[row["list"]] = row["count"]
+    ratio = reading_ratio(vectors, asked, filed, centroids, k)
+    read = asked.mapInArrow(partial(_read_batches, centroids=centroids, sizes=sizes, ratio=ratio, least=(k + 1) * COPIES), "vec_id long, list int")
     shards = filed.groupBy("list").agg(F.ceil(F.count("*") / F.lit(SHARD_SIZE)).cast("int").alias("shards"))
     members = (filed.join(shards, "list").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
                .join(vectors, "vec_id").select("list", "shard", "vec_id", "vector"))

@@ -9,10 +9,11 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cellweave.llm import registry
+from cellweave.llm import postings, registry
 from cellweave.llm.brown import brown_scores, exchange
 from cellweave.llm.components import components
 from cellweave.llm.exact_dedup import exact_dedup, keep_first
@@ -323,6 +324,25 @@ def test_nearest_neighbours(spark):
     assert nearest_neighbours(spark.createDataFrame([], table.schema), F.col("vec_id") == 0).count() == 0
 
 
+def test_recall_with_over_a_thousand_lists(spark, monkeypatch):
+    monkeypatch.setattr(postings, "LIST_SIZE", 20)
+    monkeypatch.setattr(postings, "TRIALS", 64)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(10, 64))[rng.integers(0, 10, 22_000)] * 0.35 + rng.normal(size=(22_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}))
+    got = collections.defaultdict(set)
+    for r in nearest_neighbours(table, F.col("vec_id") % 100 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert len(got[q]) == 10
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * len(range(0, len(x), 100))
+
+
 def test_recall_on_the_given_vectors(spark):
     rows = spark.read.parquet(f"{D}/embeddings.parquet").orderBy("vec_id").collect()
     x, got = np.array([r.embedding for r in rows], float), collections.defaultdict(set)
