@@ -14,7 +14,8 @@ from cellweave.operators.curves import window_opposites
 from cellweave.operators.labels import window_gradient
 from cellweave.operators.neighbours import RING_8, gather, offset_array
 from cellweave.operators.windows import with_windows
-from cellweave.schema import CUT, CYCLIC, KEY, REGULAR, GridShape, with_shape
+from cellweave.plans.lineage import cut_lineage
+from cellweave.schema import CUT, CYCLIC, KEY, REFLECT, REGULAR, GridShape, with_shape
 
 BLOCK = 4096
 
@@ -175,13 +176,43 @@ def opposite_by_gradient(cells: DataFrame, shape: GridShape, axis: int, stencil_
     return _sides_to_columns(found, F.col("hit.j") if axis == 0 else F.col("hit.i"))
 
 
-def opposite_by_minmax(cells: DataFrame, shape: GridShape, axis: int, max_steps: int = 8) -> DataFrame:
+def endless(seen: list, sizes: tuple, modes: tuple, axis: int) -> bool:
+    """Whether a greedy walk (three starting cells, then its path) provably repeats itself for ever.
+
+    Its end must be laps of equal length, each the one before moved by whole grids (or outside an edge that extends),
+    and nothing before the laps may lie beside or ahead of the last one: then every later lap sees the same.
+    """
+    starts, path = [tuple(x) for x in seen[:3]], [tuple(x) for x in seen[3:]]
+    for lap in range(1, (len(path) - 1) // 2 + 1):
+        move = tuple(b - a for a, b in zip(path[-1 - lap], path[-1]))
+        if move == (0, 0):
+            continue
+        first = len(path)
+        while first > lap and tuple(b - a for a, b in zip(path[first - 1 - lap], path[first - 1])) == move:
+            first -= 1
+        if len(path) - first < lap + 1:  # the cells up to `first` do not follow from the lap before
+            continue
+        a = 1 - axis if move[1 - axis] else axis  # the dependent axis if it moves, whose distance is in the score
+        sign, last = 1 if move[a] > 0 else -1, path[-1 - lap:]
+        ahead = min(sign * x[a] for x in last) - 1
+        if max(sign * x[a] for x in starts + path[:first]) >= ahead:
+            continue
+        outside = [min(x[k] for x in last) - 1 >= sizes[k] - 1 if move[k] > 0 else max(x[k] for x in last) + 1 <= 0 for k in (0, 1)]
+        again = [{CYCLIC: n, REFLECT: max(2 * (n - 1), 1)}.get(mode) for n, mode in zip(sizes, modes)]  # the same cells come again
+        if all(not move[k] or (move[k] % again[k] == 0 if again[k] else outside[k]) for k in (0, 1)):
+            return True
+    return False
+
+
+def opposite_by_minmax(cells: DataFrame, shape: GridShape, axis: int, max_steps: int | None = None) -> DataFrame:
     """Two greedy walks from the neighbours along the dependent axis.
 
     The first climbs to the largest unvisited 8-neighbour, the second descends to
     the smallest, until a regular cell; ties favour the dependent direction.
-    Walks longer than max_steps end without a result.
+    Walks go on until none is open.  A walk has no way on when all its neighbours are visited, or when it provably goes
+    round for ever (`endless`); its cell keeps a row of NULL.  The walks are written once a round.  With max_steps, walks still open after so many steps count as without a way on.
     """
+    cells = cut_lineage(cells.select(*KEY, "u", "kind"))
     step = (0, 1) if axis == 0 else (1, 0)
     base = with_shape(cells.filter(F.col("kind") == CUT).select(*KEY), shape)
     spot = "struct<i:int,j:int>"
@@ -193,8 +224,10 @@ def opposite_by_minmax(cells: DataFrame, shape: GridShape, axis: int, max_steps:
     st = st.withColumns({"_cur": here.cast(spot), "_seen": F.array(
         F.struct(F.col("i"), F.col("j")).cast(spot), here.cast(spot), other.cast(spot)),
         "_side": F.col("_o.sign")}).drop("_o")
-    found = None
-    for _ in range(max_steps):
+    goes_round = F.udf(lambda seen, ni, nj, mode_i, mode_j: endless(seen, (ni, nj), (mode_i, mode_j), axis), "boolean")
+    found, steps = None, 0
+    while max_steps is None or steps < max_steps:
+        steps += 1
         hops = st.select("*", F.posexplode(offset_array(RING_8)).alias("_r", "_n"))
         nxt = F.struct((F.col("_cur.i") + F.col("_n.di")).alias("i"), (F.col("_cur.j") + F.col("_n.dj")).alias("j"))
         hops = hops.withColumn("_to", nxt.cast(spot)).filter(~F.array_contains("_seen", F.col("_to")))
@@ -204,13 +237,19 @@ def opposite_by_minmax(cells: DataFrame, shape: GridShape, axis: int, max_steps:
         score = -F.col("_side") * F.col("t_u") - 1e-5 * dep
         best = gather(hops, cells, ["u", "kind"]).groupBy(*KEY, "_side").agg(
             F.min_by(F.struct("_to", "t_u", "t_kind", "_seen"), F.struct(score, F.col("_r"))).alias("b"))
+        best = cut_lineage(best)
         hit = best.filter(F.col("b.t_kind") == REGULAR).select(*KEY, "_side", F.struct(
             F.col("b._to.i").alias("i"), F.col("b._to.j").alias("j"), F.col("b.t_u").alias("u")).alias("hit"))
         found = hit if found is None else found.unionByName(hit)
         st = with_shape(best.filter(F.col("b.t_kind") != REGULAR).select(
             *KEY, "_side", F.col("b._to").alias("_cur"),
             F.concat("b._seen", F.array("b._to")).alias("_seen")), shape)
-    return _sides_to_columns(found, F.col("hit.j") if axis == 0 else F.col("hit.i"))
+        if steps % 8 == 0:
+            st = cut_lineage(st.filter(~goes_round("_seen", "ni", "nj", "mode_i", "mode_j")))
+        if st.isEmpty():
+            break
+    sides = _sides_to_columns(found, F.col("hit.j") if axis == 0 else F.col("hit.i"))
+    return base.select(*KEY).join(sides, KEY, "left")
 
 
 def opposite_by_window(cells: DataFrame, shape: GridShape | DataFrame, axis: int, k: int = 5) -> DataFrame:

@@ -421,7 +421,7 @@ def opposite_by_gradient(spark, d):
 
 @query("opposite_by_minmax")
 def opposite_by_minmax(spark, d):
-    return rounded(S.opposite_by_minmax(labelled_patch(spark, d), PATCH, 0, 4))
+    return rounded(S.opposite_by_minmax(labelled_patch(spark, d), PATCH, 0))
 
 
 @query("side_values_minmax", f"""WITH {PATCH_SQL}, {window_sql(3)}

@@ -79,6 +79,49 @@ def test_minmax_walk_ends_in_regular_cells(spark):
     assert all({r.down_u, r.up_u} <= {0.0, 1.0} or abs(r.down_u - r.up_u) > .99 for r in out)
 
 
+def test_minmax_walks_are_followed_to_their_end(spark):
+    ring = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
+    n, m = 4, 7
+    a = np.random.default_rng(3).permutation(n * m).reshape(n, m) / (n * m + 1) + 0.01
+    a[2, 3], a[0, 5] = 1.0, 0.0
+    cells = label_piecewise(table(spark, a))
+    pure = {(r.i, r.j) for r in cells.filter("kind = 0").collect()}
+
+    def walk(i, j, side):
+        cur, steps = (i, j + side), 0
+        seen = [(i, j), cur, (i, j - side)]
+        while steps < 400:
+            steps += 1
+            free = [(x, y) for x, y in ((cur[0] + p, cur[1] + q) for p, q in ring) if (x, y) not in seen]
+            if not free:
+                return None, steps
+            cur = min(free, key=lambda t: -side * a[t[0] % n, t[1] % m] - 1e-5 * abs(t[1] - j))
+            if (cur[0] % n, cur[1] % m) in pure:
+                return cur, steps
+            seen.append(cur)
+        return None, steps
+
+    got = {(r.i, r.j): r for r in S.opposite_by_minmax(cells, GridShape(n, m), 0).collect()}
+    cut = [(i, j) for i in range(n) for j in range(m) if (i, j) not in pure]
+    assert len(got) == len(cut)
+    longest = 0
+    for i, j in cut:
+        ends = [walk(i, j, side) for side in (1, -1)]
+        r = got[i, j]
+        if None in (ends[0][0], ends[1][0]):
+            assert r.down_i is None and r.up_i is None
+        else:
+            longest = max(longest, ends[0][1], ends[1][1])
+            assert {(r.down_i, r.down_j), (r.up_i, r.up_j)} == {ends[0][0], ends[1][0]}
+    assert longest > 8
+
+
+def test_endless_walks():
+    line = [(0, 0), (0, 1), (0, -1)] + [(0, j) for j in range(2, 30)]
+    assert S.endless(line, (4, 5), ("cyclic", "extend"), 0) and not S.endless(line[:8], (4, 5), ("cyclic", "cyclic"), 0)
+    assert S.endless(line, (4, 5), ("cyclic", "cyclic"), 0) and not S.endless(line, (4, 40), ("cyclic", "extend"), 0)
+
+
 def test_region_stencil(spark):
     n = 8
     a, cells = random_cells(spark, n, n)
