@@ -245,6 +245,7 @@ def opposite_by_minmax(cells: DataFrame, shape: GridShape, axis: int, max_steps:
             *KEY, "_side", F.col("b._to").alias("_cur"),
             F.concat("b._seen", F.array("b._to")).alias("_seen")), shape)
         if steps % 8 == 0:
+            found = cut_lineage(found)
             st = cut_lineage(st.filter(~goes_round("_seen", "ni", "nj", "mode_i", "mode_j")))
         if st.isEmpty():
             break
