@@ -169,7 +169,7 @@ def test_pack_lengths_fills_exactly():
     assert used == counts
     bins, large = sum(t for _, t in plan), sum(c for n, c in counts.items() if n > 1024)
     assert bins <= 1.02 * max(large, math.ceil(sum(n * c for n, c in counts.items()) / 2048))
-    assert pack_lengths({1000: 3, 24: 1}, 2048) == [((1000, 1000, 24), 1), ((1000,), 1)] and pack_lengths({}, 2048) == []
+    assert pack_lengths({1000: 3, 48: 1}, 2048) == [((1000, 1000, 48), 1), ((1000,), 1)] and pack_lengths({}, 2048) == []
 
 
 def test_encoder_equals_the_tokenizer():

@@ -35,4 +35,4 @@ def test_stages(spark):
 
 def test_registered():
     names = entry.queries()
-    assert "pipeline" in names and sum(bool(re.match(r"op\d+_", n)) for n in names) == 10
+    assert "pipeline" in names and sum(bool(re.match(r"op\d+_", n)) for n in names) == 13
