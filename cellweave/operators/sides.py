@@ -1,4 +1,4 @@
-"""Searching the pure cells on both sides of a cut cell, along columns and rays.
+"""Searching the pure cells on both sides of a cut cell, along columns, rays and greedy walks.
 
 Positions in results are not wrapped: a cyclic walk may end below 0 or beyond
 n - 1, which keeps "down" and "up" apart.
@@ -6,16 +6,19 @@ n - 1, which keeps "down" and "up" apart.
 
 from __future__ import annotations
 
+from functools import partial
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cellweave.functions.area import model_eval, model_integral
 from cellweave.functions.index import let, map_index
 from cellweave.operators.curves import window_opposites
 from cellweave.operators.labels import window_gradient
-from cellweave.operators.neighbours import RING_8, gather, offset_array
+from cellweave.operators.walks import Walks, greedy, ray, sides, start, supersteps
 from cellweave.operators.windows import with_windows
 from cellweave.plans.lineage import cut_lineage
-from cellweave.schema import CUT, CYCLIC, KEY, REFLECT, REGULAR, GridShape, with_shape
+from cellweave.schema import CUT, CYCLIC, KEY, REGULAR, GridShape, with_shape
 
 BLOCK = 4096
 
@@ -99,166 +102,68 @@ def opposite_by_threshold(cells: DataFrame, shape: GridShape | DataFrame, axis:
     return opposite_by_direction(cells, shape, axis, 2, (F.col("kind") == REGULAR) & (F.col("si") <= threshold))
 
 
-def walk(origins: DataFrame, cells: DataFrame, steps: int, start: int, target, accept: Column,
-         values: list[str]) -> DataFrame:
-    """First accepted cell along a path per origin and side, in rounds of doubling length.
+def _relative(threshold: float, w: Walks, own, seen):
+    return (seen["kind"] == REGULAR) & (seen["si"] <= threshold * w.ref[own])
 
-    `target(step, sign)` gives the unwrapped (i, j) at a distance; `accept` may
-    compare target columns t_* with origin columns.  Only origins still without a
-    result take part in the next round, so a short walk stays cheap and a long
-    one is still exact.
-    """
-    sided = origins.withColumn("_side", F.explode(F.array(F.lit(-1), F.lit(1))))
-    found, open_, first = None, sided, start
-    while first < steps:
-        last = min(steps - 1, 2 * first - 1 if first > 1 else first + 1)
-        hops = open_.withColumn("_k", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        pi, pj = target(F.col("_k"), F.col("_side"))
-        hops = hops.withColumns({"_pi": pi.cast("int"), "_pj": pj.cast("int")})
-        hops = hops.withColumns({"ti": map_index(F.col("_pi"), F.col("ni"), F.col("mode_i")),
-                                 "tj": map_index(F.col("_pj"), F.col("nj"), F.col("mode_j"))})
-        hits = gather(hops, cells, values).filter(accept)
-        best = hits.groupBy(*KEY, "_side").agg(F.min_by(
-            F.struct(F.col("_pi").alias("i"), F.col("_pj").alias("j"), F.col("t_u").alias("u")), "_k").alias("hit"))
-        found = best if found is None else found.unionByName(best)
-        open_ = open_.join(best.select(*KEY, "_side"), [*KEY, "_side"], "left_anti")
-        first = last + 1
-    return found
-
-
-def _sides_to_columns(found: DataFrame, axis_pos: Column | None = None) -> DataFrame:
-    """Two rows per cell to one: ordered along the dependent axis if a position is given."""
-    if axis_pos is None:
-        low, high = F.col("_side") < 0, F.col("_side") > 0
-        return found.groupBy(*KEY).agg(
-            *[F.max(F.when(c, F.col("hit")[f])).alias(f"{s}_{f}")
-              for s, c in (("down", low), ("up", high)) for f in ("i", "j", "u")])
-    row = F.struct(axis_pos.alias("pos"), F.col("_side").alias("side"), F.col("hit").alias("hit"))
-    g = found.groupBy(*KEY).agg(F.min(row).alias("d"), F.max(row).alias("u"), F.count(F.lit(1)).alias("n"))
-    return g.filter(F.col("n") == 2).select(*KEY, *[F.col(f"{c}.hit")[f].alias(f"{s}_{f}")
-                                                    for s, c in (("down", "d"), ("up", "u")) for f in ("i", "j", "u")])
-
-
-def opposite_by_relative(cells: DataFrame, shape: GridShape, axis: int, threshold: float = 0.5) -> DataFrame:
-    """Regular cells whose si is at most threshold times the origin's, from two cells away."""
+
+def opposite_by_relative(cells: DataFrame, shape: GridShape | DataFrame, axis: int, threshold: float = 0.5) -> DataFrame:
+    """Regular cells whose si is at most threshold times the origin's, from two cells away; NULL where a side has none."""
     origins = with_shape(cells.filter(F.col("kind") == CUT).select(*KEY, F.col("si").alias("_si")), shape)
+    gi, gj = (0.0, 1.0) if axis == 0 else (1.0, 0.0)
+    walks = start(origins, 2, F.col("i"), F.col("j"), gi, gj, F.col("_si"))
+    found = supersteps(walks, cells, shape, ["u", "kind", "si"], ray(partial(_relative, threshold), "nj" if axis == 0 else "ni"))
+    return sides(found, origins, axis)
 
-    def target(k, sign):
-        return (F.col("i"), F.col("j") + k * sign) if axis == 0 else (F.col("i") + k * sign, F.col("j"))
 
-    ok = (F.col("t_kind") == REGULAR) & (F.col("t_si") <= threshold * F.col("_si"))
-    n = shape.nj if axis == 0 else shape.ni
-    found = _sides_to_columns(walk(origins, cells, n, 2, target, ok, ["u", "kind", "si"]))
-    return origins.select(*KEY).join(found, KEY, "left")  # a cell without a hit keeps its row
+def _clean(radius: int, ratio: float | None, w: Walks, own, seen):
+    far = np.maximum(np.abs(w.pi[own] - w.i[own]), np.abs(w.pj[own] - w.j[own])) > radius
+    calm = True if ratio is None else seen["si"] < ratio * w.ref[own]
+    return (seen["kind"] == REGULAR) & far & calm
 
 
-def opposite_by_gradient(cells: DataFrame, shape: GridShape, axis: int, stencil_radius: int = 0,
+def opposite_by_gradient(cells: DataFrame, shape: GridShape | DataFrame, axis: int, stencil_radius: int = 0,
                          half_step: bool = False, ratio: float | None = 0.5) -> DataFrame:
     """Walk both ways along the normalised gradient until a clean regular cell.
 
     Clean: its own stencil (radius given) does not reach the start, and its si is
     below `ratio` times the start's.  half_step uses half-length steps from one
-    step on, without the ratio rule if ratio is None.  Needs both sides.
+    step on, without the ratio rule if ratio is None.  Every cut cell has a row; a side
+    that meets no clean cell within ni steps is NULL.
     """
     w = with_windows(cells, shape, 3, 3, ["u", "kind", "si"], where=F.col("kind") == CUT)
     gx, gy = window_gradient(F.col("w_u"), (3, 3), "scharr", 3, True)
     f = 0.5 if half_step else 1.0
-    origins = with_shape(w.select(*KEY, F.col("si").alias("_si"), (gx * f).alias("_gx"), (gy * f).alias("_gy")), shape)
-
-    def target(k, sign):
-        return (F.floor(F.col("i") + 0.5 + k * sign * F.col("_gx")), F.floor(F.col("j") + 0.5 + k * sign * F.col("_gy")))
+    origins = cut_lineage(with_shape(w.select(*KEY, F.col("si").alias("_si"), (gx * f).alias("_gx"), (gy * f).alias("_gy")), shape))
+    walks = start(origins, 1 if half_step else 2, F.col("i"), F.col("j"), F.col("_gx"), F.col("_gy"), F.col("_si"))
+    found = supersteps(walks, cells, shape, ["u", "kind", "si"], ray(partial(_clean, stencil_radius, ratio), "ni"))
+    return sides(found, origins, axis)
 
-    away = F.greatest(F.abs(F.col("_pi") - F.col("i")), F.abs(F.col("_pj") - F.col("j"))) > stencil_radius
-    ok = (F.col("t_kind") == REGULAR) & away
-    if ratio is not None:
-        ok = ok & (F.col("t_si") < ratio * F.col("_si"))
-    found = walk(origins, cells, shape.ni, 1 if half_step else 2, target, ok, ["u", "kind", "si"])
-    return _sides_to_columns(found, F.col("hit.j") if axis == 0 else F.col("hit.i"))
 
-
-def endless(seen: list, sizes: tuple, modes: tuple, axis: int) -> bool:
-    """Whether a greedy walk (three starting cells, then its path) provably repeats itself for ever.
-
-    Its end must be laps of equal length, each the one before moved by whole grids (or outside an edge that extends),
-    and nothing before the laps may lie beside or ahead of the last one: then every later lap sees the same.
-    """
-    starts, path = [tuple(x) for x in seen[:3]], [tuple(x) for x in seen[3:]]
-    for lap in range(1, (len(path) - 1) // 2 + 1):
-        move = tuple(b - a for a, b in zip(path[-1 - lap], path[-1]))
-        if move == (0, 0):
-            continue
-        first = len(path)
-        while first > lap and tuple(b - a for a, b in zip(path[first - 1 - lap], path[first - 1])) == move:
-            first -= 1
-        if len(path) - first < lap + 1:  # the cells up to `first` do not follow from the lap before
-            continue
-        a = 1 - axis if move[1 - axis] else axis  # the dependent axis if it moves, whose distance is in the score
-        sign, last = 1 if move[a] > 0 else -1, path[-1 - lap:]
-        ahead = min(sign * x[a] for x in last) - 1
-        if max(sign * x[a] for x in starts + path[:first]) >= ahead:
-            continue
-        outside = [min(x[k] for x in last) - 1 >= sizes[k] - 1 if move[k] > 0 else max(x[k] for x in last) + 1 <= 0 for k in (0, 1)]
-        again = [{CYCLIC: n, REFLECT: max(2 * (n - 1), 1)}.get(mode) for n, mode in zip(sizes, modes)]  # the same cells come again
-        if all(not move[k] or (move[k] % again[k] == 0 if again[k] else outside[k]) for k in (0, 1)):
-            return True
-    return False
-
-
-def opposite_by_minmax(cells: DataFrame, shape: GridShape, axis: int, max_steps: int | None = None) -> DataFrame:
+def opposite_by_minmax(cells: DataFrame, shape: GridShape | DataFrame, axis: int, max_steps: int | None = None) -> DataFrame:
     """Two greedy walks from the neighbours along the dependent axis.
 
     The first climbs to the largest unvisited 8-neighbour, the second descends to
     the smallest, until a regular cell; ties favour the dependent direction.
     Walks go on until none is open.  A walk has no way on when all its neighbours are visited, or when it provably goes
-    round for ever (`endless`); its cell keeps a row of NULL.  The walks are written once a round.  With max_steps, walks still open after so many steps count as without a way on.
+    round for ever (`walks.endless`); its side is NULL.  With max_steps, walks still open after so many steps count as
+    without a way on.
     """
     cells = cut_lineage(cells.select(*KEY, "u", "kind"))
-    step = (0, 1) if axis == 0 else (1, 0)
-    base = with_shape(cells.filter(F.col("kind") == CUT).select(*KEY), shape)
-    spot = "struct<i:int,j:int>"
-    sides = F.array(*[F.struct(F.lit(s).alias("sign"), F.lit(s * step[0]).alias("a"), F.lit(s * step[1]).alias("b"))
-                      for s in (1, -1)])
-    st = base.withColumn("_o", F.explode(sides))
-    here = F.struct((F.col("i") + F.col("_o.a")).alias("i"), (F.col("j") + F.col("_o.b")).alias("j"))
-    other = F.struct((F.col("i") - F.col("_o.a")).alias("i"), (F.col("j") - F.col("_o.b")).alias("j"))
-    st = st.withColumns({"_cur": here.cast(spot), "_seen": F.array(
-        F.struct(F.col("i"), F.col("j")).cast(spot), here.cast(spot), other.cast(spot)),
-        "_side": F.col("_o.sign")}).drop("_o")
-    goes_round = F.udf(lambda seen, ni, nj, mode_i, mode_j: endless(seen, (ni, nj), (mode_i, mode_j), axis), "boolean")
-    found, steps = None, 0
-    while max_steps is None or steps < max_steps:
-        steps += 1
-        hops = st.select("*", F.posexplode(offset_array(RING_8)).alias("_r", "_n"))
-        nxt = F.struct((F.col("_cur.i") + F.col("_n.di")).alias("i"), (F.col("_cur.j") + F.col("_n.dj")).alias("j"))
-        hops = hops.withColumn("_to", nxt.cast(spot)).filter(~F.array_contains("_seen", F.col("_to")))
-        hops = hops.withColumns({"ti": map_index(F.col("_to.i"), F.col("ni"), F.col("mode_i")),
-                                 "tj": map_index(F.col("_to.j"), F.col("nj"), F.col("mode_j"))})
-        dep = F.abs(F.col("_to.j") - F.col("j")) if axis == 0 else F.abs(F.col("_to.i") - F.col("i"))
-        score = -F.col("_side") * F.col("t_u") - 1e-5 * dep
-        best = gather(hops, cells, ["u", "kind"]).groupBy(*KEY, "_side").agg(
-            F.min_by(F.struct("_to", "t_u", "t_kind", "_seen"), F.struct(score, F.col("_r"))).alias("b"))
-        best = cut_lineage(best)
-        hit = best.filter(F.col("b.t_kind") == REGULAR).select(*KEY, "_side", F.struct(
-            F.col("b._to.i").alias("i"), F.col("b._to.j").alias("j"), F.col("b.t_u").alias("u")).alias("hit"))
-        found = hit if found is None else found.unionByName(hit)
-        st = with_shape(best.filter(F.col("b.t_kind") != REGULAR).select(
-            *KEY, "_side", F.col("b._to").alias("_cur"),
-            F.concat("b._seen", F.array("b._to")).alias("_seen")), shape)
-        if steps % 8 == 0:
-            found = cut_lineage(found)
-            st = cut_lineage(st.filter(~goes_round("_seen", "ni", "nj", "mode_i", "mode_j")))
-        if st.isEmpty():
-            break
-    sides = _sides_to_columns(found, F.col("hit.j") if axis == 0 else F.col("hit.i"))
-    return base.select(*KEY).join(sides, KEY, "left")
+    origins = with_shape(cells.filter(F.col("kind") == CUT).select(*KEY), shape)
+    side, none = F.col("side"), F.lit(0)
+    di, dj = (none, side) if axis == 0 else (side, none)
+    i, j = F.col("i"), F.col("j")
+    path = F.array(i, j, i + di, j + dj, i - di, j - dj)
+    walks = start(origins, 0, i + di, j + dj, path=path)
+    return sides(supersteps(walks, cells, shape, ["u", "kind"], greedy(axis, max_steps)), origins, axis)
 
 
 def opposite_by_window(cells: DataFrame, shape: GridShape | DataFrame, axis: int, k: int = 5) -> DataFrame:
-    """Smallest and largest regular cell of a k x k window, ordered along the dependent axis."""
+    """Smallest and largest regular cell of a k x k window, ordered along the dependent axis; NULL without one."""
     w = with_windows(cells, shape, k, k, ["u", "kind"], where=F.col("kind") == CUT)
     bound = F.struct(F.col("w_u").alias("u"), F.col("w_kind").alias("k"))
     o = w.withColumn("_o", let(bound, lambda x: window_opposites(x["u"], x["k"], (k, k), F.lit(axis), k)))
-    return o.filter(F.col("_o").isNotNull()).select(
+    return o.select(
         *KEY, *[F.col(f"_o.{s}.{f}").alias(f"{s}_{f}") for s in ("down", "up") for f in ("di", "dj", "u")])
 
 
@@ -279,7 +184,7 @@ def side_values(opposites: DataFrame, fits: DataFrame, shape: GridShape | DataFr
 
     eval_* evaluates at a cell centre, avg_* averages over a cell; *_here is the
     cut cell, *_there the opposite cell itself.  `opposites` has down_di, down_dj,
-    up_di, up_dj.
+    up_di, up_dj; a side without an opposite cell has no value.
     """
     kind, place = how.split("_")
     o = with_shape(opposites, shape)
@@ -291,7 +196,7 @@ def side_values(opposites: DataFrame, fits: DataFrame, shape: GridShape | DataFr
         di, dj = F.col(f"{s}_di"), F.col(f"{s}_dj")
         o = o.withColumns({"ti": map_index(F.col("i") + di, F.col("ni"), F.col("mode_i")),
                            "tj": map_index(F.col("j") + dj, F.col("nj"), F.col("mode_j"))})
-        o = o.join(model, ["grid_id", "ti", "tj"])
+        o = o.join(model, ["grid_id", "ti", "tj"], "left")
         x = -di.cast("double") if place == "here" else F.lit(0.0)
         y = -dj.cast("double") if place == "here" else F.lit(0.0)
         value = (model_eval(families, F.col("m"), x, y) if kind == "eval" else

@@ -11,6 +11,7 @@ from cellweave.operators import labels as L
 from cellweave.operators import neighbours as N
 from cellweave.operators import sides as S
 from cellweave.operators.curves import levels_01, levels_minmax
+from cellweave.operators.neighbours import RING_8
 from cellweave.operators.surfaces import surface_fits
 from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import (ACTIVITY_SQL, PATCH, PATCH_SQL, PRICE, PRICE_SQL, activity,
@@ -381,15 +382,24 @@ def opposite_by_relative(spark, d):
     return rounded(S.opposite_by_relative(c, PATCH, 1, 4.0).drop("down_j", "up_j"))
 
 
+# two sides of a cell in order of position, then side; a single one goes where it lies
+BOTH_SIDES = """SELECT c.grid_id, c.i, c.j, {} FROM (SELECT grid_id, i, j, arg_min(f, (pj, side)) AS a, arg_max(f, (pj, side)) AS b, count(*) AS n
+  FROM f GROUP BY grid_id, i, j) g RIGHT JOIN (SELECT * FROM lab WHERE kind = 1) c ON c.grid_id = g.grid_id AND c.i = g.i AND c.j = g.j""".format(", ".join(
+    f"CASE WHEN {when} THEN {value} END AS {name}_{col}" for name, row, when in (
+        ("down", "a", "n = 2 OR a.pj < c.j OR (a.pj = c.j AND a.side < 0)"), ("up", "b", "n = 2 OR NOT (b.pj < c.j OR (b.pj = c.j AND b.side < 0))"))
+    for col, value in (("i", f"{row}.pi_"), ("j", f"{row}.pj"), ("u", f"round({row}.u, 6) + 0.0"))))
+
+
 @query("opposite_by_window", f"""WITH {PATCH_SQL}, {window_sql(5)},
 r AS (SELECT * FROM win WHERE kind = 0),
 lo AS (SELECT *, row_number() OVER (PARTITION BY grid_id, i, j ORDER BY u, dj, di) AS rn FROM r),
 hi AS (SELECT *, row_number() OVER (PARTITION BY grid_id, i, j ORDER BY u DESC, dj, di) AS rn FROM r)
-SELECT a.grid_id, a.i, a.j, CASE WHEN b.dj < a.dj THEN b.di ELSE a.di END AS down_di,
+SELECT c.grid_id, c.i, c.j, CASE WHEN b.dj < a.dj THEN b.di ELSE a.di END AS down_di,
   CASE WHEN b.dj < a.dj THEN b.dj ELSE a.dj END AS down_dj, round(CASE WHEN b.dj < a.dj THEN b.u ELSE a.u END, 6) + 0.0 AS down_u,
   CASE WHEN b.dj < a.dj THEN a.di ELSE b.di END AS up_di,
   CASE WHEN b.dj < a.dj THEN a.dj ELSE b.dj END AS up_dj, round(CASE WHEN b.dj < a.dj THEN a.u ELSE b.u END, 6) + 0.0 AS up_u
-FROM lo a JOIN hi b USING (grid_id, i, j) WHERE a.rn = 1 AND b.rn = 1""")
+FROM lab c LEFT JOIN lo a ON a.grid_id = c.grid_id AND a.i = c.i AND a.j = c.j AND a.rn = 1
+LEFT JOIN hi b ON b.grid_id = c.grid_id AND b.i = c.i AND b.j = c.j AND b.rn = 1 WHERE c.kind = 1""")
 def opposite_by_window(spark, d):
     return rounded(S.opposite_by_window(labelled_patch(spark, d), PATCH, 0))
 
@@ -408,18 +418,28 @@ p AS (SELECT grid_id, i, j, s.s AS side, k.k, CAST(floor(i + 0.5 + k.k * s.s * (
     CAST(floor(j + 0.5 + k.k * s.s * (gy / l)) AS INTEGER) AS pj FROM v, (VALUES (-1), (1)) s(s), range(2, 8) k(k)),
 h AS (SELECT p.*, t.u, row_number() OVER (PARTITION BY p.grid_id, p.i, p.j, side ORDER BY k) AS rn FROM p JOIN lab t ON t.grid_id = p.grid_id
   AND t.i = ((pi_ % 8) + 8) % 8 AND t.j = ((pj % 8) + 8) % 8 WHERE t.kind = 0 AND (pi_ <> p.i OR pj <> p.j)),
-f AS (SELECT * FROM h WHERE rn = 1)
-SELECT a.grid_id, a.i, a.j,
-  CASE WHEN a.pj <= b.pj THEN a.pi_ ELSE b.pi_ END AS down_i, CASE WHEN a.pj <= b.pj THEN a.pj ELSE b.pj END AS down_j,
-  round(CASE WHEN a.pj <= b.pj THEN a.u ELSE b.u END, 6) + 0.0 AS down_u,
-  CASE WHEN a.pj <= b.pj THEN b.pi_ ELSE a.pi_ END AS up_i, CASE WHEN a.pj <= b.pj THEN b.pj ELSE a.pj END AS up_j,
-  round(CASE WHEN a.pj <= b.pj THEN b.u ELSE a.u END, 6) + 0.0 AS up_u
-FROM f a JOIN f b USING (grid_id, i, j) WHERE a.side = -1 AND b.side = 1""")
+f AS (SELECT grid_id, i, j, side, pi_, pj, u FROM h WHERE rn = 1)
+{BOTH_SIDES}""")
 def opposite_by_gradient(spark, d):
     return rounded(S.opposite_by_gradient(labelled_patch(spark, d), PATCH, 0))
 
 
-@query("opposite_by_minmax")
+# every step of every open walk at once; positions are numbers, so that a path is a list.  The longest walk that ends takes
+# far fewer steps than the limit; the others go round for ever.
+@query("opposite_by_minmax", f"""WITH RECURSIVE {PATCH_SQL},
+ring(r, di, dj) AS (VALUES {", ".join(f"({r}, {di}, {dj})" for r, (di, dj) in enumerate(RING_8))}),
+walk(grid_id, i, j, side, k, pi_, pj, seen, kind, u) AS (
+  SELECT grid_id, i, j, s.s, 0, i, j + s.s, [(i + 5000) * 10000 + j + 5000, (i + 5000) * 10000 + j + s.s + 5000, (i + 5000) * 10000 + j - s.s + 5000],
+    1, CAST(NULL AS DOUBLE) FROM lab, (VALUES (-1), (1)) s(s) WHERE kind = 1
+  UNION ALL
+  SELECT grid_id, i, j, side, k + 1, b.pi_, b.pj, list_append(seen, (b.pi_ + 5000) * 10000 + b.pj + 5000), b.kind, b.u FROM (
+    SELECT w.grid_id, w.i, w.j, w.side, w.k, any_value(w.seen) AS seen,
+      arg_min({{'pi_': w.pi_ + o.di, 'pj': w.pj + o.dj, 'kind': t.kind, 'u': t.u}}, (-w.side * t.u - 1e-5 * abs(w.pj + o.dj - w.j), o.r)) AS b
+    FROM walk w, ring o JOIN lab t ON t.grid_id = w.grid_id AND t.i = ((w.pi_ + o.di) % 8 + 8) % 8 AND t.j = ((w.pj + o.dj) % 8 + 8) % 8
+    WHERE w.kind = 1 AND w.k < 400 AND NOT list_contains(w.seen, (w.pi_ + o.di + 5000) * 10000 + w.pj + o.dj + 5000)
+    GROUP BY w.grid_id, w.i, w.j, w.side, w.k)),
+f AS (SELECT grid_id, i, j, side, pi_, pj, u FROM walk WHERE kind = 0 AND k > 0)
+{BOTH_SIDES}""")
 def opposite_by_minmax(spark, d):
     return rounded(S.opposite_by_minmax(labelled_patch(spark, d), PATCH, 0))
 
@@ -439,16 +459,17 @@ def side_values_01(spark, d):
 
 
 # planes: the average over a cell is the value at its centre
-OPPOSITE_SQL = SQL["opposite_by_window"].split("SELECT a.grid_id, a.i, a.j, CASE")[0]
-SIDE_SQL = OPPOSITE_SQL + """, opp AS (SELECT a.grid_id, a.i, a.j,
+OPPOSITE_SQL = SQL["opposite_by_window"].split("SELECT c.grid_id, c.i, c.j, CASE")[0]
+SIDE_SQL = OPPOSITE_SQL + """, opp AS (SELECT c.grid_id, c.i, c.j,
   CASE WHEN b.dj < a.dj THEN b.di ELSE a.di END AS ddi, CASE WHEN b.dj < a.dj THEN b.dj ELSE a.dj END AS ddj,
   CASE WHEN b.dj < a.dj THEN a.di ELSE b.di END AS udi, CASE WHEN b.dj < a.dj THEN a.dj ELSE b.dj END AS udj
-  FROM lo a JOIN hi b USING (grid_id, i, j) WHERE a.rn = 1 AND b.rn = 1),
+  FROM lab c LEFT JOIN lo a ON a.grid_id = c.grid_id AND a.i = c.i AND a.j = c.j AND a.rn = 1
+  LEFT JOIN hi b ON b.grid_id = c.grid_id AND b.i = c.i AND b.j = c.j AND b.rn = 1 WHERE c.kind = 1),
 {plane_windows}, plane AS MATERIALIZED (SELECT grid_id, i, j, avg(u) AS c0, sum(u * di) / 6 AS cx, sum(u * dj) / 6 AS cy FROM pw GROUP BY 1, 2, 3)
 SELECT o.grid_id, o.i, o.j, round(d.c0 - {here} * (d.cx * ddi + d.cy * ddj), 6) + 0.0 AS value_down,
   round(e.c0 - {here} * (e.cx * udi + e.cy * udj), 6) + 0.0 AS value_up FROM opp o
-JOIN plane d ON d.grid_id = o.grid_id AND d.i = (o.i + ddi + 8) % 8 AND d.j = (o.j + ddj + 8) % 8
-JOIN plane e ON e.grid_id = o.grid_id AND e.i = (o.i + udi + 8) % 8 AND e.j = (o.j + udj + 8) % 8"""
+LEFT JOIN plane d ON d.grid_id = o.grid_id AND d.i = (o.i + ddi + 8) % 8 AND d.j = (o.j + ddj + 8) % 8
+LEFT JOIN plane e ON e.grid_id = o.grid_id AND e.i = (o.i + udi + 8) % 8 AND e.j = (o.j + udj + 8) % 8"""
 
 
 for how in ("eval_here", "avg_here", "eval_there", "avg_there"):

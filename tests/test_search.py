@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cellweave.operators import adaptive as AD
+from cellweave.operators import walks as W
 from cellweave.operators import corners as K
 from cellweave.operators import neighbours as N
 from cellweave.operators import sides as S
@@ -108,18 +109,88 @@ def test_minmax_walks_are_followed_to_their_end(spark):
     for i, j in cut:
         ends = [walk(i, j, side) for side in (1, -1)]
         r = got[i, j]
-        if None in (ends[0][0], ends[1][0]):
-            assert r.down_i is None and r.up_i is None
-        else:
-            longest = max(longest, ends[0][1], ends[1][1])
-            assert {(r.down_i, r.down_j), (r.up_i, r.up_j)} == {ends[0][0], ends[1][0]}
+        ended = [e[0] for e in ends if e[0]]
+        longest = max([longest, *[e[1] for e in ends if e[0]]])
+        assert {x for x in ((r.down_i, r.down_j), (r.up_i, r.up_j)) if x[0] is not None} == set(ended)
     assert longest > 8
 
 
+def fold(p, n, mode):
+    turned = p % max(2 * (n - 1), 1)
+    return {"cyclic": p % n, "extend": min(max(p, 0), n - 1)}.get(mode, min(turned, 2 * (n - 1) - turned))
+
+
+@pytest.mark.parametrize("axis,modes", [(0, ("cyclic", "extend")), (1, ("reflect", "cyclic"))])
+def test_walks_across_tiles(spark, axis, modes):
+    """Long greedy walks and rays on a grid of several tiles, over every kind of edge, against a walk cell by cell."""
+    n, m = 70, 40
+    rng = np.random.default_rng(8)
+    x, y = np.meshgrid(np.arange(n), np.arange(m), indexing="ij")
+    a = 0.1 + 0.8 * x / n + rng.uniform(-.002, .002, (n, m))
+    a[66, ::2], a[2, 1::3], a[20:24, 30:34] = 1.0, 0.0, .5
+    cells = label_piecewise(table(spark, a)).cache()
+    shape = GridShape(n, m, *modes)
+    pure = {tuple(map(int, p)) for p in np.argwhere((a == 0) | (a == 1))}
+
+    def at(p):
+        return fold(p[0], n, modes[0]), fold(p[1], m, modes[1])
+
+    def climb(i, j, side, limit):
+        d = (0, side) if axis == 0 else (side, 0)
+        cur = (i + d[0], j + d[1])
+        seen = {(i, j), cur, (i - d[0], j - d[1])}
+        for _ in range(limit):
+            free = [(cur[0] + p, cur[1] + q) for p, q in N.RING_8 if (cur[0] + p, cur[1] + q) not in seen]
+            if not free:
+                return None
+            cur = min(free, key=lambda t: -side * a[at(t)] - 1e-5 * (abs(t[1] - j) if axis == 0 else abs(t[0] - i)))
+            if at(cur) in pure:
+                return cur
+            seen.add(cur)
+        return None
+
+    def check(rows, walk, own):
+        longest = 0
+        for i, j in own:
+            ends = sorted([(*((p[1], s, p[0]) if axis == 0 else (p[0], s, p[1])), p) for s in (-1, 1) for p in [walk(i, j, s)] if p])
+            r, pos = rows[i, j], j if axis == 0 else i
+            down = ends[0] if len(ends) == 2 or (ends and (ends[0][0] < pos or (ends[0][0] == pos and ends[0][1] < 0))) else None
+            up = ends[-1] if ends and (len(ends) == 2 or down is None) else None
+            assert ((r.down_i, r.down_j), (r.up_i, r.up_j)) == (down[3] if down else (None, None), up[3] if up else (None, None))
+            assert r.down_u == (a[at(down[3])] if down else None) and r.up_u == (a[at(up[3])] if up else None)
+            longest = max([longest, *[max(abs(e[3][0] - i), abs(e[3][1] - j)) for e in ends]])
+        return longest
+
+    cut = [(i, j) for i in range(n) for j in range(m) if (i, j) not in pure]
+    got = {(r.i, r.j): r for r in S.opposite_by_minmax(cells, shape, axis, 60).collect()}
+    assert len(got) == len(cut) and check(got, lambda i, j, s: climb(i, j, s, 60), cut) > 16
+    # rays: only few cells are cut here, so that rays are long
+    b = np.zeros((n, m))
+    b[20:23, 10:13], b[50, 30] = rng.uniform(.2, .8, (3, 3)), .5
+    b[(x + y) % 9 == 0] = np.where(b == 0, .3, b)[(x + y) % 9 == 0]
+    cells = label_piecewise(table(spark, b)).withColumn("si", F.lit(1.0) + F.col("j") % 5).cache()
+    rows = S.opposite_by_gradient(cells, shape, axis, 2, ratio=0.6).collect()
+    gx = {(r.i, r.j): (r.gx, r.gy) for r in gradient(cells, shape, "scharr").collect()}
+
+    def shoot(i, j, side):
+        g = np.array(gx[i, j])
+        g = g / np.hypot(*g) if g[0] != 0 and g[1] != 0 else g
+        for k in range(2, n):
+            p = (int(np.floor(i + .5 + k * side * g[0])), int(np.floor(j + .5 + k * side * g[1])))
+            q = at(p)
+            if b[q] in (0, 1) and max(abs(p[0] - i), abs(p[1] - j)) > 2 and 1 + q[1] % 5 < 0.6 * (1 + j % 5):
+                return p
+        return None
+    a = b
+    cut = [(i, j) for i in range(n) for j in range(m) if 0 < b[i, j] < 1]
+    assert len(rows) == len(cut)
+    check({(r.i, r.j): r for r in rows}, shoot, cut)
+
+
 def test_endless_walks():
     line = [(0, 0), (0, 1), (0, -1)] + [(0, j) for j in range(2, 30)]
-    assert S.endless(line, (4, 5), ("cyclic", "extend"), 0) and not S.endless(line[:8], (4, 5), ("cyclic", "cyclic"), 0)
-    assert S.endless(line, (4, 5), ("cyclic", "cyclic"), 0) and not S.endless(line, (4, 40), ("cyclic", "extend"), 0)
+    assert W.endless(line, (4, 5), ("cyclic", "extend"), 0) and not W.endless(line[:8], (4, 5), ("cyclic", "cyclic"), 0)
+    assert W.endless(line, (4, 5), ("cyclic", "cyclic"), 0) and not W.endless(line, (4, 40), ("cyclic", "extend"), 0)
 
 
 def test_region_stencil(spark):
