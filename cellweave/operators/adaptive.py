@@ -5,48 +5,82 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.functions.index import weighted
+from cellweave.functions.index import map_index, weighted
 from cellweave.operators.curves import fit_matrix
 from cellweave.operators.neighbours import gather
 from cellweave.operators.sides import column_runs
-from cellweave.schema import CUT, CYCLIC, KEY, REGULAR, GridShape
+from cellweave.schema import CUT, KEY, REFLECT, REGULAR, GridShape, with_shape
 
 
-def adaptive_stencil(cells: DataFrame, shape: GridShape, axis: int, k: int = 3, center_weight: float = 2.1,
-                     dep_size: int | None = None) -> DataFrame:
-    """Window of k columns along the interface for every cut cell.
+def _pointers(cells: DataFrame, shape: GridShape | DataFrame, axis: int) -> DataFrame:
+    """For every cut cell and side (-1, 1) the nearest cut cell of the next column.
 
-    In each column the run of cut cells and its two bounding regular cells count.
-    The interface is followed k - 1 columns to both sides; among the k window
-    positions the one with the smallest height + center_weight * |shift| wins.
-    Where it cannot be followed, the centred square stays.  Rows: KEY, c0, c1 (first
-    and last column), s0, s1 (first and last row), all unwrapped.
+    Rows: grid_id, c, p, side; path, an array with one struct(lo, hi) if that column has a bounded run; and where to go
+    on: ec, ep (folded cell), off (its place less the origin's) and es (side there).  Bounds and places are relative
+    to the origin.  Past a mirrored edge the side turns; past an edge that extends the column follows itself.
     """
-    if shape.mode_i != CYCLIC or shape.mode_j != CYCLIC:
-        raise ValueError("the interface can only be followed on cyclic grids")
     col, pos = ("i", "j") if axis == 0 else ("j", "i")
-    ncol, npos = (shape.ni, shape.nj) if axis == 0 else (shape.nj, shape.ni)
+    (ncol, mcol), (npos, mpos) = (("ni", "mode_i"), ("nj", "mode_j"))[::1 if axis == 0 else -1]
     runs = column_runs(cells.select(*KEY, "u", "kind"), shape, axis, F.col("kind") == REGULAR)
     runs = runs.select(*KEY, "u", "kind", F.col("prev.pos").alias("lo"), F.col("next.pos").alias("hi"))
     near = column_runs(runs, shape, axis, F.col("kind") == CUT, carry=("lo", "hi"))
     up, down = F.col("next.pos") - F.col(pos), F.col(pos) - F.col("prev.pos")
     best = F.when(down.isNull() | (up <= down), F.col("next")).otherwise(F.col("prev"))
-    near = near.select("grid_id", F.col(col).alias("_c"), F.col(pos).alias("_p"), best.alias("n"))
+    near = near.withColumn("n", best).select(
+        "grid_id", F.col(col).alias("ec"), F.col(pos).alias("p"), (F.col("n.pos") - F.col(pos)).alias("off"),
+        (F.col("n.lo") - F.col(pos)).alias("lo"), (F.col("n.hi") - F.col(pos)).alias("hi"))
+    both = with_shape(cells.filter(F.col("kind") == CUT).select(*KEY), shape).select(
+        "grid_id", F.col(col).alias("c"), F.col(pos).alias("p"), F.col(ncol).alias("nc"), F.col(mcol).alias("mc"), F.col(npos).alias("np"),
+        F.col(mpos).alias("mp"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"))
+    at = F.col("c") + F.col("side")
+    outside = (at < 0) | (at >= F.col("nc"))
+    both = both.withColumns({"ec": map_index(at, F.col("nc"), F.col("mc")), "es": F.when(outside & (F.col("mc") == REFLECT), -F.col("side")).otherwise(F.col("side"))})
+    linked = both.join(near, ["grid_id", "ec", "p"], "left")
+    bounded = F.col("lo").isNotNull() & F.col("hi").isNotNull()
+    path = F.when(bounded, F.array(F.struct("lo", "hi"))).otherwise(F.array()).cast(PATH)
+    return linked.select("grid_id", "c", "p", "side", path.alias("path"), "ec", map_index(F.col("p") + F.col("off"), F.col("np"), F.col("mp")).alias("ep"),
+                         F.col("off").cast("int").alias("off"), "es")
+
+
+PATH = "array<struct<lo:int,hi:int>>"
+
+
+def _doubled(hops: DataFrame, length: int) -> DataFrame:
+    """Pointers twice as long (list ranking): a full path of `length` columns goes on with the path of its end."""
+    end = hops.select("grid_id", F.col("c").alias("ec"), F.col("p").alias("ep"), F.col("side").alias("es"), F.col("path").alias("n_path"),
+                      F.col("ec").alias("n_ec"), F.col("ep").alias("n_ep"), F.col("off").alias("n_off"), F.col("es").alias("n_es"))
+    both = hops.join(end, ["grid_id", "ec", "ep", "es"], "left")
+    whole = (F.size("path") == length) & F.col("n_path").isNotNull()
+    moved = F.transform("n_path", lambda x: F.struct((x["lo"] + F.col("off")).alias("lo"), (x["hi"] + F.col("off")).alias("hi")))
+    return both.select("grid_id", "c", "p", "side", F.when(whole, F.concat("path", moved.cast(PATH))).otherwise(F.col("path")).alias("path"),
+                       F.col("n_ec").alias("ec"), F.col("n_ep").alias("ep"), (F.col("off") + F.col("n_off")).alias("off"), F.col("n_es").alias("es"))
 
-    origin = runs.filter((F.col("kind") == CUT) & F.col("lo").isNotNull() & F.col("hi").isNotNull())
+
+def adaptive_stencil(cells: DataFrame, shape: GridShape | DataFrame, axis: int, k: int = 3, center_weight: float = 2.1,
+                     dep_size: int | None = None) -> DataFrame:
+    """Window of k columns along the interface for every cut cell.
+
+    In each column the run of cut cells and its two bounding regular cells count.
+    The interface is followed k - 1 columns to both sides, by pointers from cut cell to cut cell whose length doubles
+    with each join; among the k window positions the one with the smallest height + center_weight * |shift| wins.
+    Where it cannot be followed, or the cell's own run has no bound, the centred square stays.  Edges may be cyclic,
+    mirrored or extended (a run that ends at an extended edge has no bound there).  Rows: KEY, c0, c1 (first
+    and last column), s0, s1 (first and last row), all unwrapped.
+    """
+    col, pos = ("i", "j") if axis == 0 else ("j", "i")
+    hops, length = _pointers(cells, shape, axis), 1
+    while length < k - 1:
+        hops, length = _doubled(hops, length), 2 * length
+    own = column_runs(cells.select(*KEY, "u", "kind"), shape, axis, F.col("kind") == REGULAR).filter(F.col("kind") == CUT).select(
+        "grid_id", F.col(col).alias("c"), F.col(pos).alias("p"), F.array(F.struct(
+            (F.col("prev.pos") - F.col(pos)).alias("lo"), (F.col("next.pos") - F.col(pos)).alias("hi"))).cast(PATH).alias("path"))
+    rows = hops.select("grid_id", "c", "p", "side", F.slice("path", 1, k - 1).alias("path")).unionByName(
+        own.select("grid_id", "c", "p", F.lit(0).alias("side"), F.filter("path", lambda x: x["lo"].isNotNull() & x["hi"].isNotNull()).alias("path")))
     bound = "array<struct<d:int,lo:int,hi:int>>"
-    state = origin.select(*KEY, F.array(F.struct(F.lit(0).alias("d"), "lo", "hi")).cast(bound).alias("cols"),
-                          F.explode(F.array(F.lit(-1), F.lit(1))).alias("_side"), F.col(pos).alias("_q"))
-    for step in range(1, k):
-        at = F.pmod(F.col(col) + F.col("_side") * step, F.lit(ncol))
-        state = state.withColumns({"_c": at.cast("int"), "_p": F.pmod("_q", F.lit(npos)).cast("int")})
-        state = state.join(near, ["grid_id", "_c", "_p"], "left")
-        off = F.col("_q") - F.col("_p")
-        found = F.struct((F.col("_side") * step).alias("d"), (F.col("n.lo") + off).alias("lo"), (F.col("n.hi") + off).alias("hi"))
-        ok = F.col("n").isNotNull() & F.col("n.lo").isNotNull() & F.col("n.hi").isNotNull()
-        state = state.select(*KEY, "_side", F.when(ok, F.col("n.pos") + off).alias("_q"),
-                             F.when(ok, F.concat("cols", F.array(found).cast(bound))).otherwise(F.col("cols")).alias("cols"))
-    both = state.groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cols")))).alias("cols"))
+    placed = F.transform("path", lambda x, n: F.struct(((n + F.when(F.col("side") == 0, 0).otherwise(1)) * F.col("side")).alias("d"),
+                                                       (x["lo"] + F.col("p")).alias("lo"), (x["hi"] + F.col("p")).alias("hi"))).cast(bound)
+    both = rows.select("grid_id", F.col("c").alias(col), F.col("p").alias(pos), placed.alias("cols")).groupBy(*KEY).agg(
+        F.flatten(F.collect_list("cols")).alias("cols"))
 
     def option(n):
         first = n - (k - 1)
@@ -69,7 +103,7 @@ def adaptive_stencil(cells: DataFrame, shape: GridShape, axis: int, k: int = 3,
                        s0.cast("int").alias("s0"), s1.cast("int").alias("s1"))
 
 
-def adaptive_sums(windows: DataFrame, levels: DataFrame, cells: DataFrame, shape: GridShape, axis: int) -> DataFrame:
+def adaptive_sums(windows: DataFrame, levels: DataFrame, cells: DataFrame, shape: GridShape | DataFrame, axis: int) -> DataFrame:
     """Column sums of the normalised adaptive windows.
 
     `levels` has KEY, value_up, value_down.  Rows: KEY, levels, shift (place of the
@@ -80,8 +114,9 @@ def adaptive_sums(windows: DataFrame, levels: DataFrame, cells: DataFrame, shape
     m = (w.withColumn("_c", F.explode(F.sequence("c0", "c1")))
          .withColumn("_p", F.explode(F.sequence("s0", "s1"))))
     at_col, at_pos = ("ti", "tj") if axis == 0 else ("tj", "ti")
-    ncol, npos = (shape.ni, shape.nj) if axis == 0 else (shape.nj, shape.ni)
-    m = m.withColumns({at_col: F.pmod("_c", F.lit(ncol)).cast("int"), at_pos: F.pmod("_p", F.lit(npos)).cast("int")})
+    m = with_shape(m, shape)
+    (ncol, mcol), (npos, mpos) = (("ni", "mode_i"), ("nj", "mode_j"))[::1 if axis == 0 else -1]
+    m = m.withColumns({at_col: map_index(F.col("_c"), F.col(ncol), F.col(mcol)), at_pos: map_index(F.col("_p"), F.col(npos), F.col(mpos))})
     m = gather(m, cells, ["u", "kind"])
     up, down = F.col("value_up"), F.col("value_down")
     lo, hi, mid = F.least(up, down), F.greatest(up, down), (up + down) / 2

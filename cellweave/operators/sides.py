@@ -18,7 +18,7 @@ from cellweave.operators.labels import window_gradient
 from cellweave.operators.walks import Walks, greedy, ray, sides, start, supersteps
 from cellweave.operators.windows import with_windows
 from cellweave.plans.lineage import cut_lineage
-from cellweave.schema import CUT, CYCLIC, KEY, REGULAR, GridShape, with_shape
+from cellweave.schema import CUT, CYCLIC, KEY, REFLECT, REGULAR, GridShape, with_shape
 
 BLOCK = 4096
 
@@ -28,37 +28,53 @@ def column_runs(cells: DataFrame, shape: GridShape | DataFrame, axis: int, accep
     """For every cell the last accepted cell at or before it and the first at or after it.
 
     Columns run along the dependent axis.  Adds prev and next, struct(pos, u), or
-    NULL; `carry` names further position columns to put into the struct.  On cyclic grids the search continues around the edge.  A column is
+    NULL; `carry` names further position columns to put into the struct.  On cyclic grids the search continues around
+    the edge, on mirrored ones over the images behind it.  A column of more than `block` cells, or of unknown length, is
     scanned in blocks: windows within blocks, then one small window over block
     summaries, so no task has to sort a whole long column.
     """
     col, pos = ("i", "j") if axis == 0 else ("j", "i")
     n, mode = ("nj", "mode_j") if axis == 0 else ("ni", "mode_i")
-    c = with_shape(cells, shape).withColumn("_k", F.floor(F.col(pos) / block).cast("int"))
     hit = F.when(accept, F.struct(F.col(pos).alias("pos"), F.col("u").alias("u"), *carry))
-    c = c.withColumn("_hit", hit)
-    inner = Window.partitionBy("grid_id", col, "_k").orderBy(pos)
-    c = c.withColumns({
-        "_p": F.last("_hit", ignorenulls=True).over(inner.rowsBetween(Window.unboundedPreceding, 0)),
-        "_n": F.first("_hit", ignorenulls=True).over(inner.rowsBetween(0, Window.unboundedFollowing))})
-    whole = Window.partitionBy("grid_id", col)
-    line = whole.orderBy("_k")
-    sums = c.groupBy("grid_id", col, "_k").agg(F.min("_hit").alias("_lo"), F.max("_hit").alias("_hi"))
-    sums = sums.select(
-        "grid_id", col, "_k",
-        F.max("_hi").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.min("_lo").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-        F.min("_lo").over(whole).alias("_first"), F.max("_hi").over(whole).alias("_last"))
-    c = c.join(sums, ["grid_id", col, "_k"])
-
-    def around(s, shift):
-        return F.when(F.col(mode) == CYCLIC, F.struct(
+    c = with_shape(cells, shape).withColumn("_hit", hit)
+    before, after = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    if isinstance(shape, GridShape) and (shape.nj if axis == 0 else shape.ni) <= block:
+        whole = Window.partitionBy("grid_id", col)
+        line = whole.orderBy(pos)
+        c = c.withColumns({"_before": F.last("_hit", ignorenulls=True).over(line.rowsBetween(*before)),
+                           "_after": F.first("_hit", ignorenulls=True).over(line.rowsBetween(*after)),
+                           "_first": F.min("_hit").over(whole), "_last": F.max("_hit").over(whole)})
+    else:
+        c = c.withColumn("_k", F.floor(F.col(pos) / block).cast("int"))
+        inner = Window.partitionBy("grid_id", col, "_k").orderBy(pos)
+        c = c.withColumns({"_p": F.last("_hit", ignorenulls=True).over(inner.rowsBetween(*before)),
+                           "_n": F.first("_hit", ignorenulls=True).over(inner.rowsBetween(*after))})
+        whole = Window.partitionBy("grid_id", col)
+        line = whole.orderBy("_k")
+        sums = c.groupBy("grid_id", col, "_k").agg(F.min("_hit").alias("_lo"), F.max("_hit").alias("_hi"))
+        sums = sums.select(
+            "grid_id", col, "_k",
+            F.max("_hi").over(line.rowsBetween(Window.unboundedPreceding, -1)).alias("_b"),
+            F.min("_lo").over(line.rowsBetween(1, Window.unboundedFollowing)).alias("_a"),
+            F.min("_lo").over(whole).alias("_first"), F.max("_hi").over(whole).alias("_last"))
+        c = c.join(sums, ["grid_id", col, "_k"]).withColumns({"_before": F.coalesce("_p", "_b"), "_after": F.coalesce("_n", "_a")})
+        c = c.drop("_k", "_p", "_n", "_a", "_b")
+
+    def around(s, shift, mirrored):
+        turned = F.when(F.col(mode) == CYCLIC, F.struct(
             (s["pos"] + shift).alias("pos"), s["u"].alias("u"), *[(s[x] + shift).alias(x) for x in carry]))
-
+        return turned if mirrored is None else turned.when(F.col(mode) == REFLECT, mirrored)
+
+    # past a mirrored edge the first accepted cell below is the image of the first one above, and the other way round;
+    # carried positions have no such image
+    images = (None, None)
+    if not carry:
+        first, last, top = F.col("_first"), F.col("_last"), 2 * (F.col(n) - 1)
+        images = tuple(F.struct(p.alias("pos"), s["u"].alias("u")) for p, s in ((-first["pos"], first), (top - last["pos"], last)))
     return c.withColumns({
-        "prev": F.coalesce("_p", "_before", F.when(F.col("_last").isNotNull(), around(F.col("_last"), -F.col(n)))),
-        "next": F.coalesce("_n", "_after", F.when(F.col("_first").isNotNull(), around(F.col("_first"), F.col(n)))),
-    }).drop("_k", "_hit", "_p", "_n", "_before", "_after", "_first", "_last")
+        "prev": F.coalesce("_before", F.when(F.col("_last").isNotNull(), around(F.col("_last"), -F.col(n), images[0]))),
+        "next": F.coalesce("_after", F.when(F.col("_first").isNotNull(), around(F.col("_first"), F.col(n), images[1]))),
+    }).drop("_hit", "_before", "_after", "_first", "_last")
 
 
 def opposite_by_direction(cells: DataFrame, shape: GridShape | DataFrame, axis: int, start: int = 1,
@@ -84,10 +100,16 @@ def opposite_by_direction(cells: DataFrame, shape: GridShape | DataFrame, axis:
             keys = {"i": "_i", "j": "_j"}
             df = df.withColumns({"_i": here if pos == "i" else F.col("i"), "_j": here if pos == "j" else F.col("j"),
                                  "_off": at - here})
-            found = look.select("grid_id", *[F.col(a).alias(b) for a, b in keys.items()], F.col(take).alias("_t"))
+            found = look.select("grid_id", *[F.col(a).alias(b) for a, b in keys.items()], F.col(take).alias("_t"),
+                                F.col("next" if take == "prev" else "prev").alias("_m"))
+            # a start behind a mirrored edge walks the other way inside: its first image counts
+            axis_at = here + F.col("_off")
+            behind = (F.col(mode) == REFLECT) & ((axis_at < 0) | (axis_at >= F.col(n)))
+            turn = F.when(axis_at < 0, F.lit(0)).otherwise(2 * (F.col(n) - 1))
+            hit = F.when(behind, F.struct((turn - F.col("_m.pos")).alias("pos"), F.col("_m.u").alias("u"))).otherwise(
+                F.struct((F.col("_t.pos") + F.col("_off")).alias("pos"), F.col("_t.u").alias("u")))
             return df.join(found, ["grid_id", "_i", "_j"], "left").withColumn(name, F.when(
-                F.col("_t").isNotNull(), F.struct((F.col("_t.pos") + F.col("_off")).alias("pos"),
-                                                  F.col("_t.u").alias("u")))).drop("_i", "_j", "_off", "_t")
+                F.when(behind, F.col("_m").isNotNull()).otherwise(F.col("_t").isNotNull()), hit)).drop("_i", "_j", "_off", "_t", "_m")
 
         out = side(side(origins, -start, "prev", "_d"), start, "next", "_u")
     near = (F.col(n) - 1)

@@ -9,7 +9,7 @@ from cellweave.operators import corners as K
 from cellweave.operators.curves import lines_3slopes
 from cellweave.operators.refine import refine_candidates
 from cellweave.operators.scoring import score_table, select_best
-from cellweave.operators.sides import opposite_by_direction
+from cellweave.operators.sides import opposite_by_direction, opposite_by_window
 from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import PATCH, PATCH_SQL, labelled_patch, patch
 from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, proposal_rows, reconstruct
@@ -42,7 +42,7 @@ opt AS (SELECT grid_id, i, j, w.w AS first, min(lo) AS lo, max(hi) AS hi, count(
 best AS (SELECT *, row_number() OVER (PARTITION BY grid_id, i, j ORDER BY hi - lo + 2.1 * abs(first + 1), first) AS rn FROM opt WHERE n = 3)
 SELECT o.grid_id, o.i, o.j, CAST(o.i + coalesce(first, -1) AS INTEGER) AS c0, CAST(o.i + coalesce(first, -1) + 2 AS INTEGER) AS c1,
   CAST(coalesce(b.lo, o.j - 1) AS INTEGER) AS s0, CAST(coalesce(b.hi, o.j + 1) AS INTEGER) AS s1
-FROM (SELECT DISTINCT grid_id, i, j FROM st0) o LEFT JOIN best b ON o.grid_id = b.grid_id AND o.i = b.i AND o.j = b.j AND b.rn = 1""")
+FROM (SELECT grid_id, i, j FROM lab WHERE kind = 1) o LEFT JOIN best b ON o.grid_id = b.grid_id AND o.i = b.i AND o.j = b.j AND b.rn = 1""")
 def adaptive_stencil(spark, d):
     return AD.adaptive_stencil(labelled_patch(spark, d), PATCH, 0)
 
@@ -52,8 +52,13 @@ def fit_adaptive_quadratic(spark, d):
     """Adaptive windows, side values by column walks, parabolas, scores: losses per cell."""
     c = labelled_patch(spark, d)
     w = AD.adaptive_stencil(c, PATCH, 0)
-    lv = opposite_by_direction(c, PATCH, 0).select(*KEY, F.col("down_u").alias("value_down"), F.col("up_u").alias("value_up"))
-    made = AD.propose_adaptive(AD.adaptive_sums(w, lv.dropna(), c, PATCH, 0), 0, 2)
+    lv = opposite_by_direction(c, PATCH, 0).join(opposite_by_window(c, PATCH, 0).select(
+        *KEY, F.col("down_u").alias("down_w"), F.col("up_u").alias("up_w")), KEY)
+    both = F.col("down_u").isNotNull() & F.col("up_u").isNotNull()
+    # a column without a regular cell takes its values from the window, one without any there 0 and 1
+    lv = lv.select(*KEY, F.coalesce(F.when(both, F.col("down_u")), "down_w", F.lit(0.0)).alias("value_down"),
+                   F.coalesce(F.when(both, F.col("up_u")), "up_w", F.lit(1.0)).alias("value_up"))
+    made = AD.propose_adaptive(AD.adaptive_sums(w, lv, c, PATCH, 0), 0, 2)
     best = select_best(score_table(made, with_windows(c, PATCH, 3, 3), ("quadratic",), center_weight=100.0))
     return rounded(best.select(*KEY, "loss"), 4)
 

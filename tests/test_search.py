@@ -32,7 +32,7 @@ def random_cells(spark, n, m):
     return a, label_piecewise(table(spark, a))
 
 
-@pytest.mark.parametrize("mode", ["cyclic", EXTEND])
+@pytest.mark.parametrize("mode", ["cyclic", EXTEND, "reflect"])
 @pytest.mark.parametrize("start", [1, 2])
 def test_column_walk(spark, mode, start):
     n = 11
@@ -40,6 +40,7 @@ def test_column_walk(spark, mode, start):
     shape = GridShape(n, n, mode, mode)
     runs = S.column_runs(cells, shape, 0, F.col("kind") == 0, block=4)
     plain = {(r.i, r.j): (r.prev, r.next) for r in runs.collect()}
+    assert plain == {(r.i, r.j): (r.prev, r.next) for r in S.column_runs(cells, shape, 0, F.col("kind") == 0).collect()}
     out = {(r.i, r.j): r for r in S.opposite_by_direction(cells, shape, 0, start).collect()}
     cut = (a > 1e-10) & (a < 1 - 1e-10)
     assert len(plain) == n * n and set(out) == {tuple(map(int, x)) for x in np.argwhere(cut)}
@@ -48,11 +49,11 @@ def test_column_walk(spark, mode, start):
             want = None
             for k in range(start, n):
                 p = j + sign * k
-                q = p % n if mode == "cyclic" else min(max(p, 0), n - 1)
+                q = fold(p, n, mode)
                 if not cut[i, q]:
-                    want = p if mode == "cyclic" else q
+                    want = p if mode != EXTEND else q
                     break
-            if mode == "cyclic":
+            if mode != EXTEND:
                 assert got == want
             elif want is not None and 0 <= j + sign * start < n:
                 assert got == want
@@ -225,50 +226,57 @@ def test_missing_cells_are_an_error(spark):
         with_windows(cells.filter("i + j > 0"), GridShape(4, 4), 3, 3).collect()
 
 
-@pytest.mark.parametrize("axis", [0, 1])
-def test_adaptive_window(spark, axis):
-    n, k = 16, 3
+@pytest.mark.parametrize("axis,mode,k", [(0, "cyclic", 3), (1, "cyclic", 5), (0, "reflect", 3), (1, "extend", 5)])
+def test_adaptive_window(spark, axis, mode, k):
+    n = 16
     shapes = spark.createDataFrame([("d", n, n, 0, [.511, .486, .31], 0., 1.)], DISC)
-    cells = label_piecewise(rasterize_shapes(shapes, "disc")).cache()
-    a = np.zeros((n, n))
+    cells = label_piecewise(rasterize_shapes(shapes, "disc"))
+    # a column without a regular cell, runs at the edges, and a cut corner
+    spots = ((F.col("i") == 2) | (F.col("j") == 13) | ((F.col("i") >= 14) & (F.col("j") <= 1)) | ((F.col("i") == 0) & (F.col("j") > 8)))
+    cells = cells.withColumn("kind", F.when(spots, 1).otherwise(F.col("kind"))).cache()
+    cut = np.zeros((n, n), bool)
     for r in cells.collect():
-        a[r.i, r.j] = r.u
-    cut = (a > 1e-10) & (a < 1 - 1e-10)
+        cut[r.i, r.j] = r.kind == 1
     g = cut if axis == 0 else cut.T
 
     def bounds(c, p):
-        lo = hi = p
-        while g[c % n, lo % n]:
-            lo -= 1
-        while g[c % n, hi % n]:
-            hi += 1
-        return lo, hi
+        out = []
+        for s in (-1, 1):
+            q = next((p + s * d for d in range(1, 3 * n) if not g[c, fold(p + s * d, n, mode)]), None)
+            out.append(q)
+        return None if None in out else tuple(out)
 
     def near(c, p):
-        for d in range(n):
-            for s in (1, -1):
-                if g[c % n, (p + s * d) % n]:
-                    return p + s * d
-        return None
+        free = (p + s * d for d in range(n) for s in (1, -1))
+        return next((q for q in free if (mode == "cyclic" or 0 <= q < n) and g[c, fold(q, n, mode)]), None)
 
-    for r in AD.adaptive_stencil(cells, GridShape(n, n), axis, k).collect():
+    rows = AD.adaptive_stencil(cells, GridShape(n, n, mode, mode), axis, k).collect()
+    assert len(rows) == cut.sum()
+    followed = 0
+    for r in rows:
         c, p = (r.i, r.j) if axis == 0 else (r.j, r.i)
         cols = {0: bounds(c, p)}
         for s in (1, -1):
-            q = p
+            q, at, way = p, c, s
             for d in range(1, k):
-                q = near(c + s * d, q)
-                if q is None:
+                at += way
+                if not 0 <= at < n and mode == "reflect":
+                    way = -way
+                at = fold(at, n, mode)
+                q = near(at, q)
+                if q is None or bounds(at, q) is None:
                     break
-                cols[s * d] = bounds(c + s * d, q)
+                cols[s * d] = bounds(at, q)
         options = []
         for w in range(k):
             part = [cols.get(w - k + 1 + x) for x in range(k)]
             if all(x is not None for x in part):
                 lo, hi = min(x[0] for x in part), max(x[1] for x in part)
                 options.append((hi - lo + 2.1 * abs(w - k // 2), w, lo, hi))
-        _, w, lo, hi = min(options) if options else (0, k // 2, p - 1, p + 1)
+        _, w, lo, hi = min(options) if options else (0, k // 2, p - k // 2, p + k // 2)
+        followed += bool(options)
         assert (r.c0 - c, r.s0, r.s1) == (w - k + 1, lo, hi)
+    assert 0 < followed < len(rows)
 
 
 def test_adaptive_fit_is_exact_on_a_line(spark):
