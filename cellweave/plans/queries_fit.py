@@ -269,34 +269,46 @@ def fit_curve_averages_1(spark, d):
     return proposals(spark, d, C.curve_averages(1, 3), 2)
 
 
+def arcs(spark, d, parabola, circle):
+    """Every cell and axis with its column sums, as the heights y of three points, and its arc p or NULL where it is straight."""
+    rows, _ = proposal_rows(labelled_patch(spark, d), PATCH, Preset("one", (parabola, circle), angle=0.0))
+    of = {f: F.max(F.when(F.col("family") == f, F.col("params"))) for f in ("quadratic", "arc")}
+    g = rows.filter(F.col("family") != "constant").groupBy(*KEY, "axis").agg(
+        of["quadratic"].alias("q"), of["arc"].alias("p"), F.first("value_up").alias("value_up"), F.first("value_down").alias("value_down"))
+    return g.withColumn("y", F.transform(F.array(*[F.lit(t) for t in (-1.0, 0.0, 1.0)]), lambda t: F.col("q")[0] + (F.col("q")[1] + F.col("q")[2] * t) * t))
+
+
+# what an arc through three points must have: their curvature, and no distance from any of them
 BEND = "(s0 - 2 * s1 + s2)"
+MENGER = f"2 * {BEND} / sqrt((1 + pow(s1 - s0, 2)) * (1 + pow(s2 - s1, 2)) * (4 + pow(s2 - s0, 2)))"
+
+
+def arc_sql(columns):
+    return f"""WITH {PATCH_SQL}, {sums_sql(3, 5, 0.0, 5)} SELECT grid_id, i, j, CAST(axis AS INTEGER) AS axis, {columns},
+  {r6('up', 'value_up')}, {r6('down', 'value_down')} FROM sums"""
 
 
-@query("fit_circle_points", proposal_sql(3, 5, [[
-    f"(((s1*s1 - s0*s0 - 4*(s1 - s0) - 1) / 2) * (s2 - s1) - ((s2*s2 - s1*s1 - 4*(s2 - s1) + 1) / 2) * (s1 - s0)) / {BEND}",
-    f"(((s2*s2 - s1*s1 - 4*(s2 - s1) + 1) / 2) - ((s1*s1 - s0*s0 - 4*(s1 - s0) - 1) / 2)) / {BEND}"]],
-    digits=3, where=f"abs({BEND}) > 0.2"))
+@query("fit_circle_points", arc_sql(f"""round(CASE WHEN abs({BEND}) > 1e-9 THEN {MENGER} ELSE 0 END, 6) + 0.0 AS curvature,
+  CAST(CASE WHEN abs({BEND}) > 1e-9 THEN 0 END AS DOUBLE) AS off"""))
 def fit_circle_points(spark, d):
-    p = proposals(spark, d, C.circle_points(), 3, digits=9)
-    # nearly straight arcs have huge radii, whose last digits differ between engines
-    rows, _ = proposal_rows(labelled_patch(spark, d), PATCH, Preset("one", (C.curve_points(2), C.circle_points()), angle=0.0))
-    bent = rows.filter((F.col("family") == "quadratic") & (F.abs(2 * F.col("params")[2]) > 0.2)).select(*KEY, "axis")
-    return rounded(p.join(bent, [*KEY, "axis"], "left_semi").select(*KEY, "axis", "cand", "p0", "p1", "value_up", "value_down"), 3)
+    x, p, y = arcs(spark, d, C.curve_points(2), C.circle_points()), F.col("p"), F.col("y")
+    gaps = [F.abs(F.sqrt((p[0] - t) * (p[0] - t) + (p[1] - y[n]) * (p[1] - y[n])) - p[2]) for n, t in enumerate((-1.0, 0.0, 1.0))]
+    return x.select(*KEY, "axis", (F.round(F.coalesce(-p[3] / p[2], F.lit(0.0)), 6) + 0.0).alias("curvature"),
+                    (F.round(F.greatest(*gaps), 4) + 0.0).alias("off"), *[(F.round(v, 6) + 0.0).alias(v) for v in ("value_up", "value_down")])
 
 
+# the osculating circle shares value, slope and curvature with the parabola at the middle
 QA, QB, QC = f"({BEND} / 2)", "((s2 - s0) / 2)", "((26 * s1 - s0 - s2) / 24 - 2)"
-RAD = f"abs(pow(1 + {QB} * {QB}, 1.5) / (2 * {QA}))"
 
 
-@query("fit_circle_taylor", proposal_sql(3, 5, [[
-    f"-sign({QB}) * sign({QA}) * sqrt(greatest(0, pow({RAD}, 2) - pow({RAD}, 2) / (1 + {QB} * {QB})))",
-    f"{QC} + sign({QA}) * {RAD} / sqrt(1 + {QB} * {QB})", RAD, f"-sign({QA})"]], digits=3, where=f"abs({QA}) > 1e-9")
-    .replace("FROM sums WHERE", "FROM sums WHERE abs((s0 - 2 * s1 + s2)) > 0.2 AND"))
+@query("fit_circle_taylor", arc_sql(f"""CASE WHEN abs({QA}) > 1e-9 THEN round({QC}, 4) + 0.0 END AS height,
+  CASE WHEN abs({QA}) > 1e-9 THEN round({QB}, 4) + 0.0 END AS slope,
+  CASE WHEN abs({QA}) > 1e-9 THEN round(2 * {QA} / pow(1 + {QB} * {QB}, 1.5), 6) + 0.0 END AS curvature"""))
 def fit_circle_taylor(spark, d):
-    p = proposals(spark, d, C.circle_taylor(), 4, digits=9)
-    rows, _ = proposal_rows(labelled_patch(spark, d), PATCH, Preset("one", (C.curve_averages(2),), angle=0.0))
-    bent = rows.filter((F.col("family") == "quadratic") & (F.abs(2 * F.col("params")[2]) > 0.2)).select(*KEY, "axis")
-    return rounded(p.join(bent, [*KEY, "axis"], "left_semi"), 3)
+    x, p = arcs(spark, d, C.curve_averages(2), C.circle_taylor()), F.col("p")
+    rise = F.sqrt(p[2] * p[2] - p[0] * p[0])
+    return x.select(*KEY, "axis", (F.round(p[1] + p[3] * rise, 4) + 0.0).alias("height"), (F.round(p[3] * p[0] / rise, 4) + 0.0).alias("slope"),
+                    (F.round(-p[3] / p[2], 6) + 0.0).alias("curvature"), *[(F.round(v, 6) + 0.0).alias(v) for v in ("value_up", "value_down")])
 
 
 for fam, n in (("line", 2), ("quadratic", 3), ("arc", 4), ("corner", 5)):
