@@ -110,11 +110,20 @@ def area_line_sql(b: str, m: str, t0: str, t1: str, s0: str) -> str:
     return f"(CASE WHEN abs({m}) < 1e-7 THEN {flat} ELSE ({g(t1)} - {g(t0)}) / ({m}) END)"
 
 
+def column_sums_sql(kt: int, ks: int, name: str) -> str:
+    """Column sums s0.. of the kt x ks part of the normalised windows in memb."""
+    ht, hs = kt // 2, ks // 2
+    cols = ", ".join(f"sum(CASE WHEN t = {c - ht} THEN norm END) AS s{c}" for c in range(kt))
+    return f"""{name} AS MATERIALIZED (
+  SELECT grid_id, i, j, axis_rank, axis, up, down, {cols}
+  FROM (SELECT *, CASE WHEN up > down THEN 1 - x ELSE x END AS norm FROM memb
+        WHERE t BETWEEN {-ht} AND {kt - 1 - ht} AND s BETWEEN {-hs} AND {ks - 1 - hs})
+  GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+
+
 def sums_sql(kt: int, ks: int, angle: float, k: int, name: str = "sums") -> str:
     """CTEs win, grad, axes, lev and column sums S0.. of the normalised kt x ks window."""
     sobel = [[1, 2, 1], [0, 0, 0], [-1, -2, -1]]
-    ht, hs = kt // 2, ks // 2
-    cols = ", ".join(f"sum(CASE WHEN t = {c - ht} THEN norm END) AS s{c}" for c in range(kt))
     return f"""{window_sql(k)},
 grad AS MATERIALIZED (SELECT grid_id, i, j, {kernel_sum_sql(sobel)} AS gx, {kernel_sum_sql(sobel, True)} AS gy,
     min(CASE WHEN kind = 0 AND abs(di) <= 2 AND abs(dj) <= 2 THEN u END) AS lo,
@@ -136,8 +145,4 @@ memb AS (
     ((CASE WHEN w.kind = 0 AND w.u < (up + down) / 2 THEN lo WHEN w.kind = 0 AND w.u > (up + down) / 2 THEN hi
       ELSE w.u END) - lo) / (CASE WHEN hi = lo THEN 1 ELSE hi - lo END) AS x
   FROM lev l JOIN win w USING (grid_id, i, j)),
-{name} AS MATERIALIZED (
-  SELECT grid_id, i, j, axis_rank, axis, up, down, {cols}
-  FROM (SELECT *, CASE WHEN up > down THEN 1 - x ELSE x END AS norm FROM memb
-        WHERE t BETWEEN {-ht} AND {kt - 1 - ht} AND s BETWEEN {-hs} AND {ks - 1 - hs})
-  GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+{column_sums_sql(kt, ks, name)}"""

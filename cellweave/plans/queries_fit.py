@@ -12,8 +12,8 @@ from cellweave.operators import resample as RS
 from cellweave.operators import surfaces as SF
 from cellweave.operators import transfer as TR
 from cellweave.operators.scoring import winner_counts
-from cellweave.plans.fixtures import (PATCH, PATCH_SQL, area_line_sql, labelled_patch, patch, sums_sql, table,
-                                      window_sql)
+from cellweave.plans.fixtures import (PATCH, PATCH_SQL, area_line_sql, column_sums_sql, labelled_patch, patch, sums_sql,
+                                      table, window_sql)
 from cellweave.plans.queries_grid import r6
 from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, proposal_rows, scored_proposals
 from cellweave.plans.registry import query, rounded
@@ -333,13 +333,20 @@ def fit_curve_averages_4(spark, d):
 
 LINE_CANDS = " UNION ALL ".join(
     f"SELECT *, {n} AS cand, s1 - 1 AS b, {m} AS m FROM sums" for n, m in enumerate(SLOPES))
-SCORE_SQL = f"""{PATCH_SQL}, {sums_sql(3, 3, 0.0, 5)}, cand AS MATERIALIZED ({LINE_CANDS}),
+
+
+def score_sql(sources, cands, weight=101):
+    """CTE loss: every candidate line b + m t of the CTEs in `sources` against its 3 x 3 window."""
+    return f"""{PATCH_SQL}, {sources}, cand AS MATERIALIZED ({cands}),
 near AS (SELECT c.*, w.di, w.dj, w.u, CAST(CASE WHEN axis = 0 THEN di ELSE dj END AS DOUBLE) AS t,
     CAST(CASE WHEN axis = 0 THEN dj ELSE di END AS DOUBLE) AS s
   FROM cand c JOIN win w USING (grid_id, i, j) WHERE abs(w.di) <= 1 AND abs(w.dj) <= 1),
 gap AS (SELECT *, u - up - (down - up) * {area_line_sql('b', 'm', 't - 0.5', 't + 0.5', 's')} AS e FROM near),
 loss AS MATERIALIZED (SELECT grid_id, i, j, axis_rank, axis, cand, b, m, up, down,
-  sum(e * e * CASE WHEN di = 0 AND dj = 0 THEN 101 ELSE 1 END) AS loss FROM gap GROUP BY ALL)"""
+  sum(e * e * CASE WHEN di = 0 AND dj = 0 THEN {weight} ELSE 1 END) AS loss FROM gap GROUP BY ALL)"""
+
+
+SCORE_SQL = score_sql(sums_sql(3, 3, 0.0, 5), LINE_CANDS)
 BEST_SQL = f"""{SCORE_SQL}, best AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grid_id, i, j
   ORDER BY round(loss, 9), axis_rank, cand) AS rn FROM loss),
 win1 AS MATERIALIZED (SELECT * FROM best WHERE rn = 1)"""
@@ -376,8 +383,38 @@ def winners(spark, d):
     return winner_counts(fit_cells(labelled_patch(spark, d), PATCH, PRESETS["elvira_w"]), ("family", "kind"))
 
 
+# every tenth cell stays constant, others go to the three slopes, the consistent line, or both, by their place
+ROUTE = "CASE (i + 3 * j) % 10 WHEN 0 THEN 0 WHEN 1 THEN 3 WHEN 2 THEN 3 ELSE 1 + j % 2 END"
+ROUTED = Preset("routed", (C.lines_3slopes(), C.line_consistent()), angle=0.0, center_weight=C.CENTER_WEIGHT)
+CONSISTENT = "SELECT *, 10 AS cand, s1 - 2 AS b, (s2 - s0) / 2 AS m FROM"
+ROUTED_CANDS = f"""SELECT * FROM ({LINE_CANDS.replace("FROM sums", "FROM narrow")}) WHERE {ROUTE} IN (1, 3)
+  UNION ALL {CONSISTENT} wide WHERE {ROUTE} IN (2, 3)"""
+
+
+@query("fit_routed", f"""WITH {score_sql(sums_sql(3, 3, 0.0, 5, "narrow") + ", " + column_sums_sql(3, 5, "wide"), ROUTED_CANDS)},
+best AS (SELECT *, row_number() OVER (PARTITION BY grid_id, i, j ORDER BY round(loss, 9), cand // 10, axis_rank, cand) AS rn FROM loss)
+SELECT l.grid_id, l.i, l.j, CASE WHEN b.loss IS NULL THEN 'constant' ELSE 'line' END AS family, {r6('b.loss', 'loss')}
+FROM lab l LEFT JOIN best b ON b.grid_id = l.grid_id AND b.i = l.i AND b.j = l.j AND b.rn = 1""")
+def fit_routed(spark, d):
+    code = F.expr(ROUTE)
+    models = F.filter(F.array(*[F.lit(m) for m in range(3)]), lambda m: (m == 0) | (code.bitwiseAND(m) != 0))
+    return rounded(fit_cells(labelled_patch(spark, d).withColumn("route", models), PATCH, ROUTED).select(*KEY, "family", "loss"))
+
+
+def preset_sql(sources, cands, weight):
+    """Cells and summed losses by grid and label; the best candidate of a cell counts."""
+    return f"""WITH {score_sql(sources, cands, weight)}, best AS (SELECT grid_id, i, j, min(loss) AS loss FROM loss GROUP BY 1, 2, 3)
+SELECT grid_id, kind, CAST(count(*) AS INTEGER) AS n, round(sum(loss), 4) + 0.0 AS loss FROM lab LEFT JOIN best USING (grid_id, i, j) GROUP BY 1, 2"""
+
+
+PRESET_SQL = {
+    "constant": f"WITH {PATCH_SQL} SELECT grid_id, kind, CAST(count(*) AS INTEGER) AS n, CAST(NULL AS DOUBLE) AS loss FROM lab GROUP BY 1, 2",
+    "elvira": preset_sql(sums_sql(3, 3, 0.0, 5), LINE_CANDS, 1),
+    "elvira_w": preset_sql(sums_sql(3, 3, 0.0, 5), LINE_CANDS, 101),
+    "aero_linear": preset_sql(sums_sql(3, 5, 45.0, 5), f"{CONSISTENT} sums", 101),
+}
 for name in PRESETS:
-    @query(f"fit_preset_{name.replace('+', '_')}")
+    @query(f"fit_preset_{name.replace('+', '_')}", PRESET_SQL.get(name))
     def preset_losses(spark, d, name=name):
         f = fit_cells(labelled_patch(spark, d), PATCH, PRESETS[name])
         return rounded(f.groupBy("grid_id", "kind").agg(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from cellweave.functions.index import let
 from cellweave.operators import curves as C
@@ -18,7 +18,7 @@ from cellweave.operators.labels import fixed_axes, gradient_axes, label_piecewis
 from cellweave.operators.resample import resample_average
 from cellweave.operators.scoring import FIELDS, score_rows, select_best
 from cellweave.operators.windows import tile_key, with_windows
-from cellweave.schema import CUT, KEY, GridShape, proposal
+from cellweave.schema import CUT, KEY, PROPOSAL, GridShape, proposal
 from cellweave.plans.lineage import cut_lineage
 
 
@@ -66,15 +66,23 @@ PRESETS = {p.name: p for p in [
 ]}
 
 
+PROPOSALS = T.ArrayType(PROPOSAL)
+
+
 def proposal_rows(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset) -> tuple[DataFrame, list[str]]:
     """One row per proposal of every cut cell, next to the cell's windows.
 
+    A column `route` (array of model numbers, 0 the constant, n the preset's n-th model) limits what a cell proposes: a
+    model that is not in a cell's route is not evaluated there.  It travels through the tiles as a number, one bit a model.
     Returns the rows and their key: the tile's shuffle key plus the cell, by which
     later groupings need no further shuffle.
     """
     k = preset.window
     size = (k, k)
-    w = with_windows(labelled, shape, k, k, ["u", "kind"], where=F.col("kind") == CUT, keep_tile=True)
+    routed = "route" in labelled.columns
+    if routed:
+        labelled = labelled.withColumn("_route", F.expr("aggregate(route, 0L, (bits, m) -> bits | shiftleft(1L, m))"))
+    w = with_windows(labelled, shape, k, k, ["u", "kind", *["_route"] * routed], where=F.col("kind") == CUT, keep_tile=True)
     key = tile_key(shape) + ["i", "j"]
     if preset.axis is None:
         gx, gy = window_gradient(F.col("w_u"), size, preset.gradient, 3)
@@ -82,11 +90,14 @@ def proposal_rows(labelled: DataFrame, shape: GridShape | DataFrame, preset: Pre
         axes = gradient_axes(F.col("_gx"), F.col("_gy"), preset.angle)
     else:
         axes = fixed_axes(preset.axis)
-    w = w.select(*key, "u", "w_u", "w_kind", F.posexplode(axes).alias("_rank", "_axis"))
+    w = w.select(*key, "u", "w_u", "w_kind", *["_route"] * routed, F.posexplode(axes).alias("_rank", "_axis"))
     bound = F.struct(F.col("w_u").alias("u"), F.col("w_kind").alias("k"))
     w = w.withColumn("_lv", let(bound, lambda x: preset.levels(x["u"], x["k"], size, F.col("_axis"))))
     models = [C.curve_proposals(m, n + 1, F.col("w_u"), F.col("w_kind"), size, F.col("_axis"), F.col("_rank"),
                                 F.col("_lv")) for n, m in enumerate(preset.models)]
+    if routed:
+        models = [F.when(F.col("_route").bitwiseAND(F.lit(2 << n)) != 0, m) for n, m in enumerate(models)]
+        models = [F.coalesce(m, F.array().cast(PROPOSALS)) for m in models]
     usable = F.filter(F.concat(*models), lambda c: c["params"].isNotNull() & c["value_up"].isNotNull()
                       & c["value_down"].isNotNull())
     keep = proposal(0, F.col("_rank"), 0, F.lit(0), "constant", F.array("u"), F.col("u"), F.col("u"))
@@ -105,9 +116,10 @@ def scored_proposals(labelled: DataFrame, shape: GridShape | DataFrame, preset:
 def fit_cells(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset) -> DataFrame:
     """Best model of every cell.
 
-    Regular cells, and cut cells without any proposal, keep their average.
+    Regular cells, and cut cells without any proposal, keep their average.  With a column `route` (see proposal_rows)
+    only routed models compete in a cell.
     """
-    c = labelled.select(*KEY, "u", "kind")
+    c = labelled.select(*KEY, "u", "kind", *[n for n in ("route",) if n in labelled.columns])
     plain = (c if not preset.models else c.filter(F.col("kind") != CUT)).select(
         *KEY, "u", "kind", F.lit(0).alias("model_idx"), F.lit(0).alias("axis"), F.lit(0).alias("cand"),
         F.lit("constant").alias("family"), F.array("u").alias("params"), F.col("u").alias("value_up"),
