@@ -1,25 +1,34 @@
-"""Spark ML on labelled samples: training, errors, reuse, and use in fits."""
+"""Models on labelled samples: training, errors, reuse, and use in fits.
+
+Linear models with any number of outputs come from one pass that adds up products (a Gram matrix of fixed size); the
+others are Spark ML pipelines, one for each output.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cellweave.functions.index import let, oriented, sub_window
+from cellweave.functions.index import let, oriented, sub_window, total
 from cellweave.functions.random import gaussian
 from cellweave.operators.curves import normalise
 from cellweave.operators.labels import route_by_probability
 from cellweave.operators.windows import with_windows
+from cellweave.plans.lineage import cut_lineage
 from cellweave.schema import CUT, KEY, GridShape
 from cellweave.sources.tables import exists
 
-REGRESSORS = {"linear": lambda: LinearRegression(), "tree": lambda: DecisionTreeRegressor(maxDepth=8, seed=42),
+REGRESSORS = {"tree": lambda: DecisionTreeRegressor(maxDepth=8, seed=42),
               "forest": lambda: RandomForestRegressor(numTrees=20, maxDepth=8, seed=42)}
 
 
@@ -57,6 +66,56 @@ class Fitted:
         return Fitted([PipelineModel.load(f"{path}/output_{n}") for n in range(outputs)], is_classifier)
 
 
+@dataclass
+class LinearFit:
+    """Least squares for all outputs at once: coefficients[output] = [constant, one for each input]."""
+
+    coefficients: list[list[float]]
+
+    def transform(self, df: DataFrame, x: str = "x") -> DataFrame:
+        made = [total([F.lit(c[0]), *[F.get(x, F.lit(n)) * F.lit(v) for n, v in enumerate(c[1:])]]) for c in self.coefficients]
+        return df.withColumn("prediction", F.array(*made))
+
+    def save(self, path: str) -> None:
+        rows = [(n, c) for n, c in enumerate(self.coefficients)]
+        spark = SparkSession.active()
+        spark.createDataFrame(rows, "output int, coefficients array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/coefficients")
+
+    @staticmethod
+    def load(path: str) -> LinearFit:
+        rows = SparkSession.active().read.parquet(f"{path}/coefficients").orderBy("output").collect()
+        return LinearFit([list(r.coefficients) for r in rows])
+
+
+def _gram_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of products of (1, x, y) over a task's rows."""
+    gram = None
+    for batch in batches:
+        n = batch.num_rows
+        if n:
+            parts = [c.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) for c in batch.columns]
+            z = np.concatenate([np.ones((n, 1)), *parts], axis=1)
+            gram = z.T @ z if gram is None else gram + z.T @ z
+    if gram is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([gram.ravel()], pa.list_(pa.float64()))], ["gram"])
+
+
+def fit_linear(train: DataFrame, inputs: int | None = None) -> LinearFit:
+    """One job for all outputs; only a matrix of (1 + inputs + outputs)^2 sums reaches the driver.
+
+    Inputs that depend on each other get the smallest coefficients that fit.
+    """
+    sums = (train.select(F.col("x").cast("array<double>"), F.col("y").cast("array<double>")).mapInArrow(_gram_batches, "gram array<double>")
+            .select(F.posexplode("gram").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect())
+    if not sums:
+        raise ValueError("no training rows")
+    flat = np.zeros(len(sums))
+    flat[[r["at"] for r in sums]] = [r["v"] for r in sums]
+    gram = flat.reshape(math.isqrt(len(sums)), -1)
+    d = 1 + (len(train.select("x").first()["x"]) if inputs is None else inputs)
+    return LinearFit((np.linalg.pinv(gram[:d, :d], rcond=1e-12, hermitian=True) @ gram[:d, d:]).T.tolist())
+
+
 def add_train_noise(view: DataFrame, sigma: float = 1e-5, seed: int = 42) -> DataFrame:
     """Gaussian noise on the inputs, reproducible per sample and position."""
     noisy = F.transform("x", lambda v, n: v + gaussian([F.col("sample_id"), n], seed, sigma))
@@ -65,16 +124,18 @@ def add_train_noise(view: DataFrame, sigma: float = 1e-5, seed: int = 42) -> Dat
 
 def fit_model(view: DataFrame, kind: str, outputs: int = 1, inputs: int | None = None,
               classes: int | None = None, class_weights: dict[int, float] | None = None,
-              noise: float = 0.0) -> Fitted:
-    """Train on the rows with is_train; one pipeline per output.
+              noise: float = 0.0) -> Fitted | LinearFit:
+    """Train on the rows with is_train: "linear" in one job for all outputs, others as one pipeline per output.
 
     With `classes` the first output is a class id; class_weights become a weight
-    column for models that take one.
+    column for models that take one.  Training rows are written once and read by every pipeline.
     """
     train = view.filter("is_train")
     if noise:
         train = add_train_noise(train, noise)
-    train = train.withColumn("features", array_to_vector("x"))
+    if kind == "linear":
+        return fit_linear(train, inputs)
+    train = cut_lineage(train.withColumn("features", array_to_vector("x")))
     models = []
     for n in range(outputs):
         data = train.withColumn("label", F.get("y", F.lit(n)).cast("double"))
@@ -90,9 +151,12 @@ def fit_model(view: DataFrame, kind: str, outputs: int = 1, inputs: int | None =
     return Fitted(models, classes is not None)
 
 
-def fit_or_load(spark: SparkSession, path: str, view: DataFrame, kind: str, outputs: int = 1, **kw) -> Fitted:
+def fit_or_load(spark: SparkSession, path: str, view: DataFrame, kind: str, outputs: int = 1, **kw) -> Fitted | LinearFit:
     """Reuse a saved model; train and save it if there is none."""
-    done = all(exists(spark, f"{path}/output_{n}/metadata") for n in range(outputs))
+    linear = kind == "linear"
+    done = exists(spark, f"{path}/coefficients") if linear else all(exists(spark, f"{path}/output_{n}/metadata") for n in range(outputs))
+    if done and linear:
+        return LinearFit.load(path)
     if done:
         return Fitted.load(path, outputs, kw.get("classes") is not None)
     model = fit_model(view, kind, outputs, **kw)
@@ -107,20 +171,34 @@ def model_errors(predicted: DataFrame) -> DataFrame:
             .agg(F.avg("e").alias("error_l1"), F.max("e").alias("error_linf")))
 
 
-def tune_class_weight(train, count_class, low: float, high: float, target: tuple[int, int], rounds: int = 10):
-    """Bisection on a class weight until the predicted count of the class is in a band.
+def tune_class_weight(probabilities: DataFrame, cls: int, target: tuple[int, int], low: float = 1e-9, high: float = 1e9,
+                      bins: int = 1024, rounds: int = 8) -> tuple[float, int]:
+    """Weight of one class at which the number of rows that it wins lies in the band, and that number.
 
-    train(weight) returns a model, count_class(model) the count; each round is one
-    training job and one count.  Returns weight, count and model of the last round.
+    Multiplying a class's odds by a weight is what training with that weight does to a calibrated model, so nothing is
+    trained again.  A row (probability array) goes to the class as soon as the weight exceeds its critical one, the best
+    other probability over the class's own.  Each round counts critical weights in log-spaced bins (one pass, at most
+    `bins` rows back) and narrows the range to the bin where the count crosses the band.
     """
+    own = F.get("probability", F.lit(cls))
+    others = F.array_max(F.filter("probability", lambda p, n: n != cls))
+    critical = probabilities.select(F.when(own > 0, F.log(others / own)).alias("w")).filter("w IS NOT NULL")
+    critical = cut_lineage(critical)
+    lo, hi = math.log(low), math.log(high)
+    below = critical.filter(F.col("w") < lo).count()
     for _ in range(rounds):
-        weight = (low + high) / 2
-        model = train(weight)
-        n = count_class(model)
-        if target[0] <= n <= target[1]:
+        width = (hi - lo) / bins
+        inside = critical.filter((F.col("w") >= lo) & (F.col("w") < hi))
+        counts = {r.b: r.n for r in inside.groupBy(F.floor((F.col("w") - lo) / width).alias("b")).agg(F.count("*").alias("n")).collect()}
+        n, edge = below, 0
+        while edge < bins and n < target[0] and n + counts.get(edge, 0) <= target[1]:
+            n += counts.get(edge, 0)
+            edge += 1
+        weight = lo + edge * width
+        if n >= target[0] or edge == bins or width < 1e-12:
             break
-        low, high = (weight, high) if n < target[0] else (low, weight)
-    return weight, n, model
+        lo, hi, below = weight, weight + width, n
+    return math.exp(weight), n
 
 
 # ---------------------------------------------------------------- models inside fits

@@ -10,6 +10,7 @@ from cellweave.operators import grid_ops as G
 from cellweave.operators import learning as ML
 from cellweave.operators.labels import label_piecewise
 from cellweave.operators.resample import resample_interface_only
+from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import PATCH, PATCH_SQL, labelled_patch, patch, table
 from cellweave.plans.queries_grid import r6
 from cellweave.plans.reconstruct import PRESETS, fit_cells
@@ -143,6 +144,12 @@ def training_view(spark, d):
     return D.training_view(s, "classification", 1000).select("sample_id", "is_train")
 
 
+@query("training_share", """SELECT o_orderkey AS sample_id, ((o_orderkey % 2147483648) * 2654435761) % 4294967296 < 858993459 AS is_train FROM orders""")
+def training_share(spark, d):
+    s = D.generate_samples(spine(spark, d), D.sample_lines(1))
+    return D.training_view(s, "classification", share=0.2).select("sample_id", "is_train")
+
+
 @query("concat_samples", """SELECT CAST(c.c AS INTEGER) AS class_id, CAST(2 * count(*) AS INTEGER) AS n FROM orders, (VALUES (0)) c(c) GROUP BY 1
 UNION ALL SELECT CAST(1 AS INTEGER), CAST(count(*) AS INTEGER) FROM orders""")
 def concat_samples(spark, d):
@@ -161,9 +168,10 @@ def curve_targets(spark, d):
     return rounded(s.select("sample_id", F.col("target")[0].alias("t0"), F.col("target")[1].alias("t1")))
 
 
-def slope_view(spark, d, problem="curve", n_train=3000):
+def slope_view(spark, d, problem="curve", share=0.2):
+    """All orders as samples; a fifth of them, by a hash of their ids, teaches."""
     s = D.generate_samples(spine(spark, d), D.sample_lines(1, (-.25, .25), 0.5), random_sides=False)
-    return D.training_view(D.curve_targets(s, "slope"), problem, n_train)
+    return D.training_view(D.curve_targets(s, "slope"), problem, share=share)
 
 
 @query("learned_curve_errors")
@@ -193,11 +201,33 @@ def learned_transfer(spark, d):
     return rounded(ML.predict_transfer(labelled_patch(spark, d), PATCH, m, 0.5, C.levels_sided), 4)
 
 
-@query("route_by_model")
-def route_by_model(spark, d):
+def class_model(spark, d):
     parts = [D.generate_samples(spine(spark, d), c) for c in (
         D.sample_lines(1, (-.25, .25), .5), D.sample_points(2, D.points_x(3), .5), D.sample_corners(5, radius=.5))]
     v = D.concat_samples(parts).select("sample_id", F.col("kernel").alias("x"), F.array(F.col("class_id")).alias("y"),
                                        F.lit(True).alias("is_train"))
-    r = ML.route_by_model(labelled_patch(spark, d), PATCH, ML.fit_model(v, "tree", 1, 9, 3))
+    return ML.fit_model(v, "tree", 1, 9, 3)
+
+
+@query("route_by_model")
+def route_by_model(spark, d):
+    r = ML.route_by_model(labelled_patch(spark, d), PATCH, class_model(spark, d))
     return r.select(*KEY, F.explode("route").alias("model")).groupBy("grid_id", "model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fit_routed_by_model")
+def fit_routed_by_model(spark, d):
+    """Cells routed by a learned class (line, parabola, corner) and fitted with their routed models only."""
+    r = ML.route_by_model(labelled_patch(spark, d), PATCH, class_model(spark, d))
+    fits = fit_cells(r, PATCH, PRESETS["corner_4cols"])
+    return rounded(fits.groupBy("grid_id", "model_idx").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("loss").alias("loss")), 4)
+
+
+@query("tune_class_weight")
+def tune_class_weight(spark, d):
+    """Weight of the corner class at which it wins about a twentieth of all cut cells."""
+    w = with_windows(labelled_patch(spark, d), PATCH, 3, 3, ["u", "kind"], where=F.col("kind") == 1).withColumnRenamed("w_u", "x")
+    p = class_model(spark, d).transform(w).select("probability")
+    n = w.count()
+    weight, won = ML.tune_class_weight(p, 2, (n // 25, n // 15))
+    return spark.range(1).select(F.lit(2).alias("class_id"), F.round(F.lit(weight), 6).alias("weight"), F.lit(won).alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cellweave.operators import analytics as Q
 from cellweave.operators import grid_ops as G
 from cellweave.operators import learning as ML
+from cellweave.plans.reconstruct import PRESETS, fit_cells
 from cellweave.schema import CELLS, GridShape
 from cellweave.sources import binning as B
 from cellweave.sources import samples as D
@@ -130,11 +131,49 @@ def test_models_learn_and_are_reused(spark, tmp_path):
     again = ML.fit_or_load(spark, path, v.limit(0), "linear", 2)
     e = {r.is_train: r for r in ML.model_errors(again.transform(v)).collect()}
     assert e[False].error_l1 < .1 and e[True].error_l1 == pytest.approx(ML.model_errors(m.transform(v)).filter("is_train").first().error_l1)
-    weight, n, _ = ML.tune_class_weight(lambda w: w, lambda w: int(100 * w), 0., 1., (30, 33))
-    assert 30 <= n <= 33 and weight == pytest.approx(n / 100, abs=.01)
+    taught = v.filter("is_train").collect()
+    x = np.array([[1.0, *r.x] for r in taught])
+    want = np.linalg.lstsq(x, np.array([r.y for r in taught]), rcond=None)[0]
+    assert np.allclose(x @ np.array(m.coefficients).T, x @ want, atol=1e-6)
     v.unpersist()
 
 
+def test_shares_and_class_weights(spark):
+    ids = spark.range(20_000).select((F.col("id") * 31).alias("sample_id"), F.array(F.lit(0.)).alias("kernel"), F.lit(True).alias("singular"))
+    v = D.training_view(ids, "classification", share=0.25)
+    assert v.count() == 20_000 and abs(v.filter("is_train").count() - 5000) < 300
+    with pytest.raises(ValueError):
+        D.training_view(ids, "classification")
+    rng = np.random.default_rng(6)
+    raw = rng.dirichlet((4., 3., .3), 4000)
+    p = spark.createDataFrame([(r.tolist(),) for r in raw], "probability array<double>")
+    weight, n = ML.tune_class_weight(p, 2, (700, 720))
+    won = int((raw[:, 2] * weight > raw[:, :2].max(axis=1)).sum())
+    assert 700 <= n <= 720 and won == n
+    # many rows of one critical weight: the band cannot be met, the number just below it comes back
+    same = spark.createDataFrame([([.5, .4, .1],)] * 50 + [([.2, .2, .6],)] * 10, "probability array<double>")
+    weight, n = ML.tune_class_weight(same, 2, (20, 30))
+    assert n == 10 and weight == pytest.approx(5.0, rel=1e-6)
+
+
+def test_routed_fits_use_routed_models_only(spark):
+    rng = np.random.default_rng(4)
+    rows = [("g", i, j, float(u), int(0 < u < 1)) for i in range(10) for j in range(10) for u in [float(np.clip(rng.uniform(-.6, 1.6), 0, 1))]]
+    cells = spark.createDataFrame(rows, "grid_id string, i int, j int, u double, kind int")
+    routes = {0: [0], 1: [0, 1], 2: [0, 2], 3: [0, 1, 2, 3], 4: [3]}
+    route = F.element_at(F.create_map(*[F.lit(x) for k, v in routes.items() for x in (k, list(v))]), F.pmod(F.col("i") + F.col("j"), F.lit(5)))
+    shape, preset = GridShape(10, 10), PRESETS["corner_4cols"]
+    fits = fit_cells(cells.withColumn("route", route), shape, preset).collect()
+    free = {(r.i, r.j): r for r in fit_cells(cells, shape, preset).collect()}
+    assert len(fits) == 100
+    for r in fits:
+        allowed = routes[(r.i + r.j) % 5] if r.kind == 1 else [0]
+        assert r.model_idx in {0, *allowed}
+        if (r.i + r.j) % 5 == 3:
+            assert r.model_idx == free[r.i, r.j].model_idx and r.params == free[r.i, r.j].params
+    assert {r.model_idx for r in fits} >= {0, 1, 2}
+
+
 def test_rates_and_quantiles(spark):
     r = spark.createDataFrame([("m", n, 3. * n ** -2) for n in (10, 20, 40, 80)], "model string, n int, error_l1 double")
     x = Q.convergence_rate(r, 15).first()
