@@ -388,6 +388,31 @@ def curve_slope(p: Column, degree: int, t: Column) -> Column:
                  for n in range(1, degree + 1))
 
 
+def graph_slope(family: str, p: Column, t: Column) -> Column:
+    """Derivative of curve_height at t; a corner has that of the line on t's side."""
+    if family == "line":
+        return p[1]
+    if family == "quadratic":
+        return p[1] + 2 * p[2] * t
+    if family == "curve_poly":
+        terms = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda c, n: c * (n + 1))
+        return F.aggregate(F.reverse(terms), F.lit(0.0), lambda acc, c: acc * t + c)
+    if family == "arc":
+        gap = p[2] * p[2] - (t - p[0]) * (t - p[0])
+        return F.when(gap > 0, p[3] * (p[0] - t) / F.sqrt(gap))
+    if family == "corner":
+        return F.when(t < p[0], p[2]).otherwise(p[4])
+    raise ValueError(f"{family!r} is not the graph of a function")
+
+
+def wedge_ray(p: Column, t: Column) -> tuple[Column, Column]:
+    """Height and slope at t of the half-line on t's side; of the first one where both or none lie there."""
+    here = t >= p[0]
+    first = ((F.cos(p[2]) >= 0) == here) | ((F.cos(p[3]) >= 0) != here)
+    slope = F.tan(F.when(first, p[2]).otherwise(p[3]))
+    return p[1] + slope * (t - p[0]), slope
+
+
 def circle_from_points(xs, ys) -> Column:
     """[xc, yc, r, side] of the circle through three points; NULL when collinear."""
     (x1, x2, x3), (y1, y2, y3) = [[lit(v) for v in vs] for vs in (xs, ys)]

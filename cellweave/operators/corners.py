@@ -1,15 +1,27 @@
-"""Corners found from the curves of neighbouring cut cells."""
+"""Corners found from the curves of neighbouring cut cells.
+
+Which neighbours a corner rests on is found in windows of curve flags: a branch ends at its first cell beyond the
+stencil radius, so everything it passes lies in a window one cell wider, and a search needs no join per step.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.functions.area import curve_height, curve_slope
+from cellweave.functions.area import curve_height, graph_slope, wedge_ray
 from cellweave.functions.index import map_index
 from cellweave.operators.neighbours import RING_8, RING_16, offset_array
+from cellweave.operators.windows import with_windows
 from cellweave.schema import KEY, GridShape, with_shape
 
-CURVES = ("line", "quadratic")
+GRAPHS = ("line", "quadratic", "curve_poly", "arc", "corner")
+CURVES = (*GRAPHS, "wedge")
+ENDS = "grid_id string, i int, j int, end int, di int, dj int"
 
 
 def _look(fits: DataFrame) -> DataFrame:
@@ -23,61 +35,85 @@ def _hop(df: DataFrame, di: Column, dj: Column) -> DataFrame:
                            "tj": map_index(F.col("j") + dj, F.col("nj"), F.col("mode_j"))})
 
 
-def branch_ends(fits: DataFrame, shape: GridShape | DataFrame, stencil_radius: int = 1,
-                max_rounds: int = 10) -> DataFrame:
-    """Two neighbouring curves per cut cell: KEY, n1, n2 struct(di, dj, m).
+def first_and_far(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows have two curve cells in the 16-ring, the place of the first, and of the one farthest from it."""
+    middle, ring = flags.shape[1] // 2, np.array(RING_16)
+    seen = flags[:, middle + ring[:, 0], middle + ring[:, 1]]
+    first = seen.argmax(axis=1)
+    far = np.abs(ring[None, :, :] - ring[first][:, None, :]).sum(axis=2) * len(ring) + np.arange(len(ring))
+    last = np.where(seen & (np.arange(len(ring)) != first[:, None]), far, -1).argmax(axis=1)
+    return seen.sum(axis=1) >= 2, ring[first], ring[last]
+
+
+def follow(flags: np.ndarray, start: np.ndarray, other: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Breadth-first over curve cells from start to the first beyond the radius: whether there is one, and where.
+
+    The cell itself, its 8-neighbours and the other branch's start are closed.  Of the cells reached in one round the
+    one by the first direction counts, then the one of smallest offsets.
+    """
+    n, k, _ = flags.shape
+    middle, rows = k // 2, np.arange(n)
+    closed = np.zeros(flags.shape, bool)
+    closed[:, middle - 1:middle + 2, middle - 1:middle + 2] = True
+    front = np.zeros(flags.shape, bool)
+    front[rows, middle + start[:, 0], middle + start[:, 1]] = True
+    closed |= front
+    closed[rows, middle + other[:, 0], middle + other[:, 1]] = True
+    far = np.abs(np.arange(k) - middle)
+    clear = (np.maximum(far[:, None], far[None, :]) > radius).ravel()
+    found, at = np.abs(start).max(axis=1) > radius, start.copy()
+    open_ = ~found
+    while open_.any():
+        by = np.full(flags.shape, len(RING_8))
+        for r, (di, dj) in enumerate(RING_8):
+            moved = np.zeros(flags.shape, bool)
+            moved[:, max(di, 0):k + min(di, 0), max(dj, 0):k + min(dj, 0)] = front[:, max(-di, 0):k + min(-di, 0), max(-dj, 0):k + min(-dj, 0)]
+            by[moved & flags & ~closed & (by == len(RING_8))] = r
+        reached = (by < len(RING_8)) & open_[:, None, None]
+        order = np.where(reached.reshape(n, -1) & clear, by.reshape(n, -1) * k * k + np.arange(k * k), len(RING_8) * k * k)
+        best = order.argmin(axis=1)
+        hit = order[rows, best] < len(RING_8) * k * k
+        at[hit] = np.stack([best[hit] // k - middle, best[hit] % k - middle], axis=1)
+        found |= hit
+        closed |= reached
+        front = reached
+        open_ &= ~hit & reached.any(axis=(1, 2))
+    return found, at
+
+
+def _end_batches(batches: Iterator[pa.RecordBatch], k: int, radius: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        flags = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, k, k) > 0
+        both, one, two = first_and_far(flags)
+        kept = np.flatnonzero(both)
+        flags, one, two = flags[kept], one[kept], two[kept]
+        if radius >= 2:
+            (found1, end1), (found2, end2) = follow(flags, one, two, radius), follow(flags, two, one, radius)
+            ok = found1 & found2
+            kept, one, two = kept[ok], end1[ok], end2[ok]
+        keys = batch.take(pa.array(kept))
+        for n, end in enumerate((one, two), 1):
+            yield pa.RecordBatch.from_arrays(
+                [*keys.columns[:3], pa.array(np.full(len(kept), n, np.int32)), *[pa.array(end[:, c].astype(np.int32)) for c in (0, 1)]],
+                ["grid_id", "i", "j", "end", "di", "dj"])
+
+
+def branch_ends(fits: DataFrame, shape: GridShape | DataFrame, stencil_radius: int = 1) -> DataFrame:
+    """Two neighbouring curves per curve cell: KEY, n1, n2 struct(di, dj, m).
 
     Starts from the first curve cell of the 16-ring and the one farthest from it,
     and follows each branch over curve cells until one whose own window of the given
-    radius does not contain the start.
+    radius does not contain the start.  `fits` holds every cell of its grids.
     """
-    look = _look(fits)
-    base = with_shape(fits.filter(F.col("family").isin(*CURVES)).select(*KEY), shape)
-    steps = base.select("*", F.posexplode(offset_array(RING_16)).alias("r", "o"))
-    seen = _hop(steps, F.col("o.di"), F.col("o.dj")).join(look, ["grid_id", "ti", "tj"])
-    row = F.struct(F.col("r"), F.col("o.di").alias("di"), F.col("o.dj").alias("dj"), F.col("m"))
-    ring = seen.groupBy(*KEY).agg(F.array_sort(F.collect_list(row)).alias("ring")).filter(F.size("ring") >= 2)
-    first = F.col("ring")[0]
-
-    def far(n):
-        return F.struct((F.abs(n["di"] - first["di"]) + F.abs(n["dj"] - first["dj"])).alias("d"), n["r"].alias("r"), n.alias("n"))
-
-    last = F.array_max(F.transform(F.slice("ring", 2, 16), far))["n"]
-    ends = ring.select(*KEY, first.alias("n1"), last.alias("n2"))
-    if stencil_radius < 2:
-        return ends.select(*KEY, *[F.struct(f"{n}.di", f"{n}.dj", f"{n}.m").alias(n) for n in ("n1", "n2")])
-    return _follow(ends, look, shape, stencil_radius, max_rounds)
-
-
-def _follow(ends: DataFrame, look: DataFrame, shape, radius: int, max_rounds: int) -> DataFrame:
-    """Breadth-first along each branch, a fixed number of rounds over the open branches only."""
-    spot = "struct<di:int,dj:int>"
-    near = [(0, 0), *RING_8]
-    blocked = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")).cast(spot) for a, b in near])
-    sides = ends.select(*KEY, F.explode(F.array(F.struct(F.lit(1).alias("b"), F.col("n1").alias("n"), F.col("n2").alias("x")),
-                                                F.struct(F.lit(2).alias("b"), F.col("n2").alias("n"), F.col("n1").alias("x")))).alias("s"))
-    st = with_shape(sides, shape).select(
-        *KEY, "ni", "nj", "mode_i", "mode_j", F.col("s.b").alias("b"), F.struct("s.n.di", "s.n.dj").cast(spot).alias("at"),
-        F.col("s.n.m").alias("m"), F.lit(0).alias("r"),
-        F.concat(blocked, F.array(F.struct("s.x.di", "s.x.dj").cast(spot), F.struct("s.n.di", "s.n.dj").cast(spot))).alias("seen"))
-    found = None
-    for _ in range(max_rounds):
-        clear = F.greatest(F.abs("at.di"), F.abs("at.dj")) > radius
-        hit = st.filter(clear).groupBy(*KEY, "b").agg(F.min_by(F.struct("at.di", "at.dj", "m"), F.col("r")).alias("n"))
-        found = hit if found is None else found.unionByName(hit)
-        open_ = st.join(hit.select(*KEY, "b"), [*KEY, "b"], "left_anti")
-        hops = open_.drop("m", "r").select("*", F.posexplode(offset_array(RING_8)).alias("r", "o"))
-        to = F.struct((F.col("at.di") + F.col("o.di")).alias("di"), (F.col("at.dj") + F.col("o.dj")).alias("dj"))
-        hops = hops.withColumn("to", to.cast(spot)).filter(~F.array_contains("seen", F.col("to")))
-        nxt = _hop(hops, F.col("to.di"), F.col("to.dj")).join(look, ["grid_id", "ti", "tj"])
-        # one row per newly reached cell; what was reached by this round is seen in the next
-        reach = nxt.groupBy(*KEY, "b", "to").agg(F.min("r").alias("r"), *[F.min(c).alias(c) for c in (
-            "ni", "nj", "mode_i", "mode_j", "m", "seen")])
-        st = reach.select(*KEY, "ni", "nj", "mode_i", "mode_j", "b", F.col("to").alias("at"), "m", "r",
-                          F.concat("seen", F.array("to")).alias("seen"))
-    two = found.groupBy(*KEY).agg(F.max(F.when(F.col("b") == 1, F.col("n"))).alias("n1"),
-                                  F.max(F.when(F.col("b") == 2, F.col("n"))).alias("n2"))
-    return two.filter(F.col("n1").isNotNull() & F.col("n2").isNotNull())
+    k = 2 * max(2, stencil_radius + 1) + 1
+    flags = fits.select(*KEY, F.col("family").isin(*CURVES).cast("double").alias("curve"))
+    w = with_windows(flags, shape, k, k, ["curve"], where=F.col("curve") > 0).select(*KEY, "w_curve")
+    ends = with_shape(w.mapInArrow(partial(_end_batches, k=k, radius=stencil_radius), ENDS), shape)
+    found = _hop(ends, F.col("di"), F.col("dj")).join(_look(fits), ["grid_id", "ti", "tj"])
+    n = F.struct("di", "dj", "m")
+    return found.groupBy(*KEY).agg(*[F.max_by(n, F.col("end") == e).alias(f"n{e}") for e in (1, 2)])
 
 
 def _tangent(n: Column) -> tuple[Column, Column, Column, Column]:
@@ -85,11 +121,12 @@ def _tangent(n: Column) -> tuple[Column, Column, Column, Column]:
     m, first = n["m"], n["m"]["axis"] == 0
     d_t = F.when(first, n["di"]).otherwise(n["dj"]).cast("double")
     d_s = F.when(first, n["dj"]).otherwise(n["di"]).cast("double")
-    t = -d_t / 2
-    line = m["family"] == "line"
-    p = m["params"]
-    y = F.when(line, curve_height("line", p, t)).otherwise(curve_height("quadratic", p, t))
-    slope = F.when(line, curve_slope(p, 1, t)).otherwise(curve_slope(p, 2, t))
+    t, p = -d_t / 2, m["params"]
+    y, slope = wedge_ray(p, t)
+    for family in GRAPHS:
+        own = m["family"] == family
+        y = F.when(own, curve_height(family, p, t)).otherwise(y)
+        slope = F.when(own, graph_slope(family, p, t)).otherwise(slope)
     along, across = d_t / 2, d_s - 0.5 + y
     x0, y0 = F.when(first, along).otherwise(across), F.when(first, across).otherwise(along)
     return x0, y0, F.when(first, 1.0).otherwise(slope), F.when(first, slope).otherwise(1.0)

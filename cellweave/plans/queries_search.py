@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from cellweave.operators import adaptive as AD
 from cellweave.operators import corners as K
 from cellweave.operators.curves import lines_3slopes
+from cellweave.operators.neighbours import RING_8, RING_16
 from cellweave.operators.refine import refine_candidates
 from cellweave.operators.scoring import score_table, select_best
 from cellweave.operators.sides import opposite_by_direction, opposite_by_window
 from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import PATCH, PATCH_SQL, labelled_patch, patch
+from cellweave.plans.queries_fit import central_lines
 from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, proposal_rows, reconstruct
 from cellweave.plans.registry import query, rounded
 from cellweave.schema import KEY
@@ -63,6 +65,39 @@ def fit_adaptive_quadratic(spark, d):
     return rounded(best.select(*KEY, "loss"), 4)
 
 
+def listed(ring):
+    return ", ".join(f"({r}, {di}, {dj})" for r, (di, dj) in enumerate(ring))
+
+
+# places beside a cell are numbers 100 * (di + 8) + dj + 8; a round of a branch is a row with its front and all it has seen
+@query("corner_branches", f"""WITH RECURSIVE {PATCH_SQL}, cut AS MATERIALIZED (SELECT grid_id, i, j FROM lab WHERE kind = 1),
+ring16(r, di, dj) AS (VALUES {listed(RING_16)}), ring8(r, di, dj) AS (VALUES {listed(RING_8)}),
+near AS MATERIALIZED (SELECT c.*, o.* FROM cut c, ring16 o JOIN cut t ON t.grid_id = c.grid_id AND t.i = (c.i + o.di + 8) % 8 AND t.j = (c.j + o.dj + 8) % 8),
+one AS (SELECT grid_id, i, j, min(r) AS r, arg_min(di, r) AS di, arg_min(dj, r) AS dj FROM near GROUP BY 1, 2, 3),
+two AS (SELECT o.*, arg_max(n.di, (abs(n.di - o.di) + abs(n.dj - o.dj), n.r)) AS di2, arg_max(n.dj, (abs(n.di - o.di) + abs(n.dj - o.dj), n.r)) AS dj2
+  FROM one o JOIN near n USING (grid_id, i, j) WHERE n.r <> o.r GROUP BY ALL),
+ends AS (SELECT grid_id, i, j, 1 AS b, di, dj, di2 AS xi, dj2 AS xj FROM two UNION ALL SELECT grid_id, i, j, 2, di2, dj2, di, dj FROM two),
+walk(grid_id, i, j, b, front, seen, hit) AS (
+  SELECT grid_id, i, j, b, [(di + 8) * 100 + dj + 8], [(di + 8) * 100 + dj + 8, (xi + 8) * 100 + xj + 8, 808, 908, 708, 809, 807, 909, 907, 709, 707],
+    CASE WHEN greatest(abs(di), abs(dj)) > 2 THEN (di + 8) * 100 + dj + 8 END FROM ends
+  UNION ALL
+  SELECT grid_id, i, j, b, list(place), list_concat(any_value(seen), list(place)),
+    arg_min(place, (r, place)) FILTER (greatest(abs(place // 100 - 8), abs(place % 100 - 8)) > 2) FROM (
+    SELECT w.grid_id, w.i, w.j, w.b, any_value(w.seen) AS seen, w.f + 100 * o.di + o.dj AS place, min(o.r) AS r
+    FROM (SELECT *, unnest(front) AS f FROM walk WHERE hit IS NULL) w, ring8 o
+    JOIN cut t ON t.grid_id = w.grid_id AND t.i = (w.i + w.f // 100 - 8 + o.di + 16) % 8 AND t.j = (w.j + w.f % 100 - 8 + o.dj + 16) % 8
+    WHERE NOT list_contains(w.seen, w.f + 100 * o.di + o.dj)
+    GROUP BY w.grid_id, w.i, w.j, w.b, w.f + 100 * o.di + o.dj) GROUP BY 1, 2, 3, 4),
+done AS (SELECT grid_id, i, j, b, hit FROM walk WHERE hit IS NOT NULL)
+SELECT a.grid_id, a.i, a.j, CAST(a.hit // 100 - 8 AS INTEGER) AS di1, CAST(a.hit % 100 - 8 AS INTEGER) AS dj1,
+  CAST(c.hit // 100 - 8 AS INTEGER) AS di2, CAST(c.hit % 100 - 8 AS INTEGER) AS dj2
+FROM done a JOIN done c USING (grid_id, i, j) WHERE a.b = 1 AND c.b = 2""")
+def corner_branches(spark, d):
+    """The neighbours, beyond a radius of two, on which a corner in each cut cell would rest."""
+    e = K.branch_ends(central_lines(spark, d), PATCH, 2)
+    return e.select(*KEY, *[F.col(f"n{n}")[c].alias(f"{c}{n}") for n in (1, 2) for c in ("di", "dj")])
+
+
 @query("fit_corner_from_neighbours")
 def fit_corner_from_neighbours(spark, d):
     c = labelled_patch(spark, d)

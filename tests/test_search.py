@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cellweave.functions.area import curve_height, graph_slope
 from cellweave.operators import adaptive as AD
 from cellweave.operators import walks as W
 from cellweave.operators import corners as K
@@ -327,10 +328,44 @@ def test_corner_from_neighbours(spark):
     lines = {(r.i, r.j): r.loss for r in fits.filter("family = 'line'").collect()}
     at = (int(.54 * n), int((.30 + .35 * .54) * n))
     assert at in best and best[at].loss < 1e-6 < lines[at]
-    wider = K.branch_ends(fits, shape, 2, 4)
+    wider = K.branch_ends(fits, shape, 2)
     assert all(max(abs(r.n1.di), abs(r.n1.dj)) > 2 and max(abs(r.n2.di), abs(r.n2.dj)) > 2 for r in wider.collect())
 
 
+def test_branches_against_a_plain_search():
+    rng = np.random.default_rng(5)
+    flags = rng.random((300, 9, 9)) < .45
+    flags[:, 4, 4] = True
+    both, one, two = K.first_and_far(flags)
+    for radius in (2, 3):
+        found, at = K.follow(flags[both], one[both], two[both], radius)
+        assert 0 < found.sum() < len(found)
+        for f, start, other, ok, end in zip(flags[both], one[both], two[both], found, at):
+            front, want = [tuple(start)], None
+            seen = {(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1)} | {tuple(start), tuple(other)}
+            while front and want is None:
+                reached = {}
+                for r, (a, b) in enumerate(N.RING_8):
+                    for x, y in front:
+                        p = (x + a, y + b)
+                        if max(map(abs, p)) <= 4 and f[p[0] + 4, p[1] + 4] and p not in seen:
+                            reached.setdefault(p, r)
+                want = min(((r, p) for p, r in reached.items() if max(map(abs, p)) > radius), default=(0, None))[1]
+                seen |= set(reached)
+                front = list(reached)
+            assert ok == (want is not None) and (want is None or tuple(end) == want)
+
+
+@pytest.mark.parametrize("family,params", [("line", [.2, -.5]), ("quadratic", [.1, .4, -.7]), ("curve_poly", [.3, .1, -.2, .5, .25]),
+                                           ("arc", [.1, -.4, 1.3, 1.]), ("arc", [-.2, 1.6, 1.1, -1.]), ("corner", [.1, .5, 1., .6, -.3])])
+def test_slopes_of_graphs(spark, family, params):
+    x = spark.range(9).select((F.col("id") / 8 - .5 + 1e-3).alias("t"), F.array(*[F.lit(v) for v in params]).alias("p"))
+    h = 1e-5
+    rise = (curve_height(family, F.col("p"), F.col("t") + h) - curve_height(family, F.col("p"), F.col("t") - h)) / (2 * h)
+    for r in x.select(graph_slope(family, F.col("p"), F.col("t")).alias("s"), rise.alias("d")).collect():
+        assert r.s == pytest.approx(r.d, abs=1e-6)
+
+
 def test_region_stencil_is_the_same_across_the_seam(spark):
     n, rows = 8, [("g", i, j, 0.0, 0) for i in range(8) for j in range(8)]
     cells = spark.createDataFrame(rows, "grid_id string, i int, j int, u double, kind int")
