@@ -23,7 +23,7 @@ from cellweave.llm.near_dedup import keep_representatives, near_dedup
 from cellweave.llm.packing import Encoder, pack, pack_lengths
 from cellweave.llm.pii import personal_data
 from cellweave.llm.postings import nearest_neighbours
-from cellweave.llm.sharding import shard_documents
+from cellweave.llm.sharding import kd_shards, shard_documents
 from cellweave.llm.toxicity import reject_toxic, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -247,6 +247,37 @@ def test_personal_data(spark, docs, empty):
     assert personal_data(empty).count() == 0
 
 
+def test_trees_add_other_shapes_and_refuse_numbers(spark):
+    """Taught by base matches and plain numbers only, the trees find shapes that no base pattern matches."""
+    rng = np.random.default_rng(9)
+
+    def digits(n):
+        return "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        while True:
+            d = digits(16)
+            if sum(int(x) if i % 2 else (2 * int(x) - 9 if int(x) > 4 else 2 * int(x)) for i, x in enumerate(d)) % 10 == 0:
+                return " ".join(d[i:i + 4] for i in range(0, 16, 4))
+
+    texts = []
+    for i in range(1500):
+        name, site = f"user{digits(3)}", f"site{digits(2)}.org"
+        ip = ".".join(map(str, rng.integers(0, 256, 4)))
+        texts.append([f"please write to {name}@{site} today", f"call us +{digits(2)} {digits(3)} {digits(7)} now", f"the host {ip} was up",
+                      f"my card {card()} is new", f"order {digits(16)} came", f"id {digits(12)} and id {digits(10)}",
+                      f"commit a{digits(10)}f{digits(3)}", f"version 300.400.{digits(3)}.900 of it"][i % 8])
+    hidden = {5000: ("email", "jane (at) places (dot) org"), 5001: ("email", "bob[at]things.net"), 5002: ("ip", "10[.]20[.]30[.]40"),
+              5003: ("card", "4111.1111.1111.1111"), 5004: ("phone", "0049 301 2345678")}
+    clean = {6000: "order 9807915762804490 came", 6001: "commit a5723915241f370", 6002: "version 300.400.512.900 of it", 6003: "id 572391524123"}
+    rows = list(enumerate(texts)) + [(i, f"please call {t} for it") for i, (_, t) in hidden.items()] + list(clean.items())
+    table = spark.createDataFrame([(i, t, 1, "k", 2) for i, t in rows], "doc_id long, text string, row int, kind string, start int")
+    got = {r.doc_id: r for r in personal_data(table).collect()}
+    for i, (kind, t) in hidden.items():
+        assert got[i].spans == f"{kind}:12:{12 + len(t)}" and got[i].n_added == 1, (i, got[i])
+    assert all(got[i].spans == "" for i in clean) and sum(r.n_added for r in got.values()) == len(hidden)
+
+
 def test_personal_data_on_the_given_documents(spark):
     want = {r.doc_id: brute_spans(r.text) for r in spark.read.parquet(f"{D}/documents.parquet").collect()}
     for r in registry.QUERIES["op4_boosted_pii"](spark, D).collect():
@@ -298,6 +329,27 @@ def test_shards_are_balanced(spark):
     for r in rows:
         sizes[r.shard] += r.size
     assert len(sizes) == 16 and max(sizes.values()) < 1.1 * min(sizes.values())
+    # every node is cut along metadata, the same for all its rows, and different nodes along different dimensions
+    ways = collections.defaultdict(set)
+    for r in rows:
+        for level, name in enumerate(r.cuts.split("/")):
+            ways[r.shard >> (4 - level), level].add(name)
+    assert len(ways) == 15 and all(len(names) == 1 for names in ways.values())
+    assert set().union(*ways.values()) <= {"length", "script", "words", "marks"} and len(set().union(*ways.values())) >= 3
+
+
+def test_widest_dimension_is_cut(spark):
+    """Dimensions of different scales, one tied at its median: the tree follows relative widths, worked out by hand."""
+    rng = np.random.default_rng(3)
+    # a: even; b: even but of a far larger scale; c: nine tenths are zero
+    rows = [(1, int(h), i, int(a), int(b), int(c)) for i, (h, a, b, c) in enumerate(zip(
+        rng.integers(0, 2**62, 2000), rng.permutation(2000), rng.permutation(2000) * 1_000_000, np.where(rng.random(2000) < .9, 0, rng.integers(1, 9**9, 2000))))]
+    given = spark.createDataFrame(rows, "size long, id_hash long, checksum long, a long, b long, c long")
+    got = kd_shards(given, ["c", "a", "b"], leaves=4).collect()
+    assert {r.cuts for r in got} == {"a/b"} and sorted(collections.Counter(r.shard for r in got).values()) == [500] * 4
+    assert all((r.a >= 1000) == (r.shard >= 2) for r in got)
+    same = kd_shards(given.withColumns({n: F.lit(5) for n in ("a", "b", "c", "checksum")}), ["a", "b"], leaves=2).collect()
+    assert sorted(collections.Counter(r.shard for r in same).values()) == [1000, 1000]
 
 
 def test_nearest_neighbours(spark):
