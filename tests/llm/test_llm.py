@@ -187,6 +187,32 @@ PAGE = ("<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>
         "<aside>Side</aside><footer>&copy; me</footer></body></html>")
 
 
+def test_templates_alone_find_the_article(spark):
+    """No markup names the parts: menus of a site's few kinds go, as they stand beside different articles; copied articles stay."""
+    rng = np.random.default_rng(12)
+    words = [f"word{i}" for i in range(500)]
+
+    def prose(n):
+        return [" ".join(rng.choice(words, 12)) for _ in range(n)]
+
+    menus = [f"<div><ul><li>Home {i}<li>News {i}</ul></div>" for i in range(4)]
+    ends = [f"<div>Imprint {i} <span>of the site</span></div>" for i in range(3)]
+    copied, bodies = prose(4), {}
+    rows = []
+    for k in range(60):
+        body = copied if k % 12 == 0 else prose(int(rng.integers(2, 6)))
+        shared = ["Read on below."] if k % 3 else []  # a line of two thirds of all articles
+        text = "".join(f"<p>{t}</p>" for t in body[:1] + shared + body[1:])
+        rows.append((k, f"https://site.example/{k}", f"<body>{menus[k % 4]}<div>{text}</div>{ends[k % 3]}</body>"))
+        bodies[k] = "\n\n".join(body)
+    # a small host: nothing recurs beside three different articles, so nothing is deleted
+    rows += [(100 + k, f"https://few.example/{k}", f"<body><div><ul><li>Menu</ul></div><div><p>{'same text' if k else 'other text'}</p></div></body>") for k in range(9)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for broadcast in (1000, 0):
+        got = {r.page_id: r.text for r in extract_text(pages, broadcast=broadcast).collect()}
+        assert all(got[k] == bodies[k] for k in bodies) and all(got[100 + k].startswith("Menu\n\n") for k in range(9))
+
+
 def test_html(spark):
     rows = [(k, f"https://a.example/{k}", PAGE.format(k=k), "h", "t") for k in range(8)]
     rows += [(20, None, PAGE.format(k=20), "h", "t"), (21, "nonsense", None, "h", "t"), (22, "http://b.example", "", "h", "t"),
