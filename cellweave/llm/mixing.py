@@ -19,6 +19,8 @@ from cellweave.llm.common import cut, word_count
 
 #: Relative size below which an amount of flow counts as nothing.
 NOTHING = 1e-9
+#: Patterns up to which tables with one row for each pattern are broadcast; larger catalogues are joined by shuffles.
+CATALOGUE = 50_000
 
 
 def targets(sizes: dict[str | None, int], weights: dict[str | None, float], repeats: int = 3) -> dict[str | None, float]:
@@ -114,30 +116,35 @@ def select_documents(sized: DataFrame, wanted: DataFrame, passes: tuple[int, ...
     over ranges of draws, and over documents only in the range where a limit falls.
     """
     bits = max(0, (max(1, sized.count() // rows_per_bucket) - 1).bit_length())
+    few = wanted.count() <= CATALOGUE
+
+    def near(by_pattern: DataFrame) -> DataFrame:
+        return F.broadcast(by_pattern) if few else by_pattern
+
     state = sized.withColumn("bucket", F.shiftrightunsigned(F.col("draw"), 63 - bits)).withColumn("extra", F.lit(0))
     left = wanted
     for level in passes:
         fits = (F.col("extra") == level) & (F.col("rounds") + F.col("extra") < repeats) & (F.col("size") > 0) & (F.col("size") <= F.col("words"))
-        free = state.join(left, "pattern").filter(fits)
+        free = state.join(near(left), "pattern").filter(fits)
         sums = free.groupBy("pattern", "bucket").agg(F.sum("size").alias("mass"), F.max("words").alias("words"))
         upto = F.sum("mass").over(Window.partitionBy("pattern").orderBy("bucket"))
         edge = (sums.withColumn("before", upto - F.col("mass"))
                 .filter("before <= words AND before + mass > words").select("pattern", F.col("bucket").alias("edge"), "before"))
         rows = Window.partitionBy("pattern").orderBy("draw", "row").rowsBetween(Window.unboundedPreceding, 0)
-        last = (free.join(edge, "pattern").filter("bucket = edge")
+        last = (free.join(near(edge), "pattern").filter("bucket = edge")
                 .withColumn("upto", F.col("before") + F.sum("size").over(rows)).filter("upto <= words")
                 .groupBy("pattern").agg(F.max(F.struct("draw", "row")).alias("last")))
         limits = left.join(edge, "pattern", "left").join(last, "pattern", "left").select("pattern", "words", "rounds", "edge", "last")
         inside = F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | (
             (F.col("bucket") == F.col("edge")) & (F.struct("draw", "row") <= F.col("last")))
-        state = _choose(state, limits, fits & inside)
+        state = _choose(state, near(limits), fits & inside)
         got = state.groupBy("pattern").agg(F.sum(F.col("size") * F.col("extra")).alias("got"))
         left = cut(wanted.join(got, "pattern").select("pattern", (F.col("words") - F.col("got")).alias("words"), "rounds"), "left")
     gap = F.abs(F.col("size") - F.col("words"))
-    nearest = (state.join(left, "pattern").filter(F.col("rounds") + F.col("extra") < repeats).filter("size > 0 AND size < 2 * words")
+    nearest = (state.join(near(left), "pattern").filter(F.col("rounds") + F.col("extra") < repeats).filter("size > 0 AND size < 2 * words")
                .groupBy("pattern").agg(F.min(F.struct(gap.alias("gap"), "extra", "draw", "row")).alias("best")))
     best = nearest.select("pattern", F.col("best.row").alias("best_row"))
-    return _choose(state, best, F.col("row") == F.col("best_row")).drop("bucket")
+    return _choose(state, near(best), F.col("row") == F.col("best_row")).drop("bucket")
 
 
 def _choose(state: DataFrame, limits: DataFrame, chosen: Column) -> DataFrame:
@@ -185,7 +192,7 @@ def mix(docs: DataFrame, members: Column | None = None, weights: dict[str | None
     spark = docs.sparkSession
     plan = spark.createDataFrame(plan, "pattern string, rounds int, words double, source_size long, target double")
     chosen = select_documents(rows.select("row", "pattern", "size", "draw"), plan.select("pattern", "words", "rounds"), passes, repeats)
-    uses = chosen.select("row", "extra").join(rows.select("row", "doc_id", "source", "pattern", "size"), "row").join(plan, "pattern")
+    uses = chosen.select("row", "extra").join(rows.select("row", "doc_id", "source", "pattern", "size"), "row").join(F.broadcast(plan) if len(owners) <= CATALOGUE else plan, "pattern")
     uses = uses.withColumn("uses", F.when(F.col("size") > 0, F.col("rounds") + F.col("extra")).otherwise(0))
     return uses.select("doc_id", "source", "size", "source_size", "target",
                        (F.col("size") * F.col("uses")).cast("long").alias("taken"), F.col("uses").cast("int").alias("uses"))
