@@ -204,9 +204,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     open_ = cut(labelled.join(mixed.select("key"), "key").select("doc_id", "component").distinct().join(sizes, "doc_id"), "open")
     share = min(1.0, ORDER_DOCS / max(1, open_.count()))
     drawn = open_.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(share * 1_000_000)).select("doc_id")
-    seen = (texts.join(drawn, "doc_id", "left_semi").mapInArrow(partial(_set_batches, length=length), "doc_id long, shingles array<long>")
-            .select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().filter("count > 1")
-            .orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).toPandas().sort_values("shingle"))
+    shingles = cut(texts.join(drawn, "doc_id", "left_semi").mapInArrow(partial(_set_batches, length=length), "doc_id long, shingles array<long>")
+                   .select(F.explode("shingles").alias("shingle")).groupBy("shingle").count().filter("count > 1"), "counted")
+    # the most frequent by a threshold: a sort with a limit would send that many rows from every task
+    left, least = ORDER_SHINGLES, 2**62
+    for r in shingles.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).collect():  # at most about ORDER_DOCS
+        left -= r.n
+        if left < 0:
+            break
+        least = r["count"]
+    seen = shingles.filter(F.col("count") >= least).toPandas().sort_values("shingle")  # at most ORDER_SHINGLES rows
     rarest = partial(_rarest_batches, length=length, common=seen["shingle"].to_numpy(np.int64), counts=seen["count"].to_numpy(np.int64))
     tokens = (texts.join(open_.select("doc_id"), "doc_id", "left_semi").mapInArrow(rarest, "doc_id long, rarest array<long>")
               .join(open_, "doc_id").select("doc_id", "component", "n", F.posexplode("rarest").alias("place", "token")))
