@@ -38,17 +38,21 @@ PIECES = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{DIGIT}]+| ?[^{BLANK}{LETT
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes; words are encoded once and remembered up to a bound.
+    """Ids of texts as little-endian 32-bit bytes; words are encoded once and remembered within a bound in bytes.
+
+    Words met since the last turn stand in `known`, those of the turn before in `old`; when `known` has half the bound it
+    becomes `old`, so that frequent words stay and a worker's memory does not grow.
 
     Byte-level BPE never merges across its pre-tokenizer's pieces, so a text's ids are those of its pieces in a row.
     """
 
-    def __init__(self, tokenizer_json: str, bound: int = 800_000):
+    def __init__(self, tokenizer_json: str, bound: int = 64_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.known: dict[str, bytes] = {}
-        self.bound = bound
+        self.old: dict[str, bytes] = {}
+        self.bound, self.held = bound, 0
         self.foreign, self.pieces = re.compile(FOREIGN), re.compile(PIECES)
         # fixed rule of byte-level BPE: printable bytes stand for themselves, the others for the signs from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -82,10 +86,14 @@ class Encoder:
                 held += len(texts[end])
                 end += 1
             words = [self.pieces.findall(t) if self._plain(t) else None for t in texts[start:end]]
-            if len(self.known) > self.bound:
-                self.known.clear()
+            if self.held > self.bound // 2:
+                self.old, self.known, self.held = self.known, {}, 0
             new = list(set(chain.from_iterable(w for w in words if w)).difference(self.known))
-            self.known.update(zip(new, map(self._encode_word, new)))
+            found = map(self.old.get, new)
+            made = [self._encode_word(w) if e is None else e for w, e in zip(new, found)]
+            self.known.update(zip(new, made))
+            # an entry's objects and its place in the table
+            self.held += 220 * len(new) + sum(map(len, new)) + sum(map(len, made))
             get = self.known.__getitem__
             for text, own in zip(texts[start:end], words):
                 yield self._encode([text])[0] if own is None else b"".join(map(get, own))
