@@ -25,11 +25,11 @@ def unit_area(families, p, t: Column, s: Column) -> Column:
 
 
 def score_rows(rows: DataFrame, key: list[str], families, size: tuple[int, int], k: int = 3, p: float = 2.0,
-               center_weight: float = 0.0, cut_only: bool = False) -> DataFrame:
+               center_weight: float | Column = 0.0, cut_only: bool = False) -> DataFrame:
     """Loss of proposals that stand one per row next to their window w_u (size).
 
     loss = sum over the k x k neighbours of |data - model average|^p, plus
-    center_weight times the centre term; with cut_only, members whose label in
+    center_weight (a number, or an expression over `key`) times the centre term; with cut_only, members whose label in
     w_kind is 0 do not count.  Every member is a row of scalars, so the areas run
     in generated code, and the sums need no shuffle when the rows are still
     partitioned by a part of `key`.  A "constant" proposal is the fallback: its
@@ -60,7 +60,7 @@ def score_rows(rows: DataFrame, key: list[str], families, size: tuple[int, int],
     gap = F.col("_u") - F.col("value_up") * whole - (F.col("value_down") - F.col("value_up")) * F.col("_below")
     c = c.withColumn("_gap", gap)
     e = F.pow("_gap", 2) if p == 2 else F.abs("_gap") if p == 1 else F.pow(F.abs("_gap"), p)
-    if center_weight:
+    if isinstance(center_weight, Column) or center_weight:
         e = e * F.when((F.col("_t") == 0) & (F.col("_s") == 0), 1.0 + center_weight).otherwise(1.0)
     if cut_only:
         e = F.when(F.col("_k") != 0, e).otherwise(0.0)

@@ -9,11 +9,10 @@ from cellweave.operators import curves as C
 from cellweave.operators import grid_ops as G
 from cellweave.operators import learning as ML
 from cellweave.operators.labels import label_piecewise
-from cellweave.operators.resample import resample_interface_only
 from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import PATCH, PATCH_SQL, labelled_patch, patch, table
 from cellweave.plans.queries_grid import r6
-from cellweave.plans.reconstruct import PRESETS, fit_cells
+from cellweave.plans.reconstruct import PRESETS, fit_cells, run_sweep
 from cellweave.plans.registry import query, rounded
 from cellweave.schema import KEY
 from cellweave.sources import samples as D
@@ -101,7 +100,7 @@ def log_spaced(spark, d):
 
 @query("disc_sweep")
 def disc_sweep(spark, d):
-    """One disc per supplier and grid size; all grids are fitted in one job, then rates per model."""
+    """One disc per supplier and grid size; all grids and models are fitted in one plan, then rates per model."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey"), (0.2 + (F.col("s_suppkey") % 50) / 500.0).alias("r"))
     shapes = Q.param_grid(s, n=[10, 14, 20]).select(
         F.concat_ws("-", "s_suppkey", "n").alias("grid_id"), "n", F.col("n").alias("ni"), F.col("n").alias("nj"),
@@ -110,11 +109,8 @@ def disc_sweep(spark, d):
     grids = shapes.select("grid_id", "ni", "nj", F.lit("cyclic").alias("mode_i"), F.lit("cyclic").alias("mode_j"))
     cells = rasterize_shapes(shapes, "disc")
     truth = true_fine_grid(shapes, "disc", cells, 4)
-    out = None
-    for name in ("constant", "elvira_w"):
-        fine = resample_interface_only(fit_cells(label_piecewise(cells), grids, PRESETS[name]), 4, PRESETS[name].families)
-        err = Q.error_norms(fine, truth).join(shapes.select("grid_id", "n"), "grid_id").withColumn("model", F.lit(name))
-        out = err if out is None else out.unionByName(err)
+    err = run_sweep(cells, truth, grids, [PRESETS["constant"], PRESETS["elvira_w"], PRESETS["aero_linear"]], 4)
+    out = err.join(shapes.select("grid_id", "n"), "grid_id").withColumnRenamed("preset", "model")
     return rounded(Q.convergence_rate(out.groupBy("model", "n").agg(F.avg("error_l1").alias("error_l1"))), 5)
 
 

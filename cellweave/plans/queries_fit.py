@@ -15,7 +15,7 @@ from cellweave.operators.scoring import winner_counts
 from cellweave.plans.fixtures import (PATCH, PATCH_SQL, area_line_sql, column_sums_sql, labelled_patch, patch, sums_sql,
                                       table, window_sql)
 from cellweave.plans.queries_grid import r6
-from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, proposal_rows, scored_proposals
+from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, fit_sweep, proposal_rows, scored_proposals
 from cellweave.plans.registry import query, rounded
 from cellweave.schema import CUT, KEY
 
@@ -407,12 +407,24 @@ def preset_sql(sources, cands, weight):
 SELECT grid_id, kind, CAST(count(*) AS INTEGER) AS n, round(sum(loss), 4) + 0.0 AS loss FROM lab LEFT JOIN best USING (grid_id, i, j) GROUP BY 1, 2"""
 
 
+#: Presets of one sweep over the patches.
+SWEEP = ("constant", "elvira", "elvira_w", "aero_linear")
 PRESET_SQL = {
     "constant": f"WITH {PATCH_SQL} SELECT grid_id, kind, CAST(count(*) AS INTEGER) AS n, CAST(NULL AS DOUBLE) AS loss FROM lab GROUP BY 1, 2",
     "elvira": preset_sql(sums_sql(3, 3, 0.0, 5), LINE_CANDS, 1),
     "elvira_w": preset_sql(sums_sql(3, 3, 0.0, 5), LINE_CANDS, 101),
     "aero_linear": preset_sql(sums_sql(3, 5, 45.0, 5), f"{CONSISTENT} sums", 101),
 }
+SWEEP_SQL = " UNION ALL ".join(f"SELECT '{n}' AS preset, * FROM ({PRESET_SQL[n]})" for n in SWEEP)
+
+
+@query("fit_sweep", SWEEP_SQL)
+def sweep_losses(spark, d):
+    """Four presets in one plan with one shuffle of the cells."""
+    f = fit_sweep(labelled_patch(spark, d), PATCH, [PRESETS[n] for n in SWEEP])
+    return rounded(f.groupBy("preset", "grid_id", "kind").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("loss").alias("loss")), 4)
+
+
 for name in PRESETS:
     @query(f"fit_preset_{name.replace('+', '_')}", PRESET_SQL.get(name))
     def preset_losses(spark, d, name=name):

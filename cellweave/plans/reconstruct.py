@@ -10,12 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cellweave.functions.index import let
 from cellweave.operators import curves as C
 from cellweave.operators.labels import fixed_axes, gradient_axes, label_piecewise, window_gradient
-from cellweave.operators.resample import resample_average
+from cellweave.operators.resample import resample_average, resample_interface_only
 from cellweave.operators.scoring import FIELDS, score_rows, select_best
 from cellweave.operators.windows import tile_key, with_windows
 from cellweave.schema import CUT, KEY, PROPOSAL, GridShape, proposal
@@ -113,6 +113,84 @@ def scored_proposals(labelled: DataFrame, shape: GridShape | DataFrame, preset:
     return scored.select(*KEY, *FIELDS, "loss")
 
 
+def _axes(w: Column, size: tuple[int, int], preset: Preset) -> Column:
+    if preset.axis is not None:
+        return fixed_axes(preset.axis)
+    gx, gy = window_gradient(w, size, preset.gradient, 3)
+    return let(F.struct(gx.alias("x"), gy.alias("y")), lambda g: gradient_axes(g["x"], g["y"], preset.angle))
+
+
+def fit_sweep(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[Preset]) -> DataFrame:
+    """fit_cells for several presets in one plan: its columns and `preset`, the name.
+
+    All presets read the same windows, so cells are shuffled once whatever the number of presets; the preset is a column
+    that goes along with proposals, scores and winners.  The presets must agree in p, eps and score_cut_only.
+    """
+    if len({(x.p, x.eps, x.score_cut_only) for x in presets}) != 1:
+        raise ValueError("presets of a sweep must agree in p, eps and score_cut_only")
+    c = labelled.select(*KEY, "u", "kind")
+    k = max(x.window for x in presets)
+    size = (k, k)
+    names = F.array(*[F.lit(x.name) for x in presets])
+    plain = c.withColumn("_preset", F.explode(F.sequence(F.lit(0), F.lit(len(presets) - 1)))).filter(
+        (F.col("kind") != CUT) | F.col("_preset").isin(*[n for n, x in enumerate(presets) if not x.models]))
+    plain = plain.select(
+        *KEY, "u", "kind", F.lit(0).alias("model_idx"), F.lit(0).alias("axis"), F.lit(0).alias("cand"), F.lit("constant").alias("family"),
+        F.array("u").alias("params"), F.col("u").alias("value_up"), F.col("u").alias("value_down"), F.lit(None).cast("double").alias("loss"),
+        F.get(names, F.col("_preset")).alias("preset"))
+    active = [(n, x) for n, x in enumerate(presets) if x.models]
+    if not active:
+        return plain
+    w = with_windows(c, shape, k, k, ["u", "kind"], where=F.col("kind") == CUT, keep_tile=True)
+    key = tile_key(shape) + ["i", "j", "_preset", "_own"]
+    tried = F.concat(*[_tried(_axes(F.col("w_u"), size, x), n) for n, x in active])
+    w = w.withColumn("_try", F.explode(tried)).select(
+        *tile_key(shape), "i", "j", "u", F.col("u").alias("_own"), "w_u", "w_kind", F.col("_try.preset").alias("_preset"),
+        F.col("_try.rank").alias("_rank"), F.col("_try.axis").alias("_axis"))
+    levels, models = None, None
+    for n, x in active:
+        own = F.col("_preset") == n
+        levels = F.when(own, _levels(x, size)) if levels is None else levels.when(own, _levels(x, size))
+    w = w.withColumn("_lv", levels)
+    for n, x in active:
+        own = F.col("_preset") == n
+        made = F.concat(*[C.curve_proposals(m, at + 1, F.col("w_u"), F.col("w_kind"), size, F.col("_axis"), F.col("_rank"), F.col("_lv"))
+                          for at, m in enumerate(x.models)])
+        models = F.when(own, made) if models is None else models.when(own, made)
+    usable = F.filter(models, lambda m: m["params"].isNotNull() & m["value_up"].isNotNull() & m["value_down"].isNotNull())
+    keep = proposal(0, F.col("_rank"), 0, F.lit(0), "constant", F.array("u"), F.col("u"), F.col("u"))
+    rows = w.select(*key, "w_u", "w_kind", F.inline(F.concat(F.array(keep), usable)))
+    families = tuple(dict.fromkeys(f for _, x in active for f in x.families))
+    weights = F.get(F.array(*[F.lit(float(x.center_weight)) for x in presets]), F.col("_preset"))
+    scored = score_rows(rows, key, families, size, 3, presets[0].p, weights, presets[0].score_cut_only)
+    best = select_best(scored, presets[0].eps, key)
+    return plain.unionByName(best.select(
+        *KEY, F.col("_own").alias("u"), F.lit(CUT).alias("kind"), "model_idx", "axis", "cand", "family", "params", "value_up", "value_down",
+        F.when(F.col("family") != "constant", F.col("loss")).alias("loss"), F.get(names, F.col("_preset")).alias("preset")))
+
+
+def _tried(axes: Column, preset: int) -> Column:
+    return F.transform(axes, lambda a, r: F.struct(F.lit(preset).alias("preset"), r.alias("rank"), a.alias("axis")))
+
+
+def _levels(preset: Preset, size: tuple[int, int]) -> Column:
+    bound = F.struct(F.col("w_u").alias("u"), F.col("w_kind").alias("k"))
+    return let(bound, lambda b: preset.levels(b["u"], b["k"], size, F.col("_axis")))
+
+
+def run_sweep(cells: DataFrame, truth: DataFrame, shape: GridShape | DataFrame, presets: list[Preset], f: int,
+              label=label_piecewise) -> DataFrame:
+    """grid_id, preset, error_l1, error_linf: every preset on every grid against a truth f times finer, as one plan."""
+    fits = fit_sweep(label(cells), shape, presets)
+    families = tuple(dict.fromkeys(x for p in presets for x in p.families))
+    apart = fits.withColumn("grid_id", F.to_json(F.struct("grid_id", "preset")))
+    fine = resample_interface_only(apart, f, families)
+    named = F.from_json("grid_id", "grid_id string, preset string")
+    fine = fine.withColumn("_n", named).select(F.col("_n.grid_id").alias("grid_id"), "i", "j", F.col("_n.preset").alias("preset"), F.col("u").alias("v"))
+    gap = F.abs(F.col("v") - F.col("u"))
+    return fine.join(truth, KEY).groupBy("grid_id", "preset").agg(F.avg(gap).alias("error_l1"), F.max(gap).alias("error_linf"))
+
+
 def fit_cells(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset) -> DataFrame:
     """Best model of every cell.
 
@@ -137,16 +215,17 @@ def fit_cells(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset)
         "value_up", "value_down", F.when(F.col("family") != "constant", F.col("loss")).alias("loss")))
 
 
-def reconstruct(cells: DataFrame, shape: GridShape, preset: Preset, refinement: int = 1,
-                label=label_piecewise) -> tuple[DataFrame, GridShape]:
+def reconstruct(cells: DataFrame, shape: GridShape | DataFrame, preset: Preset, refinement: int = 1,
+                label=label_piecewise) -> tuple[DataFrame, GridShape | DataFrame]:
     """Fits after `refinement` passes of fit -> resample x2 -> fit.
 
-    Lineage is cut between passes; with several passes the returned shape is the
-    finer one.
+    Lineage is cut between passes; with several passes the returned shape is the finer one.  A `grids` table lets grids
+    of different sizes go through the same passes; it is refined along with them.
     """
     for step in range(refinement):
         fits = fit_cells(label(cells), shape, preset)
         if step < refinement - 1:
             cells = cut_lineage(resample_average(fits, 2, families=preset.families))
-            shape = replace(shape, ni=shape.ni * 2, nj=shape.nj * 2)
+            shape = (replace(shape, ni=shape.ni * 2, nj=shape.nj * 2) if isinstance(shape, GridShape) else
+                     shape.withColumns({n: (F.col(n) * 2).cast("int") for n in ("ni", "nj")}))
     return fits, shape

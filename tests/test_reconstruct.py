@@ -1,6 +1,7 @@
 """Exactness on the models' own shapes and the convergence of the whole chain."""
 
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from cellweave.operators.labels import label_piecewise
 from cellweave.operators.resample import (curve_polyline, resample_average, resample_interface_only,
                                           resample_points)
 from cellweave.operators.scoring import winner_counts
-from cellweave.plans.reconstruct import PRESETS, fit_cells, reconstruct, scored_proposals
+from cellweave.plans.reconstruct import PRESETS, fit_cells, fit_sweep, reconstruct, run_sweep, scored_proposals
 from cellweave.schema import EXTEND, GridShape
 from cellweave.sources.shapes import rasterize_shapes, true_fine_grid
 
@@ -96,3 +97,38 @@ def test_refinement_passes(spark, tmp_path):
     assert shape.ni == 2 * n and fits.count() == 4 * n * n
     total = resample_average(fits, 1, families=PRESETS["elvira_w"].families).agg(F.avg("u")).first()[0]
     assert total == pytest.approx(math.pi * .232 ** 2, abs=2e-3)
+
+
+def test_sweep_equals_single_fits_and_needs_one_shuffle_of_the_cells(spark):
+    shapes = discs(spark, [12, 17])
+    grids = shapes.select("grid_id", "ni", "nj", F.lit("cyclic").alias("mode_i"), F.lit("cyclic").alias("mode_j"))
+    cells = label_piecewise(rasterize_shapes(shapes, "disc")).cache()
+    presets = [PRESETS[n] for n in ("constant", "elvira_w", "aero_quadratic", "aero_cubic", "circle")]
+    key = ["grid_id", "i", "j"]
+    sweep = {(r.preset, r.grid_id, r.i, r.j): r for r in fit_sweep(cells, grids, presets).collect()}
+    assert len(sweep) == len(presets) * (144 + 289)
+    for p in presets:
+        for r in fit_cells(cells, grids, p).collect():
+            got = sweep[p.name, r.grid_id, r.i, r.j]
+            assert (got.family, got.kind, got.cand, got.axis) == (r.family, r.kind, r.cand, r.axis)
+            assert np.allclose(got.params, r.params) and (got.loss is None) == (r.loss is None)
+    one = fit_sweep(cells, grids, presets)._jdf.queryExecution().optimizedPlan().toString()
+    assert one.count("RepartitionByExpression") == 1
+    with pytest.raises(ValueError):
+        fit_sweep(cells, grids, [presets[0], replace(presets[1], p=1.0)])
+    truth = true_fine_grid(shapes, "disc", cells.select(*key, "u"), 4)
+    err = {(r.grid_id, r.preset): r.error_l1 for r in run_sweep(cells.select(*key, "u"), truth, grids, presets, 4).collect()}
+    assert len(err) == 10 and err["17", "aero_quadratic"] < err["17", "elvira_w"] < err["17", "constant"]
+
+
+def test_passes_on_grids_of_different_sizes(spark):
+    shapes = discs(spark, [10, 14])
+    grids = shapes.select("grid_id", "ni", "nj", F.lit("cyclic").alias("mode_i"), F.lit("cyclic").alias("mode_j"))
+    fits, finer = reconstruct(rasterize_shapes(shapes, "disc"), grids, PRESETS["elvira_w"], refinement=2)
+    assert {(r.grid_id, r.ni, r.nj) for r in finer.collect()} == {("10", 20, 20), ("14", 28, 28)}
+    both = {r.grid_id: r.n for r in fits.groupBy("grid_id").agg(F.count("*").alias("n")).collect()}
+    assert both == {"10": 400, "14": 784}
+    alone, _ = reconstruct(rasterize_shapes(discs(spark, [14]), "disc"), GridShape(14, 14), PRESETS["elvira_w"], refinement=2)
+    a = {(r.i, r.j): r.loss for r in alone.collect()}
+    assert all((a[r.i, r.j] is None) == (r.loss is None) and (r.loss is None or abs(a[r.i, r.j] - r.loss) < 1e-9)
+               for r in fits.filter("grid_id = '14'").collect())
