@@ -38,7 +38,7 @@ class _Buckets(dict):
     """Word -> bucket from 1 (0 stands before the first word), remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 150_000:
             self.clear()
         value = self[word] = 1 + xxhash.xxh3_64_intdigest(word) % (WORDS - 1)
         return value
@@ -134,12 +134,14 @@ def _score_batches(batches: Iterator[pa.RecordBatch], model: Classifier) -> Iter
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "score"])
 
 
-def _kept_batches(batches: Iterator[pa.RecordBatch], model: Classifier, threshold: float) -> Iterator[pa.RecordBatch]:
-    """Rows whose last column, the text, scores below the threshold, without that column."""
+def _kept_batches(batches: Iterator[pa.RecordBatch], model: Classifier, threshold: float, text_col: str) -> Iterator[pa.RecordBatch]:
+    """Rows whose text scores below the threshold, a thousand at a time."""
     letters, memo = re.compile(LETTERS), _Buckets()
-    for batch in batches:
-        keep = pa.array(model.scores(batch.columns[-1].to_pylist(), letters, memo) < threshold, pa.bool_())
-        yield pa.RecordBatch.from_arrays([c.filter(keep) for c in batch.columns[:-1]], schema=pa.schema(list(batch.schema)[:-1]))
+    for whole in batches:
+        for start in range(0, whole.num_rows, 1000):
+            batch = whole.slice(start, 1000)
+            texts = batch.column(text_col).cast(pa.string()).to_pylist()
+            yield batch.filter(pa.array(model.scores(texts, letters, memo) < threshold, pa.bool_()))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -203,5 +205,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of docs (all columns) that are not predicted toxic; nothing is shuffled for it."""
     model = fit_classifier(docs, labels, id_col, text_col)
-    beside = docs.select("*", F.col(text_col).cast("string").alias("__scored_text"))
-    return beside.mapInArrow(partial(_kept_batches, model=model, threshold=threshold), docs.schema)
+    return docs.mapInArrow(partial(_kept_batches, model=model, threshold=threshold, text_col=text_col), docs.schema)
