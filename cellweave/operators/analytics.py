@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from cellweave.plans.lineage import cut_lineage
 from cellweave.schema import KEY
 from cellweave.sources.binning import coarsen
 
@@ -65,36 +66,53 @@ def convergence_rate(results: DataFrame, min_n: float = 0, error: str = "error_l
     return r.groupBy(*by).agg(F.regr_slope(y, x).alias("rate"), F.regr_intercept(y, x).alias("origin"))
 
 
-BUCKETS = 1 << 20
+#: Buckets of one round, and rows of a bucket that are sorted at once.
+BUCKETS, SORTED = 1 << 20, 1 << 20
 
 
-def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]) -> DataFrame:
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], sorted_rows: int = SORTED) -> DataFrame:
     """Exact, linearly interpolated quantiles per group: by, prob, quantile.
 
     The built-in exact percentile keeps all distinct values of a group in one task.
-    Here equal-width buckets are counted first (partial sums), the few buckets that
-    hold the wanted ranks are found in a window of at most BUCKETS rows, and only
-    their values are sorted.
+    Here values are counted in buckets first (partial sums), and the few buckets that
+    hold the wanted ranks are found in a window of at most BUCKETS rows.  The first round has buckets of equal width on a
+    logarithmic scale, so that an outlier does not push all others into one; a bucket with more than sorted_rows
+    values is divided again between its own smallest and largest value, until all are small or hold one value.
+    Only then are the values of those buckets sorted.
     """
     d = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    stats = d.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    span = F.when(F.col("_hi") == F.col("_lo"), 1.0).otherwise(F.col("_hi") - F.col("_lo"))
-    bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / span * BUCKETS), F.lit(BUCKETS - 1))
-    placed = d.join(stats, by).select(*by, "_v", bucket.alias("_b"))
-    line = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(line), F.lit(0)))
-
+    stats = d.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.min(F.when(F.col("_v") != 0, F.abs("_v"))).alias("_unit"),
+                               F.count(F.lit(1)).alias("_n"))
     at = (F.col("_n") - 1) * F.col("prob")
     ranks = stats.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
     ranks = ranks.select(*by, "prob", at.alias("_h"), F.explode(F.array(F.floor(at), F.ceil(at))).alias("_r"))
-    wanted = ranks.join(counts, by).filter((F.col("_r") >= F.col("_before")) & (F.col("_r") < F.col("_before") + F.col("_c")))
-    spots = wanted.select(*by, "_b", "_before").distinct()
-    inner = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    values = placed.join(spots, [*by, "_b"]).groupBy(*by, "_b", "_before", "_v").agg(F.count(F.lit(1)).alias("_k"))
+
+    def scaled(v: Column) -> Column:
+        return F.signum(v) * F.log1p(F.abs(v) / F.coalesce("_unit", F.lit(1.0)))
+
+    spots, scale = stats.select(*by, "_lo", "_hi", "_unit", F.lit(0).cast("long").alias("_before")), scaled
+    while True:
+        low, high = scale(F.col("_lo")), scale(F.col("_hi"))
+        place = F.when(high == low, F.lit(0.0)).otherwise((scale(F.col("_v")) - low) / (high - low))
+        inside = d.join(spots, by).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+        bucket = F.greatest(F.lit(0), F.least(F.floor(place * BUCKETS), F.lit(BUCKETS - 1)))
+        counts = inside.groupBy(*by, "_lo", "_before", bucket.alias("_b")).agg(
+            F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most"))
+        line = Window.partitionBy(*by, "_lo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_upto", F.col("_before") + F.coalesce(F.sum("_c").over(line), F.lit(0)))
+        wanted = ranks.join(counts, by).filter((F.col("_r") >= F.col("_upto")) & (F.col("_r") < F.col("_upto") + F.col("_c")))
+        spots = cut_lineage(wanted.select(*by, F.col("_least").alias("_lo"), F.col("_most").alias("_hi"), F.lit(None).cast("double").alias("_unit"),
+                                          F.col("_upto").alias("_before"), "_c").distinct())
+        largest = spots.filter("_lo < _hi").agg(F.max("_c")).first()[0]
+        spots, scale = spots.drop("_c"), lambda v: v
+        if (largest or 0) <= sorted_rows:
+            break
+
+    inner = Window.partitionBy(*by, "_lo").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    values = (d.join(spots, by).filter((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+              .groupBy(*by, "_lo", "_before", "_v").agg(F.count(F.lit(1)).alias("_k")))
     values = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_k").over(inner), F.lit(0)))
-    hit = wanted.select(*by, "_b", "prob", "_h", "_r").join(values.drop("_before"), [*by, "_b"]).filter(
-        (F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_k")))
+    hit = ranks.join(values, by).filter((F.col("_r") >= F.col("_first")) & (F.col("_r") < F.col("_first") + F.col("_k")))
     low, high = F.min("_v"), F.max("_v")
     part = F.first("_h") - F.floor(F.first("_h"))
     return hit.groupBy(*by, "prob").agg((low + (high - low) * part).alias("quantile"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cellweave.functions import area as A
 from cellweave.operators import curves as C
+from cellweave.operators import grid_ops as G
 from cellweave.operators import resample as RS
 from cellweave.operators import surfaces as SF
 from cellweave.operators import transfer as TR
@@ -112,11 +113,30 @@ def circle_from_points(spark, d):
                     (F.round(middle, 4) + 0.0).alias("middle"))
 
 
+def broken_sql(v, lines):
+    """Area below two lines (b, m) that meet at t = v."""
+    turn = f"greatest(-0.5, least(0.5, {v}))"
+    return f"({area_line_sql(*lines[0], '-0.5', turn, '0.0')} + {area_line_sql(*lines[1], turn, '0.5', '0.0')})"
+
+
+def wedge_sql(vt, vs, a1, a2):
+    """Half-lines to both sides are a broken graph; to one side, a strip between two lines, which is up below the lower angle."""
+    turn = f"greatest(-0.5, least(0.5, {vt}))"
+    one, two = [(f"({vs} - tan({a}) * {vt})", f"tan({a})") for a in (a1, a2)]
+
+    def part(line, right):
+        return area_line_sql(*line, *((turn, "0.5") if right else ("-0.5", turn)), "0.0")
+    return f"""(CASE WHEN cos({a1}) >= 0 AND cos({a2}) >= 0 THEN {part(one, 1)} - {part(two, 1)} + CASE WHEN tan({a1}) >= tan({a2}) THEN 0 ELSE 1 END
+  WHEN cos({a1}) < 0 AND cos({a2}) < 0 THEN {part(one, 0)} - {part(two, 0)} + CASE WHEN tan({a1}) <= tan({a2}) THEN 0 ELSE 1 END
+  WHEN cos({a1}) >= 0 THEN {part(two, 0)} + {part(one, 1)} ELSE {part(one, 0)} + {part(two, 1)} END)"""
+
+
+AREA_SQL = {"corner": broken_sql("c0 / 2", (("c1", "c2"), ("c3", "c4"))), "wedge": wedge_sql("(c0 / 2)", "c1", "(3 * c2)", "(3 * c3)")}
 for fam, cols in {"curve_poly": lambda: F.array(*[c(n) for n in range(5)]),
                   "arc": lambda: F.array(c(0), c(1), F.abs(c(2)) + .2, F.signum(c(3))),
                   "corner": lambda: F.array(c(0) / 2, c(1), c(2), c(3), c(4)),
                   "wedge": lambda: F.array(c(0) / 2, c(1), 3 * c(2), 3 * c(3))}.items():
-    @query(f"area_{fam}")
+    @query(f"area_{fam}", f"WITH {COEF_SQL} SELECT vec_id, k, {r6(AREA_SQL[fam], 'area')} FROM coef" if fam in AREA_SQL else None)
     def family_area(spark, d, fam=fam, cols=cols):
         x = coefficients(spark, d).withColumn("p", cols())
         a = A.area_below(fam, F.col("p"), F.lit(-.5), F.lit(.5), F.lit(0.0), F.lit(1.0))
@@ -365,6 +385,13 @@ def select_best(spark, d):
     return rounded(f.filter("family = 'line'").select(*KEY, "loss"))
 
 
+@query("order_by_error", f"WITH {BEST_SQL} SELECT grid_id, i, j, {r6('loss')} FROM win1 ORDER BY loss DESC, grid_id, i, j LIMIT 300")
+def order_by_error(spark, d):
+    """The worst fitted cut cells of all patches."""
+    f = fit_cells(labelled_patch(spark, d), PATCH, PRESETS["elvira_w"]).filter("family = 'line'")
+    return rounded(G.order_by_error(f, top=300).select(*KEY, "loss"))
+
+
 @query("select_best_eps", f"""WITH RECURSIVE {SCORE_SQL},
 o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY grid_id, i, j ORDER BY axis_rank, cand) AS n FROM loss),
 fold AS (SELECT grid_id, i, j, n, loss FROM o WHERE n = 1

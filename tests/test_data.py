@@ -181,4 +181,11 @@ def test_rates_and_quantiles(spark):
     d = spark.createDataFrame([("m", float(k)) for k in range(101)] + [("m", float("nan"))], "model string, seconds double")
     q = Q.duration_stats(d).first()
     assert (q.q05, q.q50, q.q95, q["mean"]) == (5., 50., 95., 50.)
+    rng = np.random.default_rng(2)
+    groups = {"narrow": np.append(5 + rng.random(3000) * 1e-7, [1e12, -1e9]), "equal": np.full(3000, 2.5), "wide": 10.0 ** rng.uniform(-12, 12, 3000),
+              "signs": np.concatenate([rng.normal(size=2000), np.zeros(1500)]), "one": np.array([7.0])}
+    rows = spark.createDataFrame([(g, float(v)) for g, vs in groups.items() for v in vs], "model string, seconds double")
+    probs = [0.0, .05, .5, .93, 1.0]
+    for r in Q.exact_quantiles(rows, ["model"], "seconds", probs, sorted_rows=20).collect():
+        assert r.quantile == pytest.approx(np.quantile(groups[r.model], r.prob), rel=1e-12, abs=1e-300)
     assert sorted(x.n for x in Q.log_spaced(spark, 10, 1000, 3).collect()) == [10, 100, 1000]
