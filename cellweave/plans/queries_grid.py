@@ -458,23 +458,36 @@ def side_values_01(spark, d):
     return labelled_patch(spark, d).filter("kind = 1").select(*KEY, lv["down"].alias("value_down"), lv["up"].alias("value_up"))
 
 
-# planes: the average over a cell is the value at its centre
-OPPOSITE_SQL = SQL["opposite_by_window"].split("SELECT c.grid_id, c.i, c.j, CASE")[0]
-SIDE_SQL = OPPOSITE_SQL + """, opp AS (SELECT c.grid_id, c.i, c.j,
+OPPOSITE_SQL = SQL["opposite_by_window"].split("SELECT c.grid_id, c.i, c.j, CASE")[0].rstrip()
+
+
+# quadratic surfaces through the averages of 3 x 3 cells: weights of the three averages of an axis at a distance x from the
+# middle, for a value (eval) or the average over a cell there (avg)
+def weight_sql(d, x, kind):
+    square = f"({x} * {x}{' - 1 / 12.0' if kind == 'eval' else ''})"
+    return f"(CASE {d} WHEN -1 THEN ({square} - {x}) / 2 WHEN 0 THEN 1 - {square} ELSE ({square} + {x}) / 2 END)"
+
+
+def side_sql(how):
+    kind, place = how.split("_")
+    x, y = ("(-e.di)", "(-e.dj)") if place == "here" else ("0", "0")
+    return f"""{OPPOSITE_SQL}, opp AS (SELECT c.grid_id, c.i, c.j,
   CASE WHEN b.dj < a.dj THEN b.di ELSE a.di END AS ddi, CASE WHEN b.dj < a.dj THEN b.dj ELSE a.dj END AS ddj,
   CASE WHEN b.dj < a.dj THEN a.di ELSE b.di END AS udi, CASE WHEN b.dj < a.dj THEN a.dj ELSE b.dj END AS udj
   FROM lab c LEFT JOIN lo a ON a.grid_id = c.grid_id AND a.i = c.i AND a.j = c.j AND a.rn = 1
   LEFT JOIN hi b ON b.grid_id = c.grid_id AND b.i = c.i AND b.j = c.j AND b.rn = 1 WHERE c.kind = 1),
-{plane_windows}, plane AS MATERIALIZED (SELECT grid_id, i, j, avg(u) AS c0, sum(u * di) / 6 AS cx, sum(u * dj) / 6 AS cy FROM pw GROUP BY 1, 2, 3)
-SELECT o.grid_id, o.i, o.j, round(d.c0 - {here} * (d.cx * ddi + d.cy * ddj), 6) + 0.0 AS value_down,
-  round(e.c0 - {here} * (e.cx * udi + e.cy * udj), 6) + 0.0 AS value_up FROM opp o
-LEFT JOIN plane d ON d.grid_id = o.grid_id AND d.i = (o.i + ddi + 8) % 8 AND d.j = (o.j + ddj + 8) % 8
-LEFT JOIN plane e ON e.grid_id = o.grid_id AND e.i = (o.i + udi + 8) % 8 AND e.j = (o.j + udj + 8) % 8"""
+{window_sql(3, "lab", False, "pw")},
+side AS (SELECT grid_id, i, j, 0 AS up, ddi AS di, ddj AS dj FROM opp UNION ALL SELECT grid_id, i, j, 1, udi, udj FROM opp),
+val AS (SELECT e.grid_id, e.i, e.j, e.up, sum(w.u * {weight_sql('w.di', x, kind)} * {weight_sql('w.dj', y, kind)}) AS v
+  FROM side e JOIN pw w ON w.grid_id = e.grid_id AND w.i = (e.i + e.di + 8) % 8 AND w.j = (e.j + e.dj + 8) % 8 GROUP BY 1, 2, 3, 4)
+SELECT o.grid_id, o.i, o.j, {r6('d.v', 'value_down')}, {r6('u.v', 'value_up')} FROM opp o
+LEFT JOIN val d ON d.grid_id = o.grid_id AND d.i = o.i AND d.j = o.j AND d.up = 0
+LEFT JOIN val u ON u.grid_id = o.grid_id AND u.i = o.i AND u.j = o.j AND u.up = 1"""
 
 
 for how in ("eval_here", "avg_here", "eval_there", "avg_there"):
-    @query(f"side_values_{how}", SIDE_SQL.format(plane_windows=window_sql(3, "lab", False, "pw"), here=int(how.endswith("_here"))))
+    @query(f"side_values_{how}", side_sql(how))
     def sides(spark, d, how=how):
         c = labelled_patch(spark, d)
-        fits = surface_fits(c, PATCH, "poly", 3, degree=1)
+        fits = surface_fits(c, PATCH, "poly", 3, degree=2, full_rank=True)
         return rounded(S.side_values(S.opposite_by_window(c, PATCH, 0), fits, PATCH, how))
