@@ -434,6 +434,22 @@ def preset_sql(sources, cands, weight):
 SELECT grid_id, kind, CAST(count(*) AS INTEGER) AS n, round(sum(loss), 4) + 0.0 AS loss FROM lab LEFT JOIN best USING (grid_id, i, j) GROUP BY 1, 2"""
 
 
+# parabolas b + m t + q t^2; nearly straight ones are taken as lines, since their roots run away
+NARROW_AND_WIDE = sums_sql(3, 3, 0.0, 5, "narrow") + ", " + column_sums_sql(3, 5, "wide")
+PARABOLA = f"SELECT *, 20 AS cand, {QC} AS b, {QB} AS m, {QA} AS q FROM wide"
+
+
+def parabola_preset_sql(*cands):
+    """preset_sql for lines and parabolas; the area below a curve in a window's cell is taken in that cell's coordinates."""
+    loss = score_sql(NARROW_AND_WIDE, " UNION ALL ".join(cands)).split("gap AS (")[0]
+    area = f"CASE WHEN abs(c2) < 1e-6 THEN {area_line_sql('c0', 'c1', '-0.5', '0.5', '0.0')} ELSE {above_sql('0')} - {above_sql('1')} END"
+    return f"""WITH {loss} own AS (SELECT *, b + m * t + q * t * t - s AS c0, m + 2 * q * t AS c1, q AS c2 FROM near),
+gap AS (SELECT *, u - up - (down - up) * {area} AS e FROM own),
+loss AS (SELECT grid_id, i, j, axis, cand, sum(e * e * CASE WHEN di = 0 AND dj = 0 THEN 101 ELSE 1 END) AS loss FROM gap GROUP BY ALL),
+best AS (SELECT grid_id, i, j, min(loss) AS loss FROM loss GROUP BY 1, 2, 3)
+SELECT grid_id, kind, CAST(count(*) AS INTEGER) AS n, round(sum(loss), 4) + 0.0 AS loss FROM lab LEFT JOIN best USING (grid_id, i, j) GROUP BY 1, 2"""
+
+
 #: Presets of one sweep over the patches.
 SWEEP = ("constant", "elvira", "elvira_w", "aero_linear")
 PRESET_SQL = {
@@ -441,6 +457,9 @@ PRESET_SQL = {
     "elvira": preset_sql(sums_sql(3, 3, 0.0, 5), LINE_CANDS, 1),
     "elvira_w": preset_sql(sums_sql(3, 3, 0.0, 5), LINE_CANDS, 101),
     "aero_linear": preset_sql(sums_sql(3, 5, 45.0, 5), f"{CONSISTENT} sums", 101),
+    "aero_quadratic": parabola_preset_sql(PARABOLA),
+    "elvira+aero_quadratic": parabola_preset_sql(f"SELECT *, 0.0 AS q FROM ({LINE_CANDS.replace('FROM sums', 'FROM narrow')})", PARABOLA),
+    "aero_linear+quadratic": parabola_preset_sql(f"SELECT *, 0.0 AS q FROM ({CONSISTENT} wide)", PARABOLA),
 }
 SWEEP_SQL = " UNION ALL ".join(f"SELECT '{n}' AS preset, * FROM ({PRESET_SQL[n]})" for n in SWEEP)
 
