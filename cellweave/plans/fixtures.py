@@ -110,6 +110,31 @@ def area_line_sql(b: str, m: str, t0: str, t1: str, s0: str) -> str:
     return f"(CASE WHEN abs({m}) < 1e-7 THEN {flat} ELSE ({g(t1)} - {g(t0)}) / ({m}) END)"
 
 
+def arc_area_sql(xc, yc, r, side):
+    """Integral over [-.5, .5] of the height of a half circle, cut to [0, 1]; nothing where the circle does not reach.
+
+    With d the height of the centre above a level, the upper half lies above the level where |x| < sqrt(r^2 - d^2) if d < 0,
+    and the lower half where |x| > sqrt(r^2 - d^2) if d > 0.
+    """
+    def cut(t, limit):
+        return f"greatest(-({limit}), least({limit}, {t} - ({xc})))"
+
+    def prim(x):
+        return f"(({x}) * sqrt(greatest(0, {r} * {r} - ({x}) * ({x}))) + {r} * {r} * asin(greatest(-1, least(1, ({x}) / {r})))) / 2"
+
+    def between(d, limit, sign):
+        a, b = cut("-0.5", limit), cut("0.5", limit)
+        return f"(({d}) * ({b} - ({a})) {sign} ({prim(b)} - {prim(a)}))"
+
+    def above(level):
+        d = f"(({yc}) - {level})"
+        part = f"sqrt(greatest(0, {r} * {r} - {d} * {d}))"
+        upper = f"CASE WHEN {d} >= 0 THEN {between(d, r, '+')} ELSE {between(d, part, '+')} END"
+        lower = f"CASE WHEN {d} <= 0 THEN 0 ELSE {between(d, r, '-')} - {between(d, part, '-')} END"
+        return f"(CASE WHEN {side} > 0 THEN {upper} ELSE {lower} END)"
+    return f"({above(0)} - {above(1)})"
+
+
 def column_sums_sql(kt: int, ks: int, name: str) -> str:
     """Column sums s0.. of the kt x ks part of the normalised windows in memb."""
     ht, hs = kt // 2, ks // 2

@@ -13,8 +13,8 @@ from cellweave.operators import resample as RS
 from cellweave.operators import surfaces as SF
 from cellweave.operators import transfer as TR
 from cellweave.operators.scoring import winner_counts
-from cellweave.plans.fixtures import (PATCH, PATCH_SQL, area_line_sql, column_sums_sql, labelled_patch, patch, sums_sql,
-                                      table, window_sql)
+from cellweave.plans.fixtures import (PATCH, PATCH_SQL, arc_area_sql, area_line_sql, column_sums_sql, labelled_patch, patch,
+                                      sums_sql, table, window_sql)
 from cellweave.plans.queries_grid import r6
 from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, fit_sweep, proposal_rows, scored_proposals
 from cellweave.plans.registry import query, rounded
@@ -131,7 +131,8 @@ def wedge_sql(vt, vs, a1, a2):
   WHEN cos({a1}) >= 0 THEN {part(two, 0)} + {part(one, 1)} ELSE {part(one, 0)} + {part(two, 1)} END)"""
 
 
-AREA_SQL = {"corner": broken_sql("c0 / 2", (("c1", "c2"), ("c3", "c4"))), "wedge": wedge_sql("(c0 / 2)", "c1", "(3 * c2)", "(3 * c3)")}
+ARC = ("c0", "c1", "(abs(c2) + 0.2)")
+AREA_SQL = {"arc": arc_area_sql(*ARC, "c3"), "corner": broken_sql("c0 / 2", (("c1", "c2"), ("c3", "c4"))), "wedge": wedge_sql("(c0 / 2)", "c1", "(3 * c2)", "(3 * c3)")}
 for fam, cols in {"curve_poly": lambda: F.array(*[c(n) for n in range(5)]),
                   "arc": lambda: F.array(c(0), c(1), F.abs(c(2)) + .2, F.signum(c(3))),
                   "corner": lambda: F.array(c(0) / 2, c(1), c(2), c(3), c(4)),
@@ -143,7 +144,7 @@ for fam, cols in {"curve_poly": lambda: F.array(*[c(n) for n in range(5)]),
         return rounded(x.select("vec_id", "k", a.alias("area")))
 
 
-@query("area_disc")
+@query("area_disc", f"WITH {COEF_SQL} SELECT vec_id, k, {r6(arc_area_sql(*ARC, '1') + ' - ' + arc_area_sql(*ARC, '-1'), 'area')} FROM coef")
 def area_disc(spark, d):
     a = A.area_disc(c(0), c(1), F.abs(c(2)) + .2, -.5, .5, 0, 1)
     return rounded(coefficients(spark, d).select("vec_id", "k", a.alias("area")))

@@ -15,7 +15,7 @@ from cellweave.operators.neighbours import RING_8
 from cellweave.operators.surfaces import surface_fits
 from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import (ACTIVITY_SQL, PATCH, PATCH_SQL, PRICE, PRICE_SQL, activity,
-                                      activity_sparse, kernel_sum_sql, labelled_patch, patch, price, raw_patch,
+                                      activity_sparse, arc_area_sql, kernel_sum_sql, labelled_patch, patch, price, raw_patch,
                                       table, window_sql)
 from cellweave.plans.registry import SQL, query, rounded
 from cellweave.schema import KEY
@@ -94,7 +94,12 @@ def uniform_noise(spark, d):
     return SH.add_uniform_noise(patch(spark, d), 0.05)
 
 
-@query("rasterized_discs")
+# in units of a cell, measured from the middle of its lower edge
+DISC_IN_CELL = ("(5.11 - i - 0.5)", "(4.86 - j)", "(1 + p_size / 20.0)")
+
+
+@query("rasterized_discs", f"""SELECT CAST(p_partkey AS VARCHAR) AS grid_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+  {r6(arc_area_sql(*DISC_IN_CELL, '1') + ' - ' + arc_area_sql(*DISC_IN_CELL, '-1'), 'u')} FROM part, range(10) a(i), range(10) b(j)""")
 def rasterized_discs(spark, d):
     """One disc per part: the radius grows with the size."""
     p = table(spark, d, "part").select(
