@@ -52,8 +52,19 @@ STAGES: list[tuple[str, Stage]] = [("toxicity", toxicity), ("exact_dedup", exact
 ORACLE_SQL: str | None = None
 
 
+#: Rows of an Arrow batch at most: several stages send whole texts to Python, two batches at a time for each task.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = 1000
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents; each but the last is written as Parquet and read again."""
+    """All stages on documents; each but the last is written as Parquet and read again.
+
+    Lowers the session's rows of an Arrow batch to ROWS, which bounds an executor's memory beside its heap.
+    """
+    given = int(spark.conf.get(BATCH_ROWS))
+    if given <= 0 or given > ROWS:
+        spark.conf.set(BATCH_ROWS, str(ROWS))
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
