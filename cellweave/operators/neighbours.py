@@ -58,10 +58,14 @@ def ring(cells: DataFrame, shape: GridShape | DataFrame, size: int = 8) -> DataF
 
 
 def gather(requests: DataFrame, cells: DataFrame, values: list[str], ti: str = "ti", tj: str = "tj") -> DataFrame:
-    """Look up cells by (grid_id, ti, tj); the key is spread evenly over all cells."""
+    """Look up cells by (grid_id, ti, tj); the key is spread evenly over all cells.
+
+    Cells made of packed rows are many times larger than Spark's estimate, which is that of the rows, so it must not
+    broadcast them.
+    """
     look = cells.select(F.col("grid_id"), F.col("i").alias(ti), F.col("j").alias(tj),
                         *[F.col(v).alias(f"t_{v}") for v in values])
-    return requests.join(look, ["grid_id", ti, tj])
+    return requests.join(look.hint("merge"), ["grid_id", ti, tj])
 
 
 def keep_stencil_cells(df: DataFrame, w: str = "w_u", labels: str = "w_kind", value: int = 1) -> DataFrame:
