@@ -7,11 +7,14 @@ are expressed about the cell centre (see functions.area for the families).
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cellweave.functions.batches import as_lists, as_matrix
 from cellweave.functions.index import let, offsets, sub_window, total, weighted
 from cellweave.operators.windows import with_windows
 from cellweave.schema import KEY, GridShape
@@ -218,59 +221,68 @@ def fit_weno2d(w: Column, si: Column, degree: int = 1) -> Column:
     return let(F.struct(w.alias("u"), si.alias("s")), build)
 
 
-def fit_weno1d(w: Column, si: Column, coefs: int = 4, points: bool = False) -> Column:
-    """Dimension by dimension: edge averages of rows, then corner values of those.
+def _blend(values: list[np.ndarray], smooth: list[np.ndarray], rows: np.ndarray, gamma: np.ndarray) -> np.ndarray:
+    """`blended` for a batch."""
+    alpha = [g / ((1 + s) * (1 + s)) for g, s in zip(gamma, smooth)]
+    est = [total(v * c for v, c in zip(values, row) if abs(c) > 1e-14) for row in rows]
+    return total(a * e for a, e in zip(alpha, est)) / total(alpha)
 
-    coefs 4 or 5 use the corners (and the average), 9 adds the edge averages or,
-    with points=True, the edge middles estimated from five cells.
-    """
-    if coefs not in (4, 5, 9):
-        raise ValueError("coefs has to be 4, 5 or 9")
+
+def weno1d_udf(coefs: int, points: bool):
+    """Dimension by dimension in batches of 5 x 5 windows: the sums are too many to be interpreted row by row."""
     rows, gamma = sub_estimates(4, 2, 2.0)
     mid_rows, mid_gamma = sub_estimates(5, 3, 2.5)
+    tensor = corner_tensor(str(coefs) if coefs < 9 else "9p" if points else "9a")
+    tensor = np.where(np.abs(tensor) < 1e-13, 0, tensor)
 
     def pairs(s, width, n):
-        return [F.greatest(*s[a:a + width]) for a in range(n - width + 1)]
+        return [reduce(np.fmax, s[a:a + width]) for a in range(n - width + 1)]
 
     def edge(u, s):
-        return blended(u, pairs(s, 2, 4), rows, gamma)
+        return _blend(u, pairs(s, 2, 4), rows, gamma)
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def fit(w: pa.Array, si: pa.Array) -> pa.Array:
+        values, smooth = as_matrix(w, 25), as_matrix(si, 25)
 
-    def build(x):
         def u(a, b):
-            return x["u"][a * 5 + b]
+            return values[:, a * 5 + b]
 
         def s(a, b):
-            return x["s"][a * 5 + b]
+            return smooth[:, a * 5 + b]
 
         # lower / upper edge along j of each row, along i of each column
-        along_j = [[edge([u(a, j + q) for q in range(4)], [s(a, j + q) for q in range(4)])
-                    for j in range(2)] for a in range(5)]
-        along_i = [[edge([u(i + p, b) for p in range(4)], [s(i + p, b) for p in range(4)])
-                    for b in range(5)] for i in range(2)]
-        bound = F.struct(F.array(*[v for r in along_j for v in r]).alias("j"),
-                         F.array(*[v for r in along_i for v in r]).alias("i"))
-
-        def finish(e):
-            corners = []
-            for i in range(2):
-                for j in range(2):
-                    first = edge([e["j"][(i + p) * 2 + j] for p in range(4)], [s(i + p, j + 1) for p in range(4)])
-                    second = edge([e["i"][i * 5 + j + q] for q in range(4)], [s(i + 1, j + q) for q in range(4)])
-                    corners.append((first + second) / 2)
-            if coefs < 9:
-                return let(F.array(*corners, u(2, 2)), lambda v: _tensor(str(coefs), v))
-            if points:
-                edges = [blended([e["i"][i * 5 + q] for q in range(5)],
-                                 pairs([s(i + 1, q) for q in range(5)], 3, 5), mid_rows, mid_gamma) for i in range(2)]
-                edges += [blended([e["j"][p * 2 + j] for p in range(5)],
-                                  pairs([s(p, j + 1) for p in range(5)], 3, 5), mid_rows, mid_gamma) for j in range(2)]
-            else:
-                edges = [e["i"][i * 5 + 2] for i in range(2)] + [e["j"][2 * 2 + j] for j in range(2)]
-            return let(F.array(*corners, u(2, 2), *edges), lambda v: _tensor("9p" if points else "9a", v))
-
-        return let(bound, finish)
+        along_j = [[edge([u(a, j + q) for q in range(4)], [s(a, j + q) for q in range(4)]) for j in range(2)] for a in range(5)]
+        along_i = [[edge([u(i + p, b) for p in range(4)], [s(i + p, b) for p in range(4)]) for b in range(5)] for i in range(2)]
+        found = []
+        for i in range(2):
+            for j in range(2):
+                first = edge([along_j[i + p][j] for p in range(4)], [s(i + p, j + 1) for p in range(4)])
+                second = edge([along_i[i][j + q] for q in range(4)], [s(i + 1, j + q) for q in range(4)])
+                found.append((first + second) / 2)
+        if coefs > 4:
+            found.append(u(2, 2))
+        if coefs == 9 and points:
+            found += [_blend(along_i[i], pairs([s(i + 1, q) for q in range(5)], 3, 5), mid_rows, mid_gamma) for i in range(2)]
+            found += [_blend([along_j[p][j] for p in range(5)], pairs([s(p, j + 1) for p in range(5)], 3, 5), mid_rows, mid_gamma)
+                      for j in range(2)]
+        elif coefs == 9:
+            found += [along_i[i][2] for i in range(2)] + [along_j[2][j] for j in range(2)]
+        zero = np.zeros(len(values))
+        return as_lists(np.stack([total([x * c for x, c in zip(found, row) if c != 0] or [zero]) for row in tensor], axis=1))
 
-    return let(F.struct(w.alias("u"), si.alias("s")), build)
+    return fit
+
+
+def fit_weno1d(w: Column, si: Column, coefs: int = 4, points: bool = False) -> Column:
+    """Dimension by dimension: edge averages of rows, then corner values of those.
+
+    coefs 4 or 5 use the corners (and the average), 9 adds the edge averages or,
+    with points=True, the edge middles estimated from five cells.
+    """
+    if coefs not in (4, 5, 9):
+        raise ValueError("coefs has to be 4, 5 or 9")
+    return weno1d_udf(coefs, points)(w, si)
 
 
 def fit_weno1d_points(w: Column, si: Column, coefs: int = 9) -> Column:

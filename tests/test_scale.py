@@ -1,7 +1,6 @@
 """Plans and results that have to hold at size."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from cellweave.operators import neighbours as N
@@ -24,3 +23,28 @@ def test_lookups_broadcast_no_cells(spark):
     found = N.gather(N.ring(cells, GridShape(2, 2), 8), cells, ["u"])
     assert "Broadcast" not in plan(found)
     assert sorted(r.t_u for r in found.filter("i = 0 AND j = 0").collect()) == [1.0, 1.0, 2.0, 2.0, 3.0, 3.0, 3.0, 3.0]
+
+
+def test_dimensionwise_fits_run_in_batches(spark):
+    """Every cell of a plane has its plane; no expression of the fit is interpreted row by row."""
+    from cellweave.operators.surfaces import surface_fits
+    from cellweave.schema import EXTEND
+
+    a = np.add.outer(0.5 * np.arange(9), 0.25 * np.arange(9))
+    cells = table(spark, a).withColumn("si", F.lit(0))
+    for method, coefs in (("weno1d", 4), ("weno1d", 9), ("weno1d_points", 9)):
+        fits = surface_fits(cells, GridShape(9, 9, EXTEND, EXTEND), method, coefs=coefs)
+        assert "ArrowEvalPython" in plan(fits)
+        middle = fits.filter("i = 4 AND j = 4").first().params
+        n = 2 if coefs == 4 else 3
+        assert np.allclose([middle[0], middle[1], middle[n]], [a[4, 4], 0.25, 0.5])
+
+
+def test_disc_areas_run_in_batches(spark):
+    from cellweave.functions.area import area_disc
+
+    x = spark.createDataFrame([(0.0, 0.0, 1.0), (5.0, 5.0, 1.0), (None, 0.0, 1.0)], "a double, b double, r double")
+    out = x.select(area_disc(F.col("a"), F.col("b"), F.col("r"), -2, 2, -2, 4).alias("area"))
+    assert "ArrowEvalPython" in plan(out)
+    got = [r.area for r in out.collect()]
+    assert np.allclose(got[:2], [np.pi, 0.0]) and got[2] is None
