@@ -48,3 +48,24 @@ def test_disc_areas_run_in_batches(spark):
     assert "ArrowEvalPython" in plan(out)
     got = [r.area for r in out.collect()]
     assert np.allclose(got[:2], [np.pi, 0.0]) and got[2] is None
+
+
+def test_sweep_packs_fine_cells(spark):
+    """Errors equal those of a join of all fine cells, whose rows are not what is shuffled."""
+    from cellweave.plans.reconstruct import PRESETS, fit_sweep, run_sweep
+    from cellweave.operators.labels import label_piecewise
+    from cellweave.operators.resample import resample_interface_only
+
+    rng = np.random.default_rng(5)
+    cells = table(spark, np.clip(rng.uniform(-0.5, 1.5, (6, 6)), 0, 1))
+    truth = table(spark, np.clip(rng.uniform(-0.5, 1.5, (12, 12)), 0, 1))
+    shape, presets = GridShape(6, 6), [PRESETS[n] for n in ("constant", "elvira_w")]
+    swept = run_sweep(cells, truth, shape, presets, 2)
+    got = {r.preset: (r.error_l1, r.error_linf) for r in swept.collect()}
+    fits = fit_sweep(label_piecewise(cells), shape, presets)
+    for x in presets:
+        fine = resample_interface_only(fits.filter(F.col("preset") == x.name), 2, ("constant", "line")).withColumnRenamed("u", "v")
+        gap = F.abs(F.col("v") - F.col("u"))
+        assert np.allclose(got[x.name], fine.join(truth, ["grid_id", "i", "j"]).agg(F.avg(gap), F.max(gap)).first())
+    merged = [line for line in plan(swept).split("\n") if "SortMergeJoin" in line]
+    assert merged and "hashpartitioning(grid_id" in plan(swept) and "max(CASE" in plan(swept)
