@@ -2,8 +2,8 @@
 
 All patterns run in Spark's regular expressions; split and extract give each match's place, and a running sum over a
 document's matches gives its code points.  Repetitions are possessive, which keeps them linear in long runs.
-Generators with high recall propose candidates that may overlap.  Gradient-boosted trees (Spark ML) are fitted on a
-bounded sample whose labels do not hang on the base patterns' shape.  Positive are base matches, two thirds of them
+Generators with high recall propose candidates that may overlap.  Gradient-boosted trees (Spark ML) are fitted on
+two thirds of all labelled candidates, whose labels do not hang on the base patterns' shape.  Positive are base matches, two thirds of them
 rewritten in place into other shapes: spelled-out or bracketed signs, a 00 or no prefix, other separators and groups.
 Negative are candidates known to be something else: those of the base shape that fail its check (Luhn, numbers up to
 255), those that overlap another base match, those inside words, quotes and code, and bare digit runs.  All others are
@@ -48,8 +48,8 @@ CONTEXT = {"mail_word": r"(?i)mail|contact|write|kontakt|correo|courriel", "call
 #: What a candidate of the base shape looks like, whether or not it passes its check.
 SHAPES = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+){3}",
           "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-#: Candidates that the trees are fitted on, at most about; trees and their depth; precision that thresholds ask for.
-SAMPLE, TREES, DEPTH, PRECISION = 20_000, 15, 4, 0.9
+#: Trees and their depth; precision that thresholds ask for.
+TREES, DEPTH, PRECISION = 15, 4, 0.9
 LEFT, RIGHT = 24, 12
 
 
@@ -155,20 +155,17 @@ def _labelled(candidates: DataFrame, base: DataFrame) -> DataFrame:
 def _selected(candidates: DataFrame, base: DataFrame) -> DataFrame | None:
     """Candidates that the trees add: row, kind, start, end."""
     labelled = cut(_labelled(candidates, base), "candidates")
-    sizes = {r.label: r.n for r in labelled.filter("label IS NOT NULL").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
+    if labelled.filter("label IS NOT NULL").select("label").distinct().count() < 2:
         return None
-    share = min(1.0, SAMPLE / sum(sizes.values()))
-    draw = F.pmod(F.xxhash64("row", "kind", "start"), F.lit(1_000_000))
     way = F.when(F.col("label") == 1, F.pmod(F.xxhash64("start", "row"), F.lit(3))).otherwise(0)
-    lesson = labelled.filter("label IS NOT NULL").filter(draw < F.lit(share * 1_000_000)).withColumn("match", _rewritten(F.col("kind"), F.col("match"), way))
+    lesson = labelled.filter("label IS NOT NULL").withColumn("match", _rewritten(F.col("kind"), F.col("match"), way))
     described, names = _features(lesson)
     drawn = cut(described.withColumn("held", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(3)) == 0), "drawn")
     assembler = VectorAssembler(inputCols=names, outputCol="features")
     taught = assembler.transform(drawn.filter("NOT held")).select("features", "label")
     if {r.label for r in taught.select("label").distinct().collect()} != {0.0, 1.0}:
         return None
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32).fit(taught.repartition(4))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32).fit(taught)
 
     def scored(rows: DataFrame) -> DataFrame:
         found = model.transform(assembler.transform(rows))
