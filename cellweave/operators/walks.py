@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cellweave.functions.index import fdiv, map_index
 from cellweave.operators.neighbours import RING_8
-from cellweave.operators.windows import TILE, tiles
+from cellweave.operators.windows import TILE, heavy_width, tiles
 from cellweave.plans.lineage import cut_lineage
 from cellweave.schema import CYCLIC, EXTEND, KEY, REFLECT, REGULAR, GridShape, with_shape
 
@@ -112,6 +112,9 @@ def supersteps(walks: DataFrame, cells: DataFrame, shape: GridShape | DataFrame,
             placed = placed.withColumn("salt", F.pmod(F.hash(fdiv(F.col("i"), TILE), fdiv(F.col("j"), TILE)), F.lit(SALTS)))
             wanted = placed.select(*keys).distinct().withColumn("salt", F.col("salt") + 0)  # a column of its own
             base = ground.join(wanted, ["grid_id", "bi", "bj"])
+        # walks are few bytes and many steps: Spark would put those of many tiles into one task
+        width = heavy_width(placed)
+        placed, base = placed.repartition(width, *keys), base.repartition(width, *keys)
         moved = placed.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(partial(_move, step=step, values=tuple(values)), MOVED)
         moved = cut_lineage(moved)
         hits = moved.filter("done AND hit_u IS NOT NULL").select(*KEY, "side", "pi", "pj", "hit_u")

@@ -15,6 +15,13 @@ from cellweave.functions.index import fdiv, images, let, map_index, offsets
 from cellweave.schema import CYCLIC, GridShape, require, with_shape
 
 TILE = 32
+#: Tasks of a heavy stage for each shuffle partition of the session.
+HEAVY = 4
+
+
+def heavy_width(df: DataFrame) -> int:
+    """Number of tasks for stages that take far more time and memory for a byte than others do."""
+    return HEAVY * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def tile_key(shape: GridShape | DataFrame, tile: int = TILE) -> list[str]:
@@ -65,7 +72,7 @@ def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
     # by (grid_id[, bi, bj], ...) are already satisfied by this shuffle
     # The stages after this shuffle are heavy per byte, so their number of tasks is set
     # here and not by the small size of the shuffled data.
-    width = int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = heavy_width(c)
     c = c.select("grid_id", "bi", "bj", "ei", "ej", *values, *([] if same else names))
     t = c.repartition(width, *tile_key(shape, tile)).groupBy(*tile_key(shape, tile)).agg(
         F.collect_list(packed).alias("_m"),
