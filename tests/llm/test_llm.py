@@ -331,6 +331,24 @@ def test_brown_model_beats_single_words_on_unseen_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_brown_classes_of_words_outside_the_units(spark):
+    """Two words with one count and ending, beyond the 600 most frequent: each fits the words that it stands between."""
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    taught = [i for i in range(2000) if i not in set(held)]
+    sets = [[f"even{n}" for n in range(0, 700, 2)], [f"odd{n}" for n in range(1, 701, 2)]]
+    rng = np.random.default_rng(5)
+    rows = []
+    for n, i in enumerate(taught[:400]):
+        words = [str(w) for w in rng.choice(sets[n % 2], 60)]
+        if n < 20:
+            words[30] = ("firstxyz", "otherxyz")[n % 2]
+        rows.append((i, " ".join(words)))
+    rows += [(held[0], "even2 firstxyz even4"), (held[1], "even2 otherxyz even4"), (held[2], "odd1 firstxyz odd3"), (held[3], "odd1 otherxyz odd3")]
+    got = {r.doc_id: r for r in brown_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert abs(got[held[0]].base_score - got[held[1]].base_score) < 1e-9
+    assert got[held[0]].score > got[held[1]].score + 0.5 and got[held[3]].score > got[held[2]].score + 0.5
+
+
 def test_exchange_finds_alternating_classes():
     bigrams = np.zeros((9, 9))
     bigrams[1:5, 5:] = np.random.default_rng(2).integers(1, 40, (4, 4))
