@@ -1,10 +1,12 @@
-"""Arrays of Arrow batches as matrices; NULL stands as NaN."""
+"""Arrays of Arrow batches as matrices (NULL stands as NaN), and index arithmetic on them."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
 
+from cellweave.schema import CYCLIC, EXTEND, REFLECT
+
 
 def as_matrix(lists: pa.Array, width: int) -> np.ndarray:
     """Rows of arrays of `width` numbers each."""
@@ -14,3 +16,12 @@ def as_matrix(lists: pa.Array, width: int) -> np.ndarray:
 def as_lists(rows: np.ndarray) -> pa.Array:
     values = pa.array(np.ascontiguousarray(rows, float).ravel(), pa.float64(), from_pandas=True)
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), values)
+
+
+def folded(p: np.ndarray, n: np.ndarray, mode: np.ndarray) -> np.ndarray:
+    """Index of the cell that stands at unwrapped positions p of axes of length n."""
+    period = np.maximum(2 * (n - 1), 1)
+    turned = p % period
+    out = np.where(mode == CYCLIC, p % n, np.minimum(turned, period - turned))
+    out = np.where(mode == EXTEND, np.clip(p, 0, n - 1), out)
+    return np.where((mode == REFLECT) & (n == 1), 0, out)

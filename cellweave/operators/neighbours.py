@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.functions.index import let, map_index, offsets
-from cellweave.operators.windows import with_windows
-from cellweave.plans.lineage import cut_lineage
-from cellweave.schema import KEY, GridShape, with_shape
+from cellweave.functions.batches import folded
+from cellweave.functions.index import fdiv, let, map_index, offsets
+from cellweave.operators.windows import TILE, heavy_width, with_windows
+from cellweave.schema import CYCLIC, KEY, GridShape, with_shape
 
 # Rings around a cell, in visiting order.
 RING_8 = [(1, 0), (0, 1), (-1, 0), (0, -1), (1, 1), (1, -1), (-1, -1), (-1, 1)]
@@ -113,49 +118,108 @@ def smooth_shifted_stencil(cells: DataFrame, shape: GridShape | DataFrame, k: in
                     cut(F.col("w_u")).alias("w_u"))
 
 
+#: Tiles that grow their regions together.
+REGION_TILES = 64
+MEMBERS = "array<struct<i:int,j:int,u:double>>"
+
+
+def _grown(part: pa.RecordBatch, m: int) -> pa.RecordBatch:
+    """Regions of the own cells of some tiles (columns of _region_tiles), all in the same rounds."""
+    packed = part.column("cells")
+    flat = packed.flatten()
+    tile = np.repeat(np.arange(part.num_rows), np.diff(packed.offsets.to_numpy()))
+    i, j = (flat.field(n).to_numpy().astype(np.int64) for n in ("i", "j"))
+    label = np.asarray(flat.field("label").dictionary_encode().indices.fill_null(-1)).astype(np.int64)
+    u = flat.field("u")
+    ni, nj = (part.column(n).to_numpy().astype(np.int64) for n in ("ni", "nj"))
+    mi, mj = (np.array(part.column(n).to_pylist(), str) for n in ("mode_i", "mode_j"))
+    rows_, cols = max(ni.max(), i.max() + 1), max(nj.max(), j.max() + 1)
+
+    def code(t: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        return ((t * rows_ + a) * cols + b) * (label.max() + 1) + kind
+
+    # what a step can meet: labelled cells; of cells that stand there twice the one of smallest u, NULL first
+    real = np.flatnonzero((label >= 0) & (i >= 0) & (i < ni[tile]) & (j >= 0) & (j < nj[tile]))
+    where = code(tile[real], i[real], j[real], label[real])
+    known, values = np.asarray(u.is_valid())[real], u.to_numpy(zero_copy_only=False).astype(float)[real]
+    order = np.lexsort((values, known, where))
+    where, first = np.unique(where[order], return_index=True)
+    there = real[order][first]
+
+    own = np.flatnonzero(flat.field("own").to_numpy(zero_copy_only=False).astype(bool))
+    seen, member = np.full((len(own), m), -1, np.int64), np.zeros((len(own), m), np.int64)
+    seen[:, 0], member[:, 0], count = i[own] * cols + j[own], own, np.ones(len(own), np.int64)
+    o = np.flatnonzero((label[own] >= 0) & (m > 1))
+    fi, fj, fa, fb = i[own[o]], j[own[o]], np.zeros(len(o), np.int64), np.zeros(len(o), np.int64)
+    di, dj = np.array(RING_8).T
+    while len(o) and len(where):
+        o, a, b = np.repeat(o, 8), np.repeat(fa, 8) + np.tile(di, len(o)), np.repeat(fb, 8) + np.tile(dj, len(o))
+        t = tile[own[o]]
+        ti = folded(np.repeat(fi, 8) + np.tile(di, len(fi)), ni[t], mi[t])
+        tj = folded(np.repeat(fj, 8) + np.tile(dj, len(fj)), nj[t], mj[t])
+        wanted = code(t, ti, tj, label[own[o]])
+        place = np.minimum(np.searchsorted(where, wanted), len(where) - 1)
+        spot = ti * cols + tj
+        fresh = np.flatnonzero((where[place] == wanted) & ~(seen[o] == spot[:, None]).any(axis=1))
+        fresh = fresh[np.lexsort((b[fresh], a[fresh], tj[fresh], ti[fresh], a[fresh] ** 2 + b[fresh] ** 2, o[fresh]))]
+        # across the edges of small grids a cell is reached more than once; the nearest way counts
+        nearest = np.sort(np.unique(o[fresh] * (rows_ * cols) + spot[fresh], return_index=True)[1])
+        fresh = fresh[nearest]
+        o, fi, fj, fa, fb = o[fresh], ti[fresh], tj[fresh], a[fresh], b[fresh]
+        begun, first, n = np.unique(o, return_index=True, return_counts=True)
+        at = count[o] + np.arange(len(o)) - np.repeat(first, n)
+        fits = at < m
+        seen[o[fits], at[fits]], member[o[fits], at[fits]] = spot[fresh][fits], there[place[fresh]][fits]
+        count[begun] = np.minimum(count[begun] + n, m)
+        on = count[o] < m
+        o, fi, fj, fa, fb = (x[on] for x in (o, fi, fj, fa, fb))
+    chosen = pa.array(member[np.arange(m) < count[:, None]])
+    ends = pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32))
+    members = pa.StructArray.from_arrays([flat.field(n).take(chosen) for n in ("i", "j", "u")], ["i", "j", "u"])
+    return pa.RecordBatch.from_arrays([part.column("grid_id").take(pa.array(tile[own])), *[flat.field(n).take(pa.array(own)) for n in ("i", "j")],
+                                       pa.ListArray.from_arrays(ends, members)], [*KEY, "members"])
+
+
+def _region_batches(batches: Iterator[pa.RecordBatch], m: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, REGION_TILES):
+            yield _grown(batch.slice(first, REGION_TILES), m)
+
+
+def _region_tiles(cells: DataFrame, reach: int) -> DataFrame:
+    """One row per tile: its own cells and all cells that `reach` steps from them can meet; sparse grids are fine."""
+    tile = max(TILE, reach)
+    for pos, n, mode in (("i", "ni", "mode_i"), ("j", "nj", "mode_j")):
+        last = fdiv(F.col(n) - 1, tile)
+        home = fdiv(map_index(F.col(pos), F.col(n), F.col(mode)), tile)
+        spots = F.when(F.col(mode) == CYCLIC, F.array(F.col(pos) - F.col(n), pos, F.col(pos) + F.col(n))).otherwise(F.array(pos))
+        near = F.flatten(F.transform(spots, lambda x: F.filter(
+            F.array(*[fdiv(x - reach, tile) + k for k in range(3)]), lambda b: b <= fdiv(x + reach, tile))))
+        inside = F.filter(near, lambda b: (b >= 0) & (b <= last))
+        cells = cells.withColumn(f"_h{pos}", home).withColumn(f"b{pos}", F.explode(F.array_distinct(F.concat(inside, F.array(f"_h{pos}")))))
+    own = F.col("own") & (F.col("_hi") == F.col("bi")) & (F.col("_hj") == F.col("bj"))
+    key, edges = ["grid_id", "bi", "bj"], ["ni", "nj", "mode_i", "mode_j"]
+    packed = F.struct("i", "j", "u", "label", own.alias("own"))
+    return cells.repartition(heavy_width(cells), *key).groupBy(*key).agg(
+        *[F.first(x).alias(x) for x in edges], F.collect_list(packed).alias("cells")).select("grid_id", *edges, "cells")
+
+
 def same_region_stencil(cells: DataFrame, shape: GridShape | DataFrame, m: int = 9,
                         origins: DataFrame | None = None, label: str = "kind") -> DataFrame:
     """Breadth-first growth over 8-neighbours of the same label until m cells.
 
     Rows: KEY and members array<struct(i, j, u)> in visiting order (round, then
-    distance to the origin, then i, j).  Each round joins only the frontier of
-    origins that are not complete; the arrays never exceed m entries.
+    distance to the origin, then i, j).  A region of m cells ends within m - 1 steps of its origin, so that tiles with
+    a rim of that width hold all it needs: the cells are shuffled once, and the rounds run inside the tiles.
     """
-    c = with_shape(cells.select(*KEY, "u", label), shape)
-    start = c if origins is None else c.join(origins.select(*KEY), KEY, "left_semi")
-    me = F.struct("i", "j", "u")
-    zero = F.lit(0)
-    front = F.struct("i", "j", "u", zero.alias("a"), zero.alias("b"))  # a, b: steps from the origin, not wrapped
-    state = start.select(*KEY, "ni", "nj", "mode_i", "mode_j", F.col(label).alias("_l"),
-                         F.array(me).alias("members"), F.array(front).alias("_front"))
-    finished = None
-    while True:
-        done = (F.size("members") >= m) | (F.size("_front") == 0)
-        closed = state.filter(done).select(*KEY, F.slice("members", 1, m).alias("members"))
-        finished = closed if finished is None else finished.unionByName(closed)
-        open_ = state.filter(~done)
-        if open_.isEmpty():
-            return finished
-        hops = open_.select("*", F.explode("_front").alias("_f")).select("*", F.explode(offset_array(RING_8)).alias("_o"))
-        ti = map_index(F.col("_f.i") + F.col("_o.di"), F.col("ni"), F.col("mode_i"))
-        tj = map_index(F.col("_f.j") + F.col("_o.dj"), F.col("nj"), F.col("mode_j"))
-        hops = hops.withColumns({"ti": ti, "tj": tj})
-        a, b = F.col("_f.a") + F.col("_o.di"), F.col("_f.b") + F.col("_o.dj")
-        found = gather(hops, cells, ["u", label]).filter(F.col(f"t_{label}") == F.col("_l")).select(
-            *KEY, F.struct((F.pow(a, 2) + F.pow(b, 2)).alias("d"), F.col("ti").alias("i"), F.col("tj").alias("j"),
-                           F.col("t_u").alias("u"), a.alias("a"), b.alias("b")).alias("n"))
-        new = found.groupBy(*KEY).agg(F.sort_array(F.collect_set("n")).alias("_new"))
-        grown = open_.drop("_front").join(new, KEY, "left")
-        sorted_ = F.coalesce("_new", F.array().cast("array<struct<d:double,i:int,j:int,u:double,a:int,b:int>>"))
-
-        def first_time(n, place):
-            """Neither a member nor reached nearer in this round, which happens across the edges of small grids."""
-            def same(x):
-                return (x["i"] == n["i"]) & (x["j"] == n["j"])
-            return ~F.exists("members", same) & ~F.exists(F.slice("_sorted", F.lit(1), place), same)
-
-        fresh = F.transform(F.filter("_sorted", first_time), lambda n: F.struct(n["i"], n["j"], n["u"], n["a"], n["b"]))
-        plain = F.transform("_front", lambda n: F.struct(n["i"], n["j"], n["u"]))
-        grown = grown.withColumn("_sorted", sorted_).withColumn("_front", fresh).withColumn(
-            "members", F.slice(F.concat("members", plain), 1, m)).drop("_new", "_sorted")
-        state = cut_lineage(grown)
+    c = with_shape(cells.select(*KEY, F.col("u").cast("double").alias("u"), F.col(label).alias("label")), shape)
+    if origins is None:
+        c = c.withColumn("own", F.lit(True))
+    else:
+        c = c.join(origins.select(*KEY, F.lit(True).alias("own")).distinct(), KEY, "left").withColumn("own", F.coalesce("own", F.lit(False)))
+    placed = F.col("grid_id").isNotNull() & F.col("i").isNotNull() & F.col("j").isNotNull()
+    grown = _region_tiles(c.filter(placed), max(m - 1, 0)).mapInArrow(
+        partial(_region_batches, m=m), cells.select(*KEY).schema.simpleString()[7:-1].replace(":", " ") + f", members {MEMBERS}")
+    # a cell without a place has no neighbours
+    alone = c.filter(~placed & F.col("own")).select(*KEY, F.array(F.struct("i", "j", "u")).cast(MEMBERS).alias("members"))
+    return grown.unionByName(alone)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellweave.functions.batches import folded
 from cellweave.functions.index import fdiv, map_index
 from cellweave.operators.neighbours import RING_8
 from cellweave.operators.windows import TILE, heavy_width, tiles
@@ -34,15 +35,6 @@ MOVED = WALK + ", done boolean, hit_u double"
 Step = Callable[["Walks", "Tile"], None]
 
 
-def folded(p: np.ndarray, n: np.ndarray, mode: np.ndarray) -> np.ndarray:
-    """Index of the cell that stands at unwrapped positions p of axes of length n."""
-    period = np.maximum(2 * (n - 1), 1)
-    turned = p % period
-    out = np.where(mode == CYCLIC, p % n, np.minimum(turned, period - turned))
-    out = np.where(mode == EXTEND, np.clip(p, 0, n - 1), out)
-    return np.where((mode == REFLECT) & (n == 1), 0, out)
-
-
 class Tile:
     """Values of a tile and its rim of one cell, found by cell index."""
 

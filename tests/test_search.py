@@ -372,3 +372,36 @@ def test_region_stencil_is_the_same_across_the_seam(spark):
     got = {(r.i, r.j): [((x.i - r.i) % n, (x.j - r.j) % n) for x in r.members]
            for r in N.same_region_stencil(cells, GridShape(n, n), 5).collect()}
     assert set(got[0, 0]) == {(0, 0), (0, 1), (1, 0), (0, n - 1), (n - 1, 0)} == set(got[4, 4])
+
+
+@pytest.mark.parametrize("modes", [("cyclic", "reflect"), ("extend", "cyclic")])
+def test_region_stencil_on_sparse_grids_with_one_shuffle(spark, modes):
+    """Missing cells, repeated ones and one without a grid; regions grow inside tiles, without a join a round."""
+    shape, m, rng = GridShape(35, 6, *modes), 7, np.random.default_rng(8)
+    a = {(i, j): float(np.clip(rng.normal(.5, .5), 0, 1)) for i in range(shape.ni) for j in range(shape.nj) if rng.random() < .9}
+    rows = [("g", i, j, u) for (i, j), u in a.items()]
+    cells = label_piecewise(spark.createDataFrame(rows + rows[5:7] + [(None, 1, 1, .5)], "grid_id string, i int, j int, u double"))
+    found = N.same_region_stencil(cells, shape, m)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 1
+    got = found.collect()
+    assert len(got) == len(rows) + 3 and [[tuple(x) for x in r.members] for r in got if r.grid_id is None] == [[(1, 1, .5)]]
+
+    def fold(p, n, mode):
+        turned = p % (2 * (n - 1))
+        return {"cyclic": p % n, "extend": min(max(p, 0), n - 1), "reflect": min(turned, 2 * (n - 1) - turned)}[mode]
+
+    kind = {q: 0 < u < 1 for q, u in a.items()}
+    for r in got:
+        if r.grid_id is None:
+            continue
+        members, front = [(r.i, r.j)], [(r.i, r.j, 0, 0)]
+        while front and len(members) < m:
+            steps = [(x + di, y + dj, p + di, q + dj) for x, y, p, q in front for di in (-1, 0, 1) for dj in (-1, 0, 1) if di or dj]
+            near = sorted((p * p + q * q, fold(x, shape.ni, modes[0]), fold(y, shape.nj, modes[1]), p, q) for x, y, p, q in steps)
+            front = []
+            for _, x, y, p, q in near:
+                if (x, y) not in members and kind.get((x, y)) == kind[r.i, r.j]:
+                    members.append((x, y))
+                    front.append((x, y, p, q))
+        assert [(x.i, x.j, x.u) for x in r.members] == [(*q, a[q]) for q in members[:m]]
