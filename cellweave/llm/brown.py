@@ -33,9 +33,11 @@ KNOWN = 2**18
 #: Stands for the end of a text: no word holds a space.
 END = b" "
 #: Words remembered inside a task.
-MEMORY = 300_000
+MEMORY = 150_000
 #: Texts handled together inside a task, and neighbours counted before they are handed on.
-TEXTS, NEIGHBOURS = 500, 2_000_000
+TEXTS, NEIGHBOURS = 500, 250_000
+#: Most rows that a task hands on at once: a batch stands in Python, on its way and in the JVM.
+ROWS = 50_000
 #: In sequences of classes: a word whose class is still to come from a join.
 OPEN = 255
 
@@ -54,23 +56,27 @@ def _words(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
+def _small(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for first in range(0, batch.num_rows, ROWS):
+        yield batch.slice(first, ROWS)
+
+
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter[bytes] = Counter()
 
     def taken() -> pa.RecordBatch:
-        words = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array(map(_key, words), pa.int64()), pa.array(map(_pool, words), pa.int32()),
+        out = pa.RecordBatch.from_arrays([pa.array(map(_key, counts), pa.int64()), pa.array(map(_pool, counts), pa.int32()),
                                           pa.array(counts.values(), pa.int64())], ["key", "pool", "n"])
         counts.clear()
         return out
 
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
+    for part in _parts(batches):
+        for text in part.column(0).to_pylist():
             counts.update(_words(text))
             if len(counts) > MEMORY:
-                yield taken()
+                yield from _small(taken())
     if counts:
-        yield taken()
+        yield from _small(taken())
 
 
 class Lexicon(dict):
@@ -102,7 +108,7 @@ class Lexicon(dict):
 def _encode_batches(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Texts as 32-bit numbers: the place of a known word, -1 - pool of another; `rare` has the others' keys in order."""
     lexicon = Lexicon(keys)
-    for batch in batches:
+    for batch in _parts(batches):
         codes, rare = [], []
         for text in batch.column("text").to_pylist():
             code = lexicon.codes(_words(text))
@@ -175,15 +181,15 @@ def _neighbour_batches(batches: Iterator[pa.RecordBatch], keys: np.ndarray, pool
             wait += [place + before[at], place + after[at]]
             size += 2 * len(at)
         if size > NEIGHBOURS:
-            yield taken()
+            yield from _small(taken())
             size = 0
         at = np.flatnonzero(codes < 0)
         if len(at):
             key, own = part.column("rare").flatten(), pa.array((-1 - codes[at]).astype(np.int32))
             for side in (before, after):
-                yield pa.RecordBatch.from_arrays([key, own, pa.array(side[at].astype(np.int32)), pa.array(np.ones(len(at), np.int64))], names)
+                yield from _small(pa.RecordBatch.from_arrays([key, own, pa.array(side[at].astype(np.int32)), pa.array(np.ones(len(at), np.int64))], names))
     if wait:
-        yield taken()
+        yield from _small(taken())
 
 
 def _class_batches(batches: Iterator[pa.RecordBatch], gain: np.ndarray, pools: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -282,7 +288,7 @@ def _known_batches(batches: Iterator[pa.RecordBatch], group: np.ndarray, counts:
 
 def _fill_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Puts the classes that the join found into the sequences; the last three columns are classes, spots and found."""
-    for batch in batches:
+    for batch in _parts(batches):
         filled = []
         for text, spots, found in zip(*(batch.column(n).to_pylist() for n in ("classes", "spots", "found"))):
             classes = np.frombuffer(text, np.uint8)

@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +332,24 @@ def test_brown_model_beats_single_words_on_unseen_texts(spark):
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
 
 
+def test_brown_batches_are_small():
+    """A task hands on every count, but never more than ROWS of them at once."""
+    from cellweave.llm import brown
+
+    texts = [" ".join(f"w{n}" for n in range(i, i + 400)).encode() for i in range(0, 160_000, 400)]
+    given = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], ["text"])
+    counted = list(brown._count_batches(iter([given])))
+    assert max(b.num_rows for b in counted) <= brown.ROWS < sum(b.num_rows for b in counted)
+    assert sum(pa.Table.from_batches(counted).column("n").to_pylist()) == 160_000 + len(texts)
+
+    keys = np.arange(200_000)
+    codes = [np.arange(i, i + 500, dtype=np.int32).tobytes() for i in range(1000, 150_000, 500)]
+    given = pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array([[]] * len(codes), pa.list_(pa.int64()))], ["codes", "rare"])
+    beside = list(brown._neighbour_batches(iter([given]), keys, keys % 128, keys % 32, np.arange(128) % 32))
+    assert max(b.num_rows for b in beside) <= brown.ROWS
+    assert sum(pa.Table.from_batches(beside).column("n").to_pylist()) == 2 * 500 * len(codes)
+
+
 def test_brown_classes_of_words_outside_the_units(spark):
     """Two words with one count and ending, beyond the 600 most frequent: each fits the words that it stands between."""
     held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0]
