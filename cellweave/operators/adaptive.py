@@ -5,12 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.functions.index import map_index, weighted
+from cellweave.functions.index import fdiv, map_index, weighted
 from cellweave.operators.curves import fit_matrix
-from cellweave.operators.neighbours import gather
 from cellweave.operators.sides import column_runs
 from cellweave.schema import CUT, KEY, REFLECT, REGULAR, GridShape, with_shape
 
+#: Cells in a piece of a column.
+PIECE = 32
+
 
 def _pointers(cells: DataFrame, shape: GridShape | DataFrame, axis: int) -> DataFrame:
     """For every cut cell and side (-1, 1) the nearest cut cell of the next column.
@@ -103,32 +105,58 @@ def adaptive_stencil(cells: DataFrame, shape: GridShape | DataFrame, axis: int,
                        s0.cast("int").alias("s0"), s1.cast("int").alias("s1"))
 
 
+def _pieces(cells: DataFrame, col: str, pos: str) -> DataFrame:
+    """Cells as pieces of columns: grid_id, _at (column), _piece and _cells, PIECE structs (u, kind), NULL where there is no cell."""
+    place = F.pmod(F.col(pos), F.lit(PIECE))
+    c = cells.select("grid_id", F.col(col).alias("_at"), fdiv(F.col(pos), PIECE).alias("_piece"), F.struct(
+        place.alias("key"), F.struct("u", "kind").alias("value")).alias("_e"))
+    c = c.groupBy("grid_id", "_at", "_piece").agg(F.map_from_entries(F.collect_list("_e")).alias("_m"))
+    return c.select("grid_id", "_at", "_piece", F.transform(F.sequence(F.lit(0), F.lit(PIECE - 1)), lambda n: F.col("_m")[n]).alias("_cells"))
+
+
 def adaptive_sums(windows: DataFrame, levels: DataFrame, cells: DataFrame, shape: GridShape | DataFrame, axis: int) -> DataFrame:
     """Column sums of the normalised adaptive windows.
 
     `levels` has KEY, value_up, value_down.  Rows: KEY, levels, shift (place of the
     cell's own column), base (lower edge of the window), sums array<double>.
+    Windows meet pieces of columns, not single cells, and each sums its part of a column there, so that what is shuffled
+    is a row for each column of a window.
     """
     col, pos = ("i", "j") if axis == 0 else ("j", "i")
-    w = windows.join(levels.select(*KEY, "value_up", "value_down"), KEY)
-    m = (w.withColumn("_c", F.explode(F.sequence("c0", "c1")))
-         .withColumn("_p", F.explode(F.sequence("s0", "s1"))))
-    at_col, at_pos = ("ti", "tj") if axis == 0 else ("tj", "ti")
-    m = with_shape(m, shape)
+    w = with_shape(windows.join(levels.select(*KEY, "value_up", "value_down"), KEY), shape)
     (ncol, mcol), (npos, mpos) = (("ni", "mode_i"), ("nj", "mode_j"))[::1 if axis == 0 else -1]
-    m = m.withColumns({at_col: map_index(F.col("_c"), F.col(ncol), F.col(mcol)), at_pos: map_index(F.col("_p"), F.col(npos), F.col(mpos))})
-    m = gather(m, cells, ["u", "kind"])
+    m = w.withColumn("_c", F.explode(F.sequence("c0", "c1")))
+    m = m.withColumns({"_at": map_index(F.col("_c"), F.col(ncol), F.col(mcol)),
+                       "_ps": F.transform(F.sequence("s0", "s1"), lambda p: map_index(p, F.col(npos), F.col(mpos)))})
+    m = m.withColumn("_piece", F.explode(F.array_distinct(F.transform("_ps", lambda p: fdiv(p, PIECE)))))
+    group = [*KEY, "value_up", "value_down", "c0", "s0"]
+    m = m.withColumn("_ps", F.transform(F.filter("_ps", lambda p: fdiv(p, PIECE) == F.col("_piece")), lambda p: F.pmod(p, F.lit(PIECE))))
+    # a piece is many times larger than Spark's estimate, so it must not be broadcast
+    m = m.select(*group, "_c", "_at", "_piece", "_ps").join(_pieces(cells, col, pos).hint("merge"), ["grid_id", "_at", "_piece"])
     up, down = F.col("value_up"), F.col("value_down")
     lo, hi, mid = F.least(up, down), F.greatest(up, down), (up + down) / 2
-    snapped = F.when((F.col("t_kind") == REGULAR) & (F.col("t_u") < mid), lo).when(
-        (F.col("t_kind") == REGULAR) & (F.col("t_u") > mid), hi).otherwise(F.col("t_u"))
-    x = (snapped - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)
-    m = m.withColumn("_x", F.when(up > down, 1 - x).otherwise(x))
-    group = [*KEY, "value_up", "value_down", "c0", "s0"]
-    per_col = m.groupBy(*group, "_c").agg(F.sum("_x").alias("_x"))
-    sums = per_col.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_c", "_x"))).alias("_a"))
+
+    def normal(cell):
+        u, regular = cell["u"], cell["kind"] == REGULAR
+        snapped = F.when(regular & (u < mid), lo).when(regular & (u > mid), hi).otherwise(u)
+        x = (snapped - lo) / F.when(hi == lo, 1.0).otherwise(hi - lo)
+        return F.when(up > down, 1 - x).otherwise(x)
+
+    seen = F.filter(F.transform("_ps", lambda p: F.get("_cells", p)), lambda cell: cell.isNotNull())
+    part = F.aggregate(F.transform(seen, normal), F.lit(None).cast("double"), added)
+    m = m.withColumn("_seen", seen).filter(F.size("_seen") > 0).select(*group, "_c", part.alias("_x"))
+    # the scores join by cell afterwards, and find these rows in place
+    sums = m.repartition(*KEY).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_c", "_x"))).alias("_a"))
+    columns = F.array_distinct(F.transform("_a", lambda a: a["_c"]))
+    sums = sums.withColumn("_sums", F.transform(columns, lambda c: F.aggregate(
+        F.filter("_a", lambda a: a["_c"] == c), F.lit(None).cast("double"), lambda s, a: added(s, a["_x"]))))
     return sums.select(*KEY, "value_up", "value_down", (F.col(col) - F.col("c0")).alias("shift"),
-                       (F.col("s0") - F.col(pos)).alias("base"), F.transform("_a", lambda a: a["_x"]).alias("sums"))
+                       (F.col("s0") - F.col(pos)).alias("base"), F.col("_sums").alias("sums"))
+
+
+def added(total: Column, x: Column) -> Column:
+    """A sum that passes over NULL, and is NULL without any number."""
+    return F.when(x.isNull(), total).otherwise(F.coalesce(total, F.lit(0.0)) + x)
 
 
 def propose_adaptive(sums: DataFrame, axis: int, degree: int = 2, k: int = 3, ccew: float = 0.0,

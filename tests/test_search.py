@@ -16,7 +16,7 @@ from cellweave.operators.refine import refine_candidates
 from cellweave.operators.scoring import score_table, select_best
 from cellweave.operators.windows import with_windows
 from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, proposal_rows, scored_proposals
-from cellweave.schema import CELLS, EXTEND, GridShape
+from cellweave.schema import CELLS, CYCLIC, EXTEND, GridShape
 from cellweave.sources.shapes import rasterize_shapes
 
 DISC = "grid_id string, ni int, nj int, axis int, params array<double>, value_up double, value_down double"
@@ -297,6 +297,38 @@ def test_adaptive_fit_is_exact_on_a_line(spark):
             assert r.params[0] == pytest.approx(.4 if r.j == 10 else .3) and abs(r.params[1]) < 1e-9
 
 
+def test_adaptive_sums_meet_columns_in_pieces(spark):
+    """Windows across the ends of pieces and around the edge, against sums cell by cell; a window's cells make no rows."""
+    ni, nj = 5, 70
+    a = np.random.default_rng(8).choice([0., 1., .2, .6], (ni, nj))
+    cells = label_piecewise(table(spark, a))
+    windows = [(i, j, i - 1, i + 1, j - low, j + high) for i in range(ni) for j, low, high in ((0, 3, 2), (31, 2, 40), (63, 35, 4), (69, 1, 6))]
+    w = spark.createDataFrame([("a", *x) for x in windows], "grid_id string, i int, j int, c0 int, c1 int, s0 int, s1 int")
+    name = cells.first().grid_id
+    w = w.withColumn("grid_id", F.lit(name))
+    lv = w.select("grid_id", "i", "j", F.when(F.col("i") % 2 == 0, .9).otherwise(.1).alias("value_up"), F.lit(.3).alias("value_down"))
+    for modes in ((CYCLIC, CYCLIC), (EXTEND, EXTEND)):
+        sums = AD.adaptive_sums(w, lv, cells, GridShape(ni, nj, *modes), 0)
+        assert "explode(sequence(s0" not in sums._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.i, r.j): r for r in sums.collect()}
+        assert len(got) == len(windows)
+        for i, j, c0, c1, s0, s1 in windows:
+            up, down = (.9 if i % 2 == 0 else .1), .3
+            lo, hi = min(up, down), max(up, down)
+            want = []
+            for c in range(c0, c1 + 1):
+                total = 0.
+                for p in range(s0, s1 + 1):
+                    ci, cj = (c % ni, p % nj) if modes[0] == CYCLIC else (min(max(c, 0), ni - 1), min(max(p, 0), nj - 1))
+                    u = a[ci, cj]
+                    if u in (0., 1.):
+                        u = lo if u < (lo + hi) / 2 else hi
+                    x = (u - lo) / (hi - lo)
+                    total += 1 - x if up > down else x
+                want.append(total)
+            assert got[i, j].sums == pytest.approx(want) and (got[i, j].shift, got[i, j].base) == (i - c0, s0 - j)
+
+
 def test_refinement_never_hurts(spark):
     n = 14
     shapes = spark.createDataFrame([("d", n, n, 0, [.511, .486, .3], 0., 1.)], DISC)
