@@ -13,6 +13,7 @@ from cellweave.operators.scoring import score_table, select_best
 from cellweave.operators.sides import opposite_by_direction, opposite_by_window
 from cellweave.operators.windows import with_windows
 from cellweave.plans.fixtures import PATCH, PATCH_SQL, labelled_patch, patch
+from cellweave.plans.lineage import cut_lineage
 from cellweave.plans.queries_fit import central_lines
 from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, proposal_rows, reconstruct
 from cellweave.plans.registry import query, rounded
@@ -101,7 +102,8 @@ def corner_branches(spark, d):
 @query("fit_corner_from_neighbours")
 def fit_corner_from_neighbours(spark, d):
     c = labelled_patch(spark, d)
-    fits = fit_cells(c, PATCH, PRESETS["elvira_w"])
+    # flags, both ends, targets and levels read the fits, which are far dearer to make than to keep
+    fits = cut_lineage(fit_cells(c, PATCH, PRESETS["elvira_w"]).select(*KEY, "axis", "family", "params", "value_up", "value_down"))
     lv = fits.filter("family = 'line'").select(*KEY, "value_up", "value_down")
     made = K.corner_from_neighbours(fits, lv, PATCH)
     best = select_best(score_table(made, with_windows(c, PATCH, 3, 3), ("wedge",), center_weight=100.0))

@@ -329,6 +329,13 @@ def test_adaptive_sums_meet_columns_in_pieces(spark):
             assert got[i, j].sums == pytest.approx(want) and (got[i, j].shift, got[i, j].base) == (i - c0, s0 - j)
 
 
+def test_corner_query_makes_its_fits_once(spark):
+    from cellweave.plans.catalog import queries
+
+    plan = queries()["fit_corner_from_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1  # the windows that the wedges are scored on; all else reads the fits
+
+
 def test_refinement_never_hurts(spark):
     n = 14
     shapes = spark.createDataFrame([("d", n, n, 0, [.511, .486, .3], 0., 1.)], DISC)
