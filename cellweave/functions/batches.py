@@ -18,6 +18,22 @@ def as_lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), values)
 
 
+def above(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a > b as SQL orders numbers, NaN last."""
+    return (a > b) | (np.isnan(a) & ~np.isnan(b))
+
+
+def missing(lists: pa.Array, width: int) -> np.ndarray:
+    """Where rows of arrays of `width` numbers hold NULL, which as_matrix shows as NaN."""
+    return lists.flatten().is_null().to_numpy(zero_copy_only=False).reshape(len(lists), width)
+
+
+def as_known_lists(rows: np.ndarray, unknown: np.ndarray) -> pa.Array:
+    """Rows as lists with NULL only where `unknown` says so; NaN stays."""
+    values = pa.array(np.ascontiguousarray(rows, float).ravel(), pa.float64(), mask=np.ascontiguousarray(unknown).ravel())
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), values)
+
+
 def folded(p: np.ndarray, n: np.ndarray, mode: np.ndarray) -> np.ndarray:
     """Index of the cell that stands at unwrapped positions p of axes of length n."""
     period = np.maximum(2 * (n - 1), 1)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from cellweave.functions.area import arc_width, area_below
+from cellweave.functions.area import FLAT, arc_width, area_below
+from cellweave.functions.batches import as_matrix, missing
 from cellweave.functions.index import let
-from cellweave.schema import KEY
+from cellweave.schema import KEY, REGULAR
 
 #: Most parameters of a family with a fixed number of them; polynomials carry their whole array.
 N_PARAMS = 5
@@ -72,6 +75,62 @@ def score_rows(rows: DataFrame, key: list[str], families, size: tuple[int, int],
     return out.select(*key, *scalars, packed.alias("params"), "loss")
 
 
+def line_losses(w: Column, wk: Column, proposals: Column, size: tuple[int, int], k: int = 3, p: float = 2.0,
+                center_weight: float = 0.0, cut_only: bool = False) -> Column:
+    """Losses of a cell's lines, an array beside them.
+
+    They are those of score_rows, evaluated in Arrow batches: a cell keeps its proposals together, so there is no row a
+    member and nothing to group afterwards.
+    """
+    cells, half = size[0] * size[1], k // 2
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def losses(w: pa.Array, wk: pa.Array, params: pa.Array, axis: pa.Array, up: pa.Array, down: pa.Array) -> pa.Array:
+        sizes = params.value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        u, gone, kind = as_matrix(w, cells), missing(w, cells), as_matrix(wk, cells)
+        b, m = as_matrix(params.flatten(), 2).T
+        first, up, down = (x.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False) for x in (axis, up, down))
+        first, total, seen = first == 0, np.zeros(len(row)), np.zeros(len(row), bool)
+
+        def g(y):
+            return np.where(y <= 0, 0.0, np.where(y <= 1.0, y * y / 2, y - 0.5))
+
+        with np.errstate(all="ignore"):
+            for q in range(k * k):
+                di, dj = q // k - half, q % k - half
+                spot = (di + size[0] // 2) * size[1] + dj + size[1] // 2
+                t, s = np.where(first, di, dj).astype(float), np.where(first, dj, di).astype(float)
+                flat = np.maximum(0.0, np.fmin(b + m * (2 * t) / 2 - s, 1.0))
+                below = np.where(np.abs(m) < FLAT, flat, (g(b + m * (t + 0.5) - s) - g(b + m * (t - 0.5) - s)) / m)
+                gap = u[row, spot] - up - (down - up) * below
+                e = gap * gap if p == 2 else np.abs(gap) ** p
+                if di == 0 and dj == 0:
+                    e = e * (1.0 + center_weight)
+                known = ~gone[row, spot]
+                if cut_only:
+                    # a member that does not count adds nothing, whatever its value
+                    counts = (kind[row, spot] != REGULAR) & ~np.isnan(kind[row, spot])
+                    e, known = np.where(counts, e, 0.0), known | ~counts
+                total = total + np.where(known, e, 0.0)
+                seen |= known
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.where(seen, total, np.nan), pa.float64()))
+
+    return losses(w, wk, *[proposals[n] for n in ("params", "axis", "value_up", "value_down")])
+
+
+def best_beside(proposals: Column, losses: Column, fallback: Column, eps: float = 0.0) -> Column:
+    """Winner among proposals in the order that decides ties, with their losses beside them; `fallback` if none has a finite loss."""
+    last = F.struct(F.lit(float("inf")).alias("loss"), *[fallback[f].alias(f) for f in FIELDS])
+    if eps > 0:
+        scored = F.zip_with(proposals, losses, lambda c, loss: F.struct(loss.alias("loss"), *[c[f].alias(f) for f in FIELDS]))
+        return best_of(F.concat(F.array(last), scored), eps)
+    top = F.array_min(losses)
+    won = F.get(proposals, (F.array_position(losses, top) - 1).cast("int"))
+    return F.when(top < float("inf"), F.struct(top.alias("loss"), *[won[f].alias(f) for f in FIELDS])).otherwise(last)
+
+
 def best_of(scored: Column, eps: float = 0.0) -> Column:
     """Winner of a cell: smallest loss, first in order on ties.
 

@@ -16,7 +16,7 @@ from cellweave.operators.scoring import winner_counts
 from cellweave.plans.fixtures import (PATCH, PATCH_SQL, arc_area_sql, area_line_sql, column_sums_sql, labelled_patch, patch,
                                       sums_sql, table, window_sql)
 from cellweave.plans.queries_grid import r6
-from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, fit_sweep, proposal_rows, scored_proposals
+from cellweave.plans.reconstruct import PRESETS, Preset, fit_cells, fit_sweep, proposal_arrays, scored_proposals
 from cellweave.plans.registry import query, rounded
 from cellweave.schema import CUT, KEY
 
@@ -228,8 +228,8 @@ for name, options in (("fit_weno2d_deg2", {"method": "weno2d", "degree": 2}), ("
 
 def proposals(spark, d, model, n_params, angle=0.0, digits=6):
     p = Preset("one", (model,), angle=angle)
-    rows, _ = proposal_rows(labelled_patch(spark, d), PATCH, p)
-    out = rows.filter(F.col("family") != "constant").select(
+    rows = proposal_arrays(labelled_patch(spark, d), PATCH, p).select(*KEY, F.inline("proposals"))
+    out = rows.select(
         *KEY, "axis", "cand", *[F.col("params")[n].alias(f"p{n}") for n in range(n_params)], "value_up", "value_down")
     return rounded(out, digits)
 
@@ -292,10 +292,11 @@ def fit_curve_averages_1(spark, d):
 
 def arcs(spark, d, parabola, circle):
     """Every cell and axis with its column sums, as the heights y of three points, and its arc p or NULL where it is straight."""
-    rows, _ = proposal_rows(labelled_patch(spark, d), PATCH, Preset("one", (parabola, circle), angle=0.0))
-    of = {f: F.max(F.when(F.col("family") == f, F.col("params"))) for f in ("quadratic", "arc")}
-    g = rows.filter(F.col("family") != "constant").groupBy(*KEY, "axis").agg(
-        of["quadratic"].alias("q"), of["arc"].alias("p"), F.first("value_up").alias("value_up"), F.first("value_down").alias("value_down"))
+    rows = proposal_arrays(labelled_patch(spark, d), PATCH, Preset("one", (parabola, circle), angle=0.0))
+    of = {f: F.get(F.filter("proposals", lambda c: c["family"] == f), F.lit(0))["params"] for f in ("quadratic", "arc")}
+    first = F.get("proposals", F.lit(0))
+    g = rows.filter(F.size("proposals") > 0).select(
+        *KEY, "axis", of["quadratic"].alias("q"), of["arc"].alias("p"), first["value_up"].alias("value_up"), first["value_down"].alias("value_down"))
     return g.withColumn("y", F.transform(F.array(*[F.lit(t) for t in (-1.0, 0.0, 1.0)]), lambda t: F.col("q")[0] + (F.col("q")[1] + F.col("q")[2] * t) * t))
 
 

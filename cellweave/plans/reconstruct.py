@@ -16,7 +16,7 @@ from cellweave.functions.index import let
 from cellweave.operators import curves as C
 from cellweave.operators.labels import fixed_axes, gradient_axes, label_piecewise, window_gradient
 from cellweave.operators.resample import resample_average, resample_interface_only
-from cellweave.operators.scoring import FIELDS, score_rows, select_best
+from cellweave.operators.scoring import FIELDS, best_beside, line_losses, score_rows, select_best
 from cellweave.operators.windows import tile_key, with_windows
 from cellweave.schema import CUT, KEY, PROPOSAL, GridShape, proposal
 from cellweave.plans.lineage import cut_lineage
@@ -69,6 +69,118 @@ PRESETS = {p.name: p for p in [
 PROPOSALS = T.ArrayType(PROPOSAL)
 
 
+def _cut_windows(labelled: DataFrame, shape: GridShape | DataFrame, k: int, keep_tile: bool = True) -> DataFrame:
+    """Cut cells with their k x k windows; a column `route` becomes a number, one bit a model."""
+    routed = "route" in labelled.columns
+    if routed:
+        labelled = labelled.withColumn("_route", F.expr("aggregate(route, 0L, (bits, m) -> bits | shiftleft(1L, m))"))
+    return with_windows(labelled, shape, k, k, ["u", "kind", *["_route"] * routed], where=F.col("kind") == CUT, keep_tile=keep_tile)
+
+
+def _routed(made: Column, n: int) -> Column:
+    """The n-th model's proposals where the cell's route has that model."""
+    return F.when(F.col("_route").bitwiseAND(F.lit(2 << n)) != 0, made).otherwise(F.array().cast(PROPOSALS))
+
+
+def _usable(made: Column) -> Column:
+    return F.filter(made, lambda c: c["params"].isNotNull() & c["value_up"].isNotNull() & c["value_down"].isNotNull())
+
+
+def _axes_columns(w: DataFrame, size: tuple[int, int], preset: Preset, name: str) -> DataFrame:
+    """The axes that a preset tries, as column `name`."""
+    if preset.axis is not None:
+        return w.withColumn(name, fixed_axes(preset.axis))
+    gx, gy = window_gradient(F.col("w_u"), size, preset.gradient, 3)
+    w = w.withColumns({"_gx": gx, "_gy": gy})
+    return w.withColumn(name, gradient_axes(F.col("_gx"), F.col("_gy"), preset.angle)).drop("_gx", "_gy")
+
+
+def _with_proposals(w: DataFrame, size: tuple[int, int], preset: Preset, axis: str, rank: Column,
+                    done: dict) -> tuple[DataFrame, list[Column]]:
+    """Each model's proposals for one axis, with levels and column sums evaluated in Arrow batches as columns of the table.
+
+    `done` remembers those columns, which several presets share.
+    """
+
+    def once(what, column):
+        nonlocal w
+        if what not in done:
+            done[what] = f"_x{len(done)}"
+            w = w.withColumn(done[what], column())
+        return done[what]
+
+    def levels():
+        if preset.levels is C.levels_sided:
+            return C.batched_levels_sided(F.col("w_u"), F.col("w_kind"), size, F.col(axis))
+        bound = F.struct(F.col("w_u").alias("u"), F.col("w_kind").alias("k"))
+        both = let(bound, lambda x: preset.levels(x["u"], x["k"], size, F.col(axis)))
+        return let(both, lambda v: F.array(v["down"], v["up"]))
+
+    sides = once((axis, preset.levels), levels)
+    down, up = F.col(sides)[0], F.col(sides)[1]
+    sums = [once((axis, preset.levels, m.kt, m.ks), lambda m=m: C.batched_sums(
+        F.col("w_u"), F.col("w_kind"), size, m.kt, m.ks, F.col(axis), up, down)) for m in preset.models]
+    made = [C.proposals_of(m, n + 1, F.col(x), F.col(axis), rank, up, down) for n, (m, x) in enumerate(zip(preset.models, sums))]
+    if "_route" in w.columns:
+        made = [_routed(m, n) for n, m in enumerate(made)]
+    return w, made
+
+
+def proposal_arrays(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset) -> DataFrame:
+    """One row per cut cell and axis that it tries: KEY, u, axis_rank, axis and `proposals`, the usable ones in an array.
+
+    Levels and column sums are evaluated in Arrow batches, behind which Spark no longer knows how the tiles are
+    partitioned; proposal_rows is for those who group afterwards.
+    """
+    k = preset.window
+    size = (k, k)
+    w = _axes_columns(_cut_windows(labelled, shape, k, keep_tile=False), size, preset, "_axes")
+    # outer, though no cell is without axes: otherwise Spark looks for such cells first and copies the axes below the windows
+    w = w.select(*KEY, "u", "w_u", "w_kind", *["_route"] * ("_route" in w.columns), F.posexplode_outer("_axes").alias("axis_rank", "axis"))
+    w, made = _with_proposals(w, size, preset, "axis", F.col("axis_rank"), {})
+    # a generator, so that later filters cannot copy this expression below themselves
+    return w.select(*KEY, "u", "axis_rank", "axis", F.explode(F.array(_usable(F.concat(*made)))).alias("proposals"))
+
+
+def _in_batches(presets: list[Preset]) -> bool:
+    """Whether all proposals are lines, whose losses are evaluated in Arrow batches too."""
+    return {f for x in presets for f in x.families} <= {"constant", "line"}
+
+
+def _cell_winners(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[tuple[int, Preset]], k: int) -> DataFrame:
+    """KEY, u, _preset, loss and FIELDS of every cut cell's winner, for presets of lines.
+
+    A cell keeps its window and all its proposals in one row, so nothing is exploded or grouped after the tiles' shuffle.
+    """
+    size = (k, k)
+    w = _cut_windows(labelled, shape, k, keep_tile=False)
+    done, aims, lines, best = {}, {}, [], []
+    for n, x in presets:
+        aim = (x.axis, x.gradient, x.angle)
+        if aim not in aims:
+            ranks = range(1 if x.axis is not None else 2)
+            aims[aim] = [f"_axis{n}_{r}" for r in ranks]
+            w = _axes_columns(w, size, x, f"_axes{n}")
+            w = w.withColumns({aims[aim][r]: F.get(f"_axes{n}", F.lit(r)) for r in ranks} | {
+                f"_try{n}_{r}": F.size(f"_axes{n}") > r for r in ranks}).drop(f"_axes{n}")
+        made = []
+        for r, axis in enumerate(aims[aim]):
+            w, of_axis = _with_proposals(w, size, x, axis, F.lit(r), done)
+            tried = F.col(axis.replace("_axis", "_try"))
+            made.append([F.when(tried, m).otherwise(F.array().cast(PROPOSALS)) for m in of_axis])
+        # by model, axis and candidate: the order that decides ties
+        lines.append(_usable(F.concat(*[m for of_model in zip(*made) for m in of_model])).alias(f"_p{n}"))
+    # a generator, so that proposals are made once for their losses and the choice
+    w = w.select(*KEY, "u", "w_u", "w_kind", F.inline(F.array(F.struct(*lines))))
+    w = w.withColumns({f"_l{n}": line_losses(F.col("w_u"), F.col("w_kind"), F.col(f"_p{n}"), size, 3, x.p, x.center_weight, x.score_cut_only)
+                       for n, x in presets})
+    keep = proposal(0, F.lit(0), 0, F.lit(0), "constant", F.array("u"), F.col("u"), F.col("u"))
+    for n, x in presets:
+        best.append(F.struct(F.lit(n).alias("preset"), best_beside(F.col(f"_p{n}"), F.col(f"_l{n}"), keep, x.eps).alias("b")))
+    w = w.select(*KEY, "u", F.inline(F.array(*best)))
+    return w.select(*KEY, "u", F.col("preset").alias("_preset"), "b.loss", *[F.col(f"b.{f}").alias(f) for f in FIELDS])
+
+
 def proposal_rows(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset) -> tuple[DataFrame, list[str]]:
     """One row per proposal of every cut cell, next to the cell's windows.
 
@@ -80,26 +192,16 @@ def proposal_rows(labelled: DataFrame, shape: GridShape | DataFrame, preset: Pre
     k = preset.window
     size = (k, k)
     routed = "route" in labelled.columns
-    if routed:
-        labelled = labelled.withColumn("_route", F.expr("aggregate(route, 0L, (bits, m) -> bits | shiftleft(1L, m))"))
-    w = with_windows(labelled, shape, k, k, ["u", "kind", *["_route"] * routed], where=F.col("kind") == CUT, keep_tile=True)
     key = tile_key(shape) + ["i", "j"]
-    if preset.axis is None:
-        gx, gy = window_gradient(F.col("w_u"), size, preset.gradient, 3)
-        w = w.withColumns({"_gx": gx, "_gy": gy})
-        axes = gradient_axes(F.col("_gx"), F.col("_gy"), preset.angle)
-    else:
-        axes = fixed_axes(preset.axis)
-    w = w.select(*key, "u", "w_u", "w_kind", *["_route"] * routed, F.posexplode(axes).alias("_rank", "_axis"))
+    w = _axes_columns(_cut_windows(labelled, shape, k), size, preset, "_axes")
+    w = w.select(*key, "u", "w_u", "w_kind", *["_route"] * routed, F.posexplode("_axes").alias("_rank", "_axis"))
     bound = F.struct(F.col("w_u").alias("u"), F.col("w_kind").alias("k"))
     w = w.withColumn("_lv", let(bound, lambda x: preset.levels(x["u"], x["k"], size, F.col("_axis"))))
     models = [C.curve_proposals(m, n + 1, F.col("w_u"), F.col("w_kind"), size, F.col("_axis"), F.col("_rank"),
                                 F.col("_lv")) for n, m in enumerate(preset.models)]
     if routed:
-        models = [F.when(F.col("_route").bitwiseAND(F.lit(2 << n)) != 0, m) for n, m in enumerate(models)]
-        models = [F.coalesce(m, F.array().cast(PROPOSALS)) for m in models]
-    usable = F.filter(F.concat(*models), lambda c: c["params"].isNotNull() & c["value_up"].isNotNull()
-                      & c["value_down"].isNotNull())
+        models = [_routed(m, n) for n, m in enumerate(models)]
+    usable = _usable(F.concat(*models))
     keep = proposal(0, F.col("_rank"), 0, F.lit(0), "constant", F.array("u"), F.col("u"), F.col("u"))
     rows = w.select(*key, "w_u", "w_kind", F.inline(F.concat(F.array(keep), usable)))
     return rows, key
@@ -141,7 +243,10 @@ def fit_sweep(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[P
     active = [(n, x) for n, x in enumerate(presets) if x.models]
     if not active:
         return plain
-    w = with_windows(c, shape, k, k, ["u", "kind"], where=F.col("kind") == CUT, keep_tile=True)
+    if _in_batches([x for _, x in active]):
+        best = _cell_winners(c, shape, active, k)
+        return plain.unionByName(_winner_rows(best, "u", F.get(names, F.col("_preset")).alias("preset")))
+    w = _cut_windows(c, shape, k)
     key = tile_key(shape) + ["i", "j", "_preset", "_own"]
     tried = F.concat(*[_tried(_axes(F.col("w_u"), size, x), n) for n, x in active])
     w = w.withColumn("_try", F.explode(tried)).select(
@@ -157,16 +262,21 @@ def fit_sweep(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[P
         made = F.concat(*[C.curve_proposals(m, at + 1, F.col("w_u"), F.col("w_kind"), size, F.col("_axis"), F.col("_rank"), F.col("_lv"))
                           for at, m in enumerate(x.models)])
         models = F.when(own, made) if models is None else models.when(own, made)
-    usable = F.filter(models, lambda m: m["params"].isNotNull() & m["value_up"].isNotNull() & m["value_down"].isNotNull())
+    usable = _usable(models)
     keep = proposal(0, F.col("_rank"), 0, F.lit(0), "constant", F.array("u"), F.col("u"), F.col("u"))
     rows = w.select(*key, "w_u", "w_kind", F.inline(F.concat(F.array(keep), usable)))
     families = tuple(dict.fromkeys(f for _, x in active for f in x.families))
     weights = F.get(F.array(*[F.lit(float(x.center_weight)) for x in presets]), F.col("_preset"))
     scored = score_rows(rows, key, families, size, 3, presets[0].p, weights, presets[0].score_cut_only)
     best = select_best(scored, presets[0].eps, key)
-    return plain.unionByName(best.select(
-        *KEY, F.col("_own").alias("u"), F.lit(CUT).alias("kind"), "model_idx", "axis", "cand", "family", "params", "value_up", "value_down",
-        F.when(F.col("family") != "constant", F.col("loss")).alias("loss"), F.get(names, F.col("_preset")).alias("preset")))
+    return plain.unionByName(_winner_rows(best, "_own", F.get(names, F.col("_preset")).alias("preset")))
+
+
+def _winner_rows(best: DataFrame, own: str, *more: Column) -> DataFrame:
+    """Winners in the columns of fits."""
+    return best.select(
+        *KEY, F.col(own).alias("u"), F.lit(CUT).alias("kind"), "model_idx", "axis", "cand", "family", "params", "value_up", "value_down",
+        F.when(F.col("family") != "constant", F.col("loss")).alias("loss"), *more)
 
 
 def _tried(axes: Column, preset: int) -> Column:
@@ -223,15 +333,15 @@ def fit_cells(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset)
         F.col("u").alias("value_down"), F.lit(None).cast("double").alias("loss"))
     if not preset.models:
         return plain
-    rows, key = proposal_rows(c, shape, preset)
     k = preset.window
+    if _in_batches([preset]):
+        return plain.unionByName(_winner_rows(_cell_winners(c, shape, [(0, preset)], k), "u"))
+    rows, key = proposal_rows(c, shape, preset)
     own = F.get("w_u", F.lit((k // 2) * k + k // 2))
     scored = score_rows(rows.withColumn("_own", own), key + ["_own"], preset.families, (k, k), 3, preset.p,
                         preset.center_weight, preset.score_cut_only)
     best = select_best(scored, preset.eps, key + ["_own"])
-    return plain.unionByName(best.select(
-        *KEY, F.col("_own").alias("u"), F.lit(CUT).alias("kind"), "model_idx", "axis", "cand", "family", "params",
-        "value_up", "value_down", F.when(F.col("family") != "constant", F.col("loss")).alias("loss")))
+    return plain.unionByName(_winner_rows(best, "_own"))
 
 
 def reconstruct(cells: DataFrame, shape: GridShape | DataFrame, preset: Preset, refinement: int = 1,
