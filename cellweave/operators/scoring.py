@@ -91,6 +91,8 @@ def line_losses(w: Column, wk: Column, proposals: Column, size: tuple[int, int],
         u, gone, kind = as_matrix(w, cells), missing(w, cells), as_matrix(wk, cells)
         b, m = as_matrix(params.flatten(), 2).T
         first, up, down = (x.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False) for x in (axis, up, down))
+        holes = missing(params.flatten(), 2)
+        unknown = holes[:, 1] | (holes[:, 0] & ~(np.abs(m) < FLAT))
         first, total, seen = first == 0, np.zeros(len(row)), np.zeros(len(row), bool)
 
         def g(y):
@@ -107,7 +109,7 @@ def line_losses(w: Column, wk: Column, proposals: Column, size: tuple[int, int],
                 e = gap * gap if p == 2 else np.abs(gap) ** p
                 if di == 0 and dj == 0:
                     e = e * (1.0 + center_weight)
-                known = ~gone[row, spot]
+                known = ~gone[row, spot] & ~unknown
                 if cut_only:
                     # a member that does not count adds nothing, whatever its value
                     counts = (kind[row, spot] != REGULAR) & ~np.isnan(kind[row, spot])
