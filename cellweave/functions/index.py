@@ -86,6 +86,6 @@ def total(cols) -> Column:
 
 
 def weighted(w: Column, weights) -> Column:
-    """Sum of literal weights times the array entries (zero weights are left out)."""
-    terms = [w[p] * F.lit(float(x)) for p, x in enumerate(weights) if x != 0]
-    return total(terms) if terms else F.lit(0.0)
+    """Sum of literal weights times the entries of an array column or a list of numbers (zero weights are left out)."""
+    terms = [w[p] * float(x) for p, x in enumerate(weights) if x != 0]
+    return total(terms) if terms else F.lit(0.0) if isinstance(w, Column) else 0.0

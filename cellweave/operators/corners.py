@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cellweave.functions.area import curve_height, graph_slope, wedge_ray
 from cellweave.functions.index import map_index
 from cellweave.operators.neighbours import RING_8, RING_16, offset_array
-from cellweave.operators.windows import with_windows
+from cellweave.operators.windows import batched_windows
 from cellweave.schema import KEY, GridShape, with_shape
 
 GRAPHS = ("line", "quadratic", "curve_poly", "arc", "corner")
@@ -109,7 +109,7 @@ def branch_ends(fits: DataFrame, shape: GridShape | DataFrame, stencil_radius: i
     """
     k = 2 * max(2, stencil_radius + 1) + 1
     flags = fits.select(*KEY, F.col("family").isin(*CURVES).cast("double").alias("curve"))
-    w = with_windows(flags, shape, k, k, ["curve"], where=F.col("curve") > 0).select(*KEY, "w_curve")
+    w = batched_windows(flags, shape, k, ["curve"], F.col("curve") > 0)
     ends = with_shape(w.mapInArrow(partial(_end_batches, k=k, radius=stencil_radius), ENDS), shape)
     found = _hop(ends, F.col("di"), F.col("dj")).join(_look(fits), ["grid_id", "ti", "tj"])
     n = F.struct("di", "dj", "m")

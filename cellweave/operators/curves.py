@@ -126,16 +126,19 @@ def fit_matrix(xs, degree: int, averages: bool = True, weights=None) -> np.ndarr
     return np.linalg.pinv(poly_matrix(xs, degree, averages) * w[:, None]) * w[None, :]
 
 
-def apply_matrix(m: np.ndarray, sums: Column, base: float) -> list[Column]:
-    """Coefficients in cell coordinates; `base` is the lower edge of the window."""
+def apply_matrix(m: np.ndarray, sums, base: float) -> list:
+    """Coefficients in cell coordinates; `base` is the lower edge of the window.  Sums are a column or a list of numbers."""
     out = [weighted(sums, row) for row in m]
-    out[0] = out[0] + F.lit(float(base))
+    out[0] = out[0] + float(base)
     return out
 
 
 @dataclass(frozen=True)
 class CurveModel:
-    """kt x ks window and a function sums -> list of (family, params column)."""
+    """kt x ks window and a function sums -> list of params columns.
+
+    `coefs`, where the parameters are plain sums and products, gives them as numbers for a list of numbers.
+    """
 
     name: str
     kt: int
@@ -143,6 +146,7 @@ class CurveModel:
     family: str
     build: Callable[[Column], list[Column]]
     center_weight: float = 0.0
+    coefs: Callable[[list], list[tuple]] | None = None
 
     @property
     def base(self) -> int:
@@ -153,12 +157,16 @@ def _poly_family(degree: int) -> str:
     return {1: "line", 2: "quadratic"}.get(degree, "curve_poly")
 
 
+def _plain(name: str, kt: int, ks: int, family: str, coefs: Callable[[list], list[tuple]]) -> CurveModel:
+    return CurveModel(name, kt, ks, family, lambda s: [F.array(*p) for p in coefs(s)], coefs=coefs)
+
+
 def lines_3slopes() -> CurveModel:
     """Lines through the middle sum with backward, forward and central slope."""
-    def build(s):
+    def coefs(s):
         b = s[1] - 1
-        return [F.array(b, m) for m in (s[1] - s[0], s[2] - s[1], (s[2] - s[0]) / 2)]
-    return CurveModel("lines_3slopes", 3, 3, "line", build)
+        return [(b, m) for m in (s[1] - s[0], s[2] - s[1], (s[2] - s[0]) / 2)]
+    return _plain("lines_3slopes", 3, 3, "line", coefs)
 
 
 def curve_averages(degree: int, kt: int | None = None, ks: int = 5, ccew: float = 0.0) -> CurveModel:
@@ -168,8 +176,7 @@ def curve_averages(degree: int, kt: int | None = None, ks: int = 5, ccew: float
     w = np.exp(-np.square(np.asarray(xs, dtype=float)))
     w[kt // 2] += ccew
     m = fit_matrix(xs, degree, True, w)
-    return CurveModel(f"curve_averages_{degree}", kt, ks, _poly_family(degree),
-                      lambda s: [F.array(*apply_matrix(m, s, -(ks // 2)))])
+    return _plain(f"curve_averages_{degree}", kt, ks, _poly_family(degree), lambda s: [apply_matrix(m, s, -(ks // 2))])
 
 
 def curve_points(degree: int, kt: int | None = None, ks: int = 5, ccew: float = 0.0) -> CurveModel:
@@ -179,8 +186,7 @@ def curve_points(degree: int, kt: int | None = None, ks: int = 5, ccew: float =
     w = np.exp(-np.square(np.asarray(xs, dtype=float)))
     w[kt // 2] += ccew
     m = fit_matrix(xs, degree, False, w)
-    return CurveModel(f"curve_points_{degree}", kt, ks, _poly_family(degree),
-                      lambda s: [F.array(*apply_matrix(m, s, -(ks // 2)))])
+    return _plain(f"curve_points_{degree}", kt, ks, _poly_family(degree), lambda s: [apply_matrix(m, s, -(ks // 2))])
 
 
 def line_consistent(kt: int = 3, ks: int = 5, ccew: float = CENTER_WEIGHT) -> CurveModel:
@@ -189,8 +195,7 @@ def line_consistent(kt: int = 3, ks: int = 5, ccew: float = CENTER_WEIGHT) -> Cu
     w = (np.abs(np.asarray(xs)) < 2).astype(float)
     w[kt // 2] += ccew
     m = fit_matrix(xs, 1, True, w)
-    return CurveModel("line_consistent", kt, ks, "line",
-                      lambda s: [F.array(s[kt // 2] - ks // 2, weighted(s, m[1]))])
+    return _plain("line_consistent", kt, ks, "line", lambda s: [(s[kt // 2] - ks // 2, weighted(s, m[1]))])
 
 
 def line_smoothed(averages: bool = False, kt: int = 3, ks: int = 5) -> CurveModel:
@@ -198,8 +203,7 @@ def line_smoothed(averages: bool = False, kt: int = 3, ks: int = 5) -> CurveMode
     xs = np.asarray(offsets(kt), dtype=float)
     m = fit_matrix((xs[1:] + xs[:-1]) / 2, 1, averages)
     mid = (np.eye(kt)[1:] + np.eye(kt)[:-1]) / 2
-    return CurveModel("line_smoothed", kt, ks, "line",
-                      lambda s: [F.array(*apply_matrix(m @ mid, s, -(ks // 2)))])
+    return _plain("line_smoothed", kt, ks, "line", lambda s: [apply_matrix(m @ mid, s, -(ks // 2))])
 
 
 def circle_points(ks: int = 5) -> CurveModel:
@@ -257,7 +261,7 @@ def start_curve(family: str) -> CurveModel:
     if family not in flat:
         raise ValueError(f"no start curve for {family!r}")
     return CurveModel(f"start_{family}", 1, 1, family,
-                      lambda s: [F.array(*[F.lit(x) for x in flat[family]])])
+                      lambda s: [F.array(*[F.lit(x) for x in flat[family]])], coefs=lambda s: [tuple(flat[family])])
 
 
 def corner_4cols(ks: int = 7) -> CurveModel:
@@ -298,29 +302,63 @@ def _numbers(x: pa.Array) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False).astype(float, copy=False)
 
 
+def turned(w: np.ndarray, size: tuple[int, int], kt: int, ks: int, first: np.ndarray) -> np.ndarray:
+    """Rows of row-major windows cut to kt x ks and turned so that the independent axis, i where `first`, comes first."""
+    w = w.reshape(len(w), *size)
+
+    def part(a, b):
+        at = [[n // 2 + d for d in offsets(k)] for n, k in zip(size, (a, b))]
+        return w[:, at[0][0]:at[0][-1] + 1, at[1][0]:at[1][-1] + 1]
+
+    return np.where(first[:, None, None], part(kt, ks), part(ks, kt).transpose(0, 2, 1))
+
+
+def known_range(u: np.ndarray, gone: np.ndarray, kind: np.ndarray, size, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest and largest regular value of the k x k middle of each window, and whether there is one."""
+    cut = [(size[0] // 2 + a) * size[1] + size[1] // 2 + b for a in offsets(k) for b in offsets(k)]
+    seen, known = ((kind == REGULAR) & ~gone)[:, cut], u[:, cut]
+    with np.errstate(all="ignore"):
+        lo = np.fmin.reduce(np.where(seen, known, np.nan), axis=1)
+        hi = np.where(seen, known, -np.inf).max(axis=1)
+    return lo, hi, seen.any(axis=1)
+
+
+def sides_of(lo: np.ndarray, hi: np.ndarray, near: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values below and above, by the rise across turned 3 x 3 windows (`lost`: where they hold NULL)."""
+    with np.errstate(all="ignore"):
+        d = near[:, 0, 2] + near[:, 1, 2] + near[:, 2, 2] - near[:, 0, 0] - near[:, 1, 0] - near[:, 2, 0]
+        rises = ~lost[:, :, [0, 2]].any(axis=(1, 2)) & ((d >= 0) | np.isnan(d))
+    return np.where(rises, lo, hi), np.where(rises, hi, lo)
+
+
+def sums_of(u: np.ndarray, lost: np.ndarray, regular: np.ndarray, up: np.ndarray, down: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Column sums of turned windows after normalising them, and which of them are NULL."""
+    out, unknown = np.empty(u.shape[:2]), lost.any(axis=2)
+    with np.errstate(all="ignore"):
+        lo, hi, mid = np.fmin(up, down), np.maximum(up, down), (up + down) / 2
+        span = np.where((hi == lo) | (np.isnan(hi) & np.isnan(lo)), 1.0, hi - lo)
+        falls = above(up, down)
+        for c in range(u.shape[1]):
+            total = None
+            for s in range(u.shape[2]):
+                v, r = u[:, c, s], regular[:, c, s]
+                x = (np.where(r & above(mid, v), lo, np.where(r & above(v, mid), hi, v)) - lo) / span
+                x = np.where(falls, 1 - x, x)
+                total = x if total is None else total + x
+            out[:, c] = total
+    return out, unknown
+
+
 def batched_levels_sided(w: Column, wk: Column, size, axis: Column, k: int = 5) -> Column:
     """levels_sided as array(down, up), evaluated in Arrow batches instead of row by row."""
-    cut = [(size[0] // 2 + a) * size[1] + size[1] // 2 + b for a in offsets(k) for b in offsets(k)]
-    near = [(size[0] // 2 + a) * size[1] + size[1] // 2 + b for a in offsets(3) for b in offsets(3)]
     cells = size[0] * size[1]
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def levels(w: pa.Array, wk: pa.Array, axis: pa.Array) -> pa.Array:
-        u, gone, kind = as_matrix(w, cells), missing(w, cells), as_matrix(wk, cells)
-        regular = (kind == REGULAR) & ~gone
-        with np.errstate(all="ignore"):
-            seen, known = regular[:, cut], u[:, cut]
-            lo = np.fmin.reduce(np.where(seen, known, np.nan), axis=1)
-            hi = np.where(seen, known, -np.inf).max(axis=1)
-            x, g = u[:, near].T, gone[:, near].T
-            along_j = x[2] + x[5] + x[8] - x[0] - x[3] - x[6]
-            along_i = x[6] + x[7] + x[8] - x[0] - x[1] - x[2]
-            first = _numbers(axis) == 0
-            d = np.where(first, along_j, along_i)
-            unsure = np.where(first, g[[2, 5, 8, 0, 3, 6]].any(0), g[[6, 7, 8, 0, 1, 2]].any(0))
-            rises = ~unsure & ((d >= 0) | np.isnan(d))
-        both = np.stack([np.where(rises, lo, hi), np.where(rises, hi, lo)], axis=1)
-        return as_known_lists(both, np.repeat(~seen.any(axis=1)[:, None], 2, axis=1))
+        u, gone, first = as_matrix(w, cells), missing(w, cells), _numbers(axis) == 0
+        lo, hi, seen = known_range(u, gone, as_matrix(wk, cells), size, k)
+        both = np.stack(sides_of(lo, hi, turned(u, size, 3, 3, first), turned(gone, size, 3, 3, first)), axis=1)
+        return as_known_lists(both, np.repeat(~seen[:, None], 2, axis=1))
 
     return levels(w, wk, axis.cast("int"))
 
@@ -328,28 +366,11 @@ def batched_levels_sided(w: Column, wk: Column, size, axis: Column, k: int = 5)
 def batched_sums(w: Column, wk: Column, size, kt: int, ks: int, axis: Column, up: Column, down: Column) -> Column:
     """Column sums of the turned and normalised kt x ks window, evaluated in Arrow batches instead of row by row."""
     cells = size[0] * size[1]
-    rows = {along: [[(size[0] // 2 + (t if along == 0 else s)) * size[1] + size[1] // 2 + (s if along == 0 else t)
-                     for s in offsets(ks)] for t in offsets(kt)] for along in (0, 1)}
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def sums(w: pa.Array, wk: pa.Array, axis: pa.Array, up: pa.Array, down: pa.Array) -> pa.Array:
-        u, gone, regular = as_matrix(w, cells), missing(w, cells), as_matrix(wk, cells) == REGULAR
-        up, down, first = _numbers(up), _numbers(down), _numbers(axis) == 0
-        out, unknown = np.empty((len(u), kt)), np.empty((len(u), kt), bool)
-        with np.errstate(all="ignore"):
-            lo, hi, mid = np.fmin(up, down), np.maximum(up, down), (up + down) / 2
-            span = np.where((hi == lo) | (np.isnan(hi) & np.isnan(lo)), 1.0, hi - lo)
-            falls = above(up, down)
-            for c in range(kt):
-                total, lost = None, np.zeros(len(u), bool)
-                for a, b in zip(rows[0][c], rows[1][c]):
-                    v, r = np.where(first, u[:, a], u[:, b]), np.where(first, regular[:, a], regular[:, b])
-                    lost |= np.where(first, gone[:, a], gone[:, b])
-                    x = (np.where(r & above(mid, v), lo, np.where(r & above(v, mid), hi, v)) - lo) / span
-                    x = np.where(falls, 1 - x, x)
-                    total = x if total is None else total + x
-                out[:, c], unknown[:, c] = total, lost
-        return as_known_lists(out, unknown)
+        first, parts = _numbers(axis) == 0, (as_matrix(w, cells), missing(w, cells), as_matrix(wk, cells) == REGULAR)
+        return as_known_lists(*sums_of(*[turned(x, size, kt, ks, first) for x in parts], _numbers(up), _numbers(down)))
 
     return sums(w, wk, axis.cast("int"), up, down)
 

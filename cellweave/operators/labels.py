@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cellweave.functions.index import sub_window, weighted
+from cellweave.functions.batches import above
+from cellweave.functions.index import offsets, sub_window, weighted
 from cellweave.operators.windows import convolve_scatter, with_windows
 from cellweave.schema import CUT, KEY, REGULAR, GridShape
 
@@ -112,6 +114,20 @@ def gradient_axes(gx: Column, gy: Column, angle: float = 45.0) -> Column:
     return F.when(tilt <= angle * math.pi / 180, F.array(first)).otherwise(F.array(first, 1 - first))
 
 
+def axes_of(u: np.ndarray, gone: np.ndarray, size: tuple[int, int], method: str, angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gradient_axes of the 3 x 3 gradient for a batch of windows: the first axis, whether it is NULL, and whether both are tried."""
+    inner = [(size[0] // 2 + a) * size[1] + size[1] // 2 + b for a in offsets(3) for b in offsets(3)]
+    weights = [[x for row in g for x in row] for g in kernel_pair(method, 3)]
+    with np.errstate(all="ignore"):
+        ax, ay = (np.abs(weighted(u.T[inner], w)) for w in weights)
+        nx, ny = (gone[:, [c for c, x in zip(inner, w) if x]].any(axis=1) for w in weights)
+        # as in SQL, the greater and the least of two skip NULL, and NaN is the greatest number
+        low = np.where(nx, ay, np.where(ny, ax, np.fmin(ax, ay)))
+        top = np.where(nx, ay, np.where(ny, ax, np.maximum(ax, ay)))
+        both = (nx & ny) | ~(np.arctan(low / (top + 1e-15)) <= angle * math.pi / 180)
+    return (~above(ay, ax)).astype(int), nx | ny, both
+
+
 def orient_by_gradient(cells: DataFrame, shape: GridShape | DataFrame, k: int = 3,
                        method: str = "optim", angle: float = 45.0) -> DataFrame:
     """One row per cell and proposed axis, in order of preference."""

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cellweave.functions.area import FLAT, arc_width, area_below
-from cellweave.functions.batches import as_matrix, missing
+from cellweave.functions.batches import above, as_matrix, missing
 from cellweave.functions.index import let
 from cellweave.schema import KEY, REGULAR
 
@@ -75,62 +75,50 @@ def score_rows(rows: DataFrame, key: list[str], families, size: tuple[int, int],
     return out.select(*key, *scalars, packed.alias("params"), "loss")
 
 
-def line_losses(w: Column, wk: Column, proposals: Column, size: tuple[int, int], k: int = 3, p: float = 2.0,
-                center_weight: float = 0.0, cut_only: bool = False) -> Column:
-    """Losses of a cell's lines, an array beside them.
+def line_area(b: np.ndarray, m: np.ndarray, t0: np.ndarray | float, t1: np.ndarray | float, s0: np.ndarray | float, h: float) -> np.ndarray:
+    """area_line for a batch of lines, where t0 < t1."""
+    def g(y):
+        return np.where(y <= 0, 0.0, np.where(y <= h, y * y / 2, h * y - h * h / 2))
 
-    They are those of score_rows, evaluated in Arrow batches: a cell keeps its proposals together, so there is no row a
-    member and nothing to group afterwards.
-    """
-    cells, half = size[0] * size[1], k // 2
-
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def losses(w: pa.Array, wk: pa.Array, params: pa.Array, axis: pa.Array, up: pa.Array, down: pa.Array) -> pa.Array:
-        sizes = params.value_lengths().to_numpy(zero_copy_only=False)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        u, gone, kind = as_matrix(w, cells), missing(w, cells), as_matrix(wk, cells)
-        b, m = as_matrix(params.flatten(), 2).T
-        first, up, down = (x.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False) for x in (axis, up, down))
-        holes = missing(params.flatten(), 2)
-        unknown = holes[:, 1] | (holes[:, 0] & ~(np.abs(m) < FLAT))
-        first, total, seen = first == 0, np.zeros(len(row)), np.zeros(len(row), bool)
+    with np.errstate(all="ignore"):
+        flat = np.maximum(0.0, np.fmin(b + m * (t0 + t1) / 2 - s0, h)) * (t1 - t0)
+        return np.where(np.abs(m) < FLAT, flat, (g(b + m * t1 - s0) - g(b + m * t0 - s0)) / m)
 
-        def g(y):
-            return np.where(y <= 0, 0.0, np.where(y <= 1.0, y * y / 2, y - 0.5))
 
-        with np.errstate(all="ignore"):
-            for q in range(k * k):
-                di, dj = q // k - half, q % k - half
-                spot = (di + size[0] // 2) * size[1] + dj + size[1] // 2
-                t, s = np.where(first, di, dj).astype(float), np.where(first, dj, di).astype(float)
-                flat = np.maximum(0.0, np.fmin(b + m * (2 * t) / 2 - s, 1.0))
-                below = np.where(np.abs(m) < FLAT, flat, (g(b + m * (t + 0.5) - s) - g(b + m * (t - 0.5) - s)) / m)
-                gap = u[row, spot] - up - (down - up) * below
+def line_losses(near: np.ndarray, gone: np.ndarray, kind: np.ndarray, first: np.ndarray, b: np.ndarray, m: np.ndarray, unknown: np.ndarray,
+                up: np.ndarray, down: np.ndarray, p: float, center_weight: float, cut_only: bool) -> np.ndarray:
+    """Losses of score_rows for one line a cell, on k x k windows that are turned (`first`: independent axis i); NaN for NULL."""
+    n, k, _ = near.shape
+    half, terms, counted = k // 2, {}, {}
+    with np.errstate(all="ignore"):
+        for t in range(k):
+            for s in range(k):
+                gap = near[:, t, s] - up - (down - up) * line_area(b, m, t - half - 0.5, t - half + 0.5, float(s - half), 1.0)
                 e = gap * gap if p == 2 else np.abs(gap) ** p
-                if di == 0 and dj == 0:
+                if t == half and s == half:
                     e = e * (1.0 + center_weight)
-                known = ~gone[row, spot] & ~unknown
+                known = ~gone[:, t, s] & ~unknown
                 if cut_only:
                     # a member that does not count adds nothing, whatever its value
-                    counts = (kind[row, spot] != REGULAR) & ~np.isnan(kind[row, spot])
+                    counts = (kind[:, t, s] != REGULAR) & ~np.isnan(kind[:, t, s])
                     e, known = np.where(counts, e, 0.0), known | ~counts
-                total = total + np.where(known, e, 0.0)
-                seen |= known
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.where(seen, total, np.nan), pa.float64()))
-
-    return losses(w, wk, *[proposals[n] for n in ("params", "axis", "value_up", "value_down")])
+                terms[t, s], counted[t, s] = np.where(known, e, 0.0), known
+        # members add up by their places in the grid, as rows of score_rows do
+        total = np.zeros((2, n))
+        for q in range(k * k):
+            total[0] += terms[q // k, q % k]
+            total[1] += terms[q % k, q // k]
+    return np.where(np.logical_or.reduce(list(counted.values())), np.where(first, *total), np.nan)
 
 
-def best_beside(proposals: Column, losses: Column, fallback: Column, eps: float = 0.0) -> Column:
-    """Winner among proposals in the order that decides ties, with their losses beside them; `fallback` if none has a finite loss."""
-    last = F.struct(F.lit(float("inf")).alias("loss"), *[fallback[f].alias(f) for f in FIELDS])
-    if eps > 0:
-        scored = F.zip_with(proposals, losses, lambda c, loss: F.struct(loss.alias("loss"), *[c[f].alias(f) for f in FIELDS]))
-        return best_of(F.concat(F.array(last), scored), eps)
-    top = F.array_min(losses)
-    won = F.get(proposals, (F.array_position(losses, top) - 1).cast("int"))
-    return F.when(top < float("inf"), F.struct(top.alias("loss"), *[won[f].alias(f) for f in FIELDS])).otherwise(last)
+def place_of_best(losses: np.ndarray, eps: float = 0.0) -> np.ndarray:
+    """Place of each row's winner, columns standing in the order that decides ties; -1 where no loss is finite, as in best_of."""
+    known = np.where(np.isnan(losses), np.inf, losses)
+    best, won = np.full(len(losses), np.inf), np.full(len(losses), -1)
+    for n, loss in enumerate(known.T):
+        better = loss + eps < best if eps > 0 else loss < best
+        best, won = np.where(better, loss, best), np.where(better, n, won)
+    return won
 
 
 def best_of(scored: Column, eps: float = 0.0) -> Column:
@@ -149,12 +137,86 @@ def best_of(scored: Column, eps: float = 0.0) -> Column:
 
 
 def score_table(proposals: DataFrame, windows: DataFrame, families, k: int = 3, p: float = 2.0,
-                center_weight: float = 0.0) -> DataFrame:
-    """Loss of proposals from any source; windows hold w_u (k x k) per cell."""
+                center_weight: float = 0.0, once: bool = False) -> DataFrame:
+    """Loss of proposals from any source; windows hold w_u (k x k) per cell.
+
+    Members of equal proposals of a cell, and of several windows of one, add up.  `once` says that there are none, as where
+    both come from dense grids; wedges are then not grouped first.
+    """
+    if tuple(families) == ("wedge",) and not isinstance(center_weight, Column):
+        return _wedge_table(proposals, windows, k, p, center_weight, once)
     rows = proposals.join(windows.select(*KEY, "w_u"), KEY)
     return score_rows(rows, KEY, families, (k, k), k, p, center_weight)
 
 
+def _wedge_table(proposals: DataFrame, windows: DataFrame, k: int, p: float, center_weight: float, once: bool) -> DataFrame:
+    """score_table for wedges, whose losses are evaluated in Arrow batches, a row a proposal instead of one a member."""
+    if once:
+        met = proposals.withColumn("_times", F.lit(1).cast("long")).join(windows.select(*KEY, F.array("w_u").alias("_w")), KEY)
+    else:
+        met = proposals.groupBy(*KEY, *FIELDS).agg(F.count(F.lit(1)).alias("_times")).join(
+            windows.select(*KEY, "w_u").groupBy(*KEY).agg(F.collect_list("w_u").alias("_w")), KEY)
+
+    @F.arrow_udf(T.DoubleType())
+    def losses(w: pa.Array, vt: pa.Array, vs: pa.Array, m1: pa.Array, m2: pa.Array, c1: pa.Array, c2: pa.Array,
+               axis: pa.Array, up: pa.Array, down: pa.Array, times: pa.Array) -> pa.Array:
+        sizes = w.value_lengths().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        flat = w.flatten()
+        u, gone = as_matrix(flat, k * k), missing(flat, k * k)
+        wedge = [_column(x, row) for x in (vt, vs, m1, m2, c1, c2)]
+        (up, no_up), (down, no_down) = _column(up, row), _column(down, row)
+        first = axis.to_numpy(zero_copy_only=False)[row] == 0
+        total, seen = np.zeros(len(row)), np.zeros(len(row), bool)
+        with np.errstate(all="ignore"):
+            for q in range(k * k):
+                di, dj = q // k - k // 2, q % k - k // 2
+                t, s = np.where(first, di, dj).astype(float), np.where(first, dj, di).astype(float)
+                below, no_below = _wedge_area(*wedge, t - 0.5, t + 0.5, s)
+                gap = u[:, q] - up - (down - up) * below
+                e = gap * gap if p == 2 else np.abs(gap) ** p
+                if di == 0 and dj == 0:
+                    e = e * (1.0 + center_weight)
+                known = ~(gone[:, q] | no_up | no_down | no_below)
+                total += np.where(known, e, 0.0)
+                seen |= known
+        if (sizes != 1).any():
+            total, seen = np.bincount(row, total, len(sizes)), np.bincount(row, seen, len(sizes)) > 0
+        return pa.array(total * times.to_numpy(), pa.float64(), mask=~seen)
+
+    v = [F.get("params", F.lit(n)) for n in range(4)]
+    loss = losses("_w", v[0], v[1], F.tan(v[2]), F.tan(v[3]), F.cos(v[2]), F.cos(v[3]), "axis", "value_up", "value_down", "_times")
+    return met.select(*KEY, *FIELDS, loss.alias("loss"))
+
+
+def _column(x: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return x.to_numpy(zero_copy_only=False).astype(float, copy=False)[row], x.is_null().to_numpy(zero_copy_only=False)[row]
+
+
+def _wedge_area(vt, vs, m1, m2, c1, c2, t0, t1, s0) -> tuple[np.ndarray, np.ndarray]:
+    """area_wedge of unit height for a batch, each argument before t0 with where it is NULL; the area and where that is NULL."""
+    (vt, no_t), (vs, no_s), (m1, no1), (m2, no2), (c1, _), (c2, _) = vt, vs, m1, m2, c1, c2
+    turn = np.maximum(t0, np.fmin(np.where(no_t, np.nan, vt), t1))
+    # NaN is the greatest number; where an angle is NULL, neither side is true
+    right1, right2 = (((c >= 0) | np.isnan(c)) & ~no for c, no in ((c1, no1), (c2, no2)))
+    same_right, same_left = right1 & right2, ~right1 & ~no1 & ~right2 & ~no2
+
+    def part(m, no_m, right):
+        lo, hi = np.where(right, turn, t0), np.where(right, t1, turn)
+        b, flat = vs - m * vt, (np.abs(m) < FLAT) & ~no_m
+        no_b = no_t | no_s | no_m
+        none = hi <= lo
+        # least and greatest skip NULL, so that a flat line without a height fills the rectangle
+        area = np.where(none, 0.0, np.where(flat & no_b, hi - lo, line_area(b, m, lo, hi, s0, 1.0)))
+        return area, ~none & ~flat & no_b
+
+    # the first half-line's part lies on its own side; the second one's too, and on the right if the first one has none
+    (one, no_one), (two, no_two) = part(m1, no1, right1), part(m2, no2, same_right | ~(same_left | right1))
+    whole = (t1 - t0) * 1.0
+    rest = np.where(np.where(same_right, ~above(m2, m1), ~above(m1, m2)), 0.0, whole)
+    return np.where(same_right | same_left, one - two + rest, one + two), no_one | no_two
+
+
 def select_best(scored: DataFrame, eps: float = 0.0, key: list[str] | None = None) -> DataFrame:
     """Winner per cell of scored proposals: smallest loss, ties by model, axis, candidate."""
     key = key or KEY

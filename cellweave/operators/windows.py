@@ -9,14 +9,23 @@ on the same tiles without another shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cellweave.functions.batches import as_known_lists, folded
 from cellweave.functions.index import fdiv, images, let, map_index, offsets
-from cellweave.schema import CYCLIC, GridShape, require, with_shape
+from cellweave.schema import CYCLIC, EXTEND, KEY, MODES, REFLECT, GridShape, require, with_shape
 
 TILE = 32
 #: Tasks of a heavy stage for each shuffle partition of the session.
 HEAVY = 4
+#: Cells, rims included, whose windows are made together in batches.
+CELLS_AT_ONCE = 1 << 16
 
 
 def heavy_width(df: DataFrame) -> int:
@@ -31,14 +40,8 @@ def tile_key(shape: GridShape | DataFrame, tile: int = TILE) -> list[str]:
     return ["grid_id"] + ["bi"] * (shape.ni > tile) + ["bj"] * (shape.nj > tile)
 
 
-def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
-          values: list[str], tile: int = TILE) -> DataFrame:
-    """Pack cells into tiles: one row per tile with padded row-major arrays.
-
-    Columns: grid_id, bi, bj, ni, nj, rows, cols (core size) and one array per
-    value column of size (rows + 2r) x (cols + 2r).  A grid has to be dense; a
-    missing or doubled cell raises an error instead of shifting values.
-    """
+def _in_tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int, values: list[str], tile: int) -> tuple[DataFrame, tuple[bool, bool]]:
+    """Cells at their places ei, ej in each tile bi, bj that has them as core or rim, and along which axes tiles can be many."""
     require(cells, "grid_id", "i", "j", *values)
     if tile <= radius:
         raise ValueError("tile must be larger than the radius")
@@ -63,6 +66,20 @@ def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
         c = c.withColumn(b, F.explode(F.when(spill, F.sequence(
             F.greatest(F.lit(0), fdiv(F.col(e) - r, tile)),
             F.least(last, fdiv(F.col(e) + r, tile)))).otherwise(F.array(F.lit(0)))))
+    return c, many
+
+
+def tiles(cells: DataFrame, shape: GridShape | DataFrame, radius: int,
+          values: list[str], tile: int = TILE) -> DataFrame:
+    """Pack cells into tiles: one row per tile with padded row-major arrays.
+
+    Columns: grid_id, bi, bj, ni, nj, rows, cols (core size) and one array per
+    value column of size (rows + 2r) x (cols + 2r).  A grid has to be dense; a
+    missing or doubled cell raises an error instead of shifting values.
+    """
+    r = radius
+    c, many = _in_tiles(cells, shape, r, values, tile)
+    spill_i, spill_j = F.col("ni") > tile, F.col("nj") > tile
 
     # sort key first: positions inside the tile; (row, column) order after sort_array
     packed = F.struct(F.col("ei"), F.col("ej"), *[F.col(v) for v in values])
@@ -141,6 +158,98 @@ def with_windows(cells: DataFrame, shape: GridShape | DataFrame, ki: int, kj: in
     return out.filter(where) if where is not None else out
 
 
+def batched_windows(cells: DataFrame, shape: GridShape | DataFrame, k: int, values: list[str], where: Column | None = None,
+                    carry: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """KEY, `carry` and the k x k neighbourhoods `w_<value>` (doubles) of the cells that meet `where`, as with_windows makes them.
+
+    Cells go through the same shuffle, are sorted by tile and place, and are cut into windows in Arrow batches of whole
+    tiles, so nothing is packed into arrays and taken out again row by row.  Spark no longer knows the tiles' partitioning
+    behind it; with_windows is for those who group by tile afterwards.
+    """
+    wanted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    columns = list(dict.fromkeys([*values, *carry]))
+    c = cells.select(*KEY, *columns, wanted.alias("_own"))
+    c, _ = _in_tiles(c, shape, k // 2, [*columns, "_own"], tile)
+    same = isinstance(shape, GridShape)
+    sizes = [] if same else ["ni", "nj", *[F.when(F.col(m) == CYCLIC, MODES.index(CYCLIC)).when(F.col(m) == EXTEND, MODES.index(EXTEND))
+                                           .otherwise(MODES.index(REFLECT)).alias(m) for m in ("mode_i", "mode_j")]]
+    key = tile_key(shape, tile)
+    c = c.select("grid_id", "bi", "bj", "ei", "ej", *columns, "_own", *sizes).repartition(heavy_width(c), *key)
+    c = c.sortWithinPartitions(*key, "ei", "ej", *columns).drop("ei", "ej")
+    types = {f.name: f.dataType.simpleString() for f in c.schema}
+    out = [f"grid_id {types['grid_id']}, i int, j int", *[f"{n} {types[n]}" for n in carry], *[f"w_{v} array<double>" for v in values]]
+    return c.mapInArrow(partial(_window_batches, shape=shape if same else None, k=k, values=values, carry=carry, tile=tile), ", ".join(out))
+
+
+def _tile_starts(cells: pa.Table) -> np.ndarray:
+    """First row of each tile of sorted cells."""
+    new = np.zeros(cells.num_rows, bool)
+    new[:1] = True
+    for name in ("grid_id", "bi", "bj"):
+        x = cells.column(name)
+        a, b = x.slice(0, len(x) - 1), x.slice(1)
+        differs = pc.fill_null(pc.not_equal(a, b), False).to_numpy()
+        new[1:] |= differs | (pc.is_null(a).to_numpy() != pc.is_null(b).to_numpy())
+    return np.flatnonzero(new)
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch], **how) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CELLS_AT_ONCE:
+            cells = pa.Table.from_batches(held).combine_chunks()
+            starts = _tile_starts(cells)
+            # the last tile may go on in the next batch
+            yield from _tile_windows(cells.slice(0, starts[-1]), starts[:-1], **how)
+            rest = cells.slice(starts[-1])
+            held, n = rest.to_batches(), rest.num_rows
+    if n:
+        cells = pa.Table.from_batches(held).combine_chunks()
+        yield from _tile_windows(cells, _tile_starts(cells), **how)
+
+
+def _tile_windows(cells: pa.Table, starts: np.ndarray, shape: GridShape | None, k: int, values: list[str], carry: tuple[str, ...],
+                  tile: int) -> Iterator[pa.RecordBatch]:
+    """Windows of whole tiles; tiles of one form are cut together."""
+    if not len(starts):
+        return
+    r, column = k // 2, {n: cells.column(n).combine_chunks() for n in cells.column_names}
+    bi, bj = (column[n].to_numpy()[starts].astype(np.int64) for n in ("bi", "bj"))
+    if shape is None:
+        ni, nj, mi, mj = (column[n].to_numpy()[starts].astype(np.int64) for n in ("ni", "nj", "mode_i", "mode_j"))
+    else:
+        ni, nj, mi, mj = (np.full(len(starts), n) for n in (shape.ni, shape.nj, MODES.index(shape.mode_i), MODES.index(shape.mode_j)))
+    rows, cols = np.minimum(tile, ni - bi * tile), np.minimum(tile, nj - bj * tile)
+    high, wide = np.where(ni > tile, rows + 2 * r, rows), np.where(nj > tile, cols + 2 * r, cols)
+    bad = np.flatnonzero(np.diff(np.append(starts, cells.num_rows)) != high * wide)
+    if len(bad):
+        raise ValueError(f"grid is not dense, densify it first: {column['grid_id'][starts[bad[0]]].as_py()}")
+    own = column["_own"].to_numpy(zero_copy_only=False)
+    gone = {v: column[v].is_null().to_numpy(zero_copy_only=False) for v in values}
+    known = {v: column[v].to_numpy(zero_copy_only=False).astype(float, copy=False) for v in values}
+    forms, form = np.unique(np.stack([rows, cols, ni, nj, mi, mj], axis=1), axis=0, return_inverse=True)
+    for f, (n_rows, n_cols, n_i, n_j, m_i, m_j) in enumerate(forms.tolist()):
+        mine = np.flatnonzero(form.ravel() == f)
+        width = n_cols + 2 * r if n_j > tile else n_cols
+        down, along = (np.arange(n + 2 * r) if size > tile else folded(np.arange(-r, n + r), size, MODES[m])
+                       for n, size, m in ((n_rows, n_i, m_i), (n_cols, n_j, m_j)))
+        place = down[:, None] * width + along[None, :]
+        spots = np.lib.stride_tricks.sliding_window_view(place, (k, k)).reshape(n_rows * n_cols, k * k)
+        t, p = np.nonzero(own[starts[mine][:, None] + spots[:, r * k + r][None, :]])
+        if not len(t):
+            continue
+        first = starts[mine[t]]
+        at = first[:, None] + spots[p]
+        middle = pa.array(at[:, r * k + r])
+        lead = [column["grid_id"].take(middle), pa.array((bi[mine[t]] * tile + p // n_cols).astype(np.int32)),
+                pa.array((bj[mine[t]] * tile + p % n_cols).astype(np.int32))]
+        yield pa.RecordBatch.from_arrays(
+            [*lead, *[column[n].take(middle) for n in carry], *[as_known_lists(known[v][at], gone[v][at]) for v in values]],
+            [*KEY, *carry, *[f"w_{v}" for v in values]])
+
+
 def convolve_scatter(cells: DataFrame, shape: GridShape | DataFrame,
                      kernels: dict[str, list[list[float]]], value: str = "u") -> DataFrame:
     """Linear kernels by scattering each cell to its targets and summing there.

@@ -11,7 +11,7 @@ from cellweave.operators.neighbours import RING_8, RING_16
 from cellweave.operators.refine import refine_candidates
 from cellweave.operators.scoring import score_table, select_best
 from cellweave.operators.sides import opposite_by_direction, opposite_by_window
-from cellweave.operators.windows import with_windows
+from cellweave.operators.windows import batched_windows, with_windows
 from cellweave.plans.fixtures import PATCH, PATCH_SQL, labelled_patch, patch
 from cellweave.plans.lineage import cut_lineage
 from cellweave.plans.queries_fit import central_lines
@@ -106,7 +106,7 @@ def fit_corner_from_neighbours(spark, d):
     fits = cut_lineage(fit_cells(c, PATCH, PRESETS["elvira_w"]).select(*KEY, "axis", "family", "params", "value_up", "value_down"))
     lv = fits.filter("family = 'line'").select(*KEY, "value_up", "value_down")
     made = K.corner_from_neighbours(fits, lv, PATCH)
-    best = select_best(score_table(made, with_windows(c, PATCH, 3, 3), ("wedge",), center_weight=100.0))
+    best = select_best(score_table(made, batched_windows(c, PATCH, 3, ["u"]), ("wedge",), center_weight=100.0, once=True))
     return rounded(best.select(*KEY, "cand", "loss"), 4)
 
 

@@ -10,15 +10,19 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from cellweave.functions.area import FLAT
+from cellweave.functions.batches import as_matrix, missing
 from cellweave.functions.index import let
 from cellweave.operators import curves as C
-from cellweave.operators.labels import fixed_axes, gradient_axes, label_piecewise, window_gradient
+from cellweave.operators.labels import axes_of, fixed_axes, gradient_axes, label_piecewise, window_gradient
 from cellweave.operators.resample import resample_average, resample_interface_only
-from cellweave.operators.scoring import FIELDS, best_beside, line_losses, score_rows, select_best
-from cellweave.operators.windows import tile_key, with_windows
-from cellweave.schema import CUT, KEY, PROPOSAL, GridShape, proposal
+from cellweave.operators.scoring import FIELDS, line_losses, place_of_best, score_rows, select_best
+from cellweave.operators.windows import batched_windows, tile_key, with_windows
+from cellweave.schema import CUT, KEY, PROPOSAL, REGULAR, GridShape, proposal
 from cellweave.plans.lineage import cut_lineage
 
 
@@ -67,13 +71,14 @@ PRESETS = {p.name: p for p in [
 
 
 PROPOSALS = T.ArrayType(PROPOSAL)
+ROUTE_BITS = "aggregate(route, 0L, (bits, m) -> bits | shiftleft(1L, m))"
 
 
 def _cut_windows(labelled: DataFrame, shape: GridShape | DataFrame, k: int, keep_tile: bool = True) -> DataFrame:
     """Cut cells with their k x k windows; a column `route` becomes a number, one bit a model."""
     routed = "route" in labelled.columns
     if routed:
-        labelled = labelled.withColumn("_route", F.expr("aggregate(route, 0L, (bits, m) -> bits | shiftleft(1L, m))"))
+        labelled = labelled.withColumn("_route", F.expr(ROUTE_BITS))
     return with_windows(labelled, shape, k, k, ["u", "kind", *["_route"] * routed], where=F.col("kind") == CUT, keep_tile=keep_tile)
 
 
@@ -143,42 +148,113 @@ def proposal_arrays(labelled: DataFrame, shape: GridShape | DataFrame, preset: P
 
 
 def _in_batches(presets: list[Preset]) -> bool:
-    """Whether all proposals are lines, whose losses are evaluated in Arrow batches too."""
-    return {f for x in presets for f in x.families} <= {"constant", "line"}
+    """Whether all proposals are lines whose parameters are plain sums, with side values from the window: these are fitted in Arrow batches."""
+    return all(x.levels is C.levels_sided and all(m.family == "line" and m.coefs is not None for m in x.models) for x in presets)
+
+
+WON = T.ArrayType(T.StructType([T.StructField("preset", T.IntegerType()), T.StructField("loss", T.DoubleType()), *PROPOSAL.fields]))
+
+
+def _won(w: pa.Array, wk: pa.Array, u: pa.Array, route: pa.Array | None, presets: list[tuple[int, Preset]], size: tuple[int, int]) -> pa.Array:
+    """Each cell's winner for each preset: proposals of lines, their losses and the choice for a batch of windows."""
+    cells = size[0] * size[1]
+    data, gone, kind = as_matrix(w, cells), missing(w, cells), as_matrix(wk, cells)
+    n, regular = len(data), kind == REGULAR
+    lo, hi, seen = C.known_range(data, gone, kind, size)
+    aims, sides, sums = {}, {}, {}
+
+    def aim(x: Preset):
+        """(axis, NULL or not, tried or not) by rank."""
+        at = (x.axis, x.gradient, x.angle)
+        if at not in aims and x.axis is not None:
+            aims[at] = [(np.full(n, x.axis), np.zeros(n, bool), np.ones(n, bool))]
+        elif at not in aims:
+            axis, unsure, both = axes_of(data, gone, size, x.gradient, x.angle)
+            aims[at] = [(axis, unsure, np.ones(n, bool)), (1 - axis, unsure, both)]
+        return at, aims[at]
+
+    own = u.to_numpy(zero_copy_only=False).astype(float, copy=False)
+    bits = None if route is None else route.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    made = []
+    for _, x in presets:
+        at, axes = aim(x)
+        columns = []
+        for place, model in enumerate(x.models):
+            for rank, (axis, unsure, tried) in enumerate(axes):
+                turns = (axis == 0) & ~unsure
+                if (at, rank) not in sides:
+                    near = [C.turned(a, size, 3, 3, turns) for a in (data, gone, kind)]
+                    sides[at, rank] = (*near, *C.sides_of(lo, hi, *near[:2]))
+                near, lost, kinds, down, up = sides[at, rank]
+                if (at, rank, model.kt, model.ks) not in sums:
+                    sums[at, rank, model.kt, model.ks] = C.sums_of(
+                        *[C.turned(a, size, model.kt, model.ks, turns) for a in (data, gone, regular)], up, down)
+                s, unknown = sums[at, rank, model.kt, model.ks]
+                usable = seen & tried
+                if bits is not None:
+                    usable = usable & ((bits & (2 << place)) != 0)
+                rows = np.flatnonzero(usable)
+                with np.errstate(all="ignore"):
+                    lines = model.coefs(list(s.T))
+                # a parameter is NULL where a sum is that it is made of
+                holes = model.coefs(list(np.where(unknown, np.nan, 0.0).T)) if unknown.any() else [(0.0, 0.0)] * len(lines)
+                for cand, ((b, m), hole) in enumerate(zip(lines, holes)):
+                    b, m = (np.broadcast_to(v, n).astype(float) for v in (b, m))
+                    no_b, no_m = (np.broadcast_to(np.isnan(v), n) for v in hole)
+                    loss = np.full(n, np.nan)
+                    loss[rows] = line_losses(near[rows], lost[rows], kinds[rows], turns[rows], b[rows], m[rows],
+                                             (no_m | (no_b & ~(np.abs(m) < FLAT)))[rows], up[rows], down[rows], x.p, x.center_weight, x.score_cut_only)
+                    columns.append((loss, place + 1, rank, cand, axis, unsure, b, m, no_b, no_m, up, down))
+        made.append((columns, place_of_best(np.stack([c[0] for c in columns], axis=1), x.eps)))
+
+    shape = (n, len(presets))
+    out = {f: np.zeros(shape, int) for f in ("model_idx", "axis_rank", "cand", "axis")}
+    loss, up, down, no_axis, none = np.full(shape, np.inf), *[np.repeat(own[:, None], len(presets), 1) for _ in range(2)], np.zeros(shape, bool), np.zeros(shape, bool)
+    params, holes = np.zeros((*shape, 2)), np.zeros((*shape, 2), bool)
+    params[:, :, 0], fallback = own[:, None], np.ones(shape, bool)
+    none[:] = holes[:, :, 0] = u.is_null().to_numpy(zero_copy_only=False)[:, None]
+    for c, (columns, won) in enumerate(made):
+        for place, (lost, model, rank, cand, axis, unsure, b, m, no_b, no_m, above_, below) in enumerate(columns):
+            at = np.flatnonzero(won == place)
+            for name, value in (("model_idx", model), ("axis_rank", rank), ("cand", cand), ("axis", axis[at])):
+                out[name][at, c] = value
+            loss[at, c], up[at, c], down[at, c], no_axis[at, c], none[at, c] = lost[at], above_[at], below[at], unsure[at], False
+            params[at, c], holes[at, c], fallback[at, c] = np.stack([b[at], m[at]], 1), np.stack([no_b[at], no_m[at]], 1), False
+    fallback = fallback.ravel()
+    sizes = np.where(fallback, 1, 2)
+    there = np.stack([np.ones(len(fallback), bool), ~fallback], axis=1)
+    values = pa.array(params.reshape(-1, 2)[there], pa.float64(), mask=holes.reshape(-1, 2)[there])
+    ints = {f: pa.array(x.ravel(), pa.int32(), mask=no_axis.ravel() if f == "axis" else None) for f, x in out.items()}
+    fields = {"preset": pa.array(np.tile([c for c, _ in presets], n), pa.int32()), "loss": pa.array(loss.ravel(), pa.float64()), **ints,
+              "family": pa.DictionaryArray.from_arrays(pa.array(fallback.astype(np.int8)), pa.array(["line", "constant"])).cast(pa.string()),
+              "params": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values),
+              **{f: pa.array(x.ravel(), pa.float64(), mask=none.ravel()) for f, x in (("value_up", up), ("value_down", down))}}
+    fields = {f.name: fields[f.name] for f in WON.elementType.fields}
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(presets), pa.int32()), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
 def _cell_winners(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[tuple[int, Preset]], k: int) -> DataFrame:
     """KEY, u, _preset, loss and FIELDS of every cut cell's winner, for presets of lines.
 
-    A cell keeps its window and all its proposals in one row, so nothing is exploded or grouped after the tiles' shuffle.
+    Windows come from batches of tiles, and all presets are fitted to them in one batch function, so after the tiles' shuffle
+    nothing is exploded, grouped or handed back and forth between a cell's steps.
     """
-    size = (k, k)
-    w = _cut_windows(labelled, shape, k, keep_tile=False)
-    done, aims, lines, best = {}, {}, [], []
-    for n, x in presets:
-        aim = (x.axis, x.gradient, x.angle)
-        if aim not in aims:
-            ranks = range(1 if x.axis is not None else 2)
-            aims[aim] = [f"_axis{n}_{r}" for r in ranks]
-            w = _axes_columns(w, size, x, f"_axes{n}")
-            w = w.withColumns({aims[aim][r]: F.get(f"_axes{n}", F.lit(r)) for r in ranks} | {
-                f"_try{n}_{r}": F.size(f"_axes{n}") > r for r in ranks}).drop(f"_axes{n}")
-        made = []
-        for r, axis in enumerate(aims[aim]):
-            w, of_axis = _with_proposals(w, size, x, axis, F.lit(r), done)
-            tried = F.col(axis.replace("_axis", "_try"))
-            made.append([F.when(tried, m).otherwise(F.array().cast(PROPOSALS)) for m in of_axis])
-        # by model, axis and candidate: the order that decides ties
-        lines.append(_usable(F.concat(*[m for of_model in zip(*made) for m in of_model])).alias(f"_p{n}"))
-    # a generator, so that proposals are made once for their losses and the choice
-    w = w.select(*KEY, "u", "w_u", "w_kind", F.inline(F.array(F.struct(*lines))))
-    w = w.withColumns({f"_l{n}": line_losses(F.col("w_u"), F.col("w_kind"), F.col(f"_p{n}"), size, 3, x.p, x.center_weight, x.score_cut_only)
-                       for n, x in presets})
-    keep = proposal(0, F.lit(0), 0, F.lit(0), "constant", F.array("u"), F.col("u"), F.col("u"))
-    for n, x in presets:
-        best.append(F.struct(F.lit(n).alias("preset"), best_beside(F.col(f"_p{n}"), F.col(f"_l{n}"), keep, x.eps).alias("b")))
-    w = w.select(*KEY, "u", F.inline(F.array(*best)))
-    return w.select(*KEY, "u", F.col("preset").alias("_preset"), "b.loss", *[F.col(f"b.{f}").alias(f) for f in FIELDS])
+    routed = "route" in labelled.columns
+    if routed:
+        labelled = labelled.withColumn("_route", F.expr(ROUTE_BITS))
+    w = batched_windows(labelled, shape, k, ["u", "kind"], F.col("kind") == CUT, ("u", *["_route"] * routed))
+
+    if routed:
+        @F.arrow_udf(WON)
+        def won(w: pa.Array, wk: pa.Array, u: pa.Array, route: pa.Array) -> pa.Array:
+            return _won(w, wk, u, route, presets, (k, k))
+    else:
+        @F.arrow_udf(WON)
+        def won(w: pa.Array, wk: pa.Array, u: pa.Array) -> pa.Array:
+            return _won(w, wk, u, None, presets, (k, k))
+
+    w = w.select(*KEY, "u", F.explode(won("w_u", "w_kind", F.col("u").cast("double"), *["_route"] * routed)).alias("b"))
+    return w.select(*KEY, "u", F.col("b.preset").alias("_preset"), "b.loss", *[F.col(f"b.{f}").alias(f) for f in FIELDS])
 
 
 def proposal_rows(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset) -> tuple[DataFrame, list[str]]:
