@@ -144,17 +144,28 @@ def _area_disc(tc: pa.Array, sc: pa.Array, r: pa.Array, t0: pa.Array, t1: pa.Arr
     with np.errstate(all="ignore"):
         lo, hi = np.clip(tc - r, t0, t1), np.clip(tc + r, t0, t1)
 
-        def arc(y, side):
-            def prim(t):
-                z = np.clip((t - tc) / r, -1, 1)
-                return (sc - y) * t + side * r * r / 2 * (z * np.sqrt(1 - z * z) + np.arcsin(z))
+        def turn(t):
+            z = np.clip((t - tc) / r, -1, 1)
+            return z * np.sqrt(1 - z * z) + np.arcsin(z)
 
-            whole = prim(hi) - prim(lo)
+        # what a place adds under an arc hangs on neither the level nor the side, so both sides and levels share it
+        ends = turn(lo), turn(hi)
+
+        def arcs(y):
             k = np.sqrt(np.maximum(r * r - (y - sc) * (y - sc), 0.0))
-            inner = prim(np.clip(tc + k, lo, hi)) - prim(np.clip(tc - k, lo, hi))
-            return np.where(y <= sc, whole, inner) if side > 0 else np.where(y >= sc, 0.0, whole - inner)
+            near = np.clip(tc - k, lo, hi), np.clip(tc + k, lo, hi)
+            turns = turn(near[0]), turn(near[1])
+
+            def between(side, at, turns):
+                low, high = ((sc - y) * t + side * r * r / 2 * x for t, x in zip(at, turns))
+                return high - low
+
+            whole, inner = between(-1, (lo, hi), ends), between(-1, near, turns)
+            upper = np.where(y <= sc, between(1, (lo, hi), ends), between(1, near, turns))
+            return upper, np.where(y >= sc, 0.0, whole - inner)
 
-        upper, lower = (arc(s0, side) - arc(s0 + h, side) for side in (1, -1))
+        (u0, l0), (u1, l1) = arcs(s0), arcs(s0 + h)
+        upper, lower = u0 - u1, l0 - l1
         known = ~np.isnan(tc + sc + r + t0 + t1 + s0 + h)
         return pa.array(np.where(known, np.where(hi <= lo, 0.0, upper - lower), np.nan), pa.float64(), from_pandas=True)
 

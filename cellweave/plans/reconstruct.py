@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cellweave.functions.area import FLAT
-from cellweave.functions.batches import as_matrix, missing
+from cellweave.functions.batches import as_known_lists, as_matrix, missing
 from cellweave.functions.index import let
 from cellweave.operators import curves as C
 from cellweave.operators.labels import axes_of, fixed_axes, gradient_axes, label_piecewise, window_gradient
-from cellweave.operators.resample import resample_average, resample_interface_only
+from cellweave.operators.resample import packed_interface_only, resample_average, resample_interface_only
 from cellweave.operators.scoring import FIELDS, line_losses, place_of_best, score_rows, select_best
 from cellweave.operators.windows import batched_windows, tile_key, with_windows
 from cellweave.schema import CUT, KEY, PROPOSAL, REGULAR, GridShape, proposal
@@ -304,6 +304,12 @@ def fit_sweep(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[P
     All presets read the same windows, so cells are shuffled once whatever the number of presets; the preset is a column
     that goes along with proposals, scores and winners.  The presets must agree in p, eps and score_cut_only.
     """
+    plain, best = sweep_parts(labelled, shape, presets)
+    return plain if best is None else plain.unionByName(best)
+
+
+def sweep_parts(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[Preset]) -> tuple[DataFrame, DataFrame | None]:
+    """The fits that keep their averages without a choice, and the winners of the cut cells, if a preset has models."""
     if len({(x.p, x.eps, x.score_cut_only) for x in presets}) != 1:
         raise ValueError("presets of a sweep must agree in p, eps and score_cut_only")
     c = labelled.select(*KEY, "u", "kind")
@@ -318,10 +324,10 @@ def fit_sweep(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[P
         F.get(names, F.col("_preset")).alias("preset"))
     active = [(n, x) for n, x in enumerate(presets) if x.models]
     if not active:
-        return plain
+        return plain, None
     if _in_batches([x for _, x in active]):
         best = _cell_winners(c, shape, active, k)
-        return plain.unionByName(_winner_rows(best, "u", F.get(names, F.col("_preset")).alias("preset")))
+        return plain, _winner_rows(best, "u", F.get(names, F.col("_preset")).alias("preset"))
     w = _cut_windows(c, shape, k)
     key = tile_key(shape) + ["i", "j", "_preset", "_own"]
     tried = F.concat(*[_tried(_axes(F.col("w_u"), size, x), n) for n, x in active])
@@ -345,7 +351,7 @@ def fit_sweep(labelled: DataFrame, shape: GridShape | DataFrame, presets: list[P
     weights = F.get(F.array(*[F.lit(float(x.center_weight)) for x in presets]), F.col("_preset"))
     scored = score_rows(rows, key, families, size, 3, presets[0].p, weights, presets[0].score_cut_only)
     best = select_best(scored, presets[0].eps, key)
-    return plain.unionByName(_winner_rows(best, "_own", F.get(names, F.col("_preset")).alias("preset")))
+    return plain, _winner_rows(best, "_own", F.get(names, F.col("_preset")).alias("preset"))
 
 
 def _winner_rows(best: DataFrame, own: str, *more: Column) -> DataFrame:
@@ -369,26 +375,43 @@ def _packed(fine: DataFrame, f: int, by: list[str], value: str) -> DataFrame:
     slot = F.pmod("i", F.lit(f)) * f + F.pmod("j", F.lit(f))
     coarse = [F.floor(F.col(n) / f).cast("int").alias(n) for n in ("i", "j")]
     c = fine.select("grid_id", *coarse, *by, slot.alias("_slot"), F.col(value).alias("_v"))
-    return c.groupBy(*KEY, *by).agg(*[F.max(F.when(F.col("_slot") == n, F.col("_v"))).alias(f"{value}{n}") for n in range(f * f)])
+    c = c.groupBy(*KEY, *by).agg(*[F.max(F.when(F.col("_slot") == n, F.col("_v"))).alias(f"{value}{n}") for n in range(f * f)])
+    return c.select(*KEY, *by, F.array(*[f"{value}{n}" for n in range(f * f)]).alias(value))
 
 
 def run_sweep(cells: DataFrame, truth: DataFrame, shape: GridShape | DataFrame, presets: list[Preset], f: int,
               label=label_piecewise) -> DataFrame:
     """grid_id, preset, error_l1, error_linf: every preset on every grid against a truth f times finer, as one plan.
 
-    Fits and truth meet as one row per coarse cell, and the regular cells, which all presets keep, only once.
+    Fits and truth meet as one row per coarse cell, and the regular cells, which all presets keep, only once.  The truth is a
+    table of fine cells, or one row a coarse cell with `fine` as true_fine_grid packs them.
     """
-    fits = fit_sweep(label(cells), shape, presets)
+    plain, best = sweep_parts(label(cells), shape, presets)
     families = tuple(dict.fromkeys(x for p in presets for x in p.families))
-    regular = (F.col("kind") != CUT) & (F.col("preset") != presets[0].name)
-    apart = fits.filter(~regular).withColumn("preset", F.when(F.col("kind") == CUT, F.col("preset")))
-    apart = apart.withColumn("grid_id", F.to_json(F.struct("grid_id", "preset")))
-    fine = resample_interface_only(apart, f, families)
-    named = F.from_json("grid_id", "grid_id string, preset string")
-    fine = fine.withColumn("_n", named).select(F.col("_n.grid_id").alias("grid_id"), "i", "j", F.col("_n.preset").alias("preset"), F.col("u").alias("v"))
-    both = _packed(fine, f, ["preset"], "v").join(_packed(truth, f, [], "u").hint("merge"), KEY)
-    gaps = F.array_compact(F.array(*[F.abs(F.col(f"v{n}") - F.col(f"u{n}")) for n in range(f * f)]))
-    both = both.select("grid_id", "preset", F.size(gaps).alias("n"), F.aggregate(gaps, F.lit(0.0), lambda a, x: a + x).alias("s"), F.array_max(gaps).alias("top"))
+
+    def apart(fits: DataFrame) -> DataFrame:
+        regular = (F.col("kind") != CUT) & (F.col("preset") != presets[0].name)
+        return fits.filter(~regular).withColumn("preset", F.when(F.col("kind") == CUT, F.col("preset")))
+
+    if best is not None and set(families) <= {"constant", "line"}:
+        # a cell that stood there twice would be an error of the windows, so a row is a cell as it is
+        fine = packed_interface_only(apart(plain), f, ("constant",), ("preset",)).unionByName(packed_interface_only(apart(best), f, families, ("preset",)))
+        fine = fine.withColumnRenamed("fine", "v")
+    else:
+        fits = apart(plain if best is None else plain.unionByName(best)).withColumn("grid_id", F.to_json(F.struct("grid_id", "preset")))
+        fine = resample_interface_only(fits, f, families)
+        named = F.from_json("grid_id", "grid_id string, preset string")
+        fine = fine.withColumn("_n", named).select(F.col("_n.grid_id").alias("grid_id"), "i", "j", F.col("_n.preset").alias("preset"), F.col("u").alias("v"))
+        fine = _packed(fine, f, ["preset"], "v")
+    by = KEY
+    if "fine" in truth.columns:
+        # cells are sorted by a hash, which compares as one number; a truth that was grouped by cell is left as it lies
+        by, h = ["_h", *KEY], F.xxhash64(*KEY).alias("_h")
+        truth, fine = truth.select(h, *KEY, F.col("fine").alias("u")), fine.select(h, *KEY, "preset", "v")
+    else:
+        truth = _packed(truth, f, [], "u")
+    both = fine.join(truth.hint("merge"), by).select("grid_id", "preset", _gaps(f * f)("v", "u").alias("g"))
+    both = both.select("grid_id", "preset", F.col("g")[0].cast("long").alias("n"), F.col("g")[1].alias("s"), F.col("g")[2].alias("top"))
     sums = both.groupBy("grid_id", "preset").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("top").alias("top"))
     # what holds for all presets goes to each of them
     all_ = F.array(*[F.lit(x.name) for x in presets])
@@ -396,6 +419,31 @@ def run_sweep(cells: DataFrame, truth: DataFrame, shape: GridShape | DataFrame,
     return sums.groupBy("grid_id", "preset").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("error_l1"), F.max("top").alias("error_linf"))
 
 
+def _gaps(parts: int):
+    """Of two arrays of a cell's fine values, one entry standing for all: how many gaps are known, their sum and the largest."""
+    def spread(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        at = x.offsets.to_numpy()[:-1, None] - x.offsets[0].as_py() + np.where(
+            x.value_lengths().to_numpy(zero_copy_only=False)[:, None] == 1, 0, np.arange(parts))
+        flat = x.flatten()
+        return flat.to_numpy(zero_copy_only=False).astype(float, copy=False)[at], flat.is_null().to_numpy(zero_copy_only=False)[at]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def gaps(v: pa.Array, u: pa.Array) -> pa.Array:
+        (v, no_v), (u, no_u) = spread(v), spread(u)
+        known = ~(no_v | no_u)
+        with np.errstate(all="ignore"):
+            gap = np.abs(v - u)
+            sums = np.zeros(len(gap))
+            for n in range(parts):
+                sums = sums + np.where(known[:, n], gap[:, n], 0.0)
+            top = np.where(known, gap, -np.inf).max(axis=1, initial=-np.inf)
+        n = known.sum(axis=1)
+        out = np.stack([n, sums, top], axis=1)
+        return as_known_lists(out, np.stack([n < 0, n < 0, n == 0], axis=1))
+
+    return gaps
+
+
 def fit_cells(labelled: DataFrame, shape: GridShape | DataFrame, preset: Preset) -> DataFrame:
     """Best model of every cell.
 

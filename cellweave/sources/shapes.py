@@ -39,18 +39,32 @@ def rasterize_shapes(shapes: DataFrame, family: str, window: tuple[float, float]
     """
     grid = (spine(shapes) if cells is None else
             shapes.join(cells.select(*SHAPE_KEY).distinct(), "grid_id"))
-    hi = F.lit(1.0) / F.col("ni") if window is None else F.lit(float(window[0]))
-    hj = F.lit(1.0) / F.col("nj") if window is None else F.lit(float(window[1]))
-    x1 = (F.col("i") + 1) / F.col("ni") + F.lit(float(origin[0]))
-    y1 = (F.col("j") + 1) / F.col("nj") + F.lit(float(origin[1]))
-    grid = grid.withColumns({"x0": x1 - hi, "x1": x1, "y0": y1 - hj, "y1": y1})
-    area = shape_integral(family, *[F.col(c) for c in ("x0", "x1", "y0", "y1")])
-    return grid.select("grid_id", "i", "j", (area * F.col("ni") * F.col("nj")).alias("u"))
+    return grid.select("grid_id", "i", "j", _average(family, *[F.col(c) for c in ("i", "j", "ni", "nj")], window, origin).alias("u"))
 
 
-def true_fine_grid(shapes: DataFrame, family: str, coarse: DataFrame, f: int) -> DataFrame:
-    """Ground truth f times finer: pure cells repeat, cut cells are computed exactly."""
+def _average(family: str, i: Column, j: Column, ni: Column, nj: Column, window: tuple[float, float] | None = None,
+             origin: tuple[float, float] = (0.0, 0.0)) -> Column:
+    """Exact average of a shape on one cell of its grid."""
+    hi = F.lit(1.0) / ni if window is None else F.lit(float(window[0]))
+    hj = F.lit(1.0) / nj if window is None else F.lit(float(window[1]))
+    x1 = (i + 1) / ni + F.lit(float(origin[0]))
+    y1 = (j + 1) / nj + F.lit(float(origin[1]))
+    return shape_integral(family, x1 - hi, x1, y1 - hj, y1) * ni * nj
+
+
+def true_fine_grid(shapes: DataFrame, family: str, coarse: DataFrame, f: int, packed: bool = False) -> DataFrame:
+    """Ground truth f times finer: pure cells repeat, cut cells are computed exactly.
+
+    With `packed` a coarse cell is one row, whose `fine` holds its f x f values in row-major order, or one where all are the
+    same; such a table holds a coarse cell as often as `coarse` does.
+    """
     cut = (F.col("u") > 0) & (F.col("u") < 1)
+    if packed:
+        pure = coarse.filter(~cut).select(*SHAPE_KEY, F.array("u").alias("fine"))
+        i, j, ni, nj = (F.col(n) * f for n in ("i", "j", "ni", "nj"))
+        exact = [_average(family, i + a, j + b, ni, nj) for a in range(f) for b in range(f)]
+        wanted = shapes.join(coarse.filter(cut).select(*SHAPE_KEY), "grid_id")
+        return pure.unionByName(wanted.select(*SHAPE_KEY, F.array(*exact).alias("fine")))
     pure = repeat_cells(coarse.filter(~cut), f, f)
     wanted = repeat_cells(coarse.filter(cut), f, f)
     finer = shapes.withColumns({"ni": F.col("ni") * f, "nj": F.col("nj") * f})
